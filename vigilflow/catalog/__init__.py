@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("rows",)
+MODULES = ("rows", "windows")
 
 
 def _all(attribute: str) -> dict:

@@ -455,7 +455,7 @@ ORACLE = {
     "memory_gate": f"{_S} select event_id, source, round(score, 6) as score from signals where score >= 0.5 or len(rules) > 0 or {DECIDE.format('score')} in ('Block', 'Escalate')",
     "scope_keys": f"with {KEYS_SQL} select event_id, ip, host, user_key, session_key, process_key from keyed",
     "memory_fanout": f"with {KEYS_SQL} select event_id, 'ip' as scope, ip as scope_key from keyed union all select event_id, 'user', user_key from keyed where user_key <> '' union all select event_id, 'host', host from keyed where score >= 0.5 union all select event_id, 'global', '' from keyed where score >= 0.85 union all select event_id, 'session', session_key from keyed where session_key <> '' union all select event_id, 'process', process_key from keyed where process_key <> ''",
-    "explain_alert": f"{_REASONED} select event_id, concat('[IDS] decision=', upper(decision), ' class=', attack_class, ' conf=', printf('%.3f', confidence), ' local=', printf('%.3f', score), ' trend=', printf('%.3f', trend), ' hist=', printf('%.3f', history), ' drift=', printf('%.3f', drift), case when len(rules) > 0 then concat(' rules=', array_to_string(rules, ','), ',') else '' end, case when false_positive then ' [FP-suppressed]' else '' end) as explanation from judged",
+    "explain_alert": f"{_REASONED} select event_id, concat('[IDS] decision=', upper(decision), ' class=', attack_class, ' conf=', printf('%.6f', confidence), ' local=', printf('%.6f', score), ' trend=', printf('%.6f', trend), ' hist=', printf('%.6f', history), ' drift=', printf('%.6f', drift), case when len(rules) > 0 then concat(' rules=', array_to_string(rules, ','), ',') else '' end, case when false_positive then ' [FP-suppressed]' else '' end) as explanation from judged",
     "learning_mode": f"{_A} select event_id, case when decision in ('Block', 'Escalate') then 'Alert' else decision end as decision from alerts",
     "default_fill": f"with {t.LOGS_SQL} select event_id, type, coalesce(severity, 'info') as severity, coalesce(message, '') as message from logs",
     "last_seen_human": f"{_F} select event_id, case when m < 1 then 'just now' when m < 60 then concat(m, ' minutes ago') else concat(m // 60, 'h ', m % 60, 'm ago') end as ago from (select event_id, cast(floor((1706659200000000 - ts_us) / 1000000.0::double / 600 / 60) as bigint) as m from flows)",

@@ -3,7 +3,7 @@
 A plain `Window.partitionBy(source)` puts a whole source in one task. The helpers here cut each
 key's timeline into slices of `slice_s` seconds and make the slices independent, exactly:
 
-* `running_sums` and `trailing_counts` pre-aggregate per (key, slice), turn the totals into one
+* `running_sums`, `trailing_counts` and `distinct_in_window` pre-aggregate per (key, slice), turn the totals into one
   carry row per slice, and let each slice add its own running sum on top;
 * `with_row_halo` and `with_time_halo` copy the few context rows a bounded frame needs into the
   slice that needs them, so the frame never crosses a slice.
@@ -70,39 +70,44 @@ def _carry_rows(points: DataFrame, key: list[str], names: list[str]) -> DataFram
 
 
 def trailing_counts(
+    df: DataFrame, key: Sequence[str], windows: dict[str, tuple[float, Column]], slice_s: float, ts: str = "ts_us"
+) -> DataFrame:
+    """For each row and each name: rows of its key in [t - window, t] meeting the condition."""
+    return step_sums(df, key, {n: (seconds, c, c) for n, (seconds, c) in windows.items()}, slice_s, ts)
+
+
+def step_sums(
     df: DataFrame,
     key: Sequence[str],
-    windows: dict[str, tuple[float, Column]],
+    steps: dict[str, tuple[float, Column, Column]],
     slice_s: float,
     ts: str = "ts_us",
 ) -> DataFrame:
-    """For each row and each name: rows of its key in [t - window, t] meeting the condition.
+    """Running value of step functions given as name -> (hold seconds, up, down).
 
-    A qualifying row counts +1 when it happens and -1 just after it leaves the window, so the
-    count at t is one running sum. Slices can be far shorter than the windows.
+    A row where `up` holds adds 1 at its time; one where `down` holds takes 1 away just after its
+    time plus `hold`. What is in force at a row is then one running sum per key, so slices can be
+    far shorter than the windows and no row looks back at other rows.
     """
-    key = list(key)
-    names = list(windows)
+    key, names = list(key), list(steps)
 
     def points(payload: Column | None) -> DataFrame:
+        body = F.lit(None) if payload is None else payload
         empty = F.lit(None) if payload is None else F.when(F.lit(False), payload)
         here = F.struct(
-            (F.col(ts) * 2).alias("ord"),
-            (F.lit(None) if payload is None else payload).alias("payload"),
-            F.lit(True).alias("_row"),
-            *[F.when(cond, 1).otherwise(0).cast("long").alias(n) for n, (_, cond) in windows.items()],
+            (F.col(ts) * 2).alias("ord"), body.alias("payload"), F.lit(True).alias("_row"),
+            *[F.when(up, 1).otherwise(0).cast("long").alias(n) for n, (_, up, _) in steps.items()],
         )
         leave = [
             F.when(
-                cond,
+                down,
                 F.struct(
-                    ((F.col(ts) + int(seconds * US)) * 2 + 1).alias("ord"),
-                    empty.alias("payload"),
+                    ((F.col(ts) + int(hold * US)) * 2 + 1).alias("ord"), empty.alias("payload"),
                     F.lit(False).alias("_row"),
                     *[F.lit(-1 if other == n else 0).cast("long").alias(other) for other in names],
                 ),
             )
-            for n, (seconds, cond) in windows.items()
+            for n, (hold, _, down) in steps.items()
         ]
         rows = df.select(*key, F.explode(F.filter(F.array(here, *leave), lambda p: p.isNotNull())).alias("p"))
         return rows.select(*key, "p.*").withColumn(SLICE, slice_number("ord", 2 * slice_s))
@@ -120,6 +125,29 @@ def trailing_counts(
     return out.filter("_row").select("payload.*", *names)
 
 
+def distinct_in_window(
+    df: DataFrame, key: Sequence[str], member: str, window_s: float, slice_s: float, name: str
+) -> DataFrame:
+    """For each row: different `member` values of its key in [t - window, t].
+
+    A member's rows closer than the window form one visit, in force from its first row to the
+    window after its last; the distinct count is the number of visits in force. No set is built.
+    """
+    key = list(key)
+    halo = with_time_halo(df, max(slice_s, window_s), window_s, window_s)
+    w = sliced_window([*key, member])
+    gap = int(window_s * US)
+    prev, after = F.lag("ts_us").over(w), F.lead("ts_us").over(w)
+    marked = drop_halo(
+        halo.withColumns({
+            "_start": prev.isNull() | (F.col("ts_us") - prev > gap),
+            "_end": after.isNull() | (after - F.col("ts_us") > gap),
+        })
+    )
+    out = step_sums(marked, key, {name: (window_s, F.col("_start"), F.col("_end"))}, slice_s)
+    return out.drop("_start", "_end")
+
+
 def with_time_halo(
     df: DataFrame, slice_s: float, before_s: float, after_s: float = 0.0, ts: str = "ts_us"
 ) -> DataFrame:
