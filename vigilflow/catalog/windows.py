@@ -22,7 +22,7 @@ def inter_arrival(spark, sf):
     ev = t.flows(spark, sf).select("event_id", "ts_us", "source")
     # a day of the sparse data stands for a second
     return windows.inter_arrival(ev.withColumn("ts_us", F.expr("ts_us div 7200")), ["source"], SLICE / 7200).select(
-        "event_id", r6("inter_arrival").alias("inter_arrival")
+        "event_id", F.round(F.col("inter_arrival") * 1e7).cast("long").alias("inter_arrival_us")
     )
 
 
@@ -209,7 +209,7 @@ numbered as (select *, row_number() over (partition by source, run order by ts_u
 
 ORACLE = {
     "top_correlated_sources": f"{CORR_SQL} select source as ip, count(*) as alert_count, max(ts_us) as last_seen_us, cast(least(100, count(*) * 5) as bigint) as threat_score from upgraded where upgraded_decision = 'Escalate' group by source order by alert_count desc, ip limit 10",
-    "inter_arrival": f"{_F} select event_id, round(coalesce(least(1, greatest(0, (z - lag(z) over (partition by source order by z, event_id)) / 1000000.0::double / 10)), 0), 6) as inter_arrival from (select *, ts_us // 7200 as z from flows)",
+    "inter_arrival": f"{_F} select event_id, cast(coalesce(least(10000000, greatest(0, z - lag(z) over (partition by source order by z, event_id))), 0) as bigint) as inter_arrival_us from (select *, ts_us // 7200 as z from flows)",
     "protocol_entropy": f"{_F} select event_id, round(entropy(protocol) over ({_BY} rows between 63 preceding and current row) / 8, 6) as protocol_entropy from flows",
     "burst_metric": f"{SHAPE_SQL} select event_id, round(case when count(*) over ({_BY} rows between 63 preceding and current row) < 3 then 0 when avg(gap) over g < 1e-9 then 1 else least(1, greatest(0, stddev_pop(gap) over g / avg(gap) over g)) end, 6) as burst from gaps window g as ({_BY} rows between 62 preceding and current row)",
     "near_miss": f"{_F} select event_id, score >= 0.25 and score < 0.6 and count(*) filter (where score >= 0.25 and score < 0.6) over (partition by source order by ts_us {_RANGE(1)}) >= 5 as near_miss from flows",
