@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("rows", "windows", "state", "dash")
+MODULES = ("rows", "windows", "state", "dash", "memory")
 
 
 def _all(attribute: str) -> dict:

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import scores
 from ..params import EVALUATION_THRESHOLDS, Thresholds
+from ..session import cut
 from .ranks import count_below, rank_of_share, values_at_ranks
 
 # Multiplier and bounds per suggested threshold.
 SUGGEST = {"gate": (1.2, 0.15, 0.50), "alert": (1.5, 0.30, 0.70), "block": (2.0, 0.50, 0.92)}
+SCORE_BOUNDS = (0.0, 1.0)
 CALIBRATE = {
     "gate": (0.7, 0.2, 0.6), "alert": (1.0, 0.3, 0.8), "block": (1.3, 0.5, 0.95), "flush": (0.9, 0.3, 0.85),
 }
@@ -40,7 +42,7 @@ def benign_percentiles(scored: DataFrame, shares: dict[str, float]) -> DataFrame
     named = F.explode(F.array(*[
         F.struct(F.lit(k).alias("name"), rank_of_share(F.col("n"), F.lit(v)).alias("rank")) for k, v in shares.items()]))
     ranks = n.select(named.alias("r")).select("r.*")
-    found = values_at_ranks(ok, [], "score", ranks.select("rank").distinct())
+    found = values_at_ranks(ok, [], "score", ranks.select("rank").distinct(), SCORE_BOUNDS)
     at = ranks.join(found, "rank")
     return at.agg(*[F.max(F.when(F.col("name") == k, F.col("value"))).alias(k) for k in shares])
 
@@ -72,10 +74,10 @@ def class_thresholds(scored: DataFrame, base_alert: float = 0.25, min_samples: i
     sizes = attack.groupBy("attack_class").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_samples)
     step = F.greatest(F.lit(1).cast("long"), F.expr(f"n div {steps}"))
     ranks = sizes.select("attack_class", "n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n") - 2, step)).alias("rank"))
-    found = values_at_ranks(attack, ["attack_class"], "score", ranks.select("attack_class", "rank"))
+    found = values_at_ranks(attack, ["attack_class"], "score", ranks.select("attack_class", "rank"), SCORE_BOUNDS)
     cand = ranks.join(found, ["attack_class", "rank"]).withColumn("tp", F.col("n") - F.col("below")).drop("below")
     total = ok.agg(F.count(F.lit(1)).alias("_benign"))
-    cand = count_below(ok, "score", cand, "value").join(F.broadcast(total), F.lit(True))
+    cand = count_below(ok, "score", cut(cand), "value").join(F.broadcast(total), F.lit(True))
     fp = F.col("_benign") - F.col("below")
     prec, rec = 100.0 * F.col("tp") / (F.col("tp") + fp), 100.0 * F.col("tp") / F.col("n")
     f1 = F.when(prec + rec > 0, 2 * prec * rec / (prec + rec)).otherwise(0.0)

@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import cut
+from .salted import salted_join
+
 BUCKETS = 4096
 
 
@@ -25,22 +28,31 @@ def _level(df: DataFrame, by: list[str], part: str, wanted: DataFrame) -> DataFr
     return wanted.join(spans, by).filter(inside).withColumn("_base", F.col("_base") + F.col("_lo")).drop("_lo", "_n")
 
 
-def values_at_ranks(df: DataFrame, by: list[str], value: str, ranks: DataFrame) -> DataFrame:
-    """For each (by, rank), rank counting from 0: the value there and the rows strictly below it."""
-    v = F.col("_v")
-    group = ["_all", *by]
-    base = df.filter(F.col(value).isNotNull()).select(F.lit(0).alias("_all"), *by, F.col(value).alias("_v"))
-    bounds = base.groupBy(*group).agg(F.min("_v").cast("double").alias("_min"), F.max("_v").cast("double").alias("_max"))
+def values_at_ranks(
+    df: DataFrame, by: list[str], value: str, ranks: DataFrame, bounds: tuple[float, float] | None = None
+) -> DataFrame:
+    """For each (by, rank), rank counting from 0: the value there and the rows strictly below it.
+
+    `bounds` spares the pass for the least and greatest value where both are known. The tables
+    between the passes hold one row per rank and are written down, so no pass repeats another.
+    """
+    v, group = F.col("_v"), ["_all", *by]
+    rows = df.filter(F.col(value).isNotNull()).select(F.lit(0).alias("_all"), *by, F.col(value).alias("_v"))
+    if bounds is None:
+        ends = rows.groupBy(*group).agg(F.min("_v").cast("double").alias("_min"), F.max("_v").cast("double").alias("_max"))
+        rows = salted_join(rows, cut(ends), group, "_v", "inner")
+    else:
+        rows = rows.withColumns({"_min": F.lit(float(bounds[0])), "_max": F.lit(float(bounds[1]))})
     place = F.when(F.col("_max") > F.col("_min"), (v - F.col("_min")) / (F.col("_max") - F.col("_min"))).otherwise(0.0)
-    rows = base.join(bounds, group).withColumn("_b2", F.floor(place * (BUCKETS * BUCKETS)).cast("long"))
-    rows = rows.withColumn("_b1", F.expr(f"_b2 div {BUCKETS}")).select(*group, "_b1", "_b2", "_v")
-    wanted = ranks.select(F.lit(0).alias("_all"), *by, "rank").withColumn("_base", F.lit(0).cast("long"))
-    at1 = _level(rows, group, "_b1", wanted)
-    open1 = rows.join(at1.select(*group, "_b1").distinct(), [*group, "_b1"], "left_semi")
-    at2 = _level(open1, [*group, "_b1"], "_b2", at1)
-    open2 = rows.join(at2.select(*group, "_b1", "_b2").distinct(), [*group, "_b1", "_b2"], "left_semi")
-    at3 = _level(open2, [*group, "_b1", "_b2"], "_v", at2)
-    return at3.select(*by, "rank", F.col("_v").alias("value"), F.col("_base").alias("below"))
+    rows = rows.withColumn("_b2", F.floor(place * (BUCKETS * BUCKETS)).cast("long"))
+    rows = rows.select(*group, F.expr(f"_b2 div {BUCKETS}").alias("_b1"), "_b2", "_v")
+    wanted = cut(ranks.select(F.lit(0).alias("_all"), *by, "rank").withColumn("_base", F.lit(0).cast("long")))
+    at = cut(_level(rows, group, "_b1", wanted))
+    rows = rows.join(at.select(*group, "_b1").distinct(), [*group, "_b1"], "left_semi")
+    at = cut(_level(rows, [*group, "_b1"], "_b2", at))
+    rows = rows.join(at.select(*group, "_b1", "_b2").distinct(), [*group, "_b1", "_b2"], "left_semi")
+    at = cut(_level(rows, [*group, "_b1", "_b2"], "_v", at))
+    return at.select(*by, "rank", F.col("_v").alias("value"), F.col("_base").alias("below"))
 
 
 def count_below(df: DataFrame, value: str, points: DataFrame, point: str) -> DataFrame:
@@ -72,11 +84,11 @@ def lowest_share(df: DataFrame, by: list[str], value: str, unique: str, counts:
     `counts` holds (by, drop) for the groups that lose rows. The value and, among equal values,
     the id where the cut falls are order statistics; the rest is a comparison.
     """
-    last = counts.filter(F.col("drop") > 0).select(*by, (F.col("drop") - 1).alias("rank"), "drop")
+    last = cut(counts.filter(F.col("drop") > 0).select(*by, (F.col("drop") - 1).alias("rank"), "drop"))
     edge = values_at_ranks(df, by, value, last.select(*by, "rank")).join(last, [*by, "rank"]).select(
         *by, F.col("value").alias("_cut"), (F.col("drop") - F.col("below") - 1).alias("rank"))
-    tied = df.join(edge, by).filter(F.col(value) == F.col("_cut"))
+    tied = salted_join(df, edge, by, unique, "inner").filter(F.col(value) == F.col("_cut"))
     ids = values_at_ranks(tied, by, unique, edge.select(*by, "rank")).select(*by, F.col("value").alias("_last_id"))
-    marked = df.join(edge.select(*by, "_cut").join(ids, by), by, "left")
+    marked = salted_join(df, edge.select(*by, "_cut").join(ids, by), by, unique)
     low = (F.col(value) < F.col("_cut")) | ((F.col(value) == F.col("_cut")) & (F.col(unique) <= F.col("_last_id")))
     return marked.withColumn("_low", F.coalesce(low, F.lit(False))).drop("_cut", "_last_id")
