@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("rows", "windows", "state", "dash", "memory", "io")
+MODULES = ("rows", "windows", "state", "dash", "memory", "io", "streams")
 
 
 def _all(attribute: str) -> dict:

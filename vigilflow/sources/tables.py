@@ -21,7 +21,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One flow event per row of `events`."""
-    b = table(spark, sf_dir, "events").select(
+    return to_flows(table(spark, sf_dir, "events"))
+
+
+def stream_events(spark: SparkSession, folder: str, files: str = "events.parquet", per_trigger: int = 1) -> DataFrame:
+    """The events of a folder as a stream of files."""
+    schema = spark.read.option("pathGlobFilter", files).parquet(folder).schema
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", files).option("maxFilesPerTrigger", per_trigger)
+    return reader.parquet(folder)
+
+
+def to_flows(events: DataFrame) -> DataFrame:
+    """The flow view of an event table or stream."""
+    b = events.select(
         "event_id", "ts", "user_id", "event_type", "value",
         F.expr(f"timestampdiff(MICROSECOND, {EPOCH}, ts)").alias("ts_us"),
         F.get_json_object("props", "$.k").cast("long").alias("k"),
