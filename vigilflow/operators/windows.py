@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +11,7 @@ from ..params import (
     FLAG_FIN, FLAG_RST, FLAG_SYN, US, AttackPattern, CorrelationParams, SuspicionParams, Thresholds,
     ATTACK_PATTERNS,
 )
+from ..session import cut
 from .salted import salted_join
 from .sliced import (
     ORDER, distinct_in_window, drop_halo, newest_per_key, running_sums, sliced_window, trailing_counts,
@@ -105,7 +104,7 @@ def suspicion_boost(
     Only such rows feed the two windows, so the rest skips them.
     """
     low = F.col("confidence") < t.alert
-    weak = ip_window(near_miss(al.filter(low), slice_s, p, "confidence"), slice_s, p)
+    weak = ip_window(cut(near_miss(al.filter(low), slice_s, p, "confidence")), slice_s, p)
     extra = F.greatest(
         F.when(F.col("near_miss"), p.near_boost).otherwise(0.0), F.col("ip_window") * p.ip_boost
     )
@@ -136,44 +135,55 @@ def distributed(al: DataFrame, slice_s: float, p: CorrelationParams = Correlatio
 
 
 def stage_completions(al: DataFrame, patterns: tuple[AttackPattern, ...] = ATTACK_PATTERNS) -> DataFrame:
-    """Per source: when it first completed any pattern, as (ts_us, event_id) in column `done`.
+    """Per source and pattern: the alert that first completed it, as (ts_us, event_id) in `done`.
 
     Each stage is the first alert of its class after the previous stage, and must come within
     the gap. The first is the closest, so later ones cannot succeed where it fails: a chain of
-    minimum aggregates is exact.
+    minimum aggregates is exact. One pass per stage serves all patterns.
     """
-    at = F.struct(F.col("ts_us"), F.col("event_id"))
-
-    def completion(p: AttackPattern) -> DataFrame:
-        of = lambda stage: al.filter(F.col("attack_class") == stage)
-        found = of(p.stages[0]).groupBy("source").agg(F.min(at).alias("done"))
-        for stage in p.stages[1:]:
-            rows = of(stage).select("source", "ts_us", "event_id")
-            later = salted_join(rows, found, ["source"], "event_id", "inner").filter(at > F.col("done"))
-            found = (
-                later.groupBy("source").agg(F.min(at).alias("next"), F.min("done").alias("done"))
-                .filter(F.col("next.ts_us") - F.col("done.ts_us") <= int(p.max_gap_s * US))
-                .select("source", F.col("next").alias("done"))
-            )
-        return found.withColumn("pattern", F.lit(p.name))
-
-    return reduce(DataFrame.unionByName, [completion(p) for p in patterns])
+    at, cls = F.struct(F.col("ts_us"), F.col("event_id")), F.col("attack_class")
+    slim = al.select("source", "ts_us", "event_id", "attack_class")
+
+    def of(stage: int) -> DataFrame:
+        return slim.filter(cls.isin(*{p.stages[stage] for p in patterns if len(p.stages) > stage}))
+
+    found = of(0).groupBy("source").agg(
+        *[F.min(F.when(cls == p.stages[0], at)).alias(f"d{i}") for i, p in enumerate(patterns)])
+    for stage in range(1, max(len(p.stages) for p in patterns)):
+        live = [(i, p) for i, p in enumerate(patterns) if len(p.stages) > stage]
+        later = salted_join(of(stage), found, ["source"], "event_id", "inner").groupBy("source").agg(*[
+            F.min(F.when((cls == p.stages[stage]) & (at > F.col(f"d{i}")), at)).alias(f"n{i}") for i, p in live])
+        gap = lambda i: F.col(f"n{i}.ts_us") - F.col(f"d{i}.ts_us")
+        found = found.join(later, "source", "left").withColumns({
+            f"d{i}": F.when(gap(i) <= int(p.max_gap_s * US), F.col(f"n{i}")) for i, p in live
+        }).drop(*[f"n{i}" for i, _ in live])
+    each = F.array(*[F.struct(F.lit(p.name).alias("pattern"), F.col(f"d{i}").alias("done")) for i, p in enumerate(patterns)])
+    return found.select("source", F.explode(each).alias("f")).select("source", "f.*").filter(F.col("done").isNotNull())
+
+
+def _mark_stages(al: DataFrame, completions: DataFrame) -> DataFrame:
+    first = completions.groupBy("source").agg(F.min("done").alias("_done"))
+    flagged = salted_join(al, first, ["source"], "event_id")
+    hit = F.struct("ts_us", "event_id") >= F.col("_done")
+    return flagged.withColumn("multi_stage", F.coalesce(hit, F.lit(False))).drop("_done")
 
 
 def multi_stage(al: DataFrame, patterns: tuple[AttackPattern, ...] = ATTACK_PATTERNS) -> DataFrame:
     """Flag every alert of a source from the moment the source has completed a pattern."""
-    first = stage_completions(al, patterns).groupBy("source").agg(F.min("done").alias("_done"))
-    flagged = salted_join(al, first, ["source"], "event_id")
-    hit = F.struct("ts_us", "event_id") >= F.col("_done")
-    return flagged.withColumn("multi_stage", F.coalesce(hit, F.lit(False))).drop("_done")
+    return _mark_stages(al, stage_completions(al, patterns))
 
 
 def correlate(
     al: DataFrame, slice_s: float, p: CorrelationParams = CorrelationParams(),
     patterns: tuple[AttackPattern, ...] = ATTACK_PATTERNS,
 ) -> DataFrame:
-    """All four correlations of each alert, their score and type, and the upgraded decision."""
-    seen = multi_stage(distributed(repeat_and_slow(al, slice_s, p), slice_s, p), patterns)
+    """All four correlations of each alert, their score and type, and the upgraded decision.
+
+    The counts per source are written down before the pass per destination, which reads them
+    twice; stages are found on the alerts as given.
+    """
+    counted = cut(repeat_and_slow(al, slice_s, p))
+    seen = _mark_stages(distributed(counted, slice_s, p), stage_completions(al, patterns))
     flags = seen.withColumns({
         "repeat": F.col("repeat_count") >= p.repeat_n,
         "distributed": F.col("source_count") >= p.dist_sources,
@@ -223,8 +233,8 @@ def repeat_escalate(
     gap = int(window_s * US)
     halo = with_row_halo(al, key, 1, slice_s)
     prev = F.lag("ts_us").over(sliced_window(key))
-    marked = drop_halo(halo.withColumn("_new", prev.isNull() | (F.col("ts_us") - prev > gap)))
-    runs = running_sums(marked, key, {"_run": F.when(F.col("_new"), 1).otherwise(0), "_no": F.lit(1)}, slice_s)
+    marked = cut(drop_halo(halo.withColumn("_new", prev.isNull() | (F.col("ts_us") - prev > gap))))
+    runs = cut(running_sums(marked, key, {"_run": F.when(F.col("_new"), 1).otherwise(0), "_no": F.lit(1)}, slice_s))
     starts = runs.filter("_new").select(
         *key, "_run", F.col("_no").alias("_first_no"), F.col("ts_us").alias("_first_us")
     )
@@ -240,7 +250,7 @@ def sessions(ev: DataFrame, key: list[str], gap_s: float, slice_s: float, name:
     halo = with_row_halo(ev, key, 1, slice_s)
     prev = F.lag("ts_us").over(sliced_window(key))
     fresh = F.when(prev.isNull() | (F.col("ts_us") - prev > int(gap_s * US)), 1).otherwise(0)
-    marked = drop_halo(halo.withColumn("_new", fresh))
+    marked = cut(drop_halo(halo.withColumn("_new", fresh)))
     return running_sums(marked, key, {name: F.col("_new")}, slice_s).drop("_new")
 
 
