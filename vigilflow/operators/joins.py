@@ -15,29 +15,42 @@ def match_rules(ev: DataFrame, rules: DataFrame, score: str = "score", spread: s
     """Per event, the names of enabled rules it meets, ordered by rule id.
 
     A rule matches by score (its name) and by its address pattern (its name with `:ip`). Up to
-    `RULE_LIMIT` rules travel as one array and are tested in place: no row is multiplied and
-    nothing is shuffled. A larger table falls back to a join on the condition itself.
+    `RULE_LIMIT` rules travel as sorted arrays in one row: the score rules met are a prefix of the
+    rules by threshold, and only rules with a pattern are tested against the address. No row is
+    multiplied and nothing is shuffled. A larger table falls back to a join on the condition.
     """
     live = rules.filter("enabled").select("id", "name", "threshold", "pattern")
-    by_score = lambda s, r: s >= r["threshold"]
-    by_text = lambda src, r: (r["pattern"] != "") & src.contains(r["pattern"])
     size = live.limit(RULE_LIMIT + 1).count()
-    if size <= RULE_LIMIT:
-        table = live.agg(F.sort_array(F.collect_list(F.struct("id", "name", "threshold", "pattern"))).alias("_rules"))
-        names = F.flatten(F.transform("_rules", lambda r: F.filter(
-            F.array(
-                F.when(by_score(F.col(score), r), r["name"]),
-                F.when(by_text(F.col("source"), r), F.concat(r["name"], F.lit(":ip"))),
-            ),
-            lambda n: n.isNotNull(),
-        )))
-        return ev.join(F.broadcast(table), F.lit(True)).withColumn("rules", names).drop("_rules")
+    if size > RULE_LIMIT:
+        return _match_by_join(ev, live, score, spread)
+    levels = live.groupBy("threshold").agg(F.count(F.lit(1)).alias("n"))
+    table = live.agg(
+        F.sort_array(F.collect_list(F.struct("threshold", "id", "name"))).alias("_by"),
+        F.collect_list(F.when(F.col("pattern") != "", F.struct("id", "name", "pattern"))).alias("_patterns"),
+    ).join(levels.agg(F.sort_array(F.collect_list(F.struct("threshold", "n"))).alias("_levels")), F.lit(True))
+    s, low = F.col(score), F.get("_levels", F.lit(0))["threshold"]
+    met = F.aggregate(
+        F.filter("_levels", lambda x: x["threshold"] <= s), F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    named = ev.join(F.broadcast(table), F.lit(True)).withColumn(
+        "_met", F.when(s >= low, met).otherwise(0).cast("int")
+    ).withColumn("_addr", F.filter("_patterns", lambda r: F.col("source").contains(r["pattern"])))
+    found = F.array_sort(F.concat(
+        F.transform(F.slice("_by", F.lit(1), F.col("_met")), lambda r: F.struct(r["id"].alias("id"), F.lit(0).alias("o"), r["name"].alias("name"))),
+        F.transform("_addr", lambda r: F.struct(r["id"].alias("id"), F.lit(1).alias("o"), F.concat(r["name"], F.lit(":ip")).alias("name"))),
+    ))
+    none = F.array().cast("array<string>")
+    names = F.when((F.col("_met") == 0) & (F.size("_addr") == 0), none).otherwise(F.transform(found, lambda r: r["name"]))
+    return named.withColumn("rules", names).drop("_by", "_patterns", "_levels", "_met", "_addr")
+
+
+def _match_by_join(ev: DataFrame, live: DataFrame, score: str, spread: str) -> DataFrame:
+    """The same for rule tables beyond the bound: pairs are made only where a rule is met."""
     left, right = ev.select(spread, score, "source").alias("e"), live.alias("r")
-    rule = {n: F.col(f"r.{n}") for n in ("id", "name", "threshold", "pattern")}
-    s, t = by_score(F.col(f"e.{score}"), rule), by_text(F.col("e.source"), rule)
+    s = F.col(f"e.{score}") >= F.col("r.threshold")
+    t = (F.col("r.pattern") != "") & F.col("e.source").contains(F.col("r.pattern"))
     hit = left.join(right, s | t).select(
-        spread, rule["id"].alias("id"),
-        F.filter(F.array(F.when(s, rule["name"]), F.when(t, F.concat(rule["name"], F.lit(":ip")))),
+        F.col(f"e.{spread}").alias(spread), F.col("r.id").alias("id"),
+        F.filter(F.array(F.when(s, F.col("r.name")), F.when(t, F.concat(F.col("r.name"), F.lit(":ip")))),
                  lambda n: n.isNotNull()).alias("names"),
     )
     found = hit.groupBy(spread).agg(F.sort_array(F.collect_list(F.struct("id", "names"))).alias("h"))

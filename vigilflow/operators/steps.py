@@ -23,33 +23,41 @@ FEATURES = ("bytes", "rate_hz", "packets_total", "packet_size_mean", "iat_mean",
 WINDOW = 64
 
 
+BLOCK = 256
+
+
+def _recur(start: np.ndarray, keep: np.ndarray, add: np.ndarray) -> np.ndarray:
+    """y[t] = keep[t] y[t-1] + add[t] for each column, over a short block: the running product of
+    `keep` turns the recurrence into a running sum.
+    """
+    scale = np.cumprod(keep)[:, None]
+    return scale * (start + np.cumsum(add / scale, axis=0))
+
+
 def rolling_step(rows: pd.DataFrame, state) -> tuple[pd.DataFrame, object]:
     """Mean and variance per feature, with weight 1/(t+1) for the t-th row and 1/65 from row 64.
 
     Adds before and after values: `pm_*`/`pv_*` are those the event was met with.
     """
     x = rows[list(FEATURES)].to_numpy(dtype=float)
-    n = len(x)
-    seen = 0 if state is None else state["n"]
-    mean = np.zeros(len(FEATURES)) if state is None else np.array(state["mean"])
-    var = np.zeros(len(FEATURES)) if state is None else np.array(state["var"])
-    before = np.empty((n, 2 * len(FEATURES)))
-    after = np.empty_like(before)
-    for i in range(n):
-        seen = min(seen + 1, WINDOW)
-        weight = 1.0 / (seen + 1)
-        before[i] = np.concatenate([mean, var])
-        delta = x[i] - mean
-        mean = mean + delta * weight
-        var = var + (delta * (x[i] - mean) - var) * weight
-        after[i] = np.concatenate([mean, var])
-    out = rows.copy()
-    cols = [f"{p}_{f}" for p in ("m", "v") for f in FEATURES]
-    for j, c in enumerate(cols):
-        out["p" + c] = before[:, j]
-        out[c] = after[:, j]
-    out["seen"] = np.minimum(np.arange(1, n + 1) + (0 if state is None else state["n"]), WINDOW)
-    return out, {"n": int(seen), "mean": mean.tolist(), "var": var.tolist()}
+    n, width = x.shape
+    start = 0 if state is None else state["n"]
+    seen = np.minimum(np.arange(1, n + 1) + start, WINDOW)
+    weight = 1.0 / (seen + 1)
+    mean = np.zeros((n + 1, width))
+    var = np.zeros((n + 1, width))
+    if state is not None:
+        mean[0], var[0] = state["mean"], state["var"]
+    for i in range(0, n, BLOCK):
+        b, w = slice(i + 1, min(i + BLOCK, n) + 1), weight[i:i + BLOCK]
+        mean[b] = _recur(mean[i], 1 - w, w[:, None] * x[i:i + BLOCK])
+        delta = x[i:i + BLOCK] - mean[i:i + BLOCK][: len(w)]
+        var[b] = _recur(var[i], 1 - w, ((1 - w) * w)[:, None] * delta * delta)
+    cols = [f"{p}_{f}" for p in ("m", "v", "pm", "pv") for f in FEATURES]
+    stats = pd.DataFrame(np.hstack([mean[1:], var[1:], mean[:-1], var[:-1]]), columns=cols)
+    out = pd.concat([rows.reset_index(drop=True), stats], axis=1)
+    out["seen"] = seen
+    return out, {"n": int(seen[-1]) if n else start, "mean": mean[-1].tolist(), "var": var[-1].tolist()}
 
 
 # ---- segments --------------------------------------------------------------------------------

@@ -50,7 +50,7 @@ def split_line(line: Column) -> Column:
     """Fields of a line: commas count outside quotes, quotes are dropped."""
     outside = F.transform(
         F.split(line, '"'), lambda part, i: F.when(i % 2 == 0, F.replace(part, F.lit(","), F.lit("\u0001"))).otherwise(part))
-    return F.split(F.array_join(outside, ""), "\u0001")
+    return F.when(line.contains('"'), F.split(F.array_join(outside, ""), "\u0001")).otherwise(F.split(line, ","))
 
 
 def _lines(spark: SparkSession, paths: str | list[str], stream: bool = False) -> DataFrame:
