@@ -44,24 +44,30 @@ def _flow_lines(spark, sf):
         F.when(k % 10 == 0, '"Port,Scan"').when(k % 10 == 1, "DoS_Hulk").otherwise("BENIGN"),
     ]
     line = F.concat(F.concat_ws(",", *cols), F.when(k % 3 == 0, F.lit("\r")).otherwise(F.lit("")))
-    return t.flows(spark, sf).select("k", line.alias("value"))
+    return t.flows(spark, sf).select("event_id", "k", line.alias("value"))
+
+
+FILES = 8
+
+
+def _with_headers(spark, header, body, path):
+    """Write lines as a few files, each led by the header."""
+    heads = spark.range(FILES).select(F.col("id").alias("i"), F.lit(0).alias("o"), F.lit(header).alias("value"))
+    lines = body.select((F.col("event_id") % FILES).alias("i"), F.lit(1).alias("o"), "value")
+    heads.unionByName(lines).repartition(FILES, "i").sortWithinPartitions("o").select("value").write.text(path)
 
 
 def _write_csv(spark, sf):
-    """A folder of flow files, some lines broken, and one folder of log files; headers on top."""
+    """A folder of flow files, some lines broken, and a folder of log files."""
     path = fresh(spark, "csv")
     lines = _flow_lines(spark, sf)
     broken = lines.withColumn("value", F.when(F.col("k") == 42, "a,b,c").when(F.col("k") == 43, "").otherwise(F.col("value")))
-    # a header line leads each file, so lines are written below it in a chosen order
-    head = spark.createDataFrame([(0, FLOW_HEADER)], "o int, value string")
-    body = broken.select(F.lit(1).alias("o"), "value")
-    head.unionByName(body).repartition(1).sortWithinPartitions("o").select("value").write.text(f"{path}/flows")
+    _with_headers(spark, FLOW_HEADER, broken, f"{path}/flows")
     k = F.col("k")
-    log = t.flows(spark, sf).filter("type = 'log'").select(F.lit(1).alias("o"), F.concat_ws(
+    log = t.flows(spark, sf).filter("type = 'log'").select("event_id", F.concat_ws(
         ",", F.lit("2024-01-01"), F.col("source"), F.col("destination"), F.lit("TCP"), F.lit("allow"),
         F.when(k % 2 == 0, "normal").otherwise("malware"), F.col("bytes_in").cast("string"), (k / 10).cast("string")).alias("value"))
-    spark.createDataFrame([(0, LOG_HEADER)], "o int, value string").unionByName(log).repartition(1) \
-        .sortWithinPartitions("o").select("value").write.text(f"{path}/logs")
+    _with_headers(spark, LOG_HEADER, log, f"{path}/logs")
     return path
 
 
@@ -103,7 +109,7 @@ def multi_file_scan(spark, sf):
     path = _write_csv(spark, sf)
     out = flow_csv.read_many(spark, [f"{path}/flows", f"{path}/logs"])
     kind = F.when(F.col("file").isNull(), "all").when(F.col("file").contains("/flows/"), "flows").otherwise("logs")
-    return out.select(kind.alias("file"), "rows", "benign", "attack")
+    return out.groupBy(kind.alias("folder")).agg(*[F.sum(c).alias(c) for c in ("rows", "benign", "attack")])
 
 
 def row_cap(spark, sf):
@@ -297,7 +303,7 @@ ORACLE = {
     "label_extract": f"{_F} select 'FlowCSV' as format, {_LABEL} as label, count(*) as rows from flows where k not in (42, 43) group by all union all select 'CyberLog', case when k % 2 = 0 then 'normal' else 'malware' end, count(*) from flows where type = 'log' group by all",
     "map_flow_columns": f"{_F} select 'FlowCSV' as format, cast(20 as integer) as fields, count(*) as rows, count(*) as sources, count(*) as durations, 0::bigint as threats, 0::bigint as transfers from flows where k not in (42, 43) union all select 'CyberLog', 7, count(*), count(*), count(*), count(*), count(*) from flows where type = 'log'",
     "detect_format": "select doc_id, case when starts_with(h, 'flow_id,') and contains(h, ',label') then 'FlowCSV' when starts_with(h, 'timestamp,source_ip,') then 'CyberLog' else 'Unknown' end as format from (select doc_id, case doc_id % 4 when 0 then concat('flow_id,src_ip,', source, ',label') when 1 then concat('timestamp,source_ip,', source) when 2 then concat('flow_id,', source) else substr(text, 1, 40) end as h from documents)",
-    "multi_file_scan": f"{_F}, f as (select 'flows' as file, k % 10 > 1 as ok from flows where k not in (42, 43) union all select 'logs', k % 2 = 0 from flows where type = 'log') select coalesce(file, 'all') as file, count(*) as rows, count(*) filter (where ok) as benign, count(*) filter (where not ok) as attack from f group by rollup(file)",
+    "multi_file_scan": f"{_F}, f as (select 'flows' as file, k % 10 > 1 as ok from flows where k not in (42, 43) union all select 'logs', k % 2 = 0 from flows where type = 'log') select coalesce(file, 'all') as folder, count(*) as rows, count(*) filter (where ok) as benign, count(*) filter (where not ok) as attack from f group by rollup(file)",
     "row_cap": f"{_F} select event_id, tenant from flows qualify row_number() over (partition by tenant order by ts_us, event_id) <= 100",
     "replay_stream": f"{_F}, e as (select {_LABEL} as label, {_ENT} as score from flows where k not in (42, 43)) select label, {_DEC} as decision, count(*) as events, round(sum(score), 6) as entropy from e group by all",
     "ingest_alerts": f"{_F} select device, tenant, {_TIME} as ts_us, {_DEC} as decision, {_SEV} as severity, round(score, 6) as confidence, source as source_ip, cast(port_dst as integer) as dest_port, {_EXPL} as explanation from flows where {_OKDEV}",

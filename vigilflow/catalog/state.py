@@ -23,9 +23,12 @@ def r6(c):
 FEATURE_COLUMNS = ("event_id", "ts_us", "source", "bytes_in", "bytes_out", *FEATURES[1:])
 
 
+SHOWN = {"iat_mean": 1e6, "bytes": 1.0 / 65535}  # shown in microseconds and largest packets
+
+
 def rolling_stats(spark, sf):
     out = scoring.rolling_stats(t.flows(spark, sf).select(*FEATURE_COLUMNS), ["source"])
-    scale = lambda f: 1e6 if f == "iat_mean" else 1.0  # noqa: E731  (inter-arrival shown in microseconds)
+    scale = lambda f: SHOWN.get(f, 1.0)
     return out.select("event_id", *[r6(F.col(f"m_{f}") * scale(f)).alias(f"mean_{f}") for f in FEATURES],
                       *[r6(F.sqrt(f"v_{f}") * scale(f)).alias(f"std_{f}") for f in FEATURES])
 
@@ -50,7 +53,7 @@ def local_embedding(spark, sf):
     e = F.col("embedding")
     dims = (0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 16, 17, 21, 22, 26, 27, 28, 33, 34, 39, 40, 63)
     return _embedded(spark, sf).select(
-        "event_id", *[r6(F.get(e, F.lit(i))).alias(f"d{i}") for i in dims], F.size(e).alias("width")
+        "event_id", *[r6(F.get(e, F.lit(i)) * (1.0 / 65535 if i in (28, 34) else 1.0)).alias(f"d{i}") for i in dims], F.size(e).alias("width")
     )
 
 
@@ -241,7 +244,7 @@ _EMB_DIMS = {
     9: "bm", 10: "pe", 11: "packets_total / (1000 + 1e-9)", 12: "packet_size_mean / (1500 + 1e-9)",
     13: "iat_mean / (10 + 1e-9)", 14: "syn_count / (50 + 1e-9)", 16: "down_up_ratio / (10 + 1e-9)",
     17: _DIG("source", 0), 21: _DIG("source", 4), 22: _DIG("destination", 0), 26: _DIG("destination", 4), 27: "dt",
-    28: "pm[1]", 33: "pm[6]", 34: "sqrt(greatest(0, pv[1]))", 39: "sqrt(greatest(0, pv[6]))", 40: "0.0::double", 63: "0.0::double",
+    28: "pm[1] / 65535.0::double", 33: "pm[6]", 34: "sqrt(greatest(0, pv[1])) / 65535.0::double", 39: "sqrt(greatest(0, pv[6]))", 40: "0.0::double", 63: "0.0::double",
 }
 
 
@@ -332,7 +335,7 @@ c as (select source, 0::bigint as n, []::bigint[] as recent, false as admitted f
   from (select x.source, x.n, x.ts_us, [u for u in c.recent if x.ts_us - u < {5 * DAY}] as r from c join rn x on x.source = c.source and x.n = c.n + 1))"""
 
 ORACLE = {
-    "rolling_stats": f"{ROLL} select event_id, " + ", ".join(f"round(m[{i + 1}] * {1e6 if f == 'iat_mean' else 1.0}, 6) as mean_{f}, round(sqrt(v[{i + 1}]) * {1e6 if f == 'iat_mean' else 1.0}, 6) as std_{f}" for i, f in enumerate(FEATURES)) + " from stats",
+    "rolling_stats": f"{ROLL} select event_id, " + ", ".join(f"round(m[{i + 1}] * {SHOWN.get(f, 1.0)!r}::double, 6) as mean_{f}, round(sqrt(v[{i + 1}]) * {SHOWN.get(f, 1.0)!r}::double, 6) as std_{f}" for i, f in enumerate(FEATURES)) + " from stats",
     "zscore_anomaly": f"{ROLL}, z as (select *, [abs(x[i] - m[i]) / sqrt(greatest(1e-6, v[i])) for i in range(1, 7)] as z from stats) select event_id, round(case when n < 4 then 0 else least(1, (greatest(sqrt(list_sum([q * q for q in z]) / 6), list_max(z) * 0.5) + {_IND}) / 5) end, 6) as anomaly from z",
     "local_embedding": f"{EMB_SQL} select event_id, " + ", ".join(f"round({e}, 6) as d{i}" for i, e in _EMB_DIMS.items()) + ", 64::int as width from shaped",
     "baseline_ewma": f"{BASE_SQL} select scope_key as source, events, " + ", ".join(f"round({v}_{m}, 6) as {v}_{m}" for v in _V3 for m in ("mean", "var")) + " from base where scope = 'ip'",

@@ -1,7 +1,9 @@
 """State machines over each key's ordered rows, for rules no window can express.
 
-`fold_by_key` runs one small pandas step per key. A key with more than `max_rows` rows is cut
-into consecutive chunks, so no task ever holds more than a chunk. Chunks of a hot key are first
+Rows are partitioned by key and sorted by Spark; a task then walks its sorted rows in Arrow
+batches, calling one small numpy step per run of equal keys and carrying the state over batch
+borders, so memory never grows with a key. A key with more than `max_rows` rows is also cut into
+consecutive chunks that run in different tasks. Chunks of a hot key are first
 run side by side from an empty state; a chunk whose predecessor turns out to end in another
 state than it assumed is run again from the right one, until nothing changes. State that is
 forgotten quickly settles after a round or two, and the result always equals the sequential run:
@@ -13,9 +15,10 @@ from __future__ import annotations
 import json
 import math
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,8 +27,10 @@ from pyspark.sql.window import Window
 from ..session import cut
 from .sliced import ORDER, slice_number
 
-# step(rows sorted by time, state or None) -> (output rows, state)
-Step = Callable[[pd.DataFrame, object], tuple[pd.DataFrame, object]]
+# step(columns of rows in time order, state or None) -> (new columns, state); a new column named
+# `_keep` says which rows to keep
+Columns = dict[str, np.ndarray]
+Step = Callable[[Columns, object], tuple[dict, object]]
 
 MAX_ROWS = 200_000
 FINE_S = 60.0
@@ -77,6 +82,87 @@ def plan_keys(
     return KeyPlan(None if later.isEmpty() else cut(later), fine_s)
 
 
+def _runs(batches: Iterator[pd.DataFrame], group: list[str]) -> Iterator[tuple[tuple, Columns]]:
+    """Runs of equal group values within each batch, as numpy columns."""
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        cols = {c: pdf[c].to_numpy() for c in pdf.columns}
+        change = np.zeros(len(pdf) - 1, dtype=bool)
+        for c in group:
+            change |= cols[c][1:] != cols[c][:-1]
+        edges = [0, *(np.flatnonzero(change) + 1).tolist(), len(pdf)]
+        for i, j in zip(edges[:-1], edges[1:]):
+            yield tuple(cols[c][i] for c in group), {c: v[i:j] for c, v in cols.items()}
+        yield (), {}  # end of batch
+
+
+def pick(rows: Columns, added: dict, names: list[str]) -> dict:
+    """The output columns of one run, without the rows a step drops."""
+    keep = added.pop("_keep", None)
+    out = {n: added[n] if n in added else rows[n] for n in names}
+    if keep is None:
+        return out
+    mask = np.asarray(keep, dtype=bool)
+    return {n: np.asarray(v, dtype=object)[mask] if isinstance(v, list) else v[mask] for n, v in out.items()}
+
+
+def _column(parts: list) -> object:
+    if len(parts) == 1:
+        return parts[0]
+    if all(isinstance(p, np.ndarray) for p in parts):
+        return np.concatenate(parts)
+    return [x for p in parts for x in p]
+
+
+def _walk(step: Step, group: list[str], names: list[str]):
+    """A mapInPandas function that runs `step` along sorted rows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, state, parts = None, None, {n: [] for n in names}
+        for key, rows in _runs(batches, group):
+            if not rows:
+                if parts[names[0]]:
+                    yield pd.DataFrame({n: _column(v) for n, v in parts.items()})
+                parts = {n: [] for n in names}
+                continue
+            if key != current:
+                current, state = key, load_state(rows["_carry"][0]) if "_carry" in rows else None
+            added, state = step(rows, state)
+            for n, v in pick(rows, added, names).items():
+                parts[n].append(v)
+
+    return run
+
+
+def _last_states(step: Step, group: list[str]):
+    """A mapInPandas function that reports the state each group starts from and ends in."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, carry, state, done = None, None, None, []
+        for key, rows in _runs(batches, group):
+            if not rows:
+                continue
+            if key != current:
+                if current is not None:
+                    done.append([*current, carry, dump_state(state)])
+                carry = None if pd.isna(rows["_carry"][0]) else rows["_carry"][0]
+                current, state = key, load_state(carry)
+            state = step(rows, state)[1]
+        if current is not None:
+            done.append([*current, carry, dump_state(state)])
+        if done:
+            yield pd.DataFrame(done, columns=[*group, "_carry", "_end"])
+
+    return run
+
+
+def _sorted(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """Rows partitioned by group and in order within it."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, *group).sortWithinPartitions(*group, *order)
+
+
 def fold_by_key(
     df: DataFrame,
     key: Sequence[str],
@@ -90,14 +176,8 @@ def fold_by_key(
     key, order = list(key), list(order)
     names = [part.split()[0] for part in re.sub(r"<.*?>", "", schema).split(",")]
     plan = plan or plan_keys(df, key, max_rows, ts=order[0])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(order, kind="stable", ignore_index=True)
-        state = load_state(rows["_carry"].iloc[0]) if "_carry" in rows else None
-        return step(rows, state)[0][names]
-
     if plan.later is None:
-        return df.groupBy(*key).applyInPandas(run, schema)
+        return _sorted(df, key, order).mapInPandas(_walk(step, key, names), schema)
 
     rows = (
         df.withColumn("_fine", slice_number(order[0], plan.fine_s))
@@ -105,8 +185,9 @@ def fold_by_key(
         .withColumn("_chunk", F.coalesce("_chunk", F.lit(0).cast("long")))
     )
     carries = _settle(rows, plan.later, key, order, step)
-    joined = rows.join(carries, [*key, "_chunk"], "left")
-    return joined.groupBy(*key, "_chunk").applyInPandas(run, schema)
+    group = [*key, "_chunk"]
+    joined = rows.join(carries, group, "left")
+    return _sorted(joined, group, order).mapInPandas(_walk(step, group, names), schema)
 
 
 def _settle(rows: DataFrame, later: DataFrame, key: list[str], order: list[str], step: Step) -> DataFrame:
@@ -116,22 +197,17 @@ def _settle(rows: DataFrame, later: DataFrame, key: list[str], order: list[str],
     group = [*key, "_chunk"]
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in group] + ["_carry string", "_end string"])
 
-    def ends(pdf: pd.DataFrame) -> pd.DataFrame:
-        part = pdf.sort_values(order, kind="stable", ignore_index=True)
-        carry = part["_carry"].iloc[0]
-        carry = None if pd.isna(carry) else carry
-        end = dump_state(step(part, load_state(carry))[1])
-        return pd.DataFrame([[*(part[c].iloc[0] for c in group), carry, end]], columns=[*group, "_carry", "_end"])
+    ends = _last_states(step, group)
+
+    def run(part: DataFrame) -> DataFrame:
+        return _sorted(part, group, order).mapInPandas(ends, schema)
 
-    done = cut(hot.withColumn("_carry", F.lit(None).cast("string")).groupBy(*group).applyInPandas(ends, schema))
+    done = cut(run(hot.withColumn("_carry", F.lit(None).cast("string"))))
     by = Window.partitionBy(*key).orderBy("_chunk")
     while True:
         checked = done.withColumn("_right", F.lag("_end").over(by))
         wrong = cut(checked.filter(~F.col("_carry").eqNullSafe(F.col("_right"))).select(*group, "_right"))
         if wrong.isEmpty():
             return done.select(*group, "_carry")
-        again = (
-            hot.join(wrong.withColumnRenamed("_right", "_carry"), group)
-            .groupBy(*group).applyInPandas(ends, schema)
-        )
+        again = run(hot.join(wrong.withColumnRenamed("_right", "_carry"), group))
         done = cut(done.join(wrong, group, "left_anti").unionByName(again))

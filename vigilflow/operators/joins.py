@@ -34,7 +34,7 @@ def match_rules(ev: DataFrame, rules: DataFrame, score: str = "score", spread: s
     named = ev.join(F.broadcast(table), F.lit(True)).withColumn(
         "_met", F.when(s >= low, met).otherwise(0).cast("int")
     ).withColumn("_addr", F.filter("_patterns", lambda r: F.col("source").contains(r["pattern"])))
-    found = F.array_sort(F.concat(
+    found = F.sort_array(F.concat(
         F.transform(F.slice("_by", F.lit(1), F.col("_met")), lambda r: F.struct(r["id"].alias("id"), F.lit(0).alias("o"), r["name"].alias("name"))),
         F.transform("_addr", lambda r: F.struct(r["id"].alias("id"), F.lit(1).alias("o"), F.concat(r["name"], F.lit(":ip")).alias("name"))),
     ))

@@ -1,7 +1,7 @@
 """The per-key steps that `fold_by_key` runs in batch and the streams run per micro-batch.
 
-Each takes one key's rows in time order and the state left by earlier rows, and returns the
-output rows and the new state. States are plain numbers, lists and dicts.
+Each takes the columns of one key's rows in time order and the state left by earlier rows, and
+returns the columns it adds and the new state. States are plain numbers, lists and dicts.
 """
 
 from __future__ import annotations
@@ -10,7 +10,6 @@ from collections.abc import Sequence
 
 
 import numpy as np
-import pandas as pd
 
 from ..params import (
     DECISIONS, SSM_DIM, US, AdaptiveParams, DecisionParams, FlushParams, RoutingParams, SsmParams,
@@ -34,12 +33,12 @@ def _recur(start: np.ndarray, keep: np.ndarray, add: np.ndarray) -> np.ndarray:
     return scale * (start + np.cumsum(add / scale, axis=0))
 
 
-def rolling_step(rows: pd.DataFrame, state) -> tuple[pd.DataFrame, object]:
+def rolling_step(rows: dict, state) -> tuple[dict, object]:
     """Mean and variance per feature, with weight 1/(t+1) for the t-th row and 1/65 from row 64.
 
     Adds before and after values: `pm_*`/`pv_*` are those the event was met with.
     """
-    x = rows[list(FEATURES)].to_numpy(dtype=float)
+    x = np.column_stack([rows[f].astype(float) for f in FEATURES])
     n, width = x.shape
     start = 0 if state is None else state["n"]
     seen = np.minimum(np.arange(1, n + 1) + start, WINDOW)
@@ -53,10 +52,9 @@ def rolling_step(rows: pd.DataFrame, state) -> tuple[pd.DataFrame, object]:
         mean[b] = _recur(mean[i], 1 - w, w[:, None] * x[i:i + BLOCK])
         delta = x[i:i + BLOCK] - mean[i:i + BLOCK][: len(w)]
         var[b] = _recur(var[i], 1 - w, ((1 - w) * w)[:, None] * delta * delta)
-    cols = [f"{p}_{f}" for p in ("m", "v", "pm", "pv") for f in FEATURES]
-    stats = pd.DataFrame(np.hstack([mean[1:], var[1:], mean[:-1], var[:-1]]), columns=cols)
-    out = pd.concat([rows.reset_index(drop=True), stats], axis=1)
-    out["seen"] = seen
+    out = {"seen": seen}
+    for p, stats in (("m", mean[1:]), ("v", var[1:]), ("pm", mean[:-1]), ("pv", var[:-1])):
+        out.update({f"{p}_{f}": stats[:, i] for i, f in enumerate(FEATURES)})
     return out, {"n": int(seen[-1]) if n else start, "mean": mean[-1].tolist(), "var": var[-1].tolist()}
 
 
@@ -68,11 +66,11 @@ class SegmentStep:
     def __init__(self, p: FlushParams = FlushParams()):
         self.p = p
 
-    def __call__(self, rows: pd.DataFrame, state):
+    def __call__(self, rows: dict, state):
         p = self.p
         s = state or {"segment": 0, "count": 0, "score": 0.0, "flushed": None, "type": None}
         seg, count, acc, flushed, last = s["segment"], s["count"], s["score"], s["flushed"], s["type"]
-        ends = rows["session_end"].to_numpy() if "session_end" in rows else [False] * len(rows)
+        ends = rows["session_end"] if "session_end" in rows else [False] * len(rows["ts_us"])
         numbers, flags = [], []
         for ts, score, kind, end in zip(
             rows["ts_us"].tolist(), rows["score"].tolist(), rows["type"].tolist(), ends
@@ -91,10 +89,8 @@ class SegmentStep:
             flags.append(flush)
             if flush:
                 seg, count, acc, flushed = seg + 1, 0, 0.0, ts
-        out = rows.copy()
-        out["segment_id"] = numbers
-        out["flushed"] = flags
-        return out, {"segment": seg, "count": count, "score": acc, "flushed": flushed, "type": last}
+        added = {"segment_id": np.array(numbers), "flushed": np.array(flags)}
+        return added, {"segment": seg, "count": count, "score": acc, "flushed": flushed, "type": last}
 
 
 # ---- state space recurrence ------------------------------------------------------------------
@@ -122,16 +118,14 @@ class SsmStep:
     def __init__(self, vector: str = "embedding", p: SsmParams = SsmParams(), dim: int = SSM_DIM):
         self.vector, self.p, self.dim = vector, p, dim
 
-    def __call__(self, rows: pd.DataFrame, state):
+    def __call__(self, rows: dict, state):
         h = np.zeros(self.dim) if state is None else np.array(state)
         ys = []
         for v in rows[self.vector]:
             x = np.asarray(v, dtype=float)[: self.dim]
             h = ssm_update(h, x, self.p)
             ys.append((self.p.c * h + self.p.d * x).tolist())
-        out = rows.copy()
-        out["y"] = ys
-        return out, h.tolist()
+        return {"y": ys}, h.tolist()
 
 
 class HierarchyStep:
@@ -140,7 +134,7 @@ class HierarchyStep:
     def __init__(self, p: RoutingParams = RoutingParams(), ssm: SsmParams = SsmParams(), dim: int = SSM_DIM):
         self.p, self.ssm, self.dim = p, ssm, dim
 
-    def __call__(self, rows: pd.DataFrame, state):
+    def __call__(self, rows: dict, state):
         p, zero = self.p, [0.0] * self.dim
         s = state or {"tick": 0, "seen": 0, "h": [zero] * 4, "y": [zero] * 4, "base": zero, "hist": 0.0, "drift": 0.0}
         h = [np.array(v) for v in s["h"]]
@@ -176,9 +170,7 @@ class HierarchyStep:
                 hist += p.history_alpha * (trend - hist)
             drifts.append(drift)
             hists.append(hist)
-        out = rows.copy()
-        out["route"], out["drift"], out["history"] = routes, drifts, hists
-        return out, {
+        return {"route": routes, "drift": drifts, "history": hists}, {
             "tick": tick, "seen": seen, "h": [v.tolist() for v in h], "y": [v.tolist() for v in y],
             "base": base.tolist(), "hist": hist, "drift": drift,
         }
@@ -192,7 +184,7 @@ class DecisionStep:
     def __init__(self, p: DecisionParams = DecisionParams()):
         self.p = p
 
-    def __call__(self, rows: pd.DataFrame, state):
+    def __call__(self, rows: dict, state):
         p = self.p
         s = state or {"last": None, "at": None, "n": 0, "first": None, "seen": None}
         last, at, n, first, seen = s["last"], s["at"], s["n"], s["first"], s["seen"]
@@ -217,9 +209,7 @@ class DecisionStep:
             n, first, seen = n + 1, ts if first is None else first, ts
             last, at = d, ts
             finals.append(d)
-        out = rows.copy()
-        out["final"] = finals
-        return out, {"last": last, "at": at, "n": n, "first": first, "seen": seen}
+        return {"final": finals}, {"last": last, "at": at, "n": n, "first": first, "seen": seen}
 
     def _override(self, src, ts, d, history, drift, n, first):
         p = self.p
@@ -249,14 +239,14 @@ class CooldownStep:
     def __init__(self, seconds: float):
         self.wait = int(seconds * US)
 
-    def __call__(self, rows: pd.DataFrame, state):
+    def __call__(self, rows: dict, state):
         last, keep = state, []
         for ts in rows["ts_us"].tolist():
             ok = last is None or ts - last >= self.wait
             keep.append(ok)
             if ok:
                 last = ts
-        return rows[keep], last
+        return {"_keep": keep}, last
 
 
 class RateLimitStep:
@@ -265,7 +255,7 @@ class RateLimitStep:
     def __init__(self, n: int, seconds: float):
         self.n, self.span = n, int(seconds * US)
 
-    def __call__(self, rows: pd.DataFrame, state):
+    def __call__(self, rows: dict, state):
         recent, admitted = list(state or []), []
         for ts in rows["ts_us"].tolist():
             recent = [t for t in recent if ts - t < self.span]
@@ -273,9 +263,7 @@ class RateLimitStep:
             admitted.append(ok)
             if ok:
                 recent.append(ts)
-        out = rows.copy()
-        out["admitted"] = admitted
-        return out, recent
+        return {"admitted": admitted}, recent
 
 
 class ShiftStep:
@@ -284,9 +272,9 @@ class ShiftStep:
     def __init__(self, columns: Sequence[str], start: Sequence[float], step: float = AdaptiveParams().shift):
         self.columns, self.start, self.step = list(columns), list(start), step
 
-    def __call__(self, rows: pd.DataFrame, state):
+    def __call__(self, rows: dict, state):
         last = list(state or self.start)
-        out = rows.copy()
+        added = {}
         for i, c in enumerate(self.columns):
             flags = []
             for v in rows[c].tolist():
@@ -294,8 +282,8 @@ class ShiftStep:
                 flags.append(moved)
                 if moved:
                     last[i] = v
-            out[f"{c}_shift"] = flags
-        return out, last
+            added[f"{c}_shift"] = flags
+        return added, last
 
 
 class EwmaStep:
@@ -304,9 +292,9 @@ class EwmaStep:
     def __init__(self, value: str, alpha: float, freeze: float | None = None, score: str = "score"):
         self.value, self.alpha, self.freeze, self.score = value, alpha, freeze, score
 
-    def __call__(self, rows: pd.DataFrame, state):
+    def __call__(self, rows: dict, state):
         mean, var = state or (0.0, 0.0)
-        frozen = [False] * len(rows) if self.freeze is None else (rows[self.score] >= self.freeze).tolist()
+        frozen = [False] * len(rows[self.value]) if self.freeze is None else (rows[self.score] >= self.freeze).tolist()
         means, vars_ = [], []
         for x, skip in zip(rows[self.value].tolist(), frozen):
             if not skip:
@@ -315,8 +303,6 @@ class EwmaStep:
                 mean += self.alpha * delta
             means.append(mean)
             vars_.append(var)
-        out = rows.copy()
-        out["mean"], out["var"] = means, vars_
-        return out, [mean, var]
+        return {"mean": means, "var": vars_}, [mean, var]
 
 

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.folds import Step, dump_state, load_state
+from ..operators.folds import Step, dump_state, load_state, pick
 from ..operators.sliced import ORDER
 from ..params import US
 
@@ -31,11 +31,12 @@ def fold_stream(
             state.remove()
             return
         rows = pd.concat(list(parts), ignore_index=True).sort_values(order, kind="stable", ignore_index=True)
-        out, after = step(rows, load_state(state.get[0]) if state.exists else None)
+        columns = {c: rows[c].to_numpy() for c in rows.columns}
+        added, after = step(columns, load_state(state.get[0]) if state.exists else None)
         state.update((dump_state(after),))
         if idle is not None:
             state.setTimeoutDuration(idle)
-        yield out[names]
+        yield pd.DataFrame(pick(columns, added, names))
 
     timeout = GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.ProcessingTimeTimeout
     return sdf.groupBy(*key).applyInPandasWithState(run, schema, "state string", "append", timeout)
