@@ -148,3 +148,17 @@ def test_byte_entropy(spark):
     assert [r.e for r in df.select(packets.payload_entropy(F.col("b")).alias("e")).collect()] == [1.0, 0.0, 0.0, None]
     head = df.limit(1).select(packets.payload_entropy(F.col("b"), 2).alias("e")).first().e
     assert abs(head - 1 / 8) < 1e-12
+
+
+def test_sql_functions_equal_columns(spark, sf_dir):
+    from vigilflow.functions.register import register_functions, register_views
+
+    register_functions(spark)
+    register_views(spark, sf_dir)
+    got = spark.sql(
+        "select count_if(score_to_decision(s.score) <> d.decision) as a, count(*) as n,"
+        " count_if(abs(gate_score(s.score, trend, history, drift, similarity, size(rules) > 0) - s.g) > 1e-9) as b"
+        " from (select *, 0.35D * score + 0.25D * trend + 0.15D * history + 0.1D * least(1D, drift / 10) + 0.1D * similarity"
+        " + if(size(rules) > 0, 0.05D, 0D) as g from signals) s join alerts d using (event_id)").first()
+    assert got.n > 0 and got.a == 0 and got.b == 0
+    assert spark.sql("select round(vector_cosine(array(1D, 0D), array(1D, 1D)), 6) as c, protocol_name(58) as p, is_benign_label('NORMAL') as b").first() == (0.707107, "ICMPv6", True)

@@ -84,13 +84,13 @@ def bridge_decision(spark, sf):
     return t.alerts(spark, sf).select("event_id", scores.bridge_decision(F.col("decision")).alias("reported"))
 
 
-PROTO = F.expr("case k % 5 when 0 then 6 when 1 then 17 when 2 then 1 when 3 then 58 else 132 end")
+PROTO = "case k % 5 when 0 then 6 when 1 then 17 when 2 then 1 when 3 then 58 else 132 end"
 
 
 def protocol_name(spark, sf):
     return t.flows(spark, sf).select(
-        "event_id", scores.protocol_name(PROTO).alias("name"),
-        scores.protocol_name(PROTO, fold_icmp=True).alias("daemon_name"),
+        "event_id", scores.protocol_name(F.expr(PROTO)).alias("name"),
+        scores.protocol_name(F.expr(PROTO), fold_icmp=True).alias("daemon_name"),
     )
 
 
@@ -385,6 +385,19 @@ def scalar_time(spark, sf):
     )
 
 
+def sql_functions(spark, sf):
+    """The registered SQL functions called from `spark.sql`."""
+    from ..functions.register import register_functions, register_views
+
+    register_functions(spark)
+    register_views(spark, sf)
+    return spark.sql(
+        "select event_id, score_to_decision(score) as decision, alert_severity(score) as severity,"
+        " round(gate_score(score, trend, history, drift, similarity, size(rules) > 0), 6) as gate,"
+        " round(fuse_score(score, trend, history, drift, exists(retrieved, x -> x > 0.8), size(rules) > 0), 6) as fused,"
+        " protocol_name(protocol) as protocol from signals")
+
+
 def similarity_to_label(spark, sf):
     from ..operators import similarity
 
@@ -416,7 +429,7 @@ QUERIES = {
     **{f"spec_{n}": _spec(n) for n in SPEC_SQL},
     "fuse_consensus": _fused(specialists.fuse_consensus), "fuse_priority": _fused(specialists.fuse_priority),
     "specialist_boost": specialist_boost, "scalar_math": scalar_math, "scalar_text": scalar_text,
-    "scalar_time": scalar_time, "signature_match": similarity_to_label, "attention_score": attention_score,
+    "scalar_time": scalar_time, "sql_functions": sql_functions, "signature_match": similarity_to_label, "attention_score": attention_score,
 }
 
 _F, _A, _S = f"with {t.FLOWS_SQL} ", f"with {t.ALERTS_SQL} ", f"with {t.SIGNALS_SQL} "
@@ -431,6 +444,7 @@ _DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda p: p[1]::double * p[2
 _EMB = "select vec_id, list_transform(embedding, lambda x: x::double) as e, label from embeddings"
 
 ORACLE = {
+    "sql_functions": f"{_S} select event_id, {DECIDE.format('score')} as decision, case when score > 0.9 then 'critical' when score > 0.7 then 'high' when score > 0.5 then 'medium' else 'low' end as severity, round({GATE_SQL}, 6) as gate, round({FUSE_SQL}, 6) as fused, case protocol when 6 then 'TCP' when 17 then 'UDP' else 'ICMP' end as protocol from signals",
     "validate_event": f"with {DIRTY_SQL} select event_id, source, type, round(entropy, 6) as entropy from dirty where {_VALID}",
     "quarantine_event": f"with {DIRTY_SQL} select event_id, source, type from dirty where not ({_VALID})",
     "is_benign": f"{_F} select event_id, label, {BENIGN_SQL} as benign from (select *, {LABEL_TEXT} as label from flows)",

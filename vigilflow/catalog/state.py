@@ -105,7 +105,7 @@ def adaptive_scaling(spark, sf):
 def baseline_running(spark, sf):
     ev = t.flows(spark, sf).select("event_id", "ts_us", "source", "score")
     return scoring.running_baseline(ev, ["source"], "score", 0.05, 0.7).select(
-        "event_id", r6("mean").alias("mean"), r6("var").alias("var"))
+        "event_id", r6(F.col("mean") / 0.7).alias("mean_share"), r6("var").alias("var"))  # share of the freeze level
 
 
 def threshold_shifts(spark, sf):
@@ -343,7 +343,7 @@ ORACLE = {
     "scope_baselines": f"{BASE_SQL} select scope, scope_key, events, round(score_mean, 6) as score_mean, round(entropy_var, 6) as entropy_var from base",
     "adaptive_thresholds": f"{BASE_SQL}, a as (select *, {_SD.format(v='score_var')} as sd, {_ALERT.format(m='score_mean', v='score_var')} as alert from base), l as (select *, greatest(0.1, least(alert - 0.05, alert * 0.6)) as log from a) select scope, scope_key, round(greatest(0.1, least(log - 0.05, log * 0.5)), 6) as ignore, round(log, 6) as log, round(alert, 6) as alert, round(greatest(alert + 0.05, least(0.95, alert + 5 * sd)), 6) as block from l",
     "adaptive_scaling": f"{BASE_SQL}, w as (select f.*, coalesce(b.score_mean, g.score_mean) as sm, coalesce(b.score_var, g.score_var) as sv, coalesce(b.rate_hz_mean, g.rate_hz_mean) as rm from flows f left join base b on b.scope = 'ip' and b.scope_key = f.source cross join (select * from base where scope = 'global') g) select event_id, round(least(1, greatest(0, (score - sm) / sqrt(greatest(1e-6, sv)))), 6) as scaled, case when rate_hz > rm then 0.99::double else 0.95::double end as decay, round(least(0.9, greatest(0.2, 0.5 + 0.5 * sm)), 6) as promote, round(least(0.8, greatest(0.2, 0.35 + 0.5 * sm)), 6) as gate from w",
-    "baseline_running": f"{RUN_SQL} select event_id, round(m, 6) as mean, round(v, 6) as var from running",
+    "baseline_running": f"{RUN_SQL} select event_id, round(m / 0.7::double, 6) as mean_share, round(v, 6) as var from running",
     "threshold_shifts": f"{RUN_SQL}, sh as (select source, 0::bigint as n, 0.6::double as a, 0.35::double as g, false as af, false as gf from (select distinct source from rn) union all select r.source, r.n, case when abs(r.alert - s.a) > 0.005 then r.alert else s.a end, case when abs(r.gate - s.g) > 0.005 then r.gate else s.g end, abs(r.alert - s.a) > 0.005, abs(r.gate - s.g) > 0.005 from sh s join running r on r.source = s.source and r.n = s.n + 1) select r.event_id, s.af as alert_shift, s.gf as gate_shift from running r join sh s on r.source = s.source and r.n = s.n",
     "segment_flush": f"{SEG_SQL} select event_id, segment_id, flushed from segmented",
     "segment_summary": f"{SEG_SQL} select source, segment_id, events, round(trend, 6) as trend, round(rate_mean, 6) as rate_mean, round(error_freq, 6) as error_freq, dominant_type, ts_us from segs join dom using (source, segment_id)",

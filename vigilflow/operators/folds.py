@@ -55,9 +55,10 @@ def load_state(text: str | None) -> object:
     return None if text is None or pd.isna(text) else json.loads(text)
 
 
-def _chunks(df: DataFrame, key: list[str], max_rows: int, fine_s: float, ts: str) -> DataFrame:
-    """(key, fine slice, chunk) for the slices that come after a key's first `max_rows` rows."""
-    fine = df.groupBy(*key, slice_number(ts, fine_s).alias("_fine")).agg(F.count(F.lit(1)).alias("_n"))
+def _chunks(df: DataFrame, hot: DataFrame, key: list[str], max_rows: int, fine_s: float, ts: str) -> DataFrame:
+    """(key, fine slice, chunk) for the slices that come after a hot key's first `max_rows` rows."""
+    fine = df.join(hot, key, "left_semi").groupBy(*key, slice_number(ts, fine_s).alias("_fine")).agg(
+        F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(
         Window.partitionBy(*key).orderBy("_fine").rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -75,11 +76,16 @@ class KeyPlan(NamedTuple):
 def plan_keys(
     df: DataFrame, key: Sequence[str], max_rows: int = MAX_ROWS, fine_s: float = FINE_S, ts: str = "ts_us"
 ) -> KeyPlan:
-    """Find the hot keys with one counting pass. Plan once on the source of a chain of folds: any
-    chunking is exact, so counts taken upstream serve every later step over the same key.
+    """Find the hot keys with one counting pass; only theirs are counted again by time. Plan once
+    on the source of a chain of folds: any chunking is exact, so counts taken upstream serve every
+    later step over the same key.
     """
-    later = _chunks(df, list(key), max_rows, fine_s, ts)
-    return KeyPlan(None if later.isEmpty() else cut(later), fine_s)
+    slim = df.select(*key, ts)
+    hot = slim.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_rows).select(*key)
+    if hot.isEmpty():
+        return KeyPlan(None, fine_s)
+    later = cut(_chunks(slim, cut(hot), list(key), max_rows, fine_s, ts))
+    return KeyPlan(None if later.isEmpty() else later, fine_s)
 
 
 def _runs(batches: Iterator[pd.DataFrame], group: list[str]) -> Iterator[tuple[tuple, Columns]]:
