@@ -213,3 +213,13 @@ def test_evict_breaks_ties_by_id(spark):
     mem = spark.createDataFrame(data, "scope string, scope_key string, record_id long, ts_us long, score double")
     left = {r.record_id for r in memory.evict(mem, S, {"ip": 20}).collect()}
     assert left == set(range(10, 40)) | {99}
+
+
+def test_ip_window_counts_many_protocols(spark):
+    """Twenty rows, all of different protocols: only then is the entropy above half of eight bits."""
+    def run(kinds):
+        data = [(i, i * S, "a", 0, i % kinds, 4000, 0) for i in range(20)]
+        df = spark.createDataFrame(data, "event_id long, ts_us long, source string, flags int, protocol int, bytes_in long, bytes_out long")
+        return [r.ip_window for r in windows.ip_window(df, 3.0).orderBy("event_id").collect()]
+
+    assert run(20)[-1] == 0.2 and run(3)[-1] == 0.0 and run(20)[:3] == [0.0, 0.0, 0.0]

@@ -36,9 +36,9 @@ def inter_arrival(ev: DataFrame, key: list[str], slice_s: float) -> DataFrame:
     return drop_halo(halo.withColumn("inter_arrival", dt))
 
 
-def _protocol_entropy(frame) -> Column:
-    seen = F.collect_list("protocol").over(frame)
-    counts = F.transform(F.array_distinct(seen), lambda p: F.size(F.filter(seen, lambda q: q == p)))
+def _entropy_of(seen: Column) -> Column:
+    """Entropy in bits over eight of the values in an array."""
+    counts = F.transform(F.array_distinct(seen), lambda p: F.size(seen) - F.size(F.array_remove(seen, p)))
     return vectors.entropy_of_counts(counts, F.size(seen)) / 8
 
 
@@ -58,11 +58,11 @@ def local_shape(ev: DataFrame, key: list[str], slice_s: float, rows: int = LOCAL
     """
     halo = with_row_halo(ev, key, rows - 1, slice_s).withColumn("_gap", _gap_s(key))
     out = halo.withColumns({
-        "protocol_entropy": _protocol_entropy(_frame(key, rows - 1)),
+        "_seen": F.collect_list("protocol").over(_frame(key, rows - 1)),
         "burst": _burst(_frame(key, rows - 2), F.count(F.lit(1)).over(_frame(key, rows - 1))),
         "inter_arrival": scores.clamp(F.coalesce("_gap", F.lit(0.0)) / 10, 0.0, 1.0),
     })
-    return drop_halo(out).drop("_gap")
+    return drop_halo(out).withColumn("protocol_entropy", _entropy_of(F.col("_seen"))).drop("_gap", "_seen")
 
 
 def near_miss(al: DataFrame, slice_s: float, p: SuspicionParams = SuspicionParams(), score: str = "score") -> DataFrame:
@@ -82,18 +82,21 @@ def ip_window(ev: DataFrame, slice_s: float, p: SuspicionParams = SuspicionParam
     out = halo.withColumns({
         "_n": n, "_syn": flag(FLAG_SYN), "_rst": flag(FLAG_RST), "_fin": flag(FLAG_FIN),
         "_bytes": F.sum(F.col("bytes_in") + F.col("bytes_out")).over(frame),
-        "_h": _protocol_entropy(frame),
+        "_seen": F.collect_list("protocol").over(frame),
     })
+    out = drop_halo(out)
+    # half of eight bits takes more than 16 different protocols, so few rows need the entropy
+    mixed = F.size(F.array_distinct("_seen")) > 16
     c, rate = F.col, lambda name: F.col(name) / F.col("_n")
     boost = F.greatest(
         F.when((rate("_syn") > 0.8) & (rate("_rst") < 0.1), 0.5).otherwise(0.0),
         F.when(rate("_rst") > 0.3, 0.4).otherwise(0.0),
         F.when((c("_syn") > 0) & (c("_fin") > c("_syn") * 3), 0.35).otherwise(0.0),
         F.when((rate("_bytes") < 50) & (c("_n") > 10), 0.3).otherwise(0.0),
-        F.when(c("_h") > 0.5, 0.2).otherwise(0.0),
+        F.when(mixed, F.when(_entropy_of(c("_seen")) > 0.5, 0.2).otherwise(0.0)).otherwise(0.0),
     )
     scored = out.withColumn("ip_window", F.when(c("_n") < p.ip_min_rows, 0.0).otherwise(boost))
-    return drop_halo(scored).drop("_n", "_syn", "_rst", "_fin", "_bytes", "_h")
+    return scored.drop("_n", "_syn", "_rst", "_fin", "_bytes", "_seen")
 
 
 def suspicion_boost(
