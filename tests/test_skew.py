@@ -14,6 +14,12 @@ from vigilflow.params import CorrelationParams, DecisionParams, FlushParams, Rou
 S = 1_000_000
 
 
+@pytest.fixture(autouse=True)
+def few_rows_are_hot(monkeypatch):
+    """Slice the hot key of these small inputs, and leave the others whole."""
+    monkeypatch.setattr(sliced, "HOT_ROWS", 60)
+
+
 @pytest.fixture(scope="module")
 def rows():
     rng = random.Random(7)
@@ -218,6 +224,7 @@ def test_evict_breaks_ties_by_id(spark):
 def test_ip_window_counts_many_protocols(spark):
     """Twenty rows, all of different protocols: only then is the entropy above half of eight bits."""
     def run(kinds):
+        sliced.HOT_ROWS = 5
         data = [(i, i * S, "a", 0, i % kinds, 4000, 0) for i in range(20)]
         df = spark.createDataFrame(data, "event_id long, ts_us long, source string, flags int, protocol int, bytes_in long, bytes_out long")
         return [r.ip_window for r in windows.ip_window(df, 3.0).orderBy("event_id").collect()]

@@ -1,7 +1,9 @@
 """Ordered work per key that stays parallel when one key holds a large share of the rows.
 
-A plain `Window.partitionBy(source)` puts a whole source in one task. The helpers here cut each
-key's timeline into slices of `slice_s` seconds and make the slices independent, exactly:
+A plain `Window.partitionBy(source)` puts a whole source in one task. The helpers here find the
+keys with more than `HOT_ROWS` rows by one counting pass, cut their timelines into slices of
+`slice_s` seconds and make the slices independent, exactly; other keys stay whole, and without hot
+keys the plan is one exchange and one window:
 
 * `running_sums`, `trailing_counts` and `distinct_in_window` pre-aggregate per (key, slice), turn the totals into one
   carry row per slice, and let each slice add its own running sum on top;
@@ -20,7 +22,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..params import US
+from ..session import cut
 
+HOT_ROWS = 200_000
 ORDER = ("ts_us", "event_id")
 SLICE, HALO = "_slice", "_halo"
 _FIRST = -(2**63)
@@ -31,6 +35,39 @@ def slice_number(ts: str | Column, slice_s: float) -> Column:
     return F.floor(c / F.lit(int(slice_s * US))).cast("long")
 
 
+def hot_keys(df: DataFrame, key: Sequence[str]) -> DataFrame | None:
+    """The keys with more than `HOT_ROWS` rows, or None. There are at most rows / `HOT_ROWS` of
+    them, which bounds the table.
+    """
+    if not key:
+        return None
+    counts = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    hot = counts.filter(F.col("_n") > HOT_ROWS).select(*key)
+    return None if hot.isEmpty() else cut(hot)
+
+
+def _mark(df: DataFrame, key: list[str], hot: DataFrame | None, number: Column) -> DataFrame:
+    """Add the slice: by time for hot keys and for an empty key, else one slice per key."""
+    if not key:
+        return df.withColumn(SLICE, number)
+    if hot is None:
+        return df.withColumn(SLICE, F.lit(0).cast("long"))
+    flag = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    return df.join(flag, key, "left").withColumn(SLICE, F.when(F.col("_hot"), number).otherwise(0)).drop("_hot")
+
+
+def _carry_rows(points: DataFrame, key: list[str], names: list[str], hot: DataFrame | None) -> DataFrame | None:
+    """Per (key, slice): what all earlier slices of the key add up to. One small row per slice."""
+    if key and hot is None:
+        return None
+    part = points.join(F.broadcast(hot), key, "left_semi") if key else points
+    totals = part.groupBy(*key, SLICE).agg(*[F.sum(n).alias(n) for n in names])
+    w = Window.partitionBy(*key).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select(*key, SLICE, *[F.sum(n).over(w).alias(n) for n in names]).filter(
+        F.col(names[0]).isNotNull()
+    )
+
+
 def running_sums(
     df: DataFrame,
     key: Sequence[str],
@@ -40,15 +77,16 @@ def running_sums(
 ) -> DataFrame:
     """Inclusive running sums over each key's rows in `order`; an empty key means all rows."""
     key = list(key)
-    body = df.withColumn(SLICE, slice_number(order[0], slice_s))
+    hot = hot_keys(df, key)
+    body = _mark(df, key, hot, slice_number(order[0], slice_s))
     for name, value in sums.items():
         body = body.withColumn(name, value.cast("long"))
-    carry = _carry_rows(body, key, list(sums))
-    firsts = [F.lit(_FIRST).alias(order[0])]
-    merged = body.withColumn("_row", F.lit(True)).unionByName(
-        carry.select(*key, SLICE, *firsts, *sums, F.lit(False).alias("_row")),
-        allowMissingColumns=True,
-    )
+    merged = body.withColumn("_row", F.lit(True))
+    carry = _carry_rows(body, key, list(sums), hot)
+    if carry is not None:
+        first = F.lit(_FIRST).cast(df.schema[order[0]].dataType).alias(order[0])
+        merged = merged.unionByName(
+            carry.select(*key, SLICE, first, *sums, F.lit(False).alias("_row")), allowMissingColumns=True)
     w = (
         Window.partitionBy(*key, SLICE).orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -60,15 +98,6 @@ def running_sums(
     return out.filter("_row").drop(SLICE, "_row")
 
 
-def _carry_rows(points: DataFrame, key: list[str], names: list[str]) -> DataFrame:
-    """Per (key, slice): what all earlier slices of the key add up to. One small row per slice."""
-    totals = points.groupBy(*key, SLICE).agg(*[F.sum(n).alias(n) for n in names])
-    w = Window.partitionBy(*key).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    return totals.select(*key, SLICE, *[F.sum(n).over(w).alias(n) for n in names]).filter(
-        F.col(names[0]).isNotNull()
-    )
-
-
 def trailing_counts(
     df: DataFrame, key: Sequence[str], windows: dict[str, tuple[float, Column]], slice_s: float, ts: str = "ts_us"
 ) -> DataFrame:
@@ -82,14 +111,18 @@ def step_sums(
     steps: dict[str, tuple[float, Column, Column]],
     slice_s: float,
     ts: str = "ts_us",
+    hot: DataFrame | None = None,
+    planned: bool = False,
 ) -> DataFrame:
     """Running value of step functions given as name -> (hold seconds, up, down).
 
     A row where `up` holds adds 1 at its time; one where `down` holds takes 1 away just after its
     time plus `hold`. What is in force at a row is then one running sum per key, so slices can be
-    far shorter than the windows and no row looks back at other rows.
+    far shorter than the windows and no row looks back at other rows. Hot keys may be passed in
+    when they are already known (`planned`).
     """
     key, names = list(key), list(steps)
+    hot = hot if planned else hot_keys(df, key)
 
     def points(payload: Column | None) -> DataFrame:
         body = F.lit(None) if payload is None else payload
@@ -110,13 +143,15 @@ def step_sums(
             for n, (hold, _, down) in steps.items()
         ]
         rows = df.select(*key, F.explode(F.filter(F.array(here, *leave), lambda p: p.isNotNull())).alias("p"))
-        return rows.select(*key, "p.*").withColumn(SLICE, slice_number("ord", 2 * slice_s))
-
-    carry = _carry_rows(points(None), key, names)
-    merged = points(F.struct(*df.columns)).unionByName(
-        carry.select(*key, SLICE, F.lit(_FIRST).alias("ord"), *names, F.lit(False).alias("_row")),
-        allowMissingColumns=True,
-    )
+        return _mark(rows.select(*key, "p.*"), key, hot, slice_number("ord", 2 * slice_s))
+
+    merged = points(F.struct(*df.columns))
+    if not key or hot is not None:
+        carry = _carry_rows(points(None), key, names, hot)
+        merged = merged.unionByName(
+            carry.select(*key, SLICE, F.lit(_FIRST).alias("ord"), *names, F.lit(False).alias("_row")),
+            allowMissingColumns=True,
+        )
     w = (
         Window.partitionBy(*key, SLICE).orderBy("ord")
         .rangeBetween(Window.unboundedPreceding, Window.currentRow)
@@ -134,6 +169,7 @@ def distinct_in_window(
     window after its last; the distinct count is the number of visits in force. No set is built.
     """
     key = list(key)
+    hot = hot_keys(df, key)
     halo = with_time_halo(df, max(slice_s, window_s), window_s, window_s)
     w = sliced_window([*key, member])
     gap = int(window_s * US)
@@ -144,7 +180,7 @@ def distinct_in_window(
             "_end": after.isNull() | (after - F.col("ts_us") > gap),
         })
     )
-    out = step_sums(marked, key, {name: (window_s, F.col("_start"), F.col("_end"))}, slice_s)
+    out = step_sums(marked, key, {name: (window_s, F.col("_start"), F.col("_end"))}, slice_s, hot=hot, planned=True)
     return out.drop("_start", "_end")
 
 
@@ -166,15 +202,19 @@ def with_time_halo(
 def with_row_halo(
     df: DataFrame, key: Sequence[str], rows: int, slice_s: float, order: Sequence[str] = ORDER
 ) -> DataFrame:
-    """Copy the last `rows` rows before each slice of a key into that slice, marked as context.
+    """Copy the last `rows` rows before each slice of a hot key into that slice, marked as context.
 
     Tails are cut down to `rows` per (key, slice) before they are shuffled. A short slice passes
     earlier tails on, so the context is complete however thin the slices are.
     """
     key = list(key)
-    body = df.withColumn(SLICE, slice_number(order[0], slice_s))
+    hot = hot_keys(df, key)
+    body = _mark(df, key, hot, slice_number(order[0], slice_s)).withColumn(HALO, F.lit(False))
+    if hot is None:
+        return body
+    sliced = body.join(F.broadcast(hot), key, "left_semi").drop(HALO)
     by_slice = Window.partitionBy(*key).orderBy(SLICE)
-    counts = body.groupBy(*key, SLICE).agg(F.count(F.lit(1)).alias("_n"))
+    counts = sliced.groupBy(*key, SLICE).agg(F.count(F.lit(1)).alias("_n"))
     counts = counts.withColumn(
         "_before",
         F.coalesce(F.sum("_n").over(by_slice.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
@@ -185,7 +225,7 @@ def with_row_halo(
         ),
     )
     latest = Window.partitionBy(*key, SLICE).orderBy(*[F.col(c).desc() for c in order])
-    tails = body.withColumn("_back", F.row_number().over(latest)).filter(F.col("_back") <= rows)
+    tails = sliced.withColumn("_back", F.row_number().over(latest)).filter(F.col("_back") <= rows)
     halo = (
         tails.join(counts, [*key, SLICE])
         .withColumn("_reach", F.col("_before") + F.col("_n") - F.col("_back") + 1 + rows)
@@ -194,7 +234,7 @@ def with_row_halo(
         )
         .select(*df.columns, F.col("_to.s").alias(SLICE), F.lit(True).alias(HALO))
     )
-    return body.withColumn(HALO, F.lit(False)).unionByName(halo)
+    return body.unionByName(halo)
 
 
 def sliced_window(key: Sequence[str], order: Sequence[str] = ORDER):
