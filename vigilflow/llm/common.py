@@ -58,8 +58,8 @@ class WordHasher:
     def powers(self, n: int) -> None:
         if len(self.up) < n:
             inverse = pow(self.BASE, -1, 1 << 64)
-            self.up = np.concatenate(([1], np.full(n, self.BASE, dtype=np.uint64))).astype(np.uint64)
-            self.down = np.concatenate(([1], np.full(n, inverse, dtype=np.uint64))).astype(np.uint64)
+            self.up, self.down = np.ones(n + 1, dtype=np.uint64), np.ones(n + 1, dtype=np.uint64)
+            self.up[1:], self.down[1:] = self.BASE, inverse
             np.multiply.accumulate(self.up, out=self.up)
             np.multiply.accumulate(self.down, out=self.down)
 
@@ -82,14 +82,17 @@ class WordHasher:
         ends = np.flatnonzero(inside & after) + 1
         return data, starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
-    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(hash, text number) of each word of the texts, in order; nulls have no words."""
-        data, starts, ends, owner = self.bounds(texts)
+    def pieces(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hash of each piece data[start:end]."""
         self.powers(len(data) + 1)
         sums = np.zeros(len(data) + 1, dtype=np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.up[: len(data)], out=sums[1:])
-        words = (sums[ends] - sums[starts]) * self.down[starts]
-        return mix(words + (ends - starts).astype(np.uint64)), owner
+        return mix((sums[ends] - sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(hash, text number) of each word of the texts, in order; nulls have no words."""
+        data, starts, ends, owner = self.bounds(texts)
+        return self.pieces(data, starts, ends), owner
 
 
 def runs_of(words: np.ndarray, owner: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
