@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encode, personal, secrets, spans, substrings
+from . import encode, personal, secrets, shingles, spans, substrings
 from .common import table
 
 QUERIES: dict = {}
@@ -46,3 +46,8 @@ def op10_pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substrings.remove(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@registered
+def op8_bayes_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingles.join(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("component_id", "class_id")
