@@ -15,6 +15,7 @@ from ..session import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 2 << 20
+BROADCAST_ROWS = 50_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -160,6 +161,28 @@ def groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[p
         yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0].reset_index(drop=True)
 
 
+def key_chunks(batches: Iterator[pa.RecordBatch], keys: Sequence[str], rows: int) -> Iterator[pa.Table]:
+    """Tables of about `rows` rows or more that hold whole keys, from batches in which equal keys stand together."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size < rows:
+            continue
+        whole = pa.Table.from_batches(held)
+        same = np.ones(whole.num_rows, dtype=bool)
+        for k in keys:
+            values = whole.column(k).to_numpy()
+            same &= values == values[-1]
+        cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0  # the last key may go on
+        if cut:
+            yield whole.slice(0, cut)
+            held, size = whole.slice(cut).to_batches(), whole.num_rows - cut
+    if size:
+        yield pa.Table.from_batches(held)
+
+
 def by_key(df: DataFrame, keys: Sequence[str], step: Callable[[pd.DataFrame], pd.DataFrame | None], schema: str, flush: int = 20_000) -> DataFrame:
     """Apply `step` to all rows of each key; rows are dealt and sorted by Spark and read as a stream."""
     from pyspark.sql.types import StructType
@@ -199,8 +222,9 @@ def block_pairs(rows: DataFrame, group: Sequence[str], spread: str, size: int) -
     group meets in one cell, (smaller part, larger part); a group of up to `size` rows is one cell.
     No row of a group of n rows is copied more than n / size + 1 times.
     """
-    sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).withColumn("_parts", F.ceil(F.col("_n") / size).cast("int"))
-    large = sizes.filter("_parts > 1").drop("_n")
+    sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > size)
+    large = cut(sizes.select(*group, F.ceil(F.col("_n") / size).cast("int").alias("_parts")))
+    large = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large  # else a join that can be split
     parted = rows.join(large, list(group), "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
     parted = parted.withColumn("part", F.pmod(F.xxhash64(spread), F.col("_parts")).cast("int"))
     grid = parted.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encode, personal, secrets, shingles, spans, substrings
+from . import encode, lattice, personal, secrets, shingles, spans, substrings
 from .common import table
 
 QUERIES: dict = {}
@@ -51,3 +51,9 @@ def op6_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def op8_bayes_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingles.join(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("component_id", "class_id")
+
+
+@registered
+def op1_e8_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lattice.links(table(spark, sf_dir, "embeddings"))
+    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
