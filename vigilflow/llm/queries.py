@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encode, lattice, personal, secrets, shingles, spans, substrings
+from . import encode, lattice, mixing, personal, secrets, shingles, spans, substrings, trees
 from .common import table
 
 QUERIES: dict = {}
@@ -57,3 +57,16 @@ def op8_bayes_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_e8_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lattice.links(table(spark, sf_dir, "embeddings"))
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+@registered
+def op5_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return trees.nearest(vectors, F.col("vec_id") % 50 == 0)
+
+
+@registered
+def op2_entropy_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.plan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    each = plan.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("rows"))))
+    return each.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "copies", "rate")
