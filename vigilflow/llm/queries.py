@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encode, lattice, mixing, personal, secrets, shingles, spans, substrings, trees
+from . import encode, language, lattice, mixing, personal, secrets, shingles, spans, substrings, trees
 from .common import table
 
 QUERIES: dict = {}
@@ -70,3 +70,11 @@ def op2_entropy_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.plan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     each = plan.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("rows"))))
     return each.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "copies", "rate")
+
+
+@registered
+def op3_ftrl_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs)
+    return language.predict(docs.select("doc_id", "text", language.held_out("doc_id").alias("held_out")), model).select(
+        "doc_id", "held_out", "lang_pred", "score")
