@@ -87,8 +87,8 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, rows: int) -> Iterato
 
 
 def vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Unit TF-IDF vectors with logarithmic term frequencies."""
-    x = np.log1p(counts).astype(np.float32) * idf.astype(np.float32)
+    """Unit TF-IDF vectors; plain term frequencies, so that the language of most of a text decides."""
+    x = counts.astype(np.float32) * idf.astype(np.float32)
     norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
     return x / np.maximum(norm, 1e-12)
 
