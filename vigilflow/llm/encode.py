@@ -26,7 +26,7 @@ from pyspark.sql.types import BinaryType, LongType, StringType, StructField, Str
 from .common import pa_schema, text_slices
 
 #: Code points that the tokenizer's white-space class holds (Unicode White_Space); fixed values.
-SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CACHE_WORDS = 150_000
 
 

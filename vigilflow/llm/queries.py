@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encode, language, lattice, mixing, personal, secrets, shingles, spans, substrings, trees
+from . import encode, language, lattice, mixing, pages, personal, secrets, shingles, spans, substrings, trees
 from .common import table
 
 QUERIES: dict = {}
@@ -78,3 +78,9 @@ def op3_ftrl_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language.train(docs)
     return language.predict(docs.select("doc_id", "text", language.held_out("doc_id").alias("held_out")), model).select(
         "doc_id", "held_out", "lang_pred", "score")
+
+
+@registered
+def op4_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "pages")
+    return pages.extract(rows, pages.train(rows)).select("page_id", "url", "text", "n_chars")
