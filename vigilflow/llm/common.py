@@ -22,6 +22,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# ---------------------------------------------------------------- other columns, whatever their names
+
+
+def others(df: DataFrame, *but: str) -> list[str]:
+    """The columns that an operator carries along."""
+    return [c for c in df.columns if c.lower() not in {b.lower() for b in but}]
+
+
+def packed(names: Sequence[str]) -> Column:
+    """Carried columns as one struct `rest`, so that no name of theirs can meet one of the operator's."""
+    return F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in names)).alias("rest")
+
+
+def unpacked(names: Sequence[str]) -> list[Column]:
+    return [F.col("rest").getField(c).alias(c) for c in names]
+
+
 # ---------------------------------------------------------------- words of Arrow strings as 64-bit hashes
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from .common import pa_schema, text_slices
+from .common import others, pa_schema, packed, text_slices, unpacked
 
 #: Code points that the tokenizer's white-space class holds (Unicode White_Space); fixed values.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -215,24 +215,23 @@ class Encoder:
 def encode(docs: DataFrame, path: str, text: str = "text", decoded: bool = True) -> DataFrame:
     """`docs` without `text`, with `ids` (binary, little-endian unsigned 32-bit), `n_tokens` and `decoded` text."""
     merges = docs.sparkSession.sparkContext.broadcast(load(path))  # 49 thousand merges whatever the corpus
-    outputs = ["ids", "n_tokens", *["decoded"] * decoded]
-    keep = [c for c in docs.columns if c not in (text, *outputs)]
-    source = docs.select(*keep, F.col(text).cast("string").alias("_text"))
-    schema = StructType([*source.select(*keep).schema.fields, StructField("ids", BinaryType()), StructField("n_tokens", LongType()),
+    keep = others(docs, text, "ids", "n_tokens", *["decoded"] * decoded)
+    source = docs.select(packed(keep), F.col(text).cast("string").alias("body"))
+    schema = StructType([source.schema["rest"], StructField("ids", BinaryType()), StructField("n_tokens", LongType()),
                          *[StructField("decoded", StringType())] * decoded])
     wanted = pa_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(merges.value)
         for batch in batches:
-            for part in text_slices(batch, "_text", 4 << 20):
-                ids = encoder.encode(part.column(part.num_columns - 1).to_pylist())
+            for part in text_slices(batch, "body", 4 << 20):
+                ids = encoder.encode(part.column(1).to_pylist())
                 made = [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
                 if decoded:
                     made.append(pa.array([encoder.decode(x) for x in ids], pa.string()))
-                yield pa.RecordBatch.from_arrays([*(part.column(i).cast(wanted.field(i).type) for i in range(len(keep))), *made], schema=wanted)
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(wanted.field(0).type), *made], schema=wanted)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).select(*unpacked(keep), "ids", "n_tokens", *["decoded"] * decoded)
 
 
 def digests(encoded: DataFrame) -> list[Column]:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ..session import cut
-from .common import mix, pa_schema, text_slices
+from .common import mix, others, pa_schema, packed, text_slices, unpacked
 
 UNKNOWN = "und"
 
@@ -199,25 +199,24 @@ def _window(by: str, *order: str):
 
 def predict(docs: DataFrame, model: LanguageModel, text: str = "text", p: LanguageParams = LanguageParams()) -> DataFrame:
     """`docs` with `lang_pred` and `score`, the calibrated probability of the predicted language."""
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    source = docs.select(*keep, F.col(text).cast("string").alias("_text"))
-    schema = StructType([*docs.select(*keep).schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    keep = others(docs, "lang_pred", "score")
+    source = docs.select(packed(keep), F.col(text).cast("string").alias("body"))
+    schema = StructType([source.schema["rest"], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     wanted = pa_schema(schema)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    width = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         names = np.array([*m.languages, UNKNOWN], dtype=object)
-        for part in pieces(batches, "_text", p.rows):
-            counts, letters = gram_counts(part.column(width).to_pylist(), p)
+        for part in pieces(batches, "body", p.rows):
+            counts, letters = gram_counts(part.column(1).to_pylist(), p)
             known = (letters > 0) & bool(m.languages)
             best, score = np.full(part.num_rows, len(m.languages)), np.zeros(part.num_rows)
             if m.languages:
                 probability = softmax((vectors(counts, m.idf) @ m.weights + m.bias).astype(np.float64) / m.temperature)
                 best = np.where(known, probability.argmax(axis=1), len(m.languages))
                 score = np.where(known, probability.max(axis=1), 0.0)
-            yield pa.RecordBatch.from_arrays([*(part.column(i).cast(wanted.field(i).type) for i in range(width)),
+            yield pa.RecordBatch.from_arrays([part.column(0).cast(wanted.field(0).type),
                                               pa.array(names[best], pa.string()), pa.array(score, pa.float64())], schema=wanted)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).select(*unpacked(keep), "lang_pred", "score")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .common import BROADCAST_ROWS, WORD, by_key
+from .common import BROADCAST_ROWS, WORD, by_key, packed, unpacked
 
 
 def numbered(df: DataFrame, order: Sequence, name: str = "no") -> DataFrame:
@@ -132,7 +132,7 @@ def plan(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source:
 def mix(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """`docs` with each row as often as the plan takes it."""
     chosen = plan(docs, id_column, text, source, **options).filter("copies > 0").select("id", "source", "text_hash", "copies")
-    d = docs.withColumn("_hash", F.xxhash64(F.col(text).cast("string"))).alias("d")
-    met = d.join(chosen.alias("c"), F.col(f"d.{id_column}").eqNullSafe(F.col("c.id")) & (F.col("d._hash") == F.col("c.text_hash"))
-                 & F.col(f"d.{source}").cast("string").eqNullSafe(F.col("c.source")))
-    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("c.copies")))).select("d.*").drop("_hash")
+    keep = docs.columns
+    d = docs.select(packed(keep), F.col(id_column).alias("_id"), F.col(source).cast("string").alias("_source"), F.xxhash64(F.col(text).cast("string")).alias("_hash"))
+    met = d.join(chosen, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_hash") == F.col("text_hash")) & F.col("_source").eqNullSafe(F.col("source")))
+    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select(*unpacked(keep))

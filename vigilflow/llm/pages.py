@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import WordHasher, pa_schema, text_slices
+from .common import WordHasher, others, pa_schema, packed, text_slices, unpacked
 
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea|iframe|object|math|canvas)\b[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))"
@@ -383,20 +383,20 @@ def train(pages: DataFrame, id_column: str = "page_id", html: str = "html", p: L
 
 def extract(pages: DataFrame, labeller: Labeller, html: str = "html") -> DataFrame:
     """`pages` without `html`, with `text` (main blocks joined by line feeds) and `n_chars`."""
-    keep = [c for c in pages.columns if c not in (html, "text", "n_chars")]
-    source = pages.select(*keep, F.col(html).cast("string").alias("_html"))
-    schema = StructType([*pages.select(*keep).schema.fields, StructField("text", StringType()), StructField("n_chars", LongType())])
-    wanted, width = pa_schema(schema), len(keep)
+    keep = others(pages, html, "text", "n_chars")
+    source = pages.select(packed(keep), F.col(html).cast("string").alias("body"))
+    schema = StructType([source.schema["rest"], StructField("text", StringType()), StructField("n_chars", LongType())])
+    wanted = pa_schema(schema)
     shared = pages.sparkSession.sparkContext.broadcast(labeller)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
         for batch in batches:
-            for part in text_slices(batch, "_html", 1 << 20):
-                blocks = [blocks_of(x) for x in part.column(width).to_pylist()]
+            for part in text_slices(batch, "body", 1 << 20):
+                blocks = [blocks_of(x) for x in part.column(1).to_pylist()]
                 chosen = shared.value.main_blocks(features(blocks))
                 texts = ["\n".join(b.text for b, yes in zip(bs, ys, strict=True) if yes) for bs, ys in zip(blocks, chosen, strict=True)]
-                yield pa.RecordBatch.from_arrays([*(part.column(i).cast(wanted.field(i).type) for i in range(width)),
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(wanted.field(0).type),
                                                   pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema=wanted)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).select(*unpacked(keep), "text", "n_chars")

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .common import others, packed, unpacked
 from .spans import matches, none
 
 KINDS = ("email", "ip", "card", "phone")
@@ -71,8 +72,9 @@ def extract(docs: DataFrame, text: str = "text", rounds: int = 2, least_score: f
     A pattern is trusted when it stands before `least_values` distinct values of a kind and this
     kind's share of the distinct values after it, weighed by their scores, is `least_score` or more.
     """
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.withColumn("_text", body).withColumn("_base", base_spans(F.col("_text")))
+    keep = others(docs, "base", "spans")
+    whole = docs.select(packed(keep), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
+    rows = whole.withColumn("_base", base_spans(F.col("_text")))
     outside = lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     tokens = matches(F.col("_text"), "token", TOKEN, F.rlike("_text", F.lit("[0-9@]")))
     trimmed = F.transform(tokens, lambda s: F.struct(
@@ -82,7 +84,6 @@ def extract(docs: DataFrame, text: str = "text", rounds: int = 2, least_score: f
         F.regexp_replace(F.regexp_replace(s["value"], r"^[^A-Za-z0-9+]+", ""), r"[^A-Za-z0-9]+$", "").alias("value")))
     rows = rows.withColumn("_loose", F.filter(trimmed, lambda s: (s["end"] - s["start"] >= 5) & outside(s)))
     seen = lambda c: F.transform(c, lambda s: F.struct(s.alias("span"), words_before(F.col("_text"), s["start"]).alias("pattern")))
-    keep = [c for c in docs.columns if c not in ("base", "spans")]
     slim = cut(rows.filter((F.size("_base") > 0) | (F.size("_loose") > 0)).select(
         F.md5("_text").alias("_row"), F.explode(F.concat(seen("_base"), seen("_loose"))).alias("m")))
     mentions = slim.select("_row", F.col("m.span.kind").alias("kind"), F.col("m.span.start").alias("start"), F.col("m.span.end").alias("end"),
@@ -106,15 +107,18 @@ def extract(docs: DataFrame, text: str = "text", rounds: int = 2, least_score: f
     added = added.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct(
         F.col("best.of").alias("kind"), "start", "end", "value"))).alias("_added"))
     marked = F.rlike("_text", F.lit("[0-9@]"))  # other texts have no spans and stay where they are
-    whole = docs.withColumn("_text", body)
     out = whole.filter(marked).withColumn("_row", F.md5("_text")).join(added, "_row", "left").drop("_row")
     out = out.withColumn("base", base_spans(F.col("_text"))).withColumn("spans", F.concat("base", F.coalesce("_added", none())))
     plain = whole.filter(~marked).withColumns({"base": none(), "spans": none()})
-    return out.select(*keep, "base", "spans").unionByName(plain.select(*keep, "base", "spans"))
+    return out.select("rest", "base", "spans").unionByName(plain.select("rest", "base", "spans")).select(*unpacked(keep), "base", "spans")
 
 
 def redact(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """`docs` with every span of `extract` replaced by its kind in brackets; overlapping spans become one mark."""
+    if {"base", "spans"} & {c.lower() for c in docs.columns}:  # their own columns of these names stay
+        keep = docs.columns
+        inner = redact(docs.select(packed(keep), F.col(text).alias("_body")), "_body", **options)
+        return inner.select(*(F.col("_body").alias(c) if c == text else x for c, x in zip(keep, unpacked(keep), strict=True)))
     found = extract(docs, text=text, **options)
     ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     cleaned = F.aggregate(

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..session import cut
-from .common import WordHasher, bloom, in_bloom, pa_schema, runs_of, text_slices
+from .common import WordHasher, bloom, in_bloom, others, pa_schema, packed, runs_of, text_slices, unpacked
 
 #: Bytes of a word's hash in a passage.
 SYMBOL = 5
@@ -292,25 +292,24 @@ def remove(docs: DataFrame, id_column: str = "doc_id", text: str = "text", lengt
 def drop_marked(docs: DataFrame, marks: DataFrame, id_column: str, text: str, length: int) -> DataFrame:
     """Drop the words that the marked windows of a row cover; only rows that may have marks move to meet them."""
     touched = docs.sparkSession.sparkContext.broadcast(bloom(marks, "body_hash"))
-    keep = [c for c in docs.columns if c not in (text, "kept", "n_words", "n_removed")]
+    keep = others(docs, text, "kept", "n_words", "n_removed")
     body = F.col(text).cast("string")
-    rows = docs.select(*keep, F.col(id_column).cast("bigint").alias("_id"), F.xxhash64(body).alias("_hash"), body.alias("_text"))
-    n_keep = len(keep)
-    schema = StructType([*rows.select(*keep).schema.fields, StructField("kept", StringType()), StructField("n_words", LongType()), StructField("n_removed", LongType())])
+    rows = docs.select(packed(keep), F.col(id_column).cast("bigint").alias("row_id"), F.xxhash64(body).alias("hash"), body.alias("body"))
+    schema = StructType([rows.schema["rest"], StructField("kept", StringType()), StructField("n_words", LongType()), StructField("n_removed", LongType())])
     wanted = pa_schema(schema)
 
     def split(marked: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            may = in_bloom(touched.value, batch.column(n_keep + 1).to_numpy().view(np.uint64))
+            may = in_bloom(touched.value, batch.column(2).to_numpy().view(np.uint64))
             yield batch.filter(pa.array(may if marked else ~may))
 
     def finish(batches: Iterator[pa.RecordBatch], marked: bool) -> Iterator[pa.RecordBatch]:
         word = re.compile("[^\x20\x09-\x0d]+")
         for batch in batches:
-            for part in text_slices(batch, "_text"):
+            for part in text_slices(batch, "body"):
                 kept, n_words, n_removed = [], [], []
-                found = part.column(n_keep + 3).to_pylist() if marked else [None] * part.num_rows
-                for text_of, spots in zip(part.column(n_keep + 2).to_pylist(), found, strict=True):
+                found = part.column(4).to_pylist() if marked else [None] * part.num_rows
+                for text_of, spots in zip(part.column(3).to_pylist(), found, strict=True):
                     words = word.findall(text_of or "")
                     n_words.append(len(words))
                     if spots:
@@ -322,10 +321,11 @@ def drop_marked(docs: DataFrame, marks: DataFrame, id_column: str, text: str, le
                         words = [w for w, n in zip(words, np.cumsum(edge).tolist(), strict=False) if n <= 0]
                     n_removed.append(n_words[-1] - len(words))
                     kept.append(" ".join(words))
-                yield pa.RecordBatch.from_arrays([*(part.column(i).cast(wanted.field(i).type) for i in range(n_keep)),
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(wanted.field(0).type),
                                                   pa.array(kept, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], schema=wanted)
 
     met = rows.mapInArrow(lambda b: split(True, b), rows.schema)
-    met = met.join(marks, (met["_id"] == marks["id"]) & (met["_hash"] == marks["body_hash"]), "left").select(*keep, "_id", "_hash", "_text", "marks")
+    met = met.join(marks, (met["row_id"] == marks["id"]) & (met["hash"] == marks["body_hash"]), "left").select("rest", "row_id", "hash", "body", "marks")
     changed = met.mapInArrow(lambda b: finish(b, True), schema)
-    return rows.mapInArrow(lambda b: finish(split(False, b), False), schema).unionByName(changed)
+    plain = rows.mapInArrow(lambda b: finish(split(False, b), False), schema)
+    return plain.unionByName(changed).select(*unpacked(keep), "kept", "n_words", "n_removed")
