@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from .common import others, packed, unpacked
-from .spans import matches, none
+from .spans import matches, none, running
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = "A-Za-z0-9._%+-"
@@ -40,13 +40,13 @@ def luhn(value: Column) -> Column:
     return F.aggregate(places, F.lit(0), lambda a, d: a + F.coalesce(d, F.lit(0))) % 10 == 0
 
 
-def base_spans(text: Column) -> Column:
+def base_spans(text: Column, context: bool = False) -> Column:
     some_digit = F.rlike(text, F.lit("[0-9]"))
-    email = matches(text, "email", EMAIL, F.contains(text, F.lit("@")))
+    email = matches(text, "email", EMAIL, F.contains(text, F.lit("@")), context)
     small = lambda s: F.forall(F.split(s["value"], r"\."), lambda p: F.ltrim(p, F.lit("0")).rlike("^([0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])?$"))
-    ip = F.filter(matches(text, "ip", IP, some_digit & F.rlike(text, F.lit(r"[0-9]\.[0-9]"))), small)
-    card = F.filter(matches(text, "card", CARD, some_digit), lambda s: luhn(s["value"]))
-    phone = F.filter(matches(text, "phone", PHONE, F.contains(text, F.lit("+"))),
+    ip = F.filter(matches(text, "ip", IP, some_digit & F.rlike(text, F.lit(r"[0-9]\.[0-9]")), context), small)
+    card = F.filter(matches(text, "card", CARD, some_digit, context), lambda s: luhn(s["value"]))
+    phone = F.filter(matches(text, "phone", PHONE, F.contains(text, F.lit("+")), context),
                      lambda s: F.length(digits(s["value"])).between(9, 15))
     return F.concat(email, ip, card, phone)
 
@@ -59,10 +59,9 @@ def shape_fits(kind: Column, value: Column) -> Column:
             .when(kind == "card", n >= 8).otherwise(n.between(6, 15)))
 
 
-def words_before(text: Column, start: Column) -> Column:
-    """The two words before a place on its line, in lower case: the lexical pattern."""
-    near = F.lower(F.substring(text, F.greatest(start - 63, F.lit(1)).cast("int"), F.least(start, F.lit(64)).cast("int")))
-    return F.regexp_extract(near, r"([^\s]*)[\x20\t]*([^\s]*)[\x20\t]*$", 0)
+def last_words(before: Column) -> Column:
+    """The last two words on the line before an entity, in lower case: the lexical pattern."""
+    return F.lower(F.regexp_extract(before, r"([^\s]*)[\x20\t]*([^\s]*)[\x20\t]*$", 0))
 
 
 def extract(docs: DataFrame, text: str = "text", rounds: int = 2, least_score: float = 0.9,
@@ -74,20 +73,18 @@ def extract(docs: DataFrame, text: str = "text", rounds: int = 2, least_score: f
     """
     keep = others(docs, "base", "spans")
     whole = docs.select(packed(keep), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
-    rows = whole.withColumn("_base", base_spans(F.col("_text")))
+    rows = whole.withColumn("_base", base_spans(F.col("_text"), context=True))
     outside = lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    tokens = matches(F.col("_text"), "token", TOKEN, F.rlike("_text", F.lit("[0-9@]")))
+    tokens = matches(F.col("_text"), "token", TOKEN, F.rlike("_text", F.lit("[0-9@]")), context=True)
     trimmed = F.transform(tokens, lambda s: F.struct(
         s["kind"].alias("kind"),
         (s["start"] + F.length(s["value"]) - F.length(F.regexp_replace(s["value"], r"^[^A-Za-z0-9+]+", ""))).alias("start"),
         (s["end"] - F.length(s["value"]) + F.length(F.regexp_replace(s["value"], r"[^A-Za-z0-9]+$", ""))).alias("end"),
-        F.regexp_replace(F.regexp_replace(s["value"], r"^[^A-Za-z0-9+]+", ""), r"[^A-Za-z0-9]+$", "").alias("value")))
+        F.regexp_replace(F.regexp_replace(s["value"], r"^[^A-Za-z0-9+]+", ""), r"[^A-Za-z0-9]+$", "").alias("value"), s["before"].alias("before")))
     rows = rows.withColumn("_loose", F.filter(trimmed, lambda s: (s["end"] - s["start"] >= 5) & outside(s)))
-    seen = lambda c: F.transform(c, lambda s: F.struct(s.alias("span"), words_before(F.col("_text"), s["start"]).alias("pattern")))
     slim = cut(rows.filter((F.size("_base") > 0) | (F.size("_loose") > 0)).select(
-        F.md5("_text").alias("_row"), F.explode(F.concat(seen("_base"), seen("_loose"))).alias("m")))
-    mentions = slim.select("_row", F.col("m.span.kind").alias("kind"), F.col("m.span.start").alias("start"), F.col("m.span.end").alias("end"),
-                           F.col("m.span.value").alias("value"), F.lower("m.pattern").alias("pattern")).distinct()
+        F.md5("_text").alias("_row"), F.explode(F.concat("_base", "_loose")).alias("m")))
+    mentions = slim.select("_row", "m.kind", "m.start", "m.end", "m.value", last_words(F.col("m.before")).alias("pattern")).distinct()
     graph = cut(mentions.groupBy("pattern", "value", "kind").agg(F.count(F.lit(1)).alias("n")))
     seeds = graph.filter(F.col("kind") != "token").select("value", F.col("kind").alias("of"), F.lit(1.0).alias("score")).distinct()
     loose = graph.filter("kind = 'token'").select("pattern", "value")
@@ -121,11 +118,14 @@ def redact(docs: DataFrame, text: str = "text", **options) -> DataFrame:
         return inner.select(*(F.col("_body").alias(c) if c == text else x for c, x in zip(keep, unpacked(keep), strict=True)))
     found = extract(docs, text=text, **options)
     ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    cleaned = F.aggregate(
-        ordered, F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at")),
-        lambda a, s: F.when(s["start"] >= a["at"], F.struct(
-            F.concat(a["out"], F.substring(F.col(text), (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")),
-                     F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("out"), s["end"].alias("at")))
-        .otherwise(F.struct(a["out"].alias("out"), F.greatest(a["at"], s["end"]).alias("at"))),
-        lambda a: F.concat(a["out"], F.substring(F.col(text), (a["at"] + 1).cast("int"), F.length(text))))
-    return found.withColumn(text, F.when(F.size("spans") > 0, cleaned).otherwise(F.col(text))).drop("base", "spans")
+    body = F.col(text)
+
+    def piece(s: Column, at: Column) -> Column:
+        """The text since the last span and this span's mark; nothing if it begins inside that span."""
+        kept = F.substring(body, (at + 1).cast("int"), (s["start"] - at).cast("int"))
+        return F.when(s["start"] >= at, F.concat(kept, F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise("")
+
+    pieces = running(ordered, lambda s: s["end"], F.greatest, piece, "array<string>")
+    rest = F.substring(body, (F.array_max(F.transform("spans", lambda s: s["end"])) + 1).cast("int"), F.length(body))
+    cleaned = F.concat(F.array_join(pieces, ""), rest)
+    return found.withColumn(text, F.when(F.size("spans") > 0, cleaned).otherwise(body)).drop("base", "spans")
