@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from .common import others, packed, unpacked
-from .spans import matches, none, running
+from .spans import bound, matches, none, running
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = "A-Za-z0-9._%+-"
@@ -73,17 +73,19 @@ def extract(docs: DataFrame, text: str = "text", rounds: int = 2, least_score: f
     """
     keep = others(docs, "base", "spans")
     whole = docs.select(packed(keep), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
-    rows = whole.withColumn("_base", base_spans(F.col("_text"), context=True))
-    outside = lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     tokens = matches(F.col("_text"), "token", TOKEN, F.rlike("_text", F.lit("[0-9@]")), context=True)
     trimmed = F.transform(tokens, lambda s: F.struct(
         s["kind"].alias("kind"),
         (s["start"] + F.length(s["value"]) - F.length(F.regexp_replace(s["value"], r"^[^A-Za-z0-9+]+", ""))).alias("start"),
         (s["end"] - F.length(s["value"]) + F.length(F.regexp_replace(s["value"], r"[^A-Za-z0-9]+$", ""))).alias("end"),
         F.regexp_replace(F.regexp_replace(s["value"], r"^[^A-Za-z0-9+]+", ""), r"[^A-Za-z0-9]+$", "").alias("value"), s["before"].alias("before")))
-    rows = rows.withColumn("_loose", F.filter(trimmed, lambda s: (s["end"] - s["start"] >= 5) & outside(s)))
-    slim = cut(rows.filter((F.size("_base") > 0) | (F.size("_loose") > 0)).select(
-        F.md5("_text").alias("_row"), F.explode(F.concat("_base", "_loose")).alias("m")))
+
+    def with_loose(base: Column) -> Column:
+        outside = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+        return F.concat(base, F.filter(trimmed, lambda s: (s["end"] - s["start"] >= 5) & outside(s)))
+
+    seen = bound(base_spans(F.col("_text"), context=True), with_loose)
+    slim = cut(whole.select(F.md5("_text").alias("_row"), F.explode_outer(seen).alias("m")).filter("m is not null"))
     mentions = slim.select("_row", "m.kind", "m.start", "m.end", "m.value", last_words(F.col("m.before")).alias("pattern")).distinct()
     graph = cut(mentions.groupBy("pattern", "value", "kind").agg(F.count(F.lit(1)).alias("n")))
     seeds = graph.filter(F.col("kind") != "token").select("value", F.col("kind").alias("of"), F.lit(1.0).alias("score")).distinct()

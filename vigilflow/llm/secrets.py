@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .spans import SPAN, matches
+from .spans import SPAN, bound, matches
 
 KINDS = ("assign", "access", "hex")
 EXTRA = "owned"
@@ -61,10 +61,14 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text: str = "text", reposit
     """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_column), F.col(repository).alias("_repository"), F.col(owner).alias("_owner"), body.alias("_text"))
-    found = rows.withColumn("_base", base_spans(F.col("_text"))).withColumn(
-        "_long", F.filter(matches(F.col("_text"), EXTRA, LONG, F.rlike("_text", F.lit("[A-Za-z0-9+/_=-]{24}"))),
-                          lambda s: random_looking(s["value"]) & ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))))
-    found = cut(found.select(F.col(id_column), "_repository", "_owner", "_base", "_long", F.monotonically_increasing_id().alias("_row")))
+    loose = matches(F.col("_text"), EXTRA, LONG, F.rlike("_text", F.lit("[A-Za-z0-9+/_=-]{24}")))
+
+    def with_long(base: Column) -> Column:
+        free = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+        return F.struct(base.alias("base"), F.filter(loose, lambda s: random_looking(s["value"]) & free(s)).alias("long"))
+
+    found = cut(rows.select(F.col(id_column), "_repository", "_owner", bound(base_spans(F.col("_text")), with_long).alias("f"))
+                .select(id_column, "_repository", "_owner", F.col("f.base").alias("_base"), F.col("f.long").alias("_long"), F.monotonically_increasing_id().alias("_row")))
     spans = found.select("_row", "_repository", "_owner", F.explode(F.concat("_base", "_long")).alias("s"))
     spans = spans.withColumn("_hash", F.xxhash64(secret_of(F.col("s"))))
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\0"))
