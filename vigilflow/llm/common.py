@@ -16,6 +16,7 @@ from ..session import cut
 WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 2 << 20
 BROADCAST_ROWS = 50_000
+BLOOM_BLOCK = 4096
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -136,9 +137,21 @@ def bloom(keys: DataFrame, column: str, bits: int = 25) -> np.ndarray:
     at = keys.select(F.explode(F.array(first, second)).alias("at"))
     words = at.groupBy(F.shiftrightunsigned("at", 5).alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(at & 31 as int))")).alias("set"))
-    rows = words.toPandas()
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The filter's words as blocks of bytes."""
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            block, word, bits_of = (batch.column(i).to_numpy() for i in range(3))
+            for b in np.unique(block).tolist():
+                mine = block == b
+                held.setdefault(b, np.zeros(BLOOM_BLOCK, dtype=np.uint32))[word[mine] % BLOOM_BLOCK] |= bits_of[mine].astype(np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["block", "bytes"])
+
+    dealt = words.select(F.expr(f"word div {BLOOM_BLOCK}").alias("block"), "word", "set").repartition("block")
     out = np.zeros(1 << (bits - 5), dtype=np.uint32)
-    out[rows["word"].to_numpy(dtype=np.int64)] = rows["set"].to_numpy(dtype=np.int64).astype(np.uint32)
+    for row in dealt.mapInArrow(blocks, "block bigint, bytes binary").collect():
+        out[row["block"] * BLOOM_BLOCK : (row["block"] + 1) * BLOOM_BLOCK] = np.frombuffer(row["bytes"], dtype=np.uint32)
     return out
 
 
