@@ -85,8 +85,9 @@ def extract(docs: DataFrame, text: str = "text", rounds: int = 2, least_score: f
         return F.concat(base, F.filter(trimmed, lambda s: (s["end"] - s["start"] >= 5) & outside(s)))
 
     seen = bound(base_spans(F.col("_text"), context=True), with_loose)
-    slim = cut(whole.select(F.md5("_text").alias("_row"), F.explode_outer(seen).alias("m")).filter("m is not null"))
-    mentions = slim.select("_row", "m.kind", "m.start", "m.end", "m.value", last_words(F.col("m.before")).alias("pattern")).distinct()
+    named = bound(F.md5("_text"), lambda row: F.transform(seen, lambda s: F.struct(row.alias("row"), s.alias("span"))))  # once per text
+    slim = cut(whole.select(F.explode_outer(named).alias("m")).filter("m is not null").select(F.col("m.row").alias("_row"), "m.span.*"))
+    mentions = slim.select("_row", "kind", "start", "end", "value", last_words(F.col("before")).alias("pattern")).distinct()
     graph = cut(mentions.groupBy("pattern", "value", "kind").agg(F.count(F.lit(1)).alias("n")))
     seeds = graph.filter(F.col("kind") != "token").select("value", F.col("kind").alias("of"), F.lit(1.0).alias("score")).distinct()
     loose = graph.filter("kind = 'token'").select("pattern", "value")
