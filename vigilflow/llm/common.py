@@ -14,7 +14,7 @@ from ..operators.campaigns import component_labels
 from ..session import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 18
 BROADCAST_ROWS = 50_000
 BLOOM_BLOCK = 4096
 
