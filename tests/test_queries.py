@@ -6,9 +6,10 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import difference, duck
+from vigilflow import catalog
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLE = catalog.queries(), catalog.oracle_sql()  # other folders test their own
 
 
 @pytest.fixture(scope="module")

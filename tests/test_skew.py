@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vigilflow.operators import campaigns, joins, memory, ranks, scoring, sliced, steps, windows
+from vigilflow.operators import campaigns, joins, memory, ranks, scoring, similarity, sliced, steps, windows
 from vigilflow.operators.folds import plan_keys
 from vigilflow.params import CorrelationParams, DecisionParams, FlushParams, RoutingParams
 
@@ -105,6 +105,29 @@ def test_chunked_fold_equals_sequential(ev, name):
         assert all((math.isclose(p, q, abs_tol=1e-9) if isinstance(p, float) else p == q) for p, q in zip(x, y))
 
 
+def test_hot_keys_settle_in_few_rounds(spark):
+    """One source in fifty chunks: segments and decisions settle at once and equal the sequential run."""
+    from vigilflow.operators import folds
+
+    rng = np.random.default_rng(8)
+    n, types = 5000, ("net", "log", "auth")
+    at = np.cumsum(rng.integers(1, 9, n))
+    data = [(i, int(at[i]) * S, "a", types[int(rng.integers(0, 3)) if rng.random() < 0.1 else 0], float(rng.random())) for i in range(n)]
+    df = spark.createDataFrame(data, "event_id long, ts_us long, source string, type string, score double").withColumns({
+        "confidence": F.col("score"), "history": F.col("score"), "drift": F.col("score") * 3, "false_positive": F.lit(False),
+        "decision": F.when(F.col("score") < .3, "Log").when(F.col("score") < .6, "Alert").when(F.col("score") < .9, "Block").otherwise("Escalate")})
+    plan = plan_keys(df, ["source"], max_rows=100, fine_s=5.0)
+    assert plan.later.agg(F.max("_chunk")).first()[0] >= 45
+    for step, schema in ((steps.SegmentStep(FlushParams(max_events=9, max_age_s=30)), "event_id long, segment_id long, flushed boolean"),
+                         (steps.DecisionStep(DecisionParams(repeat_window_s=60)), "event_id long, final string")):
+        whole = sorted(map(tuple, folds.fold_by_key(df, ["source"], step, schema).collect()))
+        parts = sorted(map(tuple, folds.fold_by_key(df, ["source"], step, schema, plan=plan).collect()))
+        assert len(whole) == len(parts) == n
+        for x, y in zip(whole, parts):
+            assert all(math.isclose(p, q, abs_tol=1e-9) if isinstance(p, float) else p == q for p, q in zip(x, y)), (step, x, y)
+        assert folds.settle_rounds <= 3
+
+
 def test_rolling_stats_follow_the_recurrence():
     rng = np.random.default_rng(3)
     x = rng.gamma(2.0, 500.0, size=(700, len(steps.FEATURES)))
@@ -205,13 +228,33 @@ def test_weak_campaigns_stay_closed(spark):
     assert got[1] is None and got[2] is None and got[3] is not None
 
 
-def test_rule_fallback_join(spark, ev, monkeypatch):
+def test_any_number_of_rules_and_signatures(spark, ev, monkeypatch):
+    """Null thresholds match nothing, repeated events keep their own rules, and parts change nothing."""
     rules = spark.createDataFrame(
-        [(1, "low", 0.2, "", True), (2, "hot", 0.99, "hot", True), (3, "off", 0.0, "", False), (4, "all", 0.0, "s", True)],
+        [(1, "low", 0.2, "", True), (2, "hot", 0.99, "hot", True), (3, "off", 0.0, "", False), (4, "all", 0.0, "s", True),
+         (5, "none", None, None, True), (6, "addr", None, "hot", True)],
         "id long, name string, threshold double, pattern string, enabled boolean")
-    small = sorted((r.event_id, tuple(r.rules)) for r in joins.match_rules(ev, rules).collect())
-    monkeypatch.setattr(joins, "RULE_LIMIT", 1)
-    assert small == sorted((r.event_id, tuple(r.rules)) for r in joins.match_rules(ev, rules).collect())
+    twice = ev.unionByName(ev.limit(3))
+    whole = sorted((r.event_id, tuple(r.rules)) for r in joins.match_rules(twice, rules).collect())
+    score = {r.event_id: (r.score, r.source) for r in ev.collect()}
+
+    def expected(event):
+        s, source = score[event]
+        out = []
+        for i, name, threshold, pattern, on in sorted(map(tuple, rules.collect())):
+            out += [name] * bool(on and threshold is not None and threshold <= s)
+            out += [f"{name}:ip"] * bool(on and pattern and pattern in source)
+        return tuple(out)
+
+    assert len(whole) == ev.count() + 3 and all(names == expected(event) for event, names in whole)
+    monkeypatch.setattr(joins, "RULE_PART", 2)
+    assert whole == sorted((r.event_id, tuple(r.rules)) for r in joins.match_rules(twice, rules).collect())
+
+    vectors = spark.createDataFrame([(i, [float(i % 5), 1.0, float(i % 3)]) for i in range(20)], "id long, embedding array<double>")
+    signatures = vectors.select(F.col("id").alias("signature"), F.col("embedding").alias("vector"))
+    best = sorted(map(tuple, similarity.match_signatures(vectors, signatures).select("id", "signature", "cosine").collect()))
+    monkeypatch.setattr(similarity, "SIGNATURE_PART", 3)
+    assert best == sorted(map(tuple, similarity.match_signatures(vectors, signatures).select("id", "signature", "cosine").collect()))
 
 
 def test_evict_breaks_ties_by_id(spark):

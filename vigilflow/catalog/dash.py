@@ -106,7 +106,7 @@ def top_talkers(spark, sf):
 
 
 def alert_page(spark, sf):
-    return d.page(t.alerts(spark, sf), 3, 50).select("event_id", "ts_us", "source", "severity")
+    return d.page(t.alerts(spark, sf), 3, 50).select("event_id", "ts_us", "source", "severity", "total")
 
 
 def recent_reports(spark, sf):
@@ -123,6 +123,11 @@ def decision_counts(spark, sf):
     return d.decision_counts(t.alerts(spark, sf), ("tenant",))
 
 
+def decision_counts_open(spark, sf):
+    al = t.alerts(spark, sf).withColumn("suppressed", F.col("event_id") % 3 == 0)
+    return d.decision_counts(al, ("tenant",), include_suppressed=False)
+
+
 def shard_metrics(spark, sf):
     ev = t.flows(spark, sf).withColumn("decision", scores.decide(F.col("score")))
     return telemetry.by_shard(ev, 8).withColumn("skew", r6("skew"))
@@ -130,7 +135,7 @@ def shard_metrics(spark, sf):
 
 def latency_stats(spark, sf):
     ev = t.flows(spark, sf).select(F.col("type").alias("stage"), F.col("rate_hz").alias("us"))
-    return telemetry.latency_stats(ev, "stage", "us").withColumns({"avg_us": r6("avg_us"), "peak_us": r6("peak_us")})
+    return telemetry.latency_stats(ev, "stage", "us").withColumns({c: r6(c) for c in ("avg_us", "peak_us", "p99_us")})
 
 
 def latency_histogram(spark, sf):
@@ -219,7 +224,7 @@ def report_alert_analysis(spark, sf):
 
 
 def report_network_traffic(spark, sf):
-    return telemetry.protocol_mix(t.traffic(spark, sf)).withColumn("bytes_pct", r6("bytes_pct"))
+    return telemetry.network_traffic(t.traffic(spark, sf)).withColumn("bytes_pct", r6("bytes_pct"))
 
 
 def report_threat_intel(spark, sf):
@@ -299,7 +304,7 @@ QUERIES = {
     "usage_limit": usage_limit, "retention_delete": retention_delete, "previous_period": previous_period,
     "metric_asof": metric_asof, "time_window_args": time_window_args, "top_talkers": top_talkers,
     "alert_page": alert_page, "recent_reports": recent_reports, "last_n": last_n,
-    "decision_counts": decision_counts, "shard_metrics": shard_metrics, "latency_stats": latency_stats,
+    "decision_counts": decision_counts, "decision_counts_open": decision_counts_open, "shard_metrics": shard_metrics, "latency_stats": latency_stats,
     "latency_histogram": latency_histogram, "rates": rates, "flow_stats": flow_stats,
     "dataset_stats": dataset_stats, "class_counts": class_counts, "benign_percentiles": benign_percentiles,
     "suggest_thresholds": suggest_thresholds, "calibrate_baseline": calibrate_baseline,
@@ -369,12 +374,13 @@ select tenant, total_alerts, high_severity, medium_severity, low_severity, block
     "metric_asof": f"{_F}{t.METRICS_SQL} select tenant, device, ts_us, events, round(events / 86400.0::double, 6) as events_per_sec from metrics qualify row_number() over (partition by tenant, device order by ts_us desc) = 1",
     "time_window_args": f"{_A} select tenant, count(*) filter (where ts_us >= {NOW - 7 * DAY} and ts_us < {NOW}) as current, count(*) filter (where ts_us >= {NOW - 14 * DAY} and ts_us < {NOW - 7 * DAY}) as previous from alerts group by tenant",
     "top_talkers": f"{_A} select source as ip, count(*) as alert_count, max(ts_us) as last_seen_us, cast(least(100, count(*) * 5) as bigint) as threat_score from alerts group by source order by alert_count desc, ip limit 10",
-    "alert_page": f"{_A} select event_id, ts_us, source, severity from alerts order by ts_us desc, event_id desc limit 50 offset 100",
+    "alert_page": f"{_A} select event_id, ts_us, source, severity, (select count(*) from alerts) as total from alerts order by ts_us desc, event_id desc limit 50 offset 100",
     "recent_reports": f"{_A} select ts_us - ts_us % {DAY} as ts_us, count(*) as alerts, count(distinct source) as sources from alerts group by 1 order by 1 desc limit 10",
     "last_n": f"{_F}{t.METRICS_SQL} select tenant, device, ts_us, alerts from metrics where alerts > 3 order by ts_us desc, device desc limit 25",
     "decision_counts": f"{_A} select tenant, count(*) filter (where decision = 'Alert') as alerts, count(*) filter (where decision = 'Block') as blocks, count(*) filter (where decision = 'Escalate') as escalations from alerts group by tenant",
+    "decision_counts_open": f"{_A} select tenant, count(*) filter (where decision = 'Alert') as alerts, count(*) filter (where decision = 'Block') as blocks, count(*) filter (where decision = 'Escalate') as escalations from alerts where event_id % 3 <> 0 group by tenant",
     "shard_metrics": f"{_F}, e as (select cast(('0x' || substr(md5(source), 1, 8))::bigint % 8 as integer) as shard, score >= 0.4 and score < 0.6 as al, score >= 0.6 and score < 0.95 as bl, score >= 0.95 as es from flows), g as (select shard, count(*) as events, count(*) filter (where al) as alerts, count(*) filter (where bl) as blocks, count(*) filter (where es) as escalations from e group by shard), m as (select avg(events) as mean, max(events) as mx from g) select shard, events, alerts, blocks, escalations, round(events / mean, 6) as skew from g, m union all select -1, cast(sum(events) as bigint), cast(sum(alerts) as bigint), cast(sum(blocks) as bigint), cast(sum(escalations) as bigint), round(any_value(mx / mean), 6) from g, m",
-    "latency_stats": f"{_F}, h as (select type as stage, rate_hz as us, cast(least(floor(rate_hz / 100), 255) as integer) as b, row_number() over (partition by type order by rate_hz) as r, count(*) over (partition by type) as n from flows) select stage, count(*) as samples, round(avg(us), 6) as avg_us, round(max(us), 6) as peak_us, min(case when r >= ceil(n * 0.99::double) then (b + 1) * 100 end) as p99_us from h group by stage",
+    "latency_stats": f"{_F}, h as (select type as stage, rate_hz as us, row_number() over (partition by type order by rate_hz) as r, count(*) over (partition by type) as n from flows) select stage, count(*) as samples, round(avg(us), 6) as avg_us, round(max(us), 6) as peak_us, round(max(case when r = ceil(n * 0.99::double) then us end), 6) as p99_us from h group by stage",
     "latency_histogram": f"{_F} select type as stage, cast(least(floor(rate_hz / 100), 255) as integer) as bucket, count(*) as n from flows group by all",
     "rates": f"{_F}{t.METRICS_SQL}, l as (select *, (ts_us - lag(ts_us) over w) / 1000000.0::double as dt, lag(events) over w as pe, lag(alerts) over w as pa, lag(blocks) over w as pb from metrics window w as (partition by device order by ts_us, day)) select device, day, " + ", ".join(f"round((case when {n} >= {p} then {n} - {p} else {n} end) / coalesce(dt, 1), 9) as {n}_per_sec" for n, p in (("events", "pe"), ("alerts", "pa"), ("blocks", "pb"))) + " from l",
     "flow_stats": f"{_F}, g as (select *, (ts_us - lag(ts_us) over (partition by source, protocol order by ts_us, event_id)) / 1000000.0::double as gap from flows) select source, protocol, count(*) as packets_total, cast(sum(bytes_in) as bigint) as bytes_total, round(avg(bytes_in), 6) as packet_size_mean, round(stddev_pop(bytes_in), 6) as packet_size_std, max(bytes_in) as packet_size_max, min(bytes_in) as packet_size_min, round(coalesce(avg(gap), 0), 6) as iat_mean, round(coalesce(stddev_pop(gap), 0), 6) as iat_std, round(coalesce(max(gap), 0), 6) as iat_max, round(coalesce(min(gap), 0), 6) as iat_min, count(*) filter (where (flags & 2) <> 0) as syn_count, count(*) filter (where (flags & 1) <> 0) as fin_count, count(*) filter (where (flags & 4) <> 0) as rst_count, count(*) filter (where (flags & 16) <> 0) as ack_count, round((max(ts_us) - min(ts_us)) / 1000000.0::double, 6) as duration from g group by source, protocol",
@@ -390,7 +396,7 @@ select tenant, total_alerts, high_severity, medium_severity, low_severity, block
     "error_stats": "with e as (select label, list_sum(list_transform(embedding, lambda x: x::double * x::double)) as err from embeddings) select label, count(*) as n, round(avg(err), 6) as mean, round(stddev_pop(err), 6) as std from e group by label",
     "report_security_summary": f"{_A} select ts_us - ts_us % {DAY} as day_us, count(*) as alerts, count(*) filter (where decision = 'Block') as blocks, count(*) filter (where decision = 'Escalate') as escalations, max(score) as max_score, count(distinct source) as sources from alerts group by 1",
     "report_alert_analysis": f"{_A} select case when grouping(attack_class) = 1 then 'all' else attack_class end as attack_class, case when grouping(severity) = 1 then 'all' else severity end as severity, count(*) as alerts, round(avg(score), 6) as mean_score from alerts group by cube(attack_class, severity)",
-    "report_network_traffic": f"{_F} select protocol, count(*) as events, cast(sum(bytes_in) as bigint) as bytes, round(sum(bytes_in) / sum(sum(bytes_in)) over () * 100, 6) as bytes_pct from flows group by protocol",
+    "report_network_traffic": f"{_F}, p as (select 'protocol' as part, cast(protocol as varchar) as name, count(*) as events, cast(sum(bytes_in) as bigint) as bytes from flows group by protocol), w as (select 'talker' as part, source as name, count(*) as events, cast(sum(bytes_in) as bigint) as bytes from flows group by source order by 4 desc, 2 limit 20) select *, round(bytes / (select sum(bytes_in) from flows) * 100, 6) as bytes_pct from (select * from p union all select * from w)",
     "report_threat_intel": f"{_A} select source, count(*) as alerts, count(distinct attack_class) as classes, count(distinct destination) as targets, max(score) as max_score, min(ts_us) as first_us, max(ts_us) as last_us from alerts group by source order by alerts desc, source limit 20",
     "device_enrich": f"{_A} select event_id, device, case when device = 'dev_7' then 'unknown' else concat('sensor ', device) end as device_name from alerts",
     "device_auth_filter": f"{_F} select event_id, device from flows where k % 7 <> 0 and k % 5 <> 0",

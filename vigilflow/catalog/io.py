@@ -101,7 +101,7 @@ def detect_format(spark, sf):
     docs = t.table(spark, sf, "documents")
     header = F.expr(
         "case doc_id % 4 when 0 then concat('flow_id,src_ip,', source, ',label') when 1 then concat('timestamp,source_ip,', source)"
-        " when 2 then concat('flow_id,', source) else substring(text, 1, 40) end")
+        " when 2 then concat('flow_id,', source) else substring_index(text, '\\n', 1) end")
     return docs.select("doc_id", flow_csv.detect_format(header).alias("format"))
 
 
@@ -241,7 +241,8 @@ def memory_snapshot(spark, sf):
     path = fresh(spark, "memory")
     mem.save_memory(_memory(spark, sf), path)
     back = mem.load_memory(spark, path)
-    return back.select("scope", "scope_key", "record_id", F.size("vector").alias("width"), r6("score").alias("score"))
+    weighed = F.aggregate(F.transform("vector", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return back.select("scope", "scope_key", "record_id", F.size("vector").alias("width"), r6(weighed).alias("weighed"), r6("score").alias("score"))
 
 
 # ---- packets ---------------------------------------------------------------------------------
@@ -302,7 +303,7 @@ ORACLE = {
     "flow_to_event": f"{_F} select source, destination, cast(port_src as integer) as port_src, cast(case when k % 13 = 0 then 0 else port_dst end as integer) as port_dst, cast(case protocol when 6 then 6 when 17 then 17 else 0 end as integer) as protocol, packets_total as bytes_in, packets_total, bytes_fwd, syn_count, {_LABEL} as label, round({_RATE}, 6) as rate_hz, round({_ENT}, 6) as entropy, round(packet_size_mean, 6) as packet_size_mean, round(case when k % 17 = 0 then 0 else iat_std end, 6) as iat_std, round(k / 10.0::double, 6) as duration from flows where k not in (42, 43)",
     "label_extract": f"{_F} select 'FlowCSV' as format, {_LABEL} as label, count(*) as rows from flows where k not in (42, 43) group by all union all select 'CyberLog', case when k % 2 = 0 then 'normal' else 'malware' end, count(*) from flows where type = 'log' group by all",
     "map_flow_columns": f"{_F} select 'FlowCSV' as format, cast(20 as integer) as fields, count(*) as rows, count(*) as sources, count(*) as durations, 0::bigint as threats, 0::bigint as transfers from flows where k not in (42, 43) union all select 'CyberLog', 7, count(*), count(*), count(*), count(*), count(*) from flows where type = 'log'",
-    "detect_format": "select doc_id, case when starts_with(h, 'flow_id,') and contains(h, ',label') then 'FlowCSV' when starts_with(h, 'timestamp,source_ip,') then 'CyberLog' else 'Unknown' end as format from (select doc_id, case doc_id % 4 when 0 then concat('flow_id,src_ip,', source, ',label') when 1 then concat('timestamp,source_ip,', source) when 2 then concat('flow_id,', source) else substr(text, 1, 40) end as h from documents)",
+    "detect_format": "select doc_id, case when starts_with(h, 'flow_id,') and contains(h, ',label') then 'FlowCSV' when starts_with(h, 'timestamp,source_ip,') then 'CyberLog' else 'Unknown' end as format from (select doc_id, case doc_id % 4 when 0 then concat('flow_id,src_ip,', source, ',label') when 1 then concat('timestamp,source_ip,', source) when 2 then concat('flow_id,', source) else split_part(text, chr(10), 1) end as h from documents)",
     "multi_file_scan": f"{_F}, f as (select 'flows' as file, k % 10 > 1 as ok from flows where k not in (42, 43) union all select 'logs', k % 2 = 0 from flows where type = 'log') select coalesce(file, 'all') as folder, count(*) as rows, count(*) filter (where ok) as benign, count(*) filter (where not ok) as attack from f group by rollup(file)",
     "row_cap": f"{_F} select event_id, tenant from flows qualify row_number() over (partition by tenant order by ts_us, event_id) <= 100",
     "replay_stream": f"{_F}, e as (select {_LABEL} as label, {_ENT} as score from flows where k not in (42, 43)) select label, {_DEC} as decision, count(*) as events, round(sum(score), 6) as entropy from e group by all",
@@ -317,7 +318,7 @@ ORACLE = {
     "rules_export": f"with {t.RULES_SQL} select sid, name, category, severity, enabled from rules",
     "rules_import": f"with {t.RULES_SQL} select (select max(sid) from rules) + row_number() over (order by id) as sid, concat('copy of ', name) as name, category from rules where category = 'Scan'",
     "telemetry_export": f"{_A} select tenant, count(*) as events_total, count(*) filter (where decision = 'Alert') as alerts_total, count(*) filter (where decision = 'Block') as blocks_total from alerts group by tenant",
-    "memory_snapshot": f"with {MEM_SQL} select scope, scope_key, record_id, cast(len(v) as integer) as width, round(score, 6) as score from memory",
+    "memory_snapshot": f"with {MEM_SQL} select scope, scope_key, record_id, cast(len(v) as integer) as width, round(list_sum([v[i] * i for i in range(1, len(v) + 1)]), 6) as weighed, round(score, 6) as score from memory",
     "packet_decode": f"{_F} select event_id, case when k % 5 = 0 then concat('2001:db8::', printf('%x', cast(split_part(source, '.', 1) as bigint) * 256 + cast(split_part(source, '.', 2) as bigint)), ':', printf('%x', cast(split_part(source, '.', 3) as bigint) * 256 + cast(split_part(source, '.', 4) as bigint))) else source end as source, case when k % 5 = 0 then concat('2001:db8::', printf('%x', cast(split_part(destination, '.', 1) as bigint) * 256 + cast(split_part(destination, '.', 2) as bigint)), ':', printf('%x', cast(split_part(destination, '.', 3) as bigint) * 256 + cast(split_part(destination, '.', 4) as bigint))) else destination end as destination, cast(protocol as integer) as protocol, cast(case when k = 8 or protocol = 1 then 0 else port_src end as integer) as port_src, cast(case when k = 8 or protocol = 1 then 0 else port_dst end as integer) as port_dst, cast(case when protocol = 6 and k <> 8 then flags else 0 end as integer) as flags, cast(case when k = 8 then 36 else 14 + case when k % 5 = 0 then 40 else 20 end + case protocol when 6 then 20 else 8 end + k % 7 end as bigint) as size from flows where k <> 7",
     "payload_entropy": "with h as (select doc_id, hex(encode(text)) as h from documents), b as (select doc_id, unnest(regexp_extract_all(h, '..')) as b from h) select doc_id, round(entropy(b) / 8, 6) as entropy from b group by doc_id",
 }

@@ -125,10 +125,11 @@ def newest(df: DataFrame, n: int, order: tuple[str, ...] = ("ts_us", "event_id")
 
 
 def page(df: DataFrame, number: int, size: int, order: tuple[str, ...] = ("ts_us", "event_id")) -> DataFrame:
-    """One newest-first page; the total is a separate count."""
+    """One newest-first page; every row also has the `total` of all rows."""
     if number < 1 or not 1 <= size <= 200:
         raise ValueError("pages start at 1 and hold up to 200 rows")
-    return df.orderBy(*[F.col(c).desc() for c in order]).offset((number - 1) * size).limit(size)
+    rows = df.orderBy(*[F.col(c).desc() for c in order]).offset((number - 1) * size).limit(size)
+    return rows.join(F.broadcast(df.agg(F.count(F.lit(1)).alias("total"))), F.lit(True))
 
 
 def log_stats(lg: DataFrame) -> DataFrame:
@@ -202,6 +203,9 @@ def rule_hits(matches: DataFrame, rules: DataFrame) -> DataFrame:
     return rules.join(hits, rules["id"] == hits["rule_id"], "left").drop("rule_id").na.fill(0, ["triggers"])
 
 
-def decision_counts(al: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+def decision_counts(al: DataFrame, keys: tuple[str, ...] = (), include_suppressed: bool = True) -> DataFrame:
+    """Alerts by decision; without `include_suppressed`, rows marked `suppressed` are left out."""
+    if not include_suppressed and "suppressed" in al.columns:
+        al = al.filter(~F.coalesce(F.col("suppressed"), F.lit(False)))
     of = lambda d: F.count_if(F.col("decision") == d)
     return al.groupBy(*keys).agg(of("Alert").alias("alerts"), of("Block").alias("blocks"), of("Escalate").alias("escalations"))

@@ -7,13 +7,14 @@ consecutive chunks that run in different tasks. Chunks of a hot key are first
 run side by side from an empty state; a chunk whose predecessor turns out to end in another
 state than it assumed is run again from the right one, until nothing changes. State that is
 forgotten quickly settles after a round or two, and the result always equals the sequential run:
-after round r the first r chunks are final.
+after round r the first r chunks are final. Running numbers never settle; a step names them in
+`additive` (name -> period after which the number means the same, or None if nothing depends on it),
+and chunks get them as sums of what the chunks before them have added.
 """
 
 from __future__ import annotations
 
 import json
-import math
 import re
 from collections.abc import Callable, Iterator, Sequence
 from typing import NamedTuple
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import cut
+from .salted import checked
 from .sliced import ORDER, slice_number
 
 # step(columns of rows in time order, state or None) -> (new columns, state); a new column named
@@ -37,27 +39,38 @@ FINE_S = 60.0
 
 
 def dump_state(state: object) -> str:
-    """State as text; floats keep twelve digits, far more than results show."""
-
-    def short(v):
-        if isinstance(v, float):
-            return v if math.isinf(v) or math.isnan(v) else float(f"{v:.12g}")
-        if isinstance(v, dict):
-            return {k: short(x) for k, x in v.items()}
-        if isinstance(v, (list, tuple)):
-            return [short(x) for x in v]
-        return v
-
-    return json.dumps(short(state))
+    """State as text; floats keep every digit, so a carried state is the very same."""
+    return json.dumps(state)
 
 
 def load_state(text: str | None) -> object:
     return None if text is None or pd.isna(text) else json.loads(text)
 
 
+def _additive(step: Step) -> dict[str, int | None]:
+    return getattr(step, "additive", {})
+
+
+def _start(step: Step, rows: Columns) -> object:
+    """The state a chunk starts from: what it carries and the running numbers."""
+    state = load_state(rows["_carry"][0])
+    if state is not None and _additive(step):
+        state = state | dict(zip(_additive(step), map(int, rows["_base"][0]), strict=True))
+    return state
+
+
+def _report(step: Step, key: tuple, carry: str | None, start: object, end: object) -> list:
+    """A chunk's end: its state without running numbers, and how far those went on."""
+    names = _additive(step)
+    if not names:
+        return [*key, carry, [], dump_state(end), []]
+    before = [start[n] if start else 0 for n in names]
+    return [*key, carry, before, dump_state({k: v for k, v in end.items() if k not in names}), [end[n] - b for n, b in zip(names, before, strict=True)]]
+
+
 def _chunks(df: DataFrame, hot: DataFrame, key: list[str], max_rows: int, fine_s: float, ts: str) -> DataFrame:
     """(key, fine slice, chunk) for the slices that come after a hot key's first `max_rows` rows."""
-    fine = df.join(hot, key, "left_semi").groupBy(*key, slice_number(ts, fine_s).alias("_fine")).agg(
+    fine = df.join(checked(hot), key, "left_semi").groupBy(*key, slice_number(ts, fine_s).alias("_fine")).agg(
         F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(
         Window.partitionBy(*key).orderBy("_fine").rowsBetween(Window.unboundedPreceding, -1)
@@ -133,7 +146,7 @@ def _walk(step: Step, group: list[str], names: list[str]):
                 parts = {n: [] for n in names}
                 continue
             if key != current:
-                current, state = key, load_state(rows["_carry"][0]) if "_carry" in rows else None
+                current, state = key, _start(step, rows) if "_carry" in rows else None
             added, state = step(rows, state)
             for n, v in pick(rows, added, names).items():
                 parts[n].append(v)
@@ -145,20 +158,21 @@ def _last_states(step: Step, group: list[str]):
     """A mapInPandas function that reports the state each group starts from and ends in."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, carry, state, done = None, None, None, []
+        current, carry, start, state, done = None, None, None, None, []
         for key, rows in _runs(batches, group):
             if not rows:
                 continue
             if key != current:
                 if current is not None:
-                    done.append([*current, carry, dump_state(state)])
+                    done.append(_report(step, current, carry, start, state))
                 carry = None if pd.isna(rows["_carry"][0]) else rows["_carry"][0]
-                current, state = key, load_state(carry)
+                current, start = key, _start(step, rows)
+                state = start
             state = step(rows, state)[1]
         if current is not None:
-            done.append([*current, carry, dump_state(state)])
+            done.append(_report(step, current, carry, start, state))
         if done:
-            yield pd.DataFrame(done, columns=[*group, "_carry", "_end"])
+            yield pd.DataFrame(done, columns=[*group, "_carry", "_base", "_end", "_adds"])
 
     return run
 
@@ -187,33 +201,48 @@ def fold_by_key(
 
     rows = (
         df.withColumn("_fine", slice_number(order[0], plan.fine_s))
-        .join(plan.later, [*key, "_fine"], "left").drop("_fine")
+        .join(checked(plan.later), [*key, "_fine"], "left").drop("_fine")
         .withColumn("_chunk", F.coalesce("_chunk", F.lit(0).cast("long")))
     )
     carries = _settle(rows, plan.later, key, order, step)
     group = [*key, "_chunk"]
-    joined = rows.join(carries, group, "left")
+    joined = rows.join(checked(carries), group, "left")
     return _sorted(joined, group, order).mapInPandas(_walk(step, group, names), schema)
 
 
+settle_rounds = 0  # how often the chunks of the last fold were run before they settled
+
+
 def _settle(rows: DataFrame, later: DataFrame, key: list[str], order: list[str], step: Step) -> DataFrame:
     """The state each chunk of the hot keys starts from. Only small per-chunk rows are kept."""
-    hot = cut(rows.join(later.select(*key).distinct(), key, "left_semi"))
+    global settle_rounds
+    hot = cut(rows.join(checked(cut(later.select(*key).distinct())), key, "left_semi"))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     group = [*key, "_chunk"]
-    schema = ", ".join([f"`{c}` {kinds[c]}" for c in group] + ["_carry string", "_end string"])
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in group] + ["_carry string", "_base array<bigint>", "_end string", "_adds array<bigint>"])
 
     ends = _last_states(step, group)
 
     def run(part: DataFrame) -> DataFrame:
         return _sorted(part, group, order).mapInPandas(ends, schema)
 
-    done = cut(run(hot.withColumn("_carry", F.lit(None).cast("string"))))
+    done = cut(run(hot.withColumn("_carry", F.lit(None).cast("string")).withColumn("_base", F.lit(None).cast("array<bigint>"))))
     by = Window.partitionBy(*key).orderBy("_chunk")
+    before = by.rowsBetween(Window.unboundedPreceding, -1)
+    periods = list(_additive(step).values())
+    sums = [F.coalesce(F.sum(F.get("_adds", F.lit(i))).over(before), F.lit(0)) for i in range(len(periods))]
+    right_base = F.array(*sums).cast("array<bigint>")
+    settle_rounds = 1
     while True:
-        checked = done.withColumn("_right", F.lag("_end").over(by))
-        wrong = cut(checked.filter(~F.col("_carry").eqNullSafe(F.col("_right"))).select(*group, "_right"))
+        compared = done.withColumn("_right", F.lag("_end").over(by)).withColumn("_right_base", right_base)
+        off = ~F.col("_carry").eqNullSafe(F.col("_right"))
+        for i, period in enumerate(periods):
+            if period:
+                mine = F.coalesce(F.get("_base", F.lit(i)), F.lit(0))
+                off = off | (F.pmod(mine, F.lit(period)) != F.pmod(F.get("_right_base", F.lit(i)), F.lit(period)))
+        wrong = cut(compared.filter(off).select(*group, "_right", "_right_base"))
         if wrong.isEmpty():
-            return done.select(*group, "_carry")
-        again = run(hot.join(wrong.withColumnRenamed("_right", "_carry"), group))
+            return cut(compared.select(*group, "_carry", F.col("_right_base").alias("_base")))
+        again = run(hot.join(checked(wrong.withColumnsRenamed({"_right": "_carry", "_right_base": "_base"})), group))
         done = cut(done.join(wrong, group, "left_anti").unionByName(again))
+        settle_rounds += 1

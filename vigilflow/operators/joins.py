@@ -2,60 +2,45 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..params import FusionWeights
+from ..session import cut
 from .salted import salted_join
 
-RULE_LIMIT = 5_000
+RULE_PART = 5_000
 
 
-def match_rules(ev: DataFrame, rules: DataFrame, score: str = "score", spread: str = "event_id") -> DataFrame:
+def match_rules(ev: DataFrame, rules: DataFrame, score: str = "score") -> DataFrame:
     """Per event, the names of enabled rules it meets, ordered by rule id.
 
-    A rule matches by score (its name) and by its address pattern (its name with `:ip`). Up to
-    `RULE_LIMIT` rules travel as sorted arrays in one row: the score rules met are a prefix of the
-    rules by threshold, and only rules with a pattern are tested against the address. No row is
-    multiplied and nothing is shuffled. A larger table falls back to a join on the condition.
+    A rule matches by score (its name) and by its address pattern (its name with `:ip`); a null
+    threshold or pattern matches nothing. Rules travel in order of their ids as arrays of at most
+    `RULE_PART`, one broadcast row each, and every event filters them in turn, so no row is
+    multiplied or shuffled and any number of rules gives the same result.
     """
-    live = rules.filter("enabled").select("id", "name", "threshold", "pattern")
-    size = live.limit(RULE_LIMIT + 1).count()
-    if size > RULE_LIMIT:
-        return _match_by_join(ev, live, score, spread)
-    levels = live.groupBy("threshold").agg(F.count(F.lit(1)).alias("n"))
-    table = live.agg(
-        F.sort_array(F.collect_list(F.struct("threshold", "id", "name"))).alias("_by"),
-        F.collect_list(F.when(F.col("pattern") != "", F.struct("id", "name", "pattern"))).alias("_patterns"),
-    ).join(levels.agg(F.sort_array(F.collect_list(F.struct("threshold", "n"))).alias("_levels")), F.lit(True))
-    s, low = F.col(score), F.get("_levels", F.lit(0))["threshold"]
-    met = F.aggregate(
-        F.filter("_levels", lambda x: x["threshold"] <= s), F.lit(0).cast("long"), lambda a, x: a + x["n"])
-    named = ev.join(F.broadcast(table), F.lit(True)).withColumn(
-        "_met", F.when(s >= low, met).otherwise(0).cast("int")
-    ).withColumn("_addr", F.filter("_patterns", lambda r: F.col("source").contains(r["pattern"])))
-    found = F.sort_array(F.concat(
-        F.transform(F.slice("_by", F.lit(1), F.col("_met")), lambda r: F.struct(r["id"].alias("id"), F.lit(0).alias("o"), r["name"].alias("name"))),
-        F.transform("_addr", lambda r: F.struct(r["id"].alias("id"), F.lit(1).alias("o"), F.concat(r["name"], F.lit(":ip")).alias("name"))),
-    ))
-    none = F.array().cast("array<string>")
-    names = F.when((F.col("_met") == 0) & (F.size("_addr") == 0), none).otherwise(F.transform(found, lambda r: r["name"]))
-    return named.withColumn("rules", names).drop("_by", "_patterns", "_levels", "_met", "_addr")
-
-
-def _match_by_join(ev: DataFrame, live: DataFrame, score: str, spread: str) -> DataFrame:
-    """The same for rule tables beyond the bound: pairs are made only where a rule is met."""
-    left, right = ev.select(spread, score, "source").alias("e"), live.alias("r")
-    s = F.col(f"e.{score}") >= F.col("r.threshold")
-    t = (F.col("r.pattern") != "") & F.col("e.source").contains(F.col("r.pattern"))
-    hit = left.join(right, s | t).select(
-        F.col(f"e.{spread}").alias(spread), F.col("r.id").alias("id"),
-        F.filter(F.array(F.when(s, F.col("r.name")), F.when(t, F.concat(F.col("r.name"), F.lit(":ip")))),
-                 lambda n: n.isNotNull()).alias("names"),
-    )
-    found = hit.groupBy(spread).agg(F.sort_array(F.collect_list(F.struct("id", "names"))).alias("h"))
-    packed = found.select(spread, F.flatten(F.col("h.names")).alias("rules"))
-    return ev.join(packed, spread, "left").withColumn("rules", F.coalesce("rules", F.array().cast("array<string>")))
+    live = cut(rules.filter("enabled").select("id", "name", "threshold", "pattern"))
+    out = ev.withColumn("rules", F.array().cast("array<string>"))
+    parts = max(1, math.ceil(live.count() / RULE_PART))
+    # ranges of ids with about as many rules each; equal ids stay together
+    edges = live.approxQuantile("id", [i / parts for i in range(1, parts)], 0.0) if parts > 1 else []
+    for low, high in zip([None, *edges], [*edges, None], strict=True):
+        inside = F.lit(True)
+        if low is not None:
+            inside = inside & (F.col("id") > low)
+        if high is not None:
+            inside = inside & (F.col("id") <= high)
+        some = live.filter(inside).agg(F.sort_array(F.collect_list(F.struct("id", "name", "threshold", "pattern"))).alias("_some"))
+        by_score = lambda r: F.coalesce(r["threshold"] <= F.col(score), F.lit(False))
+        by_address = lambda r: F.coalesce((r["pattern"] != "") & F.col("source").contains(r["pattern"]), F.lit(False))
+        met = F.filter("_some", lambda r: by_score(r) | by_address(r))
+        names = F.transform(met, lambda r: F.when(by_score(r) & by_address(r), F.array(r["name"], F.concat(r["name"], F.lit(":ip"))))
+                            .when(by_score(r), F.array(r["name"])).otherwise(F.array(F.concat(r["name"], F.lit(":ip")))))
+        out = out.join(F.broadcast(some), F.lit(True)).withColumn("rules", F.concat("rules", F.flatten(names))).drop("_some")
+    return out
 
 
 def rule_matches(matched: DataFrame, rules: DataFrame) -> DataFrame:

@@ -20,3 +20,15 @@ def salted_join(
     left = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*on, "_salt"], how).drop("_salt")
+
+
+BROADCAST_ROWS = 50_000
+
+
+def checked(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A broadcast hint for a materialised table of at most `rows` rows.
+
+    A larger table gets no hint: its join shuffles, and adaptive execution splits a hot key of the
+    other side.
+    """
+    return F.broadcast(small) if small.limit(rows + 1).count() <= rows else small

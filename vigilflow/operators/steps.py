@@ -6,9 +6,9 @@ returns the columns it adds and the new state. States are plain numbers, lists a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-
 import numpy as np
 
 from ..params import (
@@ -63,6 +63,8 @@ def rolling_step(rows: dict, state) -> tuple[dict, object]:
 class SegmentStep:
     """Flush a source's segment on count, mean score, age, session end or a change of type."""
 
+    additive = {"segment": None}
+
     def __init__(self, p: FlushParams = FlushParams()):
         self.p = p
 
@@ -133,6 +135,7 @@ class HierarchyStep:
 
     def __init__(self, p: RoutingParams = RoutingParams(), ssm: SsmParams = SsmParams(), dim: int = SSM_DIM):
         self.p, self.ssm, self.dim = p, ssm, dim
+        self.additive = {"tick": math.lcm(p.mid_tick, p.global_tick, p.top_tick)}
 
     def __call__(self, rows: dict, state):
         p, zero = self.p, [0.0] * self.dim
@@ -148,7 +151,7 @@ class HierarchyStep:
             y[level] = self.ssm.c * h[level] + self.ssm.d * x
 
         for vec, trend, peak in zip(rows["state"], rows["trend"].tolist(), rows["last_score"].tolist()):
-            seen += 1
+            seen = min(seen + 1, p.min_segments)  # no rule asks for more
             force = peak > p.force_anomaly
             skip = trend < p.skip_threshold and seen < p.min_segments and not force
             routes.append("force" if force else "skip" if skip else "pass")
@@ -178,6 +181,9 @@ class HierarchyStep:
 
 # ---- decisions -------------------------------------------------------------------------------
 
+LONG_AGO = -(1 << 62)
+
+
 class DecisionStep:
     """Overrides, hysteresis, cooldown and learning mode per source; null `final` means silent."""
 
@@ -206,7 +212,13 @@ class DecisionStep:
                 d = "Alert"
             if seen is not None and (ts - seen) / US > p.repeat_window_s:
                 n, first = 0, None
-            n, first, seen = n + 1, ts if first is None else first, ts
+            if first is not None and (ts - first) / US > p.repeat_window_s:
+                n, first = 0, LONG_AGO  # no longer a repeat until the source has been quiet
+            elif first is None:
+                n, first = min(1, p.repeat_n), ts
+            else:
+                n = min(n + 1, p.repeat_n)  # no rule asks for more
+            seen = ts
             last, at = d, ts
             finals.append(d)
         return {"final": finals}, {"last": last, "at": at, "n": n, "first": first, "seen": seen}

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..params import FLAG_FIN, FLAG_RST, FLAG_SYN, US
+from ..session import cut
 from . import dashboards
+from .ranks import values_at_ranks
 from .sliced import drop_halo, sliced_window, with_row_halo
 
 BUCKET_US, BUCKET_COUNT = 100, 256  # fixed values of the latency histogram
@@ -44,16 +46,11 @@ def latency_histogram(df: DataFrame, stage: str, us: str) -> DataFrame:
 
 
 def latency_stats(df: DataFrame, stage: str, us: str) -> DataFrame:
-    """Average, peak and 99th percentile per stage; the percentile is the upper edge of the
-    histogram bucket it falls in, so 256 counters per stage are all that moves.
-    """
-    h = latency_histogram(df, stage, us)
-    w = Window.partitionBy(stage)
-    h = h.withColumn("_cum", F.sum("n").over(w.orderBy("bucket"))).withColumn("_all", F.sum("n").over(w))
-    return h.groupBy(stage).agg(
-        F.sum("n").alias("samples"), (F.sum("_sum") / F.sum("n")).alias("avg_us"), F.max("_max").alias("peak_us"),
-        F.min(F.when(F.col("_cum") >= F.ceil(F.col("_all") * 0.99), (F.col("bucket") + 1) * BUCKET_US)).alias("p99_us"),
-    )
+    """Average, peak and the exact 99th percentile (the value that 99 % of a stage's samples do not exceed)."""
+    sums = cut(df.groupBy(stage).agg(F.count(us).alias("samples"), F.avg(us).alias("avg_us"), F.max(us).alias("peak_us")))
+    ranks = sums.filter("samples > 0").select(stage, (F.ceil(F.col("samples") * 0.99) - 1).cast("long").alias("rank"))
+    at = values_at_ranks(df, [stage], us, ranks).select(stage, F.col("value").alias("p99_us"))
+    return sums.join(at, stage, "left")
 
 
 def rates(counters: DataFrame, key: list[str], names: list[str], slice_s: float, order: tuple[str, str]) -> DataFrame:
@@ -116,6 +113,17 @@ def protocol_mix(ev: DataFrame) -> DataFrame:
     return per.withColumn("bytes_pct", F.col("bytes") / whole * 100)
 
 
+def network_traffic(ev: DataFrame, k: int = 20) -> DataFrame:
+    """The protocol mix beside the `k` sources with the most bytes, as rows (part, name, events, bytes, bytes_pct)."""
+    mix = protocol_mix(ev).select(F.lit("protocol").alias("part"), F.col("protocol").cast("string").alias("name"), "events", "bytes", "bytes_pct")
+    whole = ev.agg(F.sum("bytes").alias("_all"))
+    talkers = ev.groupBy("src_ip").agg(F.count(F.lit(1)).alias("events"), F.sum("bytes").alias("bytes")).orderBy(
+        F.col("bytes").desc(), "src_ip").limit(k)
+    named = talkers.join(F.broadcast(whole), F.lit(True)).select(
+        F.lit("talker").alias("part"), F.col("src_ip").alias("name"), "events", "bytes", (F.col("bytes") / F.col("_all") * 100).alias("bytes_pct"))
+    return mix.unionByName(named)
+
+
 def threat_intel(al: DataFrame, k: int = 20) -> DataFrame:
     """The most harmful sources: classes used, destinations hit, worst score."""
     per = al.groupBy("source").agg(
