@@ -162,3 +162,14 @@ def test_sql_functions_equal_columns(spark, sf_dir):
         " + if(size(rules) > 0, 0.05D, 0D) as g from signals) s join alerts d using (event_id)").first()
     assert got.n > 0 and got.a == 0 and got.b == 0
     assert spark.sql("select round(vector_cosine(array(1D, 0D), array(1D, 1D)), 6) as c, protocol_name(58) as p, is_benign_label('NORMAL') as b").first() == (0.707107, "ICMPv6", True)
+
+
+def test_only_the_first_line_is_a_header(spark, tmp_path):
+    """Lines that look like a header are data; each file has its own first line."""
+    from vigilflow.sources import flow_csv
+
+    (tmp_path / "a.csv").write_text("flow_id,src_ip,dst_ip,src_port,label\n1,10.0.0.1,10.0.0.2,443,benign\nflow_id,x,y,1,attack,label\n")
+    (tmp_path / "b.csv").write_text("timestamp,source_ip,dest_ip,protocol,action\nt,10.0.0.3,10.0.0.4,TCP,allow\nflow_id,a,b,c,label\n")
+    (tmp_path / "c.csv").write_text("1,2,3,4,5\nflow_id,src_ip,dst_ip,src_port,label\n1,9.9.9.9,10.0.0.2,443,benign\n")
+    rows = sorted((r.format, r.src_ip) for r in flow_csv.read_flow_csv(spark, str(tmp_path)).collect())
+    assert rows == [("CyberLog", "10.0.0.3"), ("CyberLog", "a"), ("FlowCSV", "10.0.0.1"), ("FlowCSV", "x")]

@@ -294,16 +294,16 @@ def _spec(name):
 SPEC_SQL = {
     "portscan": ("PortScan", "(flags & 2) <> 0", "0.6", "'Log'", "''", "type = 'net' and (flags & 2) <> 0"),
     "bruteforce": ("BruteForce", "type = 'auth' and (flags & 1) <> 0", "0.8", "'Alert'", "''", "type = 'auth' or port_dst in (22, 21)"),
-    "webexploit": ("WebExploit", "entropy > 0.8", "0.75", "'Block'", "'High entropy web payload detected'", "port_dst in (80, 443, 8080)"),
-    "ransomware": ("Ransomware", "type = 'file' and entropy > 0.95", "0.9", "'Block'", "'Encrypted file write detected'", "type = 'file' or entropy > 0.9"),
-    "insider": ("Insider", "bytes_out > 50000", "0.65", "'Escalate'", "'Large data egress by internal source'", "source <> ''"),
-    "zeroday": ("ZeroDay", "entropy > 0.7 and rate_hz > 1000", "0.7", "'Alert'", "'Unknown behavioral drift detected'", "entropy > 0.7 and rate_hz > 1000"),
-    "mitre": ("MITRE-T1059", "type = 'log' and entropy > 0.85", "0.8", "'Escalate'", "'Matched Technique T1059 (Execution)'", "true"),
+    "webexploit": ("WebExploit", "entropy > 0.8", "0.75", "'Block'", "'web request whose payload looks random'", "port_dst in (80, 443, 8080)"),
+    "ransomware": ("Ransomware", "type = 'file' and entropy > 0.95", "0.9", "'Block'", "'file rewritten with random-looking content'", "type = 'file' or entropy > 0.9"),
+    "insider": ("Insider", "bytes_out > 50000", "0.65", "'Escalate'", "'much data sent out'", "source <> ''"),
+    "zeroday": ("ZeroDay", "entropy > 0.7 and rate_hz > 1000", "0.7", "'Alert'", "'fast and random traffic of no known kind'", "entropy > 0.7 and rate_hz > 1000"),
+    "mitre": ("MITRE-T1059", "type = 'log' and entropy > 0.85", "0.8", "'Escalate'", "'log of a command run, T1059'", "true"),
     "ddos": (
         "DDoS", "rate_hz > 100",
         "case when rate_hz > 1000 then least(0.95, 0.3 + rate_hz / 10000) else 0.4 end",
         "case when rate_hz > 1000 and least(0.95, 0.3 + rate_hz / 10000) > 0.75 then 'Block' when rate_hz > 1000 then 'Alert' else 'Log' end",
-        "case when rate_hz > 1000 then 'High rate DDoS pattern detected' else 'Elevated rate, monitoring' end", "true",
+        "case when rate_hz > 1000 then 'request rate of a flood' else 'raised request rate' end", "true",
     ),
 }
 

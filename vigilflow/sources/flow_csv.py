@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scores
+from ..operators.salted import checked
 from ..operators.sliced import newest_per_key
+from ..session import cut
 
 # Header names and the field each fills; the last column to match a field wins.
 HEADER_FIELDS = {
@@ -55,7 +57,8 @@ def split_line(line: Column) -> Column:
 
 def _lines(spark: SparkSession, paths: str | list[str], stream: bool = False) -> DataFrame:
     reader = spark.readStream if stream else spark.read
-    raw = reader.text(paths).select(F.col("_metadata.file_path").alias("file"), F.rtrim(F.col("value"), F.lit("\r\n")).alias("line"))
+    raw = reader.text(paths).select(
+        F.col("_metadata.file_path").alias("file"), (F.col("_metadata.file_block_start") == 0).alias("_head"), F.rtrim(F.col("value"), F.lit("\r\n")).alias("line"))
     return raw.filter(F.col("line") != "")
 
 
@@ -73,11 +76,12 @@ def _positions(header: Column) -> list[Column]:
 def parse_lines(lines: DataFrame, headers: DataFrame) -> DataFrame:
     """Field columns (text), `format`, `file` and `present` fields of every data line.
 
-    `headers` is one row per file (file, header): as small as the file list.
+    `headers` is one row per file (file, header): as small as the file list. Lines that repeat
+    their file's header are no data; other lines that look like a header are.
     """
-    known = headers.select("file", detect_format(F.col("header")).alias("format"), F.struct(*_positions(F.col("header"))).alias("_at"))
-    body = lines.filter(detect_format(F.col("line")) == "Unknown").withColumn("_cols", split_line(F.col("line")))
-    body = body.filter(F.size("_cols") >= MIN_COLUMNS).join(known, "file").filter(F.col("format") != "Unknown")
+    known = cut(headers.select("file", "header", detect_format(F.col("header")).alias("format"), F.struct(*_positions(F.col("header"))).alias("_at")))
+    body = lines.join(checked(known), "file").filter((F.col("format") != "Unknown") & (F.col("line") != F.col("header")))
+    body = body.withColumn("_cols", split_line(F.col("line"))).filter(F.size("_cols") >= MIN_COLUMNS)
     return body.select(
         "file", "format", *[F.get("_cols", F.col(f"_at.{f}")).alias(f) for f in FIELDS],
         F.filter(F.array(*[F.when(F.col(f"_at.{f}").isNotNull(), F.lit(f)) for f in FIELDS]), lambda f: f.isNotNull()).alias("present"),
@@ -85,7 +89,9 @@ def parse_lines(lines: DataFrame, headers: DataFrame) -> DataFrame:
 
 
 def headers_of(lines: DataFrame) -> DataFrame:
-    return lines.filter(detect_format(F.col("line")) != "Unknown").groupBy("file").agg(F.first("line").alias("header"))
+    """The first line of each file; a task reads the lines of a file's first block in order."""
+    numbered = lines.filter("_head").withColumn("_no", F.monotonically_increasing_id())
+    return numbered.groupBy("file").agg(F.min_by("line", "_no").alias("header"))
 
 
 def read_flow_csv(spark: SparkSession, paths: str | list[str], header: str | None = None) -> DataFrame:
