@@ -1,6 +1,7 @@
 """Streams over several files equal the batch run; repeats and late rows are handled."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -84,3 +85,19 @@ def test_batch_is_replaced_not_repeated(spark, files, tmp_path):
     for c in ("c1", "c2"):  # the same batch again, as after a lost checkpoint
         once(c).trigger(availableNow=True).start().awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "o")).count() == 60
+
+
+def test_metrics_sink_hears_every_batch(spark, tmp_path):
+    write(spark, tmp_path / "in", [[(i, i * S, "a", "t", 0.5)] * (i + 1) for i in range(3)])
+    heard = []
+    sink = alerts.MetricsSink(lambda name, batch, rows, rate: heard.append((batch, rows)))
+    spark.streams.addListener(sink)
+    try:
+        drain(spark, read(spark, tmp_path / "in"), tmp_path / "out")
+        for _ in range(100):
+            if sum(rows for _, rows in heard) >= 6:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(sink)
+    assert sorted(rows for _, rows in heard if rows) == [1, 2, 3]

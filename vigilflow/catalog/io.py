@@ -224,15 +224,18 @@ def rules_export(spark, sf):
 
 def rules_import(spark, sf):
     have = t.rules(spark, sf)
-    new = have.filter("category = 'Scan'").select(F.col("id").alias("position"), F.concat(F.lit("copy of "), "name").alias("name"), "category")
+    new = have.select(F.col("id").alias("position"), F.concat(F.lit("copy of "), "name").alias("name"), "category")
     return exports.import_rules(new, have, slice_s=0.00001).select("sid", "name", "category")
 
 
 def telemetry_export(spark, sf):
     path = fresh(spark, "telemetry")
-    exports.export_telemetry(t.alerts(spark, sf), "tenant", path)
+    ev = t.alerts(spark, sf).withColumns({"latency_us": F.col("score") * 100, "drift": F.col("score") * 5, "fault": F.col("event_id") % 50 == 0})
+    exports.export_telemetry(ev, "tenant", path)
     back = spark.read.schema("tenant string, value string").json(path)
-    return back.select("tenant", F.from_json("value", "events_total long, alerts_total long, blocks_total long").alias("v")).select("tenant", "v.*")
+    schema = "events_total long, alerts_total long, blocks_total long, latency_us_mean double, latency_us_peak double, drift_mean double, drift_peak double, faults_total long"
+    out = back.select("tenant", F.from_json("value", schema).alias("v")).select("tenant", "v.*")
+    return out.withColumns({c: r6(c) for c in out.columns if c.endswith(("_mean", "_peak"))})
 
 
 def memory_snapshot(spark, sf):
@@ -316,8 +319,8 @@ ORACLE = {
     "alert_json_sink": f"{_A} select {_ISO} as timestamp, event_id as alert_id, lower(decision) as severity, source as src, destination as dst, attack_class as class, round(score, 6) as confidence from alerts",
     "log_export_csv": f"with {t.LOGS_SQL} select concat({_ISO}, ',', type, ',', protocol, ',', src_ip, ',', src_port, ',', dst_ip, ',', dst_port, ',', coalesce(severity, 'info'), ',\"', replace(coalesce(message, ''), '\"', '\"\"'), '\",', device) as line from (select * from logs order by ts_us desc, event_id desc limit 10000) union all select 'time,type,protocol,src_ip,src_port,dst_ip,dst_port,severity,message,device'",
     "rules_export": f"with {t.RULES_SQL} select sid, name, category, severity, enabled from rules",
-    "rules_import": f"with {t.RULES_SQL} select (select max(sid) from rules) + row_number() over (order by id) as sid, concat('copy of ', name) as name, category from rules where category = 'Scan'",
-    "telemetry_export": f"{_A} select tenant, count(*) as events_total, count(*) filter (where decision = 'Alert') as alerts_total, count(*) filter (where decision = 'Block') as blocks_total from alerts group by tenant",
+    "rules_import": f"with {t.RULES_SQL} select (select max(sid) from rules) + row_number() over (order by id) as sid, concat('copy of ', name) as name, category from rules",
+    "telemetry_export": f"{_A} select tenant, count(*) as events_total, count(*) filter (where decision = 'Alert') as alerts_total, count(*) filter (where decision = 'Block') as blocks_total, round(avg(score * 100), 6) as latency_us_mean, round(max(score * 100), 6) as latency_us_peak, round(avg(score * 5), 6) as drift_mean, round(max(score * 5), 6) as drift_peak, count(*) filter (where event_id % 50 = 0) as faults_total from alerts group by tenant",
     "memory_snapshot": f"with {MEM_SQL} select scope, scope_key, record_id, cast(len(v) as integer) as width, round(list_sum([v[i] * i for i in range(1, len(v) + 1)]), 6) as weighed, round(score, 6) as score from memory",
     "packet_decode": f"{_F} select event_id, case when k % 5 = 0 then concat('2001:db8::', printf('%x', cast(split_part(source, '.', 1) as bigint) * 256 + cast(split_part(source, '.', 2) as bigint)), ':', printf('%x', cast(split_part(source, '.', 3) as bigint) * 256 + cast(split_part(source, '.', 4) as bigint))) else source end as source, case when k % 5 = 0 then concat('2001:db8::', printf('%x', cast(split_part(destination, '.', 1) as bigint) * 256 + cast(split_part(destination, '.', 2) as bigint)), ':', printf('%x', cast(split_part(destination, '.', 3) as bigint) * 256 + cast(split_part(destination, '.', 4) as bigint))) else destination end as destination, cast(protocol as integer) as protocol, cast(case when k = 8 or protocol = 1 then 0 else port_src end as integer) as port_src, cast(case when k = 8 or protocol = 1 then 0 else port_dst end as integer) as port_dst, cast(case when protocol = 6 and k <> 8 then flags else 0 end as integer) as flags, cast(case when k = 8 then 36 else 14 + case when k % 5 = 0 then 40 else 20 end + case protocol when 6 then 20 else 8 end + k % 7 end as bigint) as size from flows where k <> 7",
     "payload_entropy": "with h as (select doc_id, hex(encode(text)) as h from documents), b as (select doc_id, unnest(regexp_extract_all(h, '..')) as b from h) select doc_id, round(entropy(b) / 8, 6) as entropy from b group by doc_id",

@@ -341,6 +341,23 @@ def _fused(fuse):
     return query
 
 
+def fuse_registered(spark, sf):
+    """A detector and a strategy added to the registries, for this query only."""
+    def bulk():
+        return specialists.result("BulkTransfer", F.col("bytes_out") > 20000, 0.77, "Alert", F.lit(True), "many bytes out")
+
+    def surest(found):
+        sure = F.filter(found, lambda r: r["validated"] & (r["confidence"] > 0.7))
+        return F.struct(F.size(sure).alias("n"), F.array_join(F.array_sort(F.transform(sure, lambda r: r["attack_class"])), "+").alias("classes"))
+
+    specialists.register("bulk", bulk)
+    specialists.register_fusion("surest", surest)
+    try:
+        return t.flows(spark, sf).select("event_id", specialists.fuse("surest").alias("r")).select("event_id", "r.*")
+    finally:
+        del specialists.SPECIALISTS["bulk"], specialists.FUSIONS["surest"]
+
+
 def specialist_boost(spark, sf):
     out = scores.reason(scores.fuse_score())
     sig = t.signals(spark, sf).withColumn("attack_class", scores.classify_attack(out["confidence"]))
@@ -428,7 +445,7 @@ QUERIES = {
     "last_seen_human": last_seen_human, "drift_series": drift_series, "priority_filter": priority_filter,
     **{f"spec_{n}": _spec(n) for n in SPEC_SQL},
     "fuse_consensus": _fused(specialists.fuse_consensus), "fuse_priority": _fused(specialists.fuse_priority),
-    "specialist_boost": specialist_boost, "scalar_math": scalar_math, "scalar_text": scalar_text,
+    "fuse_registered": fuse_registered, "specialist_boost": specialist_boost, "scalar_math": scalar_math, "scalar_text": scalar_text,
     "scalar_time": scalar_time, "sql_functions": sql_functions, "signature_match": similarity_to_label, "attention_score": attention_score,
 }
 
@@ -477,6 +494,7 @@ ORACLE = {
     "priority_filter": f"{_F} select event_id, round(rate_hz, 6) as rate_hz from flows where rate_hz > 5000",
     **{f"spec_{n}": f"with {t.FLOWS_SQL} select * exclude (pos) from ({_spec_select(n)})" for n in SPEC_SQL},
     "fuse_consensus": f"with {FOUND_SQL} select event_id, attack_class, confidence, decision, details from consensus",
+    "fuse_registered": f"with {FOUND_SQL}, sure as (select event_id, attack_class from found where validated and confidence > 0.7 union all select event_id, 'BulkTransfer' from flows where bytes_out > 20000) select f.event_id, cast(count(attack_class) as integer) as n, coalesce(string_agg(attack_class, '+' order by attack_class), '') as classes from flows f left join sure s using (event_id) group by f.event_id",
     "fuse_priority": f"with {FOUND_SQL} select c.event_id, coalesce(t.g.c, attack_class) as attack_class, coalesce(t.g.f, confidence) as confidence, coalesce(t.g.d, decision) as decision, case when t.g is not null then concat('Priority Trigger (', t.g.c, '): ', t.g.t) else details end as details from consensus c left join trigger t using (event_id)",
     "specialist_boost": f"with {FOUND_SQL}, {t.SIGNALS_SQL.split('from b), ', 1)[1]}, {REASON_SQL}, judged as (select event_id, confidence, case when confidence < 0.2 then 'Ignore' else {DECIDE.format('confidence')} end as decision, {CLASS_SQL.format('confidence')} as attack_class from reasoned), raised as (select j.*, b.b.c as spec, coalesce(confidence > 0 and b.b.f > 0.3, false) as hit, least(1, confidence + coalesce(b.b.f, 0) * 0.5) as conf2 from judged j left join best b using (event_id)) select event_id, case when hit then spec else attack_class end as attack_class, round(case when hit then conf2 else confidence end, 6) as confidence, case when hit then {DECIDE.format('conf2')} else decision end as decision from raised",
     "scalar_math": f"{_F} select event_id, round(least(10, greatest(0, x)), 6) as clamped, round(bytes_in / (65535 + 1e-9), 6) as normalized, round(case when x > 20 then x else ln(1 + exp(x)) end, 6) as softplus, round(exp(-rate_hz / 600), 6) as decay from (select *, entropy * 30 - 5 as x from flows)",

@@ -64,11 +64,18 @@ def import_rules(new: DataFrame, existing: DataFrame, position: str = "position"
 
 
 def telemetry_json(ev: DataFrame, key: str) -> DataFrame:
-    """Counters and mean latency per shard or tenant as JSON texts."""
+    """Counters per shard or tenant as JSON texts; where events have them, also latency (`latency_us`: mean and
+    peak), drift (`drift`: mean and peak) and faults (`fault`: how many).
+    """
     of = lambda d: F.count_if(F.col("decision") == d)
-    totals = ev.groupBy(key).agg(
-        F.count(F.lit(1)).alias("events_total"), of("Alert").alias("alerts_total"), of("Block").alias("blocks_total"))
-    return totals.select(key, F.to_json(F.struct("events_total", "alerts_total", "blocks_total")).alias("value"))
+    facts = [F.count(F.lit(1)).alias("events_total"), of("Alert").alias("alerts_total"), of("Block").alias("blocks_total")]
+    for c in ("latency_us", "drift"):
+        if c in ev.columns:
+            facts += [F.avg(c).alias(f"{c}_mean"), F.max(c).alias(f"{c}_peak")]
+    if "fault" in ev.columns:
+        facts.append(F.count_if("fault").alias("faults_total"))
+    totals = ev.groupBy(key).agg(*facts)
+    return totals.select(key, F.to_json(F.struct(*[c for c in totals.columns if c != key])).alias("value"))
 
 
 def export_telemetry(ev: DataFrame, key: str, path: str) -> None:
