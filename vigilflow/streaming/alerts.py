@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQueryListener
 
@@ -31,6 +31,25 @@ def alert_counts(alerts: DataFrame, width: str = "1 minute", late: str = "1 minu
     return counts.select(F.unix_micros("window.start").alias("start_us"), *keys, "alerts", "max_score")
 
 
+def upsert(counts: DataFrame, out: str, state: str) -> DataStreamWriter:
+    """Write every changed window after each micro-batch, so that the last windows are there without waiting for a
+    watermark that may never come. A repeated batch replaces its own folder.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    return counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", state)
+
+
+def current(spark: SparkSession, out: str, keys: tuple[str, ...] = ("start_us", "tenant")) -> DataFrame:
+    """The newest version of each window that `upsert` has written."""
+    rows = spark.read.parquet(out)
+    values = [c for c in rows.columns if c not in (*keys, "batch")]
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v"))
+    return newest.select(*keys, *[F.col(f"v.{c}").alias(c) for c in values])
+
+
 def deduplicate(sdf: DataFrame, late: str, key: str = "event_id") -> DataFrame:
     """Drop repeats of an event that arrive within the watermark."""
     return with_event_time(sdf, late).dropDuplicatesWithinWatermark([key])
