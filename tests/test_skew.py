@@ -64,11 +64,25 @@ def test_row_halo(ev, rows, slice_s, n):
 
 
 def test_running_sums_over_all(ev, rows):
-    got = {r.event_id: r.no for r in sliced.running_sums(ev, [], {"no": F.lit(1)}, 5.0).collect()}
+    got = {r.event_id: r.no for r in sliced.running_sums(ev, [], {"no": F.lit(1)}).collect()}
     order = [x[0] for x in sorted(rows, key=lambda x: (x[1], x[0]))]
     assert got == {e: i + 1 for i, e in enumerate(order)}
 
 
+def test_bursts_and_empty_keys_split_by_rows(spark):
+    """Rows of one instant, with and without a key, null keys too, fall into even slices and sum as one sequence."""
+    df = spark.range(4000).select(F.col("id").alias("event_id"), F.lit(S).alias("ts_us"), F.when(F.col("id") % 2 == 0, "a").alias("source"))
+    sliced.HOT_ROWS = 100
+    got = {r.event_id: r.no for r in sliced.running_sums(df, [], {"no": F.lit(1)}).collect()}
+    assert got == {i: i + 1 for i in range(4000)}
+    got = {r.event_id: r.no for r in sliced.running_sums(df, ["source"], {"no": F.lit(1)}).collect()}
+    assert got == {i: i // 2 + 1 for i in range(4000)}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as with partitions of a worthwhile size
+    sizes = [r.n for r in sliced._by_rows(df, [], sliced.ORDER).groupBy("_slice").agg(F.count(F.lit(1)).alias("n")).collect()]
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) > 1 and max(sizes) < 0.5 * 4000
+
+
 def test_near_miss_sequence(spark):
     values = [.10, .15, .30, .35, .40, .70]
     df = spark.createDataFrame([(i, i * S, "a", v) for i, v in enumerate(values)], "event_id long, ts_us long, source string, score double")

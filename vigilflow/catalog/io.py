@@ -225,7 +225,7 @@ def rules_export(spark, sf):
 def rules_import(spark, sf):
     have = t.rules(spark, sf)
     new = have.select(F.col("id").alias("position"), F.concat(F.lit("copy of "), "name").alias("name"), "category")
-    return exports.import_rules(new, have, slice_s=0.00001).select("sid", "name", "category")
+    return exports.import_rules(new, have).select("sid", "name", "category")
 
 
 def telemetry_export(spark, sf):

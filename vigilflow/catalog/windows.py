@@ -120,11 +120,11 @@ def alert_ring(spark, sf):
 
 
 def alert_seq(spark, sf):
-    return windows.alert_seq(_alerts(spark, sf), SLICE).select("event_id", "alert_seq")
+    return windows.alert_seq(_alerts(spark, sf)).select("event_id", "alert_seq")
 
 
 def sample_one_in_n(spark, sf):
-    return windows.sample_one_in(t.flows(spark, sf).select("event_id", "ts_us", "source"), 10, SLICE).select("event_id", "source")
+    return windows.sample_one_in(t.flows(spark, sf).select("event_id", "ts_us", "source"), 10).select("event_id", "source")
 
 
 def repeat_escalate(spark, sf):

@@ -77,7 +77,7 @@ def local_embedding(stats: DataFrame) -> DataFrame:
 def _weights(df: DataFrame, key: list[str], alpha: float, slice_s: float) -> DataFrame:
     """Each row's share in the final state: alpha (1 - alpha)^(rows of the key after it)."""
     back = df.withColumns({"_nts": -F.col("ts_us"), "_nid": -F.col("event_id")})
-    ranked = running_sums(back, key, {"_after": F.lit(1)}, slice_s, order=("_nts", "_nid"))
+    ranked = running_sums(back, key, {"_after": F.lit(1)}, order=("_nts", "_nid"))
     return ranked.withColumn("_w", alpha * F.pow(F.lit(1.0 - alpha), F.col("_after") - 1)).drop("_nts", "_nid", "_after")
 
 

@@ -5,8 +5,9 @@ keys with more than `HOT_ROWS` rows by one counting pass, cut their timelines in
 `slice_s` seconds and make the slices independent, exactly; other keys stay whole, and without hot
 keys the plan is one exchange and one window:
 
-* `running_sums`, `trailing_counts` and `distinct_in_window` pre-aggregate per (key, slice), turn the totals into one
-  carry row per slice, and let each slice add its own running sum on top;
+* `running_sums` slices by ranges with about as many rows each, `trailing_counts` and `distinct_in_window` by time; all
+  pre-aggregate per (key, slice), turn the totals into one carry row per slice, and let each slice add its own running
+  sum on top;
 * `with_row_halo` and `with_time_halo` copy the few context rows a bounded frame needs into the
   slice that needs them, so the frame never crosses a slice.
 
@@ -23,6 +24,7 @@ from pyspark.sql.window import Window
 
 from ..params import US
 from ..session import cut
+from .salted import checked
 
 HOT_ROWS = 200_000
 ORDER = ("ts_us", "event_id")
@@ -52,7 +54,7 @@ def _mark(df: DataFrame, key: list[str], hot: DataFrame | None, number: Column)
         return df.withColumn(SLICE, number)
     if hot is None:
         return df.withColumn(SLICE, F.lit(0).cast("long"))
-    flag = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    flag = checked(hot.withColumn("_hot", F.lit(True)))
     return df.join(flag, key, "left").withColumn(SLICE, F.when(F.col("_hot"), number).otherwise(0)).drop("_hot")
 
 
@@ -60,7 +62,7 @@ def _carry_rows(points: DataFrame, key: list[str], names: list[str], hot: DataFr
     """Per (key, slice): what all earlier slices of the key add up to. One small row per slice."""
     if key and hot is None:
         return None
-    part = points.join(F.broadcast(hot), key, "left_semi") if key else points
+    part = points.join(checked(hot), key, "left_semi") if key else points
     totals = part.groupBy(*key, SLICE).agg(*[F.sum(n).alias(n) for n in names])
     w = Window.partitionBy(*key).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     return totals.select(*key, SLICE, *[F.sum(n).over(w).alias(n) for n in names]).filter(
@@ -68,34 +70,35 @@ def _carry_rows(points: DataFrame, key: list[str], names: list[str], hot: DataFr
     )
 
 
-def running_sums(
-    df: DataFrame,
-    key: Sequence[str],
-    sums: dict[str, Column],
-    slice_s: float,
-    order: Sequence[str] = ORDER,
-) -> DataFrame:
+def _by_rows(df: DataFrame, key: list[str], order: Sequence[str]) -> DataFrame:
+    """Slices with about as many rows each, by ranges of (key, order); a burst or an empty key splits like any other.
+
+    The ranges are drawn from a sample and written down, so every later reader sees the same slices.
+    """
+    ranged = df.repartitionByRange(*[F.col(c) for c in (*key, *order)])
+    return cut(ranged.withColumn(SLICE, F.spark_partition_id().cast("long")))
+
+
+def running_sums(df: DataFrame, key: Sequence[str], sums: dict[str, Column], order: Sequence[str] = ORDER) -> DataFrame:
     """Inclusive running sums over each key's rows in `order`; an empty key means all rows."""
     key = list(key)
-    hot = hot_keys(df, key)
-    body = _mark(df, key, hot, slice_number(order[0], slice_s))
-    for name, value in sums.items():
-        body = body.withColumn(name, value.cast("long"))
-    merged = body.withColumn("_row", F.lit(True))
-    carry = _carry_rows(body, key, list(sums), hot)
-    if carry is not None:
-        first = F.lit(_FIRST).cast(df.schema[order[0]].dataType).alias(order[0])
-        merged = merged.unionByName(
-            carry.select(*key, SLICE, first, *sums, F.lit(False).alias("_row")), allowMissingColumns=True)
-    w = (
-        Window.partitionBy(*key, SLICE).orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    out = merged.select(
-        *[c for c in merged.columns if c not in sums],
-        *[F.sum(n).over(w).alias(n) for n in sums],
-    )
-    return out.filter("_row").drop(SLICE, "_row")
+    valued = df.withColumns({name: value.cast("long") for name, value in sums.items()})
+    split = not key or hot_keys(df, key) is not None
+    body = _by_rows(valued, key, order) if split else valued.withColumn(SLICE, F.lit(0).cast("long"))
+    w = Window.partitionBy(*key, SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = [F.sum(n).over(w).alias(n) for n in sums]
+    rest = [c for c in body.columns if c not in sums]
+    if not split:
+        return body.select(*rest, *own).drop(SLICE)
+    totals = body.groupBy(*key, SLICE).agg(*[F.sum(n).alias(f"_b_{n}") for n in sums])  # one row per key and slice
+    before = Window.partitionBy(*key).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    carry = cut(totals.select(
+        *[F.col(c).alias(f"_k_{c}") for c in key], F.col(SLICE).alias("_k"), *[F.coalesce(F.sum(f"_b_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums]))
+    same = F.col(SLICE) == F.col("_k")
+    for c in key:
+        same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    out = body.select(*rest, *own).join(checked(carry), same)
+    return out.select(*[c for c in rest if c != SLICE], *[(F.col(n) + F.col(f"_b_{n}")).alias(n) for n in sums])
 
 
 def trailing_counts(
@@ -212,7 +215,7 @@ def with_row_halo(
     body = _mark(df, key, hot, slice_number(order[0], slice_s)).withColumn(HALO, F.lit(False))
     if hot is None:
         return body
-    sliced = body.join(F.broadcast(hot), key, "left_semi").drop(HALO)
+    sliced = body.join(checked(hot), key, "left_semi").drop(HALO)
     by_slice = Window.partitionBy(*key).orderBy(SLICE)
     counts = sliced.groupBy(*key, SLICE).agg(F.count(F.lit(1)).alias("_n"))
     counts = counts.withColumn(

@@ -216,14 +216,14 @@ def retain_last(al: DataFrame, key: list[str], n: int) -> DataFrame:
     return newest_per_key(al, key, n, [F.col(c).desc() for c in ORDER], F.col("event_id"))
 
 
-def alert_seq(al: DataFrame, slice_s: float) -> DataFrame:
+def alert_seq(al: DataFrame) -> DataFrame:
     """Running alert number in time order, without sorting everything in one task."""
-    return running_sums(al, [], {"alert_seq": F.lit(1)}, slice_s)
+    return running_sums(al, [], {"alert_seq": F.lit(1)})
 
 
-def sample_one_in(ev: DataFrame, n: int, slice_s: float) -> DataFrame:
+def sample_one_in(ev: DataFrame, n: int) -> DataFrame:
     """Every n-th event in time order, starting with the first."""
-    return running_sums(ev, [], {"_nth": F.lit(1)}, slice_s).filter((F.col("_nth") - 1) % n == 0).drop("_nth")
+    return running_sums(ev, [], {"_nth": F.lit(1)}).filter((F.col("_nth") - 1) % n == 0).drop("_nth")
 
 
 def repeat_escalate(
@@ -237,7 +237,7 @@ def repeat_escalate(
     halo = with_row_halo(al, key, 1, slice_s)
     prev = F.lag("ts_us").over(sliced_window(key))
     marked = cut(drop_halo(halo.withColumn("_new", prev.isNull() | (F.col("ts_us") - prev > gap))))
-    runs = cut(running_sums(marked, key, {"_run": F.when(F.col("_new"), 1).otherwise(0), "_no": F.lit(1)}, slice_s))
+    runs = cut(running_sums(marked, key, {"_run": F.when(F.col("_new"), 1).otherwise(0), "_no": F.lit(1)}))
     starts = runs.filter("_new").select(
         *key, "_run", F.col("_no").alias("_first_no"), F.col("ts_us").alias("_first_us")
     )
@@ -254,7 +254,7 @@ def sessions(ev: DataFrame, key: list[str], gap_s: float, slice_s: float, name:
     prev = F.lag("ts_us").over(sliced_window(key))
     fresh = F.when(prev.isNull() | (F.col("ts_us") - prev > int(gap_s * US)), 1).otherwise(0)
     marked = cut(drop_halo(halo.withColumn("_new", fresh)))
-    return running_sums(marked, key, {name: F.col("_new")}, slice_s).drop("_new")
+    return running_sums(marked, key, {name: F.col("_new")}).drop("_new")
 
 
 def state_phase(ev: DataFrame, now_us: int, idle_s: float = 300.0, expire_s: float = 3600.0) -> DataFrame:

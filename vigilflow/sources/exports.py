@@ -56,11 +56,11 @@ def read_rules(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("sid long, name string, category string, severity string, enabled boolean").json(path)
 
 
-def import_rules(new: DataFrame, existing: DataFrame, position: str = "position", slice_s: float = 0.1) -> DataFrame:
+def import_rules(new: DataFrame, existing: DataFrame, position: str = "position") -> DataFrame:
     """Number new rules after the highest sid in use, in the order they came."""
     top = existing.agg(F.coalesce(F.max("sid"), F.lit(FIRST_RULE_SID)).alias("_top"))
-    numbered = running_sums(new.withColumn("ts_us", F.col(position)), [], {"_no": F.lit(1)}, slice_s, ("ts_us", position))
-    return numbered.join(F.broadcast(top), F.lit(True)).withColumn("sid", F.col("_top") + F.col("_no")).drop("_top", "_no", "ts_us")
+    numbered = running_sums(new, [], {"_no": F.lit(1)}, (position,))
+    return numbered.join(F.broadcast(top), F.lit(True)).withColumn("sid", F.col("_top") + F.col("_no")).drop("_top", "_no")
 
 
 def telemetry_json(ev: DataFrame, key: str) -> DataFrame:
