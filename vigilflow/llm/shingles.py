@@ -153,7 +153,9 @@ def join(docs: DataFrame, id_column: str = "doc_id", text: str = "text", thresho
     reps = worded.groupBy("one", "two").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("bands").alias("bands"))
     banded = reps.select("rep", F.explode("bands").alias("band"))
     hubs = banded.groupBy("band").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1").drop("size")
-    edges = banded.join(hubs, "band").filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
+    met = banded.join(hubs, "band").groupBy("rep").agg(F.collect_set("hub").alias("hubs"))  # one per band at most
+    least_hub = F.array_min("hubs")  # a representative links with its smallest hub, and its other hubs link with that
+    edges = met.select(F.explode(F.concat(F.array("rep"), "hubs")).alias("a"), least_hub.alias("b")).filter("a <> b").distinct()
     near = cut(component_labels(edges).select(F.col("node").alias("rep"), F.col("label").alias("hood")))
     chosen = base.sparkSession.sparkContext.broadcast(bloom(near.select(scattered(F.col("rep")).alias("rep")), "rep"))
 
