@@ -23,6 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Have Spark hand rows to Python a thousand at a time where the session leaves its default of ten
+    thousand, as rows here hold whole texts and both sides keep a batch in memory.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "1000")
+
+
 # ---------------------------------------------------------------- other columns, whatever their names
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from .common import others, pa_schema, packed, text_slices, unpacked
+from .common import others, pa_schema, packed, small_batches, text_slices, unpacked
 
 #: Code points that the tokenizer's white-space class holds (Unicode White_Space); fixed values.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -214,6 +214,7 @@ class Encoder:
 
 def encode(docs: DataFrame, path: str, text: str = "text", decoded: bool = True) -> DataFrame:
     """`docs` without `text`, with `ids` (binary, little-endian unsigned 32-bit), `n_tokens` and `decoded` text."""
+    small_batches(docs.sparkSession)
     merges = docs.sparkSession.sparkContext.broadcast(load(path))  # 49 thousand merges whatever the corpus
     keep = others(docs, text, "ids", "n_tokens", *["decoded"] * decoded)
     source = docs.select(packed(keep), F.col(text).cast("string").alias("body"))

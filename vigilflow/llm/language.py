@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ..session import cut
-from .common import mix, others, pa_schema, packed, text_slices, unpacked
+from .common import mix, others, pa_schema, packed, small_batches, text_slices, unpacked
 
 UNKNOWN = "und"
 
@@ -145,6 +145,7 @@ def held_out(id_column: str):
 
 def train(docs: DataFrame, id_column: str = "doc_id", text: str = "text", language: str = "lang", p: LanguageParams = LanguageParams()) -> LanguageModel:
     """Fit on documents that are not held out and have a language."""
+    small_batches(docs.sparkSession)
     rows = docs.filter(~held_out(id_column) & F.col(language).isNotNull() & F.col(text).isNotNull()).select(
         F.col(id_column).cast("string").alias("id"), F.col(language).cast("string").alias("lang"), F.col(text).cast("string").alias("body"))
 
@@ -199,6 +200,7 @@ def _window(by: str, *order: str):
 
 def predict(docs: DataFrame, model: LanguageModel, text: str = "text", p: LanguageParams = LanguageParams()) -> DataFrame:
     """`docs` with `lang_pred` and `score`, the calibrated probability of the predicted language."""
+    small_batches(docs.sparkSession)
     keep = others(docs, "lang_pred", "score")
     source = docs.select(packed(keep), F.col(text).cast("string").alias("body"))
     schema = StructType([source.schema["rest"], StructField("lang_pred", StringType()), StructField("score", DoubleType())])

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import WordHasher, others, pa_schema, packed, text_slices, unpacked
+from .common import WordHasher, others, pa_schema, packed, small_batches, text_slices, unpacked
 
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea|iframe|object|math|canvas)\b[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))"
@@ -383,6 +383,7 @@ def train(pages: DataFrame, id_column: str = "page_id", html: str = "html", p: L
 
 def extract(pages: DataFrame, labeller: Labeller, html: str = "html") -> DataFrame:
     """`pages` without `html`, with `text` (main blocks joined by line feeds) and `n_chars`."""
+    small_batches(pages.sparkSession)
     keep = others(pages, html, "text", "n_chars")
     source = pages.select(packed(keep), F.col(html).cast("string").alias("body"))
     schema = StructType([source.schema["rest"], StructField("text", StringType()), StructField("n_chars", LongType())])

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from ..operators.campaigns import component_labels
 from ..session import cut
-from .common import WordHasher, block_pairs, bloom, by_key, classes, forest, in_bloom, mix, runs_of, text_slices
+from .common import WordHasher, block_pairs, bloom, by_key, classes, forest, in_bloom, mix, runs_of, small_batches, text_slices
 
 BANDS, ROWS = 30, 5
 
@@ -123,6 +123,7 @@ def join(docs: DataFrame, id_column: str = "doc_id", text: str = "text", thresho
     n_links counts the other documents with a similarity of at least `threshold`; component_id is
     the smallest id reachable by links, the document's own included.
     """
+    small_batches(docs.sparkSession)
     base = docs.select(F.col(id_column).cast("bigint").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body")).filter("id is not null")
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
