@@ -12,7 +12,7 @@ smaller id are removed.
   filter says which). Spark deals the reference by key; a shard is a run of whole keys. Each shard
   builds a suffix automaton over words whose states know the smallest document that holds them, and
   its passages are streamed through it: the matching statistics name, for each window, the smallest
-  document in which it starts.
+  document in which it starts. A key with a single passage needs none.
 * The answers go back to the documents by passage, and each document drops its covered words.
 
 The words of a reference shard are bounded by `shard_words` plus one key.
@@ -24,7 +24,6 @@ their texts; repeated passages inside one document stay; other columns are kept.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..session import cut
-from .common import WordHasher, bloom, in_bloom, others, pa_schema, packed, runs_of, text_slices, unpacked
+from .common import WordHasher, bloom, in_bloom, others, pa_schema, packed, runs_of, small_batches, text_slices, unpacked
 
 #: Bytes of a word's hash in a passage.
 SYMBOL = 5
@@ -241,12 +240,23 @@ class Cutter:
         new = np.ones(len(order), dtype=bool)
         new[1:] = (keys[order][1:] != keys[order][:-1]) | (hashes[order][1:] != hashes[order][:-1])
         chosen = order[new]
-        texts = pa.concat_arrays(rows.column("words").chunks).take(pa.array(chosen))
+        first = np.append(True, keys[chosen][1:] != keys[chosen][:-1])
+        last = np.append(first[1:], True)
+        alone = chosen[first & last]  # nothing else has windows of this key: they start in the passage's smallest document
+        words = pa.concat_arrays(rows.column("words").chunks)
+        counts = pa.compute.binary_length(words.take(pa.array(alone))).to_numpy() // SYMBOL - self.length + 1
+        offsets = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array(keys[alone]), pa.array(hashes[alone]), pa.ListArray.from_arrays(offsets, pa.array(np.repeat(ids[alone], counts)))],
+                                         names=["key", "passage", "smallest"])
+        crowded = ~(first & last)
+        chosen, last = chosen[crowded], last[crowded]
+        if not len(chosen):
+            return
+        texts = words.take(pa.array(chosen))
         offsets = np.frombuffer(texts.buffers()[1], dtype=np.int32)[: len(texts) + 1] // SYMBOL
         raw = np.frombuffer(texts.buffers()[2], dtype=np.uint8)[: offsets[-1] * SYMBOL].reshape(-1, SYMBOL).astype(np.int64)
         symbols = sum(raw[:, i] << (8 * i) for i in range(SYMBOL)).tolist()
         keys, hashes, ids = keys[chosen], hashes[chosen], ids[chosen].tolist()
-        last = np.append(keys[1:] != keys[:-1], True)
         begin = 0
         while begin < len(chosen):
             end = begin
@@ -268,6 +278,7 @@ class Cutter:
 def remove(docs: DataFrame, id_column: str = "doc_id", text: str = "text", length: int = 13, seed: int = 5,
            shard_words: int = 50_000) -> DataFrame:
     """`docs` without `text`, with `kept` (its kept words joined by one space), `n_words`, `n_removed`."""
+    small_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     body = F.col(text).cast("string")
     base = docs.select(F.col(id_column).cast("bigint").alias("id"), F.xxhash64(body).alias("body_hash"), body.alias("body")).filter(
@@ -304,13 +315,12 @@ def drop_marked(docs: DataFrame, marks: DataFrame, id_column: str, text: str, le
             yield batch.filter(pa.array(may if marked else ~may))
 
     def finish(batches: Iterator[pa.RecordBatch], marked: bool) -> Iterator[pa.RecordBatch]:
-        word = re.compile("[^\x20\x09-\x0d]+")
         for batch in batches:
             for part in text_slices(batch, "body"):
                 kept, n_words, n_removed = [], [], []
                 found = part.column(4).to_pylist() if marked else [None] * part.num_rows
-                for text_of, spots in zip(part.column(3).to_pylist(), found, strict=True):
-                    words = word.findall(text_of or "")
+                for text_of, spots in zip(part.column(3).cast(pa.binary()).to_pylist(), found, strict=True):
+                    words = (text_of or b"").split()  # bytes are split at the six white-space characters
                     n_words.append(len(words))
                     if spots:
                         edge = np.zeros(len(words) + length + 1, dtype=np.int32)
@@ -320,7 +330,7 @@ def drop_marked(docs: DataFrame, marks: DataFrame, id_column: str, text: str, le
                             edge[at + length] -= 1
                         words = [w for w, n in zip(words, np.cumsum(edge).tolist(), strict=False) if n <= 0]
                     n_removed.append(n_words[-1] - len(words))
-                    kept.append(" ".join(words))
+                    kept.append(b" ".join(words))
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(wanted.field(0).type),
                                                   pa.array(kept, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], schema=wanted)
 
