@@ -431,3 +431,10 @@ def test_pipeline(spark, sf_dir, run, texts):
     expected = sorted((r.doc_id, np.array(reference.encode(r.text, add_special_tokens=False).ids, dtype="<u4").tobytes()) for r in seen["mixture"])
     assert sorted((r.doc_id, bytes(r.ids)) for r in seen["tokens"]) == expected
     assert len(run("pipeline")) == len(expected)
+
+
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
+def test_equals_sql(spark, sf_dir, name):
+    from compare import difference, duck
+
+    assert difference(catalog.queries()[name](spark, sf_dir), duck(sf_dir), catalog.oracle_sql()[name]) is None

@@ -84,3 +84,35 @@ def op3_ftrl_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "pages")
     return pages.extract(rows, pages.train(rows)).select("page_id", "url", "text", "n_chars")
+
+
+_WORDS = r"coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), [])"
+#: Smallest id reachable by links(a, b), both directions given.
+_REACH = "reach as (select a, b from links union select r.a, l.b from reach r join links l on r.b = l.a), low as (select a, min(b) as b from reach group by a)"
+
+ORACLE["op1_e8_near_copies"] = f"""with recursive v as (
+  select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings
+  where len(embedding) > 0 and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x))) and list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+n as (select vec_id, e, sqrt(list_dot_product(e, e)) as l from v),
+links as (select x.vec_id as a, y.vec_id as b from n x join n y on x.vec_id <> y.vec_id and len(x.e) = len(y.e) where list_dot_product(x.e, y.e) / (x.l * y.l) >= 0.95),
+{_REACH}, degree as (select a, count(*) as n from links group by a)
+select vec_id, coalesce(d.n, 0) as n_links, least(vec_id, coalesce(low.b, vec_id)) as component_id, vec_id <= coalesce(low.b, vec_id) as kept
+from embeddings left join degree d on d.a = vec_id left join low on low.a = vec_id"""
+
+ORACLE["op6_suffix_automata"] = f"""with d as (select doc_id, {_WORDS} as w from documents),
+g as (select doc_id, k, array_to_string(w[k:k + 12], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 11)) as k from d)),
+f as (select g, min(doc_id) as first from g group by g),
+c as (select distinct doc_id, unnest(range(k, k + 13)) as pos from g join f using (g) where first < doc_id),
+u as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as pos from d),
+s as (select u.doc_id, string_agg(word, ' ' order by u.pos) filter (where c.pos is null) as kept, count(c.pos) as gone
+  from u left join c on c.doc_id = u.doc_id and c.pos = u.pos group by u.doc_id)
+select d.doc_id, len(w)::bigint as n_words, coalesce(gone, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join s using (doc_id)"""
+
+ORACLE["op8_bayes_jaccard"] = f"""with recursive d as (select doc_id, {_WORDS} as w from documents),
+s as (select distinct doc_id, array_to_string(w[k:k + 4], ' ') as g from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as k from d where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+c as (select x.doc_id as a, y.doc_id as b, count(*) as c from s x join s y on x.g = y.g and x.doc_id < y.doc_id group by all),
+near as (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where c >= 0.8::double * (x.n + y.n - c) - 1e-9),
+links as (select a, b from near union all select b, a from near), {_REACH}, degree as (select a, count(*) as n from links group by a)
+select doc_id, coalesce(x.n, 0) as n_links, least(doc_id, coalesce(low.b, doc_id)) as class_id
+from documents left join degree x on x.a = doc_id left join low on low.a = doc_id"""
