@@ -69,13 +69,15 @@ def multipliers(counts: DataFrame, sources: DataFrame, most: float, rounds: int
     state = cut(sources.select(
         "no", "target", (F.col("source_size") / F.col("docs")).alias("mean"), F.when(usable, 0.0).when(F.col("target") > 0, 1e9).otherwise(0.0).alias("mult"),
         F.lit(-1e4).alias("low"), F.lit(1e9).alias("high"), (~usable).alias("done")))
+    # sums of millionths as whole numbers do not depend on the order of rows, so reruns agree
+    total = lambda c: F.sum((c * 1e6).cast("decimal(30,0)")).cast("double") / 1e6
     for _ in range(rounds):
         z = F.col("size") / F.col("mean")
         tilt = F.exp(F.least(F.col("mult") * z, F.lit(50.0)))
         rate = F.least(tilt, F.lit(most))
         sums = counts.join(small(state.filter(~F.col("done"))), "no").groupBy("no").agg(
-            F.sum(F.col("n") * rate * F.col("size")).alias("words"),
-            F.sum(F.when(tilt < most, F.col("n") * tilt * F.col("size") * z).otherwise(0.0)).alias("slope"))
+            total(F.col("n") * rate * F.col("size")).alias("words"),
+            total(F.when(tilt < most, F.col("n") * tilt * F.col("size") * z).otherwise(0.0)).alias("slope"))
         gap = F.col("words") - F.col("target")
         low = F.when(gap < 0, F.col("mult")).otherwise(F.col("low"))
         high = F.when(gap > 0, F.col("mult")).otherwise(F.col("high"))
