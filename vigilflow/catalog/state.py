@@ -49,11 +49,14 @@ def _embedded(spark, sf, plan=None, drop=("ts", "k", "tenant", "device")):
     return scoring.local_embedding(scoring.rolling_stats(shaped, ["source"], plan))
 
 
+#: Scales under which six digits show dimensions of very large or very small values well.
+EMB_SHOWN = {28: 1.0 / 65535, 34: 1.0 / 65535, 32: 314.159265358979}
+
+
 def local_embedding(spark, sf):
     e = F.col("embedding")
-    dims = (0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 16, 17, 21, 22, 26, 27, 28, 33, 34, 39, 40, 63)
     return _embedded(spark, sf).select(
-        "event_id", *[r6(F.get(e, F.lit(i)) * (1.0 / 65535 if i in (28, 34) else 1.0)).alias(f"d{i}") for i in dims], F.size(e).alias("width")
+        "event_id", *[r6(F.get(e, F.lit(i)) * EMB_SHOWN.get(i, 1.0)).alias(f"d{i}") for i in range(64)], F.size(e).alias("width")
     )
 
 
@@ -243,8 +246,10 @@ _EMB_DIMS = {
     7: "least(1, rate_hz / 1000)", 8: "(list_position(['net','log','proc','auth','file'], type) - 1) / 8.0::double",
     9: "bm", 10: "pe", 11: "packets_total / (1000 + 1e-9)", 12: "packet_size_mean / (1500 + 1e-9)",
     13: "iat_mean / (10 + 1e-9)", 14: "syn_count / (50 + 1e-9)", 16: "down_up_ratio / (10 + 1e-9)",
-    17: _DIG("source", 0), 21: _DIG("source", 4), 22: _DIG("destination", 0), 26: _DIG("destination", 4), 27: "dt",
-    28: "pm[1] / 65535.0::double", 33: "pm[6]", 34: "sqrt(greatest(0, pv[1])) / 65535.0::double", 39: "sqrt(greatest(0, pv[6]))", 40: "0.0::double", 63: "0.0::double",
+    15: "0.0::double", **{17 + i: _DIG("source", i) for i in range(5)}, **{22 + i: _DIG("destination", i) for i in range(5)}, 27: "dt",
+    28: "pm[1] / 65535.0::double", **{27 + i: f"pm[{i}]" for i in range(2, 7)}, 32: f"pm[5] * {EMB_SHOWN[32]!r}::double",
+    34: "sqrt(greatest(0, pv[1])) / 65535.0::double", **{33 + i: f"sqrt(greatest(0, pv[{i}]))" for i in range(2, 7)},
+    **{i: "0.0::double" for i in range(40, 64)},
 }
 
 
