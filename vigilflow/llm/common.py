@@ -49,6 +49,18 @@ def unpacked(names: Sequence[str]) -> list[Column]:
     return [F.col("rest").getField(c).alias(c) for c in names]
 
 
+def hash_sample(df: DataFrame, key: Sequence[Column], rows: int) -> DataFrame:
+    """At most `rows` rows, those with the smallest hashes of their key.
+
+    Rows are first thinned to about twice as many by a bound on the hash, so that what tasks send
+    for the final choice does not grow with their number.
+    """
+    total = df.count()
+    spot = F.pmod(F.xxhash64(*key), F.lit(1 << 40))
+    thinned = df.withColumn("_spot", spot).filter(F.col("_spot") <= min(1 << 40, (2 << 40) * rows // max(1, total)))
+    return thinned.orderBy("_spot", *key).limit(rows).drop("_spot")
+
+
 # ---------------------------------------------------------------- words of Arrow strings as 64-bit hashes
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import WordHasher, others, pa_schema, packed, small_batches, text_slices, unpacked
+from .common import WordHasher, hash_sample, others, pa_schema, packed, small_batches, text_slices, unpacked
 
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea|iframe|object|math|canvas)\b[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))"
@@ -360,9 +360,9 @@ def made_up(rng: np.random.Generator, words: list[str]) -> tuple[list[Block], li
 
 def train(pages: DataFrame, id_column: str = "page_id", html: str = "html", p: LabellerParams = LabellerParams()) -> Labeller:
     """Fit the labeller on made-up pages and a bounded sample of the table's pages that have an article element."""
-    texts = pages.filter(F.col(html).isNotNull() & F.contains(F.lower(html), F.lit("<article")) & (F.length(html) < 200_000)).select(
-        F.col(html).alias("html"), F.xxhash64(F.col(id_column), F.col(html)).alias("spot"))
-    sample = [blocks_of(r.html) for r in texts.orderBy("spot", "html").limit(p.samples).collect()]
+    chosen = hash_sample(pages.select(F.col(id_column).alias("id"), F.col(html).cast("string").alias("html")), [F.col("id"), F.xxhash64("html")], p.samples)
+    marked = chosen.filter(F.contains(F.lower("html"), F.lit("<article")) & (F.length("html") < 200_000))
+    sample = [blocks_of(r.html) for r in marked.select("html").collect()]
     sample = [b for b in sample if 0 < len(b) <= p.most_blocks]
     away = ("nav", "aside", "footer", "form", "header")
 

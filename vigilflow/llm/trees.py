@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .common import BROADCAST_ROWS, key_chunks
+from .common import BROADCAST_ROWS, hash_sample, key_chunks
 from .lattice import unit_rows, usable
 
 
@@ -112,7 +112,7 @@ class Forest:
 
 def fit(vectors: DataFrame, p: ForestParams) -> Forest | None:
     """Trees over a bounded sample of vectors (id, v): those with the smallest hashes of their ids."""
-    sample = vectors.orderBy(F.xxhash64("id"), "id").limit(p.sample).select("v").collect()
+    sample = hash_sample(vectors, [F.col("id")], p.sample).select("v").collect()
     if not sample:
         return None
     lengths = [len(r.v) for r in sample]
