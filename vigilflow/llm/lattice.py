@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .common import block_pairs, classes, forest, key_chunks, mix
 
 
@@ -116,7 +117,7 @@ def links(vectors: DataFrame, id_column: str = "vec_id", vector: str = "embeddin
     single = vectors.schema[vector].dataType.simpleString() == "array<float>"
     kind, sql_type = (np.float32, "array<float>") if single else (np.float64, "array<double>")
     rows = vectors.select(F.col(id_column).cast("bigint").alias("id"), F.col(vector).cast(sql_type).alias("v")).filter("id is not null")
-    sets = rows.filter(usable(F.col("v"))).groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    sets = cut(rows.filter(usable(F.col("v"))).groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")))
     listed_at = p.tables * (1 + p.probes)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

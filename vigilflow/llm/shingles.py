@@ -151,7 +151,8 @@ def join(docs: DataFrame, id_column: str = "doc_id", text: str = "text", thresho
 
     sketches = cut(base.mapInArrow(sketch, "id bigint, one bigint, two bigint, n bigint, bands array<bigint>"))
     worded = sketches.filter("n > 0")
-    reps = worded.groupBy("one", "two").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("bands").alias("bands"))
+    # written down: read three times, and joins to it can then be split where one set has very many copies
+    reps = cut(worded.groupBy("one", "two").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("bands").alias("bands")))
     banded = reps.select("rep", F.explode("bands").alias("band"))
     hubs = banded.groupBy("band").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1").drop("size")
     met = banded.join(hubs, "band").groupBy("rep").agg(F.collect_set("hub").alias("hubs"))  # one per band at most
