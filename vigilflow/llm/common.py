@@ -307,7 +307,9 @@ def classes(members: DataFrame, links: DataFrame, id_column: str) -> DataFrame:
     counts = links.groupBy("rep").agg(F.sum("n").alias("_linked"))
     edges = links.filter("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")).distinct()
     labels = component_labels(edges).select(F.col("node").alias("rep"), F.col("label").alias("_label"))
-    return members.join(counts, "rep", "left").join(labels, "rep", "left").select(
+    # one written table per representative: the join to it can be split where one has very many copies
+    found = cut(counts.join(labels, "rep", "full"))
+    return members.join(found, "rep", "left").select(
         id_column,
         (F.col("copies") - 1 + F.coalesce("_linked", F.lit(0))).cast("long").alias("n_links"),
         F.coalesce("_label", "rep").alias("component_id"),
