@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing names, for every operator and stage."""
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -163,6 +164,18 @@ def test_vectors(spark, kind):
     assert trees.nearest(rows, F.lit(False)).count() == 0
 
 
+def test_neighbours_among_equal_vectors_and_repeated_ids(spark):
+    rng = np.random.default_rng(3)
+    near, far = np.array([1.0, 0.1, 0.0, 0.0]), rng.standard_normal((40, 4)) * 0.01 + np.array([1.0, -0.5, 0.0, 0.0])
+    rows = [(0, [1.0, 0.0, 0.0, 0.0])] + [(i, near.tolist()) for i in rng.permutation(np.arange(1, 1001)).tolist()]
+    found = trees.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("vec_id").isin(0, 3)).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.vec_id) for r in found] == [(0, i) for i in (1, 2, 3, 4, 5)] + [(3, i) for i in (1, 2, 4, 5, 6)]
+    rows = [(0, [1.0, 0.0, 0.0, 0.0])] + [(7, (near + rng.standard_normal(4) * 1e-3).tolist()) for _ in range(50)] + [(100 + i, v.tolist()) for i, v in enumerate(far)]
+    score = {i: max(v[0] / np.linalg.norm(v) for j, v in rows if j == i) for i in {j for j, _ in rows[1:]}}
+    found = trees.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [r.vec_id for r in found] == sorted(score, key=lambda i: (-score[i], i))[:5] and found[0].vec_id == 7
+
+
 @pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES], ids=[n for n, _ in corpus_pipeline.STAGES])
 def test_stages(spark, docs, wide, empty, stage):
     last = stage is corpus_pipeline.STAGES[-1][1]

@@ -7,7 +7,8 @@ entered next, until its leaves hold `inspect` of the fitted vectors (counted per
 of these leaves are ranked exactly, by cosine in double precision.
 
 Leaves are dealt in a grid of bounded parts of candidates and of queries, by counts taken first. A
-part returns its best `k` per query; bests are merged by query.
+part returns its best `k` distinct ids per query; bests are merged by query. Nothing is cut before
+that but candidates below the k-th best score and, of equal vectors, those after the k + 1 smallest ids.
 
 Defined cases: null or empty vectors, vectors with null or non-finite components and zero vectors
 take no part; so do vectors of another length than most of the sample's; equal vectors are
@@ -30,6 +31,9 @@ from ..session import cut
 from .common import BROADCAST_ROWS, hash_sample, key_chunks
 from .lattice import unit_rows, usable
 
+#: Products of unit vectors differ by less than this from their exact scores.
+ROUNDING = 1e-9
+
 
 @dataclass(frozen=True)
 class ForestParams:
@@ -120,6 +124,48 @@ def fit(vectors: DataFrame, p: ForestParams) -> Forest | None:
     return Forest(unit_rows(np.array([r.v for r in sample if len(r.v) == dim])), p)
 
 
+def distinct(ids: np.ndarray, raw: np.ndarray, k: int) -> np.ndarray:
+    """Places, by id, of the rows that can be among the k nearest: of equal vectors the k + 1 smallest ids, once each."""
+    rows = np.ascontiguousarray(raw)
+    same = np.unique(rows.view(np.dtype((np.void, rows.itemsize * rows.shape[1])))[:, 0], return_inverse=True)[1]
+    order = np.lexsort((ids, same))
+    fresh = np.append(True, same[order][1:] != same[order][:-1])
+    new = fresh | np.append(True, ids[order][1:] != ids[order][:-1])
+    order, fresh = order[new], fresh[new]
+    nth = np.arange(len(order)) - np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))
+    order = order[nth <= k]  # one more than k, as a query is no neighbour of itself
+    return order[np.argsort(ids[order], kind="stable")]
+
+
+def leading(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best distinct ids of each query, each with its best score; ties go to the smaller id."""
+    order = np.lexsort((-score, ids, query))
+    query, ids, score = query[order], ids[order], score[order]
+    new = np.ones(len(query), dtype=bool)
+    new[1:] = (query[1:] != query[:-1]) | (ids[1:] != ids[:-1])
+    query, ids, score = query[new], ids[new], score[new]
+    order = np.lexsort((ids, -score, query))
+    query, ids, score = query[order], ids[order], score[order]
+    fresh = np.ones(len(query), dtype=bool)
+    fresh[1:] = query[1:] != query[:-1]
+    first = np.arange(len(query)) - np.maximum.accumulate(np.where(fresh, np.arange(len(query)), 0)) < k
+    return query[first], ids[first], score[first]
+
+
+def best_of(asked: np.ndarray, asked_ids: np.ndarray, there: np.ndarray, there_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query id, id, exact score) of the k nearest distinct ids of each query row; candidates come in the order of ids."""
+    score = asked @ there.T
+    score[asked_ids[:, None] == there_ids[None, :]] = -2.0
+    starts = np.flatnonzero(np.append(True, there_ids[1:] != there_ids[:-1]))
+    best = np.maximum.reduceat(score, starts, axis=1) if len(starts) < len(there_ids) else score
+    floor = np.partition(best, -k, axis=1)[:, -k] if best.shape[1] > k else np.full(len(asked), -2.0)
+    one, two = np.nonzero(score >= np.maximum(floor - ROUNDING, -1.5)[:, None])
+    step = max(1, (1 << 21) // there.shape[1])
+    exact = [np.einsum("ij,ij->i", asked[one[low : low + step]], there[two[low : low + step]]) for low in range(0, len(one), step)]
+    row, ids, exact = leading(one, there_ids[two], np.concatenate(exact) if exact else np.zeros(0), k)
+    return asked_ids[row], ids, exact
+
+
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_column: str = "vec_id", vector: str = "embedding",
             p: ForestParams = ForestParams()) -> DataFrame:
     """(query_id, rank, id, score): the k nearest found of each row with `is_query`, among all other rows."""
@@ -182,28 +228,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_column: str = "
                 there = begin + np.flatnonzero(~query[begin:end])
                 if not len(asked) or not len(there):
                     continue
-                there = there[np.argsort(ids[there], kind="stable")]
-                out = [], [], []
-                for low in range(0, len(asked), 256):
-                    some = asked[low : low + 256]
-                    score = unit[some] @ unit[there].T
-                    score[ids[some][:, None] == ids[there][None, :]] = -2.0
-                    keep = min(len(there), 4 * k + 4)  # room for an id's repeated rows and for rounding of the product
-                    best = np.argpartition(-score, keep - 1, axis=1)[:, :keep]
-                    one = np.repeat(np.arange(len(some)), keep)
-                    two = best.reshape(-1)
-                    real = score[one, two] > -1.5
-                    one, two = one[real], two[real]
-                    out[0].append(ids[some][one])
-                    out[1].append(ids[there][two])
-                    out[2].append(np.einsum("ij,ij->i", unit[some][one], unit[there][two]))
-                q, i, s = (np.concatenate(x) for x in out)
-                order = np.lexsort((i, -s, q))
-                q, i, s = q[order], i[order], s[order]
-                starts = np.concatenate(([True], q[1:] != q[:-1])) if len(q) else np.zeros(0, bool)
-                nth = np.arange(len(q)) - np.maximum.accumulate(np.where(starts, np.arange(len(q)), 0)) if len(q) else np.zeros(0)
-                first = nth < 2 * k
-                yield pa.RecordBatch.from_arrays([pa.array(q[first]), pa.array(i[first]), pa.array(s[first])], names=["query_id", "id", "score"])
+                there = there[distinct(ids[there], raw[there], k)]
+                out = [best_of(unit[some], ids[some], unit[there], ids[there], k) for some in np.split(asked, range(256, len(asked), 256))]
+                q, i, s = leading(*(np.concatenate(x) for x in zip(*out, strict=True)), k)
+                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(i), pa.array(s)], names=["query_id", "id", "score"])
 
     keys = ["leaf", "part", "ask"]
     found = dealt.select(*keys, "query", "id", "blob").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(rank, schema)
