@@ -2,10 +2,12 @@
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from vigilflow.llm import encode, language, lattice, mixing, pages, personal, secrets, shingles, substrings, trees
+from vigilflow.llm.common import WordHasher, runs_of
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 #: Names that operators use inside.
@@ -176,6 +178,35 @@ def test_neighbours_among_equal_vectors_and_repeated_ids(spark):
     assert [r.vec_id for r in found] == sorted(score, key=lambda i: (-score[i], i))[:5] and found[0].vec_id == 7
 
 
+def test_stock_phrase_among_thousands_of_neighbours(spark, monkeypatch):
+    hasher, rng = WordHasher(), np.random.default_rng(5)
+    phrases = [" ".join(f"p{x}" for x in rng.integers(0, 1000, 5)) for _ in range(20_000)]
+    phrase = min(phrases, key=lambda p: runs_of(*hasher(pa.array([p])), 5)[0][0])  # the least hash of its windows
+    sides = [" ".join(f"w{x}" for x in rng.integers(0, 10**9, 12)) for _ in range(12_000)]
+    texts = [f"{sides[2 * i - 8 if i % 10 == 9 else 2 * i]} {phrase} {sides[2 * i + 1]}" for i in range(6000)]
+    texts += [texts[0], f"{phrase} {sides[1]} end"]
+    first, expected = {}, []
+    for text in texts:
+        words = text.split()
+        gone = set()
+        for k in range(len(words) - 12):
+            if tuple(words[k : k + 13]) in first:
+                gone.update(range(k, k + 13))
+        for k in range(len(words) - 12):
+            first.setdefault(tuple(words[k : k + 13]), True)
+        expected.append(" ".join(w for k, w in enumerate(words) if k not in gone))
+    add = substrings.SuffixAutomaton.add
+
+    def bounded(self, symbols, doc):
+        assert len(self.size) < 100_000, "one automaton holds all the neighbours of a phrase"
+        add(self, symbols, doc)
+
+    monkeypatch.setattr(substrings.SuffixAutomaton, "add", bounded)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert [r.kept for r in substrings.remove(rows).orderBy("doc_id").collect()] == expected
+    assert sum(a != b for a, b in zip(expected, texts, strict=True)) == 602
+
+
 @pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES], ids=[n for n, _ in corpus_pipeline.STAGES])
 def test_stages(spark, docs, wide, empty, stage):
     last = stage is corpus_pipeline.STAGES[-1][1]

@@ -147,15 +147,19 @@ def runs_of(words: np.ndarray, owner: np.ndarray, k: int) -> tuple[np.ndarray, n
 # ---------------------------------------------------------------- a filter of bounded size
 
 
-def bloom(keys: DataFrame, column: str, bits: int = 25) -> np.ndarray:
-    """A Bloom filter of 2**bits bits over a long column: 4 MB whatever the table's size.
+def bloom(keys: DataFrame, column: str, bits: int = 25, some: Column | None = None) -> np.ndarray:
+    """A Bloom filter of 2**bits bits over a long column: 4 MB whatever the table's size; with `some`,
+    a second one beside it that holds only the keys of rows with `some`.
 
     Only the filter is collected. It never misses a key; when more keys come than it is made for
     it lets more strangers pass, so users must be right with any stranger.
     """
     first = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
     second = F.shiftrightunsigned(F.col(column), 64 - bits)
-    at = keys.select(F.explode(F.array(first, second)).alias("at"))
+    places = F.array(first, second)
+    if some is not None:
+        places = F.when(some, F.concat(places, F.array(first + (1 << bits), second + (1 << bits)))).otherwise(places)
+    at = keys.select(F.explode(places).alias("at"))
     words = at.groupBy(F.shiftrightunsigned("at", 5).alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(at & 31 as int))")).alias("set"))
 
@@ -170,10 +174,10 @@ def bloom(keys: DataFrame, column: str, bits: int = 25) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["block", "bytes"])
 
     dealt = words.select(F.expr(f"word div {BLOOM_BLOCK}").alias("block"), "word", "set").repartition("block")
-    out = np.zeros(1 << (bits - 5), dtype=np.uint32)
+    out = np.zeros((1 if some is None else 2) << (bits - 5), dtype=np.uint32)
     for row in dealt.mapInArrow(blocks, "block bigint, bytes binary").collect():
         out[row["block"] * BLOOM_BLOCK : (row["block"] + 1) * BLOOM_BLOCK] = np.frombuffer(row["bytes"], dtype=np.uint32)
-    return out
+    return out if some is None else out.reshape(2, -1)
 
 
 def in_bloom(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:

@@ -8,6 +8,10 @@ smaller id are removed.
   key form a passage of at most 2 * length words.
 * Keys held by two documents are found by a combined aggregate and kept as a filter of fixed size.
   Passages of other keys are not moved; strangers that the filter lets through change nothing.
+* The same aggregate sketches the number of distinct passages of a key: a passage sets bit j of a
+  mask with probability 2**-(j + 1), by its hash. A key that has the lowest `CROWD` bits is crowded
+  (a stock phrase among thousands of neighbours); a second filter keeps these. Their passages are cut
+  into single windows named by their own hashes, in every document alike, so no task holds such a key.
 * Each distinct passage is sent once, from its smallest document, as the reference (another such
   filter says which). Spark deals the reference by key; a shard is a run of whole keys. Each shard
   builds a suffix automaton over words whose states know the smallest document that holds them, and
@@ -15,7 +19,8 @@ smaller id are removed.
   document in which it starts. A key with a single passage needs none.
 * The answers go back to the documents by passage, and each document drops its covered words.
 
-The words of a reference shard are bounded by `shard_words` plus one key.
+The words of a reference shard are bounded by `shard_words` plus one key, which has at most 5,000
+distinct passages of 2 * length - 1 words (with more it would miss a bit with probability 3e-9).
 
 Defined cases: null and empty texts have no words; texts shorter than a window keep all words; a
 document without id removes nothing and is no reference; rows of one id are one document, whatever
@@ -33,10 +38,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..session import cut
-from .common import WordHasher, bloom, in_bloom, others, pa_schema, packed, runs_of, small_batches, text_slices, unpacked
+from .common import WordHasher, bloom, in_bloom, mix, others, pa_schema, packed, runs_of, small_batches, text_slices, unpacked
 
 #: Bytes of a word's hash in a passage.
 SYMBOL = 5
+#: Bits of the sketch of a crowded key; 250 distinct passages set them in half the cases, 1,000 in 98 %.
+CROWD = 8
 NO_DOC = np.iinfo(np.int64).max
 
 
@@ -150,6 +157,23 @@ def passages(words: np.ndarray, owner: np.ndarray, length: int, seed: int) -> tu
     return low[at[first]], at[first], counts
 
 
+def sketch(hasher: WordHasher, words: np.ndarray, first: np.ndarray, counts: np.ndarray, length: int) -> np.ndarray:
+    """One bit of each passage, by a hash of its words."""
+    hasher.powers(len(words) + 1)
+    sums = np.zeros(len(words) + 1, dtype=np.uint64)
+    np.cumsum(words * hasher.up[: len(words)], out=sums[1:])
+    hashes = mix((sums[first + counts + length - 1] - sums[first]) * hasher.down[first]) | np.uint64(1 << CROWD)
+    return (hashes & (~hashes + np.uint64(1))).astype(np.int32)
+
+
+def single_windows(key: np.ndarray, first: np.ndarray, counts: np.ndarray, crowded: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Passages, those of crowded keys as their windows one by one; the last array marks these."""
+    pieces = np.where(crowded, counts, 1)
+    of = np.repeat(np.arange(len(key)), pieces)
+    nth = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    return key[of], first[of] + nth, np.where(crowded, 1, counts)[of], crowded[of]
+
+
 def binary(raw: np.ndarray, ends: np.ndarray) -> pa.Array:
     offsets = np.concatenate(([0], ends)).astype(np.int32)
     return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw.tobytes())])
@@ -177,19 +201,21 @@ class Cutter:
                 yield hasher, part, words, owner, *passages(words, owner, self.length, self.seed)
 
     def keys(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, part, _, owner, key, first, _ in self.each(batches):
+        for hasher, part, words, owner, key, first, counts in self.each(batches):
             ids = part.column(0).to_numpy()[owner[first]]
             order = np.lexsort((ids, key))
+            bits = sketch(hasher, words, first, counts, self.length)[order]
             key, ids = key[order].view(np.int64), ids[order]
             new = np.ones(len(key), dtype=bool)
             new[1:] = (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(key[new]), pa.array(ids[new])], names=["key", "id"])
+            bits = np.bitwise_or.reduceat(bits, np.flatnonzero(new)) if len(key) else bits
+            yield pa.RecordBatch.from_arrays([pa.array(key[new]), pa.array(ids[new]), pa.array(bits)], names=["key", "id", "bits"])
 
     def candidates(self, shared: np.ndarray, batches: Iterator[pa.RecordBatch]):
         """Passages whose keys may be shared: key, words as bytes, hash, row, first window in the row."""
         for hasher, part, words, owner, key, first, counts in self.each(batches):
-            held = in_bloom(shared, key)
-            key, first, counts = key[held], first[held], counts[held]
+            held = in_bloom(shared[0], key)
+            key, first, counts, alone = single_windows(key[held], first[held], counts[held], in_bloom(shared[1], key[held]))
             sizes = counts + self.length - 1
             ends = np.cumsum(sizes)
             places = np.repeat(first - (ends - sizes), sizes) + np.arange(int(sizes.sum()))
@@ -197,7 +223,7 @@ class Cutter:
             ends = ends * SYMBOL
             hashes = hasher.pieces(raw, ends - sizes * SYMBOL, ends).view(np.int64)
             starts = np.searchsorted(owner, np.arange(part.num_rows))
-            yield part, key.view(np.int64), raw, ends, hashes, owner[first], first - starts[owner[first]]
+            yield part, np.where(alone, hashes, key.view(np.int64)), raw, ends, hashes, owner[first], first - starts[owner[first]]
 
     def places(self, shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, key, _, _, hashes, row, first in self.candidates(shared.value, batches):
@@ -284,8 +310,10 @@ def remove(docs: DataFrame, id_column: str = "doc_id", text: str = "text", lengt
     base = docs.select(F.col(id_column).cast("bigint").alias("id"), F.xxhash64(body).alias("body_hash"), body.alias("body")).filter(
         "id is not null and body is not null")
     cutter = Cutter(length, seed)
-    held = base.mapInArrow(cutter.keys, "key bigint, id bigint").groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b"))
-    shared = sc.broadcast(bloom(held.filter("a < b"), "key"))
+    held = base.mapInArrow(cutter.keys, "key bigint, id bigint, bits int").groupBy("key").agg(
+        F.min("id").alias("a"), F.max("id").alias("b"), F.bit_or("bits").alias("bits"))
+    crowded = F.col("bits").bitwiseAND((1 << CROWD) - 1) == (1 << CROWD) - 1
+    shared = sc.broadcast(bloom(held.filter("a < b"), "key", some=crowded))
     places = base.mapInArrow(lambda b: cutter.places(shared, b), "key bigint, passage bigint, id bigint, body_hash bigint, first int")
     firsts = places.groupBy("key", "passage").agg(F.min("id").alias("id"))
     owners = sc.broadcast(bloom(firsts.select(owned(F.col("passage"), F.col("id")).alias("owned")), "owned"))
