@@ -147,6 +147,22 @@ def test_pages(spark):
     pages.train(table.limit(0), p=pages.LabellerParams(layouts=20, epochs=1))
 
 
+def test_blocks_of_custom_and_unclosed_elements():
+    def texts(page):
+        return [b.text for b in pages.blocks_of(page)]
+
+    for name in ("svg-icon", "object-card", "template-x", "math-field", "script-note", "iframe-box"):
+        assert texts(f"<p>a</p><{name} name=x></{name}><p>b</p>") == ["a", "b"]
+    for name in ("svg", "math", "object", "noscript", "canvas", "template", "textarea", "iframe"):
+        assert texts(f"<p>a</p><{name} id=x><p>b</p><p>c</p>") == ["a", "b", "c"]
+    assert texts("<p>a</p><script>var x = 1;<p>b</p>") == ["a", "b"]
+    assert texts("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p><object data=f>no film</object>") == ["so x=2 holds", "no film"]
+    assert texts("<p>a</p><STYLE>p {}</style ><script src=x>if (a<b) {}</script><template><p>no</p></template><textarea>no</textarea>b<iframe>no</iframe>") == ["a", "b"]
+    assert len(texts("<script>" * 20_000 + "<p>b</p>")) == 1
+    page = "<article>" + "<div>" * 500 + "x" + "</div>" * 200 + "y" + "</div>" * 300 + "z</article>"
+    assert [(b.text, len(b.path)) for b in pages.blocks_of(page)] == [("x", 400), ("y", 301), ("z", 1)]
+
+
 NAN, INF = float("nan"), float("inf")
 VECTORS = [(0, [1.0, 0.0, 0.0]), (1, [2.0, 0.0, 0.0]), (2, [1.0, 0.01, 0.0]), (3, [0.0, 1.0, 0.0]), (3, [0.0, 1.0, 0.0]), (4, [0.0, 0.0, 0.0]),
            (5, None), (6, []), (7, [NAN, 1.0, 0.0]), (8, [INF, 1.0, 0.0]), (9, [None, 1.0, 0.0]), (None, [1.0, 0.0, 0.0]), (10, [1.0, 0.0]), (11, [1e-30, 0.0, 0.0])]

@@ -11,8 +11,9 @@ nesting and order of menus, notices, adverts, forms, sidebars, comments and arti
 are main text. The words of the made-up pages are taken from the sampled ones.
 
 Defined cases: a null page is empty; pages without main blocks give the empty text; unclosed and cut
-off markup is read as far as it goes; comments, scripts, styles and templates have no blocks;
-unknown references stay as they are; repeated rows are labelled alike; other columns are kept.
+off markup is read as far as it goes; comments, scripts, styles, templates, text areas and frames
+have no blocks, and of an unclosed one only its tag (and code up to the next tag) is left out;
+formulas, drawings and the fallback text of objects are ordinary text; unknown references stay as they are; repeated rows are labelled alike; other columns are kept.
 """
 
 from __future__ import annotations
@@ -32,11 +33,16 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from .common import WordHasher, hash_sample, others, pa_schema, packed, small_batches, text_slices, unpacked
 
 MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea|iframe|object|math|canvas)\b[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))"
+    r"<!--.*?(?:-->|\Z)|<(script|style|template|textarea|iframe)(?=[\s/>])[^>]*>"
     r"|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S | re.I)
+#: Where elements end whose content is not read, and the next tag after one that does not end.
+ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "template", "textarea", "iframe")}
+TAG = re.compile(r"<[/!a-zA-Z]|\Z")
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 #: Elements of HTML, by what they do to blocks; fixed values.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br picture source audio video track".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br picture source audio video track"
+                   " object canvas noscript svg tspan math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace"
+                   " msqrt mstyle msub msubsup msup mtext munder munderover semantics annotation".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ENDS_PARAGRAPH = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 PATH, WORDS, FIGURES = 128, 48, 8
@@ -65,6 +71,8 @@ def blocks_of(page: str | None) -> list[Block]:
     """Leaf blocks in page order."""
     out: list[Block] = []
     stack: list[tuple[str, str]] = []
+    deep: list[str] = []  # elements opened below the deepest one of the stack
+    endless: set[str] = set()  # names without a further end tag
     held: list[str] = []
     linked = 0
     begin = 0
@@ -78,13 +86,21 @@ def blocks_of(page: str | None) -> list[Block]:
         held.clear()
         linked = 0
 
-    for m in MARKUP.finditer(page):
+    while m := MARKUP.search(page, begin):
         if m.start() > begin:
             piece = page[begin : m.start()]
             held.append(piece)
             if any(x[0] == "a" for x in stack[-4:]):
                 linked += len(piece)
         begin = m.end()
+        if m[1] and not m[0].endswith("/>"):
+            raw = m[1].lower()
+            end = ENDS[raw].search(page, begin) if raw not in endless else None
+            if end:
+                begin = end.end()
+            else:
+                endless.add(raw)
+                begin = TAG.search(page, begin).start() if raw in ("script", "style") else begin
         name = (m[3] or "").lower()
         if not name:
             continue
@@ -92,10 +108,14 @@ def blocks_of(page: str | None) -> list[Block]:
             held.append(" ")
         if name not in INLINE:
             flush()
+        if m[2] and name in deep:
+            del deep[len(deep) - 1 - deep[::-1].index(name) :]
+            continue
         if m[2]:
             at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
             if at is not None and (name not in INLINE or all(x[0] in INLINE for x in stack[at:])):
                 del stack[at:]
+                deep.clear()
             continue
         if name in ENDS_PARAGRAPH:
             at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] not in INLINE), None)
@@ -105,7 +125,11 @@ def blocks_of(page: str | None) -> list[Block]:
             at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] not in INLINE), None)
             if at is not None and stack[at][0] in ({"td", "th"} if name in ("td", "th") else {"dt", "dd"} if name in ("dt", "dd") else {name}):
                 del stack[at:]
-        if name not in VOID and not m[4].rstrip().endswith("/") and len(stack) < 400:
+        if name in VOID or m[4].rstrip().endswith("/"):
+            continue
+        if len(stack) >= 400:
+            deep.append(name)
+        else:
             names = " ".join(x[2] or x[3] or x[4] for x in NAMED.finditer(m[4]))
             stack.append((name, f"{name} {names}".strip().lower()))
     held.append(page[begin:])
