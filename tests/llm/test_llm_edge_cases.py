@@ -163,6 +163,29 @@ def test_blocks_of_custom_and_unclosed_elements():
     assert [(b.text, len(b.path)) for b in pages.blocks_of(page)] == [("x", 400), ("y", 301), ("z", 1)]
 
 
+def test_patterns_discover_among_few_seeds_and_many_unknown_values(spark):
+    cards = ["4111111111111111", "4012888888881881", "4222222222222", "5555555555554444", "5105105105105100", "378282246310005"]
+    rows = [(i, f"please charge card number {c} today") for i, c in enumerate(cards)]
+    rows += [(20, "the card number 4111-1111-1111-0112 was refused"), (21, "the card number 4111 1111 1111 1112 was refused")]
+    rows += [(30 + i, f"so phone me +49 30 12345{i}7 today") for i in range(6)]
+    rows += [(40 + i, f"so phone me 017-555-77{i:02d} today") for i in range(20)] + [(60, "so phone me (017) 555-7713 today")]
+    rows += [(100 + i, f"they sold of the {n} items and of the 10.1.{i}.1 rest") for i, n in enumerate(range(10000, 10020))]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r.doc_id: r for r in personal.extract(table).collect()}
+    assert [(s.kind, s.value) for i in (20, 21) for s in found[i].spans] == [("card", "4111-1111-1111-0112"), ("card", "4111 1111 1111 1112")]
+    assert all([(s.kind, s.value) for s in found[40 + i].spans] == [("phone", f"017-555-77{i:02d}")] for i in range(20))
+    assert [(s.kind, s.value) for s in found[60].spans] == [("phone", "(017) 555-7713")]
+    assert all(r.spans == r.base for i, r in found.items() if i < 20 or i >= 100)
+    assert {r.doc_id: r.text for r in personal.redact(table).collect()}[60] == "so phone me [PHONE] today"
+
+
+def test_patterns_discover_with_six_seeds(spark):
+    cards = ["4111111111111111", "4012888888881881", "4222222222222", "5555555555554444", "5105105105105100", "378282246310005"]
+    rows = [(i, f"please charge card number {c} today") for i, c in enumerate(cards)] + [(90, "the card number 4111-1111-1111-0112 was refused")]
+    found = {r.doc_id: r for r in personal.extract(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert [(s.kind, s.value) for s in found[90].spans] == [("card", "4111-1111-1111-0112")] and found[90].base == []
+
+
 NAN, INF = float("nan"), float("inf")
 VECTORS = [(0, [1.0, 0.0, 0.0]), (1, [2.0, 0.0, 0.0]), (2, [1.0, 0.01, 0.0]), (3, [0.0, 1.0, 0.0]), (3, [0.0, 1.0, 0.0]), (4, [0.0, 0.0, 0.0]),
            (5, None), (6, []), (7, [NAN, 1.0, 0.0]), (8, [INF, 1.0, 0.0]), (9, [None, 1.0, 0.0]), (None, [1.0, 0.0, 0.0]), (10, [1.0, 0.0]), (11, [1e-30, 0.0, 0.0])]

@@ -2,7 +2,8 @@
 
 Base patterns give seed entities. The two words before an entity are a lexical pattern. A graph
 links patterns with instances (identifier-like tokens); scores travel over it in rounds: a pattern
-is trusted as far as its instances are known to be of one kind, an instance as far as a trusted
+is trusted as far as its instances, without those that are unknown but of the kind's shape, are
+known to be of one kind, an instance as far as a trusted
 pattern proposes it. Instances that trusted patterns propose and no base pattern covers are added.
 
 Defined cases: a null text is empty; a token at the start of a text has the pattern of the missing
@@ -28,6 +29,9 @@ CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}+(?![\x20-]?[0-
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*+"
 
+#: Digit groups of 6 to 19 digits joined by blanks and the like; an identifier when a blank is among them.
+GROUPS = r"(?<![^\x20\x09-\x0D])[+(]?[0-9](?:[\x20().-]{0,3}[0-9]){5,18}(?![0-9A-Za-z])"
+
 
 def digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
@@ -59,6 +63,15 @@ def shape_fits(kind: Column, value: Column) -> Column:
             .when(kind == "card", n >= 8).otherwise(n.between(6, 15)))
 
 
+def strictly_fits(kind: Column, value: Column) -> Column:
+    """What an unknown value must look like not to speak against its kind."""
+    n = F.length(digits(value))
+    return (F.when(kind == "email", F.contains(value, F.lit("@")) & (F.length(value) >= 5))
+            .when(kind == "ip", value.rlike(r"^[0-9A-Fa-f]*([.:][0-9A-Fa-f]*){2,}$") & (n >= 4))
+            .when(kind == "card", value.rlike(r"^[0-9][0-9\x20-]*$") & n.between(12, 19))
+            .otherwise(value.rlike(r"^[+(]?[0-9][0-9()./\x20-]*$") & n.between(6, 15)))
+
+
 def last_words(before: Column) -> Column:
     """The last two words on the line before an entity, in lower case: the lexical pattern."""
     return F.lower(F.regexp_extract(before, r"([^\s]*)[\x20\t]*([^\s]*)[\x20\t]*$", 0))
@@ -69,7 +82,8 @@ def extract(docs: DataFrame, text: str = "text", rounds: int = 2, least_score: f
     """All rows of `docs` with `base` and `spans` (arrays of kind, start, end, value).
 
     A pattern is trusted when it stands before `least_values` distinct values of a kind and this
-    kind's share of the distinct values after it, weighed by their scores, is `least_score` or more.
+    kind's share of the distinct values after it, weighed by their scores and smoothed by half a
+    value, is `least_score` or more. Values of no known kind that have the kind's shape do not count.
     """
     keep = others(docs, "base", "spans")
     whole = docs.select(packed(keep), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
@@ -80,9 +94,12 @@ def extract(docs: DataFrame, text: str = "text", rounds: int = 2, least_score: f
         (s["end"] - F.length(s["value"]) + F.length(F.regexp_replace(s["value"], r"[^A-Za-z0-9]+$", ""))).alias("end"),
         F.regexp_replace(F.regexp_replace(s["value"], r"^[^A-Za-z0-9+]+", ""), r"[^A-Za-z0-9]+$", "").alias("value"), s["before"].alias("before")))
 
+    spaced = matches(F.col("_text"), "token", GROUPS, F.rlike("_text", F.lit(r"[0-9]\)?[\x20][\x20(.-]*[0-9]")), context=True)
+
     def with_loose(base: Column) -> Column:
         outside = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        return F.concat(base, F.filter(trimmed, lambda s: (s["end"] - s["start"] >= 5) & outside(s)))
+        groups = F.filter(spaced, lambda s: F.contains(s["value"], F.lit(" ")) & outside(s))
+        return F.concat(base, F.filter(trimmed, lambda s: (s["end"] - s["start"] >= 5) & outside(s)), groups)
 
     seen = bound(base_spans(F.col("_text"), context=True), with_loose)
     named = bound(F.md5("_text"), lambda row: F.transform(seen, lambda s: F.struct(row.alias("row"), s.alias("span"))))  # once per text
@@ -96,14 +113,19 @@ def extract(docs: DataFrame, text: str = "text", rounds: int = 2, least_score: f
     for _ in range(rounds):
         support = graph.select("pattern", "value").distinct().join(known, "value").groupBy("pattern", "of").agg(
             F.sum("score").alias("mass"), F.count(F.lit(1)).alias("held"))
-        trusted = cut(support.join(totals, "pattern").withColumn("trust", F.col("mass") / F.col("values")).filter(
-            (F.col("held") >= least_values) & (F.col("trust") >= least_score) & (F.trim("pattern") != "")).select("pattern", "of", "trust"))
+        ready = cut(support.filter((F.col("held") >= least_values) & (F.trim("pattern") != "")))
+        fitting = loose.distinct().join(ready.select("pattern", "of"), "pattern").filter(strictly_fits(F.col("of"), F.col("value")))
+        unknown = fitting.join(known.select("value").distinct(), "value", "left_anti").groupBy("pattern", "of").agg(F.count(F.lit(1)).alias("unknown"))
+        judged = ready.join(totals, "pattern").join(unknown, ["pattern", "of"], "left")
+        trust = F.col("mass") / (F.col("values") - F.coalesce("unknown", F.lit(0)) + 0.5)
+        trusted = cut(judged.withColumn("trust", trust).filter(F.col("trust") >= least_score).select("pattern", "of", "trust"))
         proposed = loose.join(trusted, "pattern").filter(shape_fits(F.col("of"), F.col("value")))
         better = proposed.groupBy("value", "of").agg((1 - F.exp(F.sum(F.log(1.0001 - F.col("trust"))))).alias("score"))
         known = cut(seeds.unionByName(better).groupBy("value", "of").agg(F.max("score").alias("score")))
     no = F.array_position(F.array(*(F.lit(k) for k in KINDS)), F.col("of"))
     added = mentions.filter("kind = 'token'").join(trusted, "pattern").filter(shape_fits(F.col("of"), F.col("value")))
     added = added.groupBy("_row", "start", "end", "value").agg(F.max(F.struct("trust", (-no).alias("no"), "of")).alias("best"))
+    added = added.groupBy("_row", "start").agg(F.max(F.struct("end", "value", "best")).alias("m")).select("_row", "start", "m.*")  # digit groups before their first token
     added = added.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct(
         F.col("best.of").alias("kind"), "start", "end", "value"))).alias("_added"))
     marked = F.rlike("_text", F.lit("[0-9@]"))  # other texts have no spans and stay where they are
