@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encode, language, lattice, mixing, pages, personal, secrets, shingles, spans, substrings, trees
+from . import encode, interactions, language, lattice, mixing, pages, personal, secrets, shingles, spans, substrings, tokencounts, trees, turns
 from .common import table
 
 QUERIES: dict = {}
@@ -86,6 +86,25 @@ def op4_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(rows, pages.train(rows)).select("page_id", "url", "text", "n_chars")
 
 
+@registered
+def op11_filter_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = interactions.failure_counts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), interactions.quality_failures)
+    return interactions.audit(counts, "ABCDE")
+
+
+@registered
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.repair(table(spark, sf_dir, "conversations"))
+
+
+@registered
+def op13_spliced_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    counted = tokencounts.count(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
 _WORDS = r"coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), [])"
 #: Smallest id reachable by links(a, b), both directions given.
 _REACH = "reach as (select a, b from links union select r.a, l.b from reach r join links l on r.b = l.a), low as (select a, min(b) as b from reach group by a)"
@@ -116,3 +135,21 @@ near as (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b wh
 links as (select a, b from near union all select b, a from near), {_REACH}, degree as (select a, count(*) as n from links group by a)
 select doc_id, coalesce(x.n, 0) as n_links, least(doc_id, coalesce(low.b, doc_id)) as class_id
 from documents left join degree x on x.a = doc_id left join low on low.a = doc_id"""
+
+#: Failure masks of all rows, then the 120 orders walked one by one.
+ORACLE["op11_filter_lattice"] = f"""with recursive d as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t from documents),
+w as (select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w, min(doc_id) over (partition by t) as first from d),
+m as (select doc_id, part, [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w),
+  100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * len(t), regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > first, false)] as fails from w),
+l as (select doc_id, bool_or(quality = 1) as good, bool_or(toxic = 1) as toxic from labels group by doc_id),
+c as (select part, fails, count(*) as n, count(*) filter (where good) as good, count(*) filter (where toxic) as toxic from m left join l using (doc_id) group by part, fails),
+o as (select '' as o union all select o || f from o, unnest(['A', 'B', 'C', 'D', 'E']) as x(f) where not contains(o, f)),
+s as (select o as filter_order, unnest(range(1, 6)) as step from o where len(o) = 5),
+x as (select *, ascii(filter_order[step]) - 64 as f, list_transform(range(1, step), lambda i: ascii(filter_order[i]) - 64) as before from s),
+e as (select x.*, c.*, fails[f] as fail, list_bool_or(list_concat([false], list_transform(before, lambda i: fails[i]))) as gone,
+  len(list_filter(fails, lambda v: v)) as many from x, c),
+r as (select part, filter_order, step, f, coalesce(sum(n) filter (where not fail and not gone), 0)::bigint as kept,
+  coalesce(sum(n) filter (where fail and not gone), 0)::bigint as removed, coalesce(sum(n) filter (where fail and gone), 0)::bigint as redundant,
+  coalesce(sum(n) filter (where fail and many = 1), 0)::bigint as unique_fails, coalesce(sum(good) filter (where fail and not gone), 0)::bigint as good_lost,
+  coalesce(sum(toxic) filter (where fail and not gone), 0)::bigint as toxic_lost from e group by part, filter_order, step, f)
+select * exclude f, (sum(removed) over (partition by part, f))::bigint as shapley from r"""
