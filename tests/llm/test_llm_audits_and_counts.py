@@ -284,6 +284,15 @@ def test_huge_text_is_spread(spark, library):
     assert len(tokencounts.pieces(len(text), tokencounts.CHUNK, tokencounts.OVERLAP, {})) > 25
 
 
+def test_remembered_pre_tokens_are_the_librarys(library):
+    """Every common character in every context that decides a pre-token, and uncommon ones beside them."""
+    counter = tokencounts.Counter(BYTE_BPE, True)
+    texts = [f"{a}{chr(c)}{b}" for c in range(0x260) for a, b in (("", ""), (" ", "x"), ("x", " 1"), ("'", "\n\n y"), ("1", "'ll"), ("  ", "  "))]
+    texts += awkward_texts(5, 300) + ["x" * 50_000, "", "<|endoftext|>"]
+    assert counter(texts) == [library(t) for t in texts]
+    assert counter(texts[::-1]) == [library(t) for t in texts[::-1]] and len(counter.known) > 500
+
+
 def test_only_tokenizers_that_allow_a_proof_are_cut(spark):
     assert tokencounts.margin_of(BYTE_BPE) == tokencounts.LOOK_AHEAD + len("<|endoftext|>")
     assert tokencounts.margin_of(public_tokenizers.path("word_bpe_49k.json")) is None
