@@ -114,20 +114,61 @@ def ssm_update(h: np.ndarray, x: np.ndarray, p: SsmParams) -> np.ndarray:
     return h
 
 
+def affine_scan(keep: np.ndarray, add: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """h[t] = keep[t] h[t-1] + add[t] for all rows at once.
+
+    Row t's map is composed with the map of the rows before it in log steps, each twice as far back;
+    nothing is divided, so a state that is forgotten at once does no harm.
+    """
+    keep, add = keep.copy(), add.copy()
+    reach = 1
+    while reach < len(keep):
+        add[reach:] += keep[reach:] * add[:-reach]
+        keep[reach:] *= keep[:-reach].copy()
+        reach *= 2
+    return keep * start + add
+
+
 class SsmStep:
-    """y = c h + d x per row over the vector column; keeps `y` as a list."""
+    """y = c h + d x per row over the vector column; keeps `y` as a list.
+
+    Between resets and clamps the state is an affine map of the state before, so blocks of rows are
+    scanned at once. Where a row of a block trips one, the rows before it stand, that row is
+    stepped alone and the rest of the block is scanned again from there. While rows keep
+    tripping, they are stepped one by one.
+    """
+
+    SCANNED, STEPPED = 256, 32  # rows of a block; rows stepped alone after a trip soon after the last one
 
     def __init__(self, vector: str = "embedding", p: SsmParams = SsmParams(), dim: int = SSM_DIM):
         self.vector, self.p, self.dim = vector, p, dim
 
     def __call__(self, rows: dict, state):
+        p = self.p
         h = np.zeros(self.dim) if state is None else np.array(state)
-        ys = []
-        for v in rows[self.vector]:
-            x = np.asarray(v, dtype=float)[: self.dim]
-            h = ssm_update(h, x, self.p)
-            ys.append((self.p.c * h + self.p.d * x).tolist())
-        return {"y": ys}, h.tolist()
+        vectors = rows[self.vector]
+        x = np.array([v[: self.dim] for v in vectors], dtype=float).reshape(len(vectors), -1)
+        delta = _softplus(p.delta * x)
+        keep, add = np.exp(-delta * np.exp(p.a_log)), delta * p.b * x
+        states = np.empty_like(x)
+        at, alone, tripped = 0, 0, -self.SCANNED
+        while at < len(x):
+            if alone:
+                h = states[at] = ssm_update(h, x[at], p)
+                at, alone = at + 1, alone - 1
+                continue
+            block = slice(at, min(at + self.SCANNED, len(x)))
+            made = affine_scan(keep[block], add[block], h)
+            with np.errstate(over="ignore", invalid="ignore"):
+                bad = ~(np.sqrt((made * made).sum(axis=1)) <= p.max_energy)  # also where not finite
+            good = int(np.argmax(bad)) if bad.any() else len(made)
+            states[at:at + good] = made[:good]
+            h = states[at + good - 1] if good else h
+            at += good
+            if good < len(made):
+                alone = self.STEPPED if at - tripped < self.STEPPED else 1
+                tripped = at
+        return {"y": (p.c * states + p.d * x).tolist()}, h.tolist()
 
 
 class HierarchyStep:
@@ -245,56 +286,142 @@ class DecisionStep:
         return False
 
 
+def chain(after: np.ndarray, start: int, size: int = 64) -> np.ndarray:
+    """Which rows lie on the chain start, after[start], after[after[start]] ...; after[i] > i, len(after) ends it.
+
+    Slices of `size` rows are worked through side by side: first every row learns, from the slice's
+    end backwards, where a chain through it leaves the slice; the chain then goes from slice to
+    slice; last, each slice marks its rows from where the chain came in.
+    """
+    n = len(after)
+    parts = -(-n // size)
+    total = parts * size
+    to = np.arange(1, total + 1)
+    to[:n] = np.where(after < n, after, total)
+    first = np.arange(parts) * size
+    leaves = to.copy()
+    for j in range(size - 2, -1, -1):
+        at = first + j
+        inside = to[at] < first + size
+        leaves[at[inside]] = leaves[to[at[inside]]]
+    on = np.zeros(total + 1, dtype=bool)
+    while start < n:
+        on[start] = True
+        start = int(leaves[start])
+    for j in range(size - 1):
+        at = first + j
+        on[to[at[on[at]]]] = True
+    return on[:n]
+
+
 class CooldownStep:
-    """Keep a row only when its key's last kept row is at least `seconds` old."""
+    """Keep a row only when its key's last kept row is at least `seconds` old.
+
+    From every row the next one that may be kept is a binary search away; the kept rows are a chain of these.
+    """
 
     def __init__(self, seconds: float):
         self.wait = int(seconds * US)
 
     def __call__(self, rows: dict, state):
-        last, keep = state, []
-        for ts in rows["ts_us"].tolist():
-            ok = last is None or ts - last >= self.wait
-            keep.append(ok)
-            if ok:
-                last = ts
-        return {"_keep": keep}, last
+        ts = np.asarray(rows["ts_us"])
+        if not len(ts):
+            return {"_keep": np.zeros(0, dtype=bool)}, state
+        start = 0 if state is None else int(np.searchsorted(ts, state + self.wait))
+        after = np.maximum(np.searchsorted(ts, ts + self.wait), np.arange(1, len(ts) + 1))
+        kept = chain(after, start)
+        at = np.flatnonzero(kept)
+        return {"_keep": kept}, int(ts[at[-1]]) if len(at) else state
 
 
 class RateLimitStep:
-    """Admit at most `n` rows of a key in any sliding window; refused rows do not count."""
+    """Admit at most `n` rows of a key in any sliding window; refused rows do not count.
+
+    A row with fewer than `n` rows of any kind in its window is admitted, without a look at the
+    others. Elsewhere the next row to be admitted is the first after the last admitted one that
+    lies a window behind the n-th last one: refused rows are jumped over.
+    """
 
     def __init__(self, n: int, seconds: float):
         self.n, self.span = n, int(seconds * US)
 
     def __call__(self, rows: dict, state):
-        recent, admitted = list(state or []), []
-        for ts in rows["ts_us"].tolist():
-            recent = [t for t in recent if ts - t < self.span]
-            ok = len(recent) < self.n
-            admitted.append(ok)
-            if ok:
-                recent.append(ts)
-        return {"admitted": admitted}, recent
+        old = list(state or [])[-self.n:] if self.n else []
+        ts = np.concatenate((np.array(old, dtype=np.int64), np.asarray(rows["ts_us"], dtype=np.int64)))
+        begin, total = len(old), len(ts)
+        admitted = np.zeros(total, dtype=bool)
+        admitted[:begin] = True
+        if self.n:
+            crowded = np.zeros(total, dtype=bool)
+            crowded[self.n:] = ts[self.n:] - ts[: -self.n] < self.span
+            crowded[:begin] = False
+            places = np.flatnonzero(crowded)
+            free = np.searchsorted(ts, ts + self.span)  # the first row that a row does not count for
+            i, n = begin, self.n
+            while i < total:
+                k = int(np.searchsorted(places, i))
+                calm = int(places[k]) if k < len(places) else total
+                admitted[i:calm] = True
+                i = calm
+                if i == total:
+                    break
+                recent = np.flatnonzero(admitted[max(0, i - n):i])[-n:] + max(0, i - n)
+                if len(recent) < n:  # refused rows lie between the admitted ones
+                    recent = np.flatnonzero(admitted[:i])[-n:]
+                last = recent.tolist()
+                quiet = 0
+                while i < total and quiet < n:  # till as many rows as count are admitted without being crowded
+                    j = max(i, int(free[last[0]])) if len(last) == n else i
+                    if j >= total:
+                        i = total
+                        break
+                    admitted[j] = True
+                    quiet = 0 if crowded[j] or j > i else quiet + 1
+                    last = [*last[1:], j] if len(last) == n else [*last, j]
+                    i = j + 1
+        recent = ts[admitted][-self.n:] if self.n and total else np.zeros(0, dtype=np.int64)
+        return {"admitted": admitted[begin:]}, recent[ts[-1] - recent < self.span].tolist() if total else []
 
 
 class ShiftStep:
-    """Flag rows where a value has moved more than `step` from the last flagged one."""
+    """Flag rows where a value has moved more than `step` from the last flagged one.
+
+    Rows without a shift are passed over in stretches that double; where shifts come close together a
+    short stretch is walked.
+    """
+
+    LEAST, MOST = 16, 4096
 
     def __init__(self, columns: Sequence[str], start: Sequence[float], step: float = AdaptiveParams().shift):
         self.columns, self.start, self.step = list(columns), list(start), step
 
+    def flags(self, values: np.ndarray, last: float) -> tuple[np.ndarray, float]:
+        out = np.zeros(len(values), dtype=bool)
+        at, stretch = 0, self.LEAST
+        while at < len(values):
+            if stretch <= self.LEAST:
+                for i, v in enumerate(values[at:at + 4 * stretch].tolist(), at):
+                    if abs(v - last) > self.step:
+                        out[i], last = True, v
+                moved = out[at:at + 4 * stretch].sum()
+                at += 4 * stretch
+                stretch = stretch if moved > 2 else 2 * stretch
+                continue
+            far = np.abs(values[at:at + stretch] - last) > self.step
+            first = int(np.argmax(far))
+            if not far[first]:
+                at, stretch = at + stretch, min(2 * stretch, self.MOST)
+                continue
+            at += first
+            out[at], last = True, float(values[at])
+            at, stretch = at + 1, max(self.LEAST, first)
+        return out, last
+
     def __call__(self, rows: dict, state):
         last = list(state or self.start)
         added = {}
         for i, c in enumerate(self.columns):
-            flags = []
-            for v in rows[c].tolist():
-                moved = abs(v - last[i]) > self.step
-                flags.append(moved)
-                if moved:
-                    last[i] = v
-            added[f"{c}_shift"] = flags
+            added[f"{c}_shift"], last[i] = self.flags(np.asarray(rows[c], dtype=float), last[i])
         return added, last
 
 
@@ -306,15 +433,20 @@ class EwmaStep:
 
     def __call__(self, rows: dict, state):
         mean, var = state or (0.0, 0.0)
-        frozen = [False] * len(rows[self.value]) if self.freeze is None else (rows[self.score] >= self.freeze).tolist()
-        means, vars_ = [], []
-        for x, skip in zip(rows[self.value].tolist(), frozen):
-            if not skip:
-                delta = x - mean
-                var = (1 - self.alpha) * (var + self.alpha * delta * delta)
-                mean += self.alpha * delta
-            means.append(mean)
-            vars_.append(var)
-        return {"mean": means, "var": vars_}, [mean, var]
-
-
+        x = np.asarray(rows[self.value], dtype=float)
+        counts = np.ones(len(x)) if self.freeze is None else (~(np.asarray(rows[self.score]) >= self.freeze)).astype(float)
+        means, spreads = np.empty(len(x)), np.empty(len(x))
+        block = max(1, min(BLOCK, int(-200 / np.log2(max(1e-9, 1 - self.alpha)) if self.alpha < 1 else 1)))
+        for i in range(0, len(x), block):
+            b = slice(i, i + block)
+            weight = self.alpha * counts[b]
+            if self.alpha >= 1:  # the last row alone
+                m = np.where(counts[b] > 0, x[b], mean)
+                v = np.where(counts[b] > 0, 0.0, var)
+            else:
+                m = _recur(np.array([mean]), 1 - weight, (weight * x[b])[:, None])[:, 0]
+                gap = x[b] - np.concatenate(([mean], m[:-1]))
+                v = _recur(np.array([var]), 1 - weight, ((1 - weight) * weight * gap * gap)[:, None])[:, 0]
+            means[b], spreads[b] = m, v
+            mean, var = float(m[-1]), float(v[-1])
+        return {"mean": means, "var": spreads}, [mean, var]
