@@ -123,7 +123,7 @@ def pick(rows: Columns, added: dict, names: list[str]) -> dict:
     if keep is None:
         return out
     mask = np.asarray(keep, dtype=bool)
-    return {n: np.asarray(v, dtype=object)[mask] if isinstance(v, list) else v[mask] for n, v in out.items()}
+    return {n: [x for x, m in zip(v, mask, strict=True) if m] if isinstance(v, list) else v[mask] for n, v in out.items()}
 
 
 def _column(parts: list) -> object:

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 import numpy as np
 
 from ..params import (
-    DECISIONS, SSM_DIM, US, AdaptiveParams, DecisionParams, FlushParams, RoutingParams, SsmParams,
+    DECISIONS, EVENT_TYPES, SSM_DIM, US, AdaptiveParams, DecisionParams, FlushParams, RoutingParams, SsmParams,
 )
 
 # ---- rolling statistics ----------------------------------------------------------------------
@@ -171,6 +171,48 @@ class SsmStep:
         return {"y": (p.c * states + p.d * x).tolist()}, h.tolist()
 
 
+class SegmentSummaryStep:
+    """One row for every flushed segment, at the row that flushes it: what `segment_summary` gives for
+    whole segments, with the recurrence's output `state` there if a vector column is named.
+    """
+
+    def __init__(self, p: FlushParams = FlushParams(), vector: str | None = None, ssm: SsmParams = SsmParams()):
+        self.cut = SegmentStep(p)
+        self.scan = SsmStep(vector, ssm) if vector else None
+
+    def __call__(self, rows: dict, state):
+        s = state or {"cut": None, "scan": None, "open": None}
+        marks, cut = self.cut(rows, s["cut"])
+        scanned, scan = self.scan(rows, s["scan"]) if self.scan else ({}, None)
+        score, rate, kind = np.asarray(rows["score"], dtype=float), np.asarray(rows["rate_hz"], dtype=float), list(rows["type"])
+        open_ = s["open"] or {"n": 0, "score": 0.0, "rate": 0.0, "errors": 0, "types": {}}
+        flushed = np.asarray(marks["flushed"], dtype=bool)
+        made: dict[str, list] = {c: [None] * len(score) for c in ("events", "trend", "rate_mean", "error_freq", "dominant_type")}
+        begin = 0
+        for end in [*(np.flatnonzero(flushed) + 1).tolist(), len(score)]:
+            part = slice(begin, end)
+            types = dict(open_["types"])
+            for k in kind[part]:
+                types[k] = types.get(k, 0) + 1
+            open_ = {"n": open_["n"] + end - begin, "score": open_["score"] + float(score[part].sum()), "rate": open_["rate"] + float(rate[part].sum()),
+                     "errors": open_["errors"] + int((score[part] > 0.5).sum()), "types": types}
+            if end > begin and flushed[end - 1]:
+                n = open_["n"]
+                best = max(types, key=lambda k: (types[k], -_ordinal(k)))
+                for c, v in zip(made, (n, open_["score"] / n, open_["rate"] / n, open_["errors"] / n, best), strict=True):
+                    made[c][end - 1] = v
+                open_ = {"n": 0, "score": 0.0, "rate": 0.0, "errors": 0, "types": {}}
+            begin = end
+        added = {"_keep": flushed, "segment_id": marks["segment_id"], "last_score": score, **made}
+        if self.scan:
+            added["state"] = scanned["y"]
+        return added, {"cut": cut, "scan": scan, "open": open_}
+
+
+def _ordinal(kind: str) -> int:
+    return EVENT_TYPES.index(kind) if kind in EVENT_TYPES else EVENT_TYPES.index("unk")
+
+
 class HierarchyStep:
     """Four levels of recurrence over a scope's segments, with drift and anomaly history."""
 
