@@ -264,6 +264,10 @@ def test_any_number_of_rules_and_signatures(spark, ev, monkeypatch):
     monkeypatch.setattr(joins, "RULE_PART", 2)
     assert whole == sorted((r.event_id, tuple(r.rules)) for r in joins.match_rules(twice, rules).collect())
 
+    hits = sorted(map(tuple, joins.rule_matches(joins.met_rules(twice, rules)).groupBy("rule_id").count().collect()))
+    met = [i for event, _ in whole for i in {dict(low=1, hot=2, off=3, all=4, addr=6)[n.removesuffix(":ip")] for n in expected(event)}]
+    assert hits == sorted({i: met.count(i) for i in met}.items())
+
     vectors = spark.createDataFrame([(i, [float(i % 5), 1.0, float(i % 3)]) for i in range(20)], "id long, embedding array<double>")
     signatures = vectors.select(F.col("id").alias("signature"), F.col("embedding").alias("vector"))
     best = sorted(map(tuple, similarity.match_signatures(vectors, signatures).select("id", "signature", "cosine").collect()))
@@ -271,6 +275,19 @@ def test_any_number_of_rules_and_signatures(spark, ev, monkeypatch):
     assert best == sorted(map(tuple, similarity.match_signatures(vectors, signatures).select("id", "signature", "cosine").collect()))
 
 
+def test_hits_of_rules_with_awkward_names(spark):
+    """Two rules of one name keep their own hits, and a name that ends like an address match is just a name."""
+    rules = spark.createDataFrame(
+        [(1, "same", 0.5, "", True), (2, "same", 0.99, "", True), (3, "x:ip", 0.5, "", True), (4, "x", None, "10.", True)],
+        "id long, name string, threshold double, pattern string, enabled boolean")
+    events = spark.createDataFrame([(1, 5, "10.0.0.1", 0.9), (2, 6, "h", 0.9), (3, 7, "h", None), (4, 8, "10.1", 0.1)], "event_id long, ts_us long, source string, score double")
+    met = joins.met_rules(events, rules)
+    assert sorted(map(tuple, joins.rule_matches(met).collect())) == [(1, 5), (1, 6), (3, 5), (3, 6), (4, 5), (4, 8)]
+    named = {r.event_id: r.rules for r in joins.match_rules(events, rules).collect()}
+    assert named == {1: ["same", "x:ip", "x:ip"], 2: ["same", "x:ip"], 3: [], 4: ["x:ip"]}
+    assert joins.match_rules(events, rules.limit(0)).filter("size(rules) = 0").count() == 4
+
+
 def test_evict_breaks_ties_by_id(spark):
     data = [("ip", "k", i, 0, 0.5 if i < 30 else 0.9) for i in range(40)] + [("ip", "small", 99, 0, 0.1)]
     mem = spark.createDataFrame(data, "scope string, scope_key string, record_id long, ts_us long, score double")

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..params import FusionWeights
 from ..session import cut
@@ -14,40 +13,54 @@ from .salted import salted_join
 RULE_PART = 5_000
 
 
-def match_rules(ev: DataFrame, rules: DataFrame, score: str = "score") -> DataFrame:
-    """Per event, the names of enabled rules it meets, ordered by rule id.
+def _rule_parts(rules: DataFrame) -> DataFrame:
+    """Enabled rules in order of id, `RULE_PART` in a row: (part, scored, patterned) with the rules that can
+    match by score and those that can by address, each by (id, kind, name) and what it is tested with.
+    """
+    live = rules.filter("enabled").select("id", "name", "threshold", "pattern")
+    order = F.row_number().over(Window.partitionBy("_range").orderBy("id", "name")) - 1
+    # ranges of ids, numbered inside and cut by size, so that one range of very many is still bounded
+    ranged = live.repartitionByRange(F.col("id"), F.col("name")).withColumn("_range", F.spark_partition_id())
+    numbered = ranged.withColumn("_part", F.floor(order / RULE_PART))
+    rule = lambda kind, name, test: F.struct("id", F.lit(kind).alias("kind"), name.alias("name"), F.col(test).alias("test"))
+    scored = F.when(F.col("threshold").isNotNull(), rule(0, F.col("name"), "threshold"))
+    patterned = F.when(F.col("pattern") != "", rule(1, F.concat("name", F.lit(":ip")), "pattern"))
+    return numbered.groupBy("_range", "_part").agg(
+        F.sort_array(F.collect_list(scored)).alias("_scored"), F.sort_array(F.collect_list(patterned)).alias("_patterned"), F.min("threshold").alias("_least"))
+
+
+def met_rules(ev: DataFrame, rules: DataFrame, score: str = "score") -> DataFrame:
+    """Per event `met`, the enabled rules it meets as (id, kind, name) in order of id, kind 0 by score and 1 by address.
 
     A rule matches by score (its name) and by its address pattern (its name with `:ip`); a null
-    threshold or pattern matches nothing. Rules travel in order of their ids as arrays of at most
-    `RULE_PART`, one broadcast row each, and every event filters them in turn, so no row is
-    multiplied or shuffled and any number of rules gives the same result.
+    threshold or pattern matches nothing. Rules travel as arrays of at most `RULE_PART`, one broadcast
+    row each, and every event filters them in turn, so no row is multiplied or shuffled and any number
+    of rules gives the same result. Scores below a part's least threshold are not compared with it.
     """
-    live = cut(rules.filter("enabled").select("id", "name", "threshold", "pattern"))
-    out = ev.withColumn("rules", F.array().cast("array<string>"))
-    parts = max(1, math.ceil(live.count() / RULE_PART))
-    # ranges of ids with about as many rules each; equal ids stay together
-    edges = live.approxQuantile("id", [i / parts for i in range(1, parts)], 0.0) if parts > 1 else []
-    for low, high in zip([None, *edges], [*edges, None], strict=True):
-        inside = F.lit(True)
-        if low is not None:
-            inside = inside & (F.col("id") > low)
-        if high is not None:
-            inside = inside & (F.col("id") <= high)
-        some = live.filter(inside).agg(F.sort_array(F.collect_list(F.struct("id", "name", "threshold", "pattern"))).alias("_some"))
-        by_score = lambda r: F.coalesce(r["threshold"] <= F.col(score), F.lit(False))
-        by_address = lambda r: F.coalesce((r["pattern"] != "") & F.col("source").contains(r["pattern"]), F.lit(False))
-        met = F.filter("_some", lambda r: by_score(r) | by_address(r))
-        names = F.transform(met, lambda r: F.when(by_score(r) & by_address(r), F.array(r["name"], F.concat(r["name"], F.lit(":ip"))))
-                            .when(by_score(r), F.array(r["name"])).otherwise(F.array(F.concat(r["name"], F.lit(":ip")))))
-        out = out.join(F.broadcast(some), F.lit(True)).withColumn("rules", F.concat("rules", F.flatten(names))).drop("_some")
-    return out
-
-
-def rule_matches(matched: DataFrame, rules: DataFrame) -> DataFrame:
-    """(rule_id, ts_us) per hit, for counting; one row per event and rule."""
-    names = matched.select("ts_us", F.explode(F.array_distinct(F.transform(
-        "rules", lambda n: F.regexp_replace(n, ":ip$", "")))).alias("name"))
-    return names.join(rules.select(F.col("id").alias("rule_id"), "name"), "name").select("rule_id", "ts_us")
+    parts = cut(_rule_parts(rules).select("_scored", "_patterned", "_least", F.monotonically_increasing_id().alias("_at")))
+    kind = "array<struct<id: bigint, kind: int, name: string>>"
+    none = F.array().cast(kind)
+    out = ev.withColumn("met", none)
+    slim = lambda c: F.transform(c, lambda r: F.struct(r["id"].cast("bigint").alias("id"), r["kind"].alias("kind"), r["name"].alias("name")))
+    places = [r["_at"] for r in parts.select("_at").orderBy("_at").collect()]  # one for every RULE_PART rules
+    for at in places:
+        some = parts.filter(F.col("_at") == at).drop("_at")
+        by_score = F.when(F.col(score) >= F.col("_least"), slim(F.filter("_scored", lambda r: r["test"] <= F.col(score)))).otherwise(none)
+        by_address = slim(F.filter("_patterned", lambda r: F.col("source").contains(r["test"])))
+        both = F.when(F.size("_a") == 0, F.col("_s")).otherwise(F.sort_array(F.concat("_s", "_a")))
+        step = out.join(F.broadcast(some), F.lit(True)).withColumns({"_s": by_score, "_a": F.coalesce(by_address, none)})
+        out = step.withColumn("met", F.concat("met", both) if len(places) > 1 else both).drop("_scored", "_patterned", "_least", "_s", "_a")
+    return out if len(places) < 2 else out.withColumn("met", F.sort_array("met"))
+
+
+def match_rules(ev: DataFrame, rules: DataFrame, score: str = "score") -> DataFrame:
+    """Per event, the names of enabled rules it meets, ordered by rule id (see `met_rules`)."""
+    return met_rules(ev, rules, score).withColumn("rules", F.transform("met", lambda r: r["name"])).drop("met")
+
+
+def rule_matches(met: DataFrame) -> DataFrame:
+    """(rule_id, ts_us) per hit of `met_rules`, for counting; one row per event and rule, whatever the rules' names."""
+    return met.select("ts_us", F.explode(F.array_distinct(F.transform("met", lambda r: r["id"]))).alias("rule_id")).select("rule_id", "ts_us")
 
 
 def enrich_device(df: DataFrame, devices: DataFrame, spread: str = "event_id") -> DataFrame:
