@@ -115,12 +115,41 @@ def test_shingles(docs, wide, empty):
     assert shingles.join(empty).count() == 0 and shingles.deduplicate(empty).count() == 0
 
 
+A, B = "a text of some words that no other one is like", "the second of two texts, which differ in every word but few"
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2, 3, 4, 5), (1, 0, 2, 5, 4, 3), (5, 4, 3, 2, 1, 0)])
+def test_texts_of_one_id_are_told_apart(spark, order):
+    """No text goes with another one of its id, and the order of rows does not matter."""
+    rows = [(1, A, "x"), (1, B, "x"), (2, B, "x"), (3, A, "x"), (3, "one that stands alone with its id", "x"), (1, A, "y")]
+    left = shingles.deduplicate(spark.createDataFrame([rows[i] for i in order], "doc_id bigint, text string, source string").repartition(3))
+    assert sorted((r.doc_id, r.text) for r in left.collect()) == [(1, A), (1, B), (3, "one that stands alone with its id")]
+    again = shingles.deduplicate(spark.createDataFrame([rows[i] for i in order[::-1]], "doc_id bigint, text string, source string"))
+    assert sorted(map(tuple, left.collect())) == sorted(map(tuple, again.collect()))
+
+
+def test_mixing_of_repeated_rows(spark):
+    """A source that is one row many times comes near its target too, with and without a source name."""
+    words = " ".join(f"w{i}" for i in range(10))
+    rows = [(1, words, "a", i % 7) for i in range(1000)] + [(i, words, "b", i) for i in range(1000)] + [(2, words, None, i % 3) for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, n_chars int")
+    planned = mixing.plan(docs).collect()
+    assert sum(r.rows for r in planned) == 3000
+    for name in ("a", "b", None):
+        mine = [r for r in planned if r.source == name]
+        assert abs(sum(r.rows * r.taken for r in mine) - mine[0].target) <= 10 and {r.copies for r in mine} <= {0, 1, 2}
+    mixed = mixing.mix(docs)
+    count = {r.source: r["count"] for r in mixed.groupBy("source").count().collect()}
+    assert count == {name: sum(r.rows * r.copies for r in planned if r.source == name) for name in ("a", "b", None)}
+    shape = lambda df: sorted(map(str, df.groupBy(*docs.columns).count().collect()))
+    assert shape(mixed) == shape(mixing.mix(docs.repartition(5)))
+
+
 def test_mixing(docs, wide, empty):
     rows = mixing.plan(docs).collect()
     assert sum(r.rows for r in rows) == len(ROWS)
     assert all(r.copies <= 2 and r.taken <= 2 * r.size for r in rows)
-    twice = next(r for r in rows if r.id == 4)
-    assert twice.rows == 2
+    assert sum(r.rows for r in rows if r.id == 4) == 2
     mixed = mixing.mix(wide)
     kept_as_they_were(mixed)
     assert mixed.count() == sum(r.rows * r.copies for r in rows)

@@ -300,8 +300,8 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
-def classes(members: DataFrame, links: DataFrame, id_column: str) -> DataFrame:
-    """(id, n_links, component_id) from `members` (id, rep, copies) and `links` (rep, n, root).
+def classes(members: DataFrame, links: DataFrame, id_column: str, carried: Sequence[str] = ()) -> DataFrame:
+    """(id, n_links, component_id) and the `carried` columns from `members` (id, rep, copies) and `links` (rep, n, root).
 
     `links` has, for each block in which a representative met others, the number of rows linked to
     it there and the smallest representative it was connected with. Components are found among
@@ -316,7 +316,7 @@ def classes(members: DataFrame, links: DataFrame, id_column: str) -> DataFrame:
     return members.join(found, "rep", "left").select(
         id_column,
         (F.col("copies") - 1 + F.coalesce("_linked", F.lit(0))).cast("long").alias("n_links"),
-        F.coalesce("_label", "rep").alias("component_id"),
+        F.coalesce("_label", "rep").alias("component_id"), *carried,
     )
 
 

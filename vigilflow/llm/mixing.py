@@ -30,7 +30,7 @@ from .common import BROADCAST_ROWS, WORD, by_key, packed, unpacked
 
 def numbered(df: DataFrame, order: Sequence, name: str = "no") -> DataFrame:
     """Rows with their place in an order, from 0, by range partitions and their counts; no task sees all rows."""
-    spread = cut(df.repartitionByRange(8, *order).sortWithinPartitions(*order))
+    spread = cut(df.repartitionByRange(*order).sortWithinPartitions(*order))
     spread = spread.withColumn("_at", F.monotonically_increasing_id())
     part, inside = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     counts = spread.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))  # one row per partition
@@ -98,7 +98,10 @@ def multipliers(counts: DataFrame, sources: DataFrame, most: float, rounds: int
 
 def plan(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = (3, 1, 2),
          share: float = 1.5, most: float = 2.0, part: int = 4096) -> DataFrame:
-    """(id, source, text_hash, rows, size, source_size, target, rate, copies, taken): one row for equal rows, which all get `copies`."""
+    """(id, source, text_hash, rows, size, source_size, target, rate, copies, taken): one row for equal
+    rows (id, source and text) that get the same number of `copies`. Together equal rows are taken `rows * rate` times, so
+    some may get the next number below the rate and others the one above; then there are two rows.
+    """
     size = F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(WORD)), F.lit(0)).cast("bigint")
     rows = cut(docs.select(F.col(id_column).alias("id"), F.col(source).cast("string").alias("source"), F.xxhash64(F.col(text).cast("string")).alias("text_hash"), size.alias("size"))
                .groupBy("id", "source", "text_hash", "size").agg(F.count(F.lit(1)).alias("rows")))
@@ -115,15 +118,16 @@ def plan(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source:
 
     def copy(rows_of: pd.DataFrame) -> pd.DataFrame:
         rows_of = rows_of.sort_values(["size", "tie"], ascending=[False, True], kind="stable")
-        owed, copies = 0.0, []
-        for n, words, rate in zip(rows_of["rows"], rows_of["size"], rows_of["rate"], strict=True):
+        owed, made = 0.0, []
+        for at, n, words, rate in zip(range(len(rows_of)), rows_of["rows"], rows_of["size"], rows_of["rate"], strict=True):
             low, high = int(np.floor(rate)), int(np.ceil(rate))
-            step = n * words
-            owed += rate * step
-            chosen = high if abs(owed - high * step) < abs(owed - low * step) else low
-            owed -= chosen * step
-            copies.append(chosen)
-        return rows_of[["id", "source", "text_hash", "rows", "size", "source_size", "target", "rate"]].assign(copies=copies)
+            owed += rate * n * words
+            more = min(int(n), max(0, round(owed / words - n * low))) if high > low and words else 0  # rows that get one copy more
+            owed -= (n * low + more) * words
+            made.extend((at, share, copies) for share, copies in ((more, high), (n - more, low)) if share)
+        place, shares, copies = (list(x) for x in zip(*made, strict=True))
+        named = rows_of[["id", "source", "text_hash", "size", "source_size", "target", "rate"]].iloc[place]
+        return named.assign(rows=shares, copies=copies)
 
     id_type = rows.schema["id"].dataType.simpleString()
     out = by_key(rated, ["no", "part"], copy,
@@ -133,8 +137,22 @@ def plan(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source:
 
 def mix(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """`docs` with each row as often as the plan takes it."""
-    chosen = plan(docs, id_column, text, source, **options).filter("copies > 0").select("id", "source", "text_hash", "copies")
+    key = ["id", "source", "text_hash"]
+    shares = plan(docs, id_column, text, source, **options).groupBy(*key).agg(  # two of a class at most
+        F.max("copies").alias("most"), F.min("copies").alias("least"), F.max_by("rows", "copies").alias("first"))
     keep = docs.columns
     d = docs.select(packed(keep), F.col(id_column).alias("_id"), F.col(source).cast("string").alias("_source"), F.xxhash64(F.col(text).cast("string")).alias("_hash"))
-    met = d.join(chosen, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_hash") == F.col("text_hash")) & F.col("_source").eqNullSafe(F.col("source")))
-    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select(*unpacked(keep))
+    met = d.join(shares, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_hash") == F.col("text_hash")) & F.col("_source").eqNullSafe(F.col("source")))
+    met = cut(met.select("rest", *key, "most", "least", "first").filter("most > 0"))
+    same, split = met.filter("most = least"), met.filter("most <> least")
+    taken = same.select("rest", F.col("most").alias("copies"))
+    if not split.isEmpty():  # number equal rows, the hot ones over many tasks, by a hash of all their columns
+        spread = split.withColumn("_spread", F.xxhash64("rest")).withColumn("_tie", F.monotonically_increasing_id())
+        placed = numbered(spread, [F.col(c) for c in (*key, "_spread", "_tie")])
+        begins = cut(placed.groupBy(*key).agg(F.min("no").alias("_begin")).select(*(F.col(c).alias(f"_k_{c}") for c in key), "_begin"))
+        alike = F.lit(True)
+        for c in key:
+            alike = alike & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+        copies = F.when(F.col("no") - F.col("_begin") < F.col("first"), F.col("most")).otherwise(F.col("least"))
+        taken = taken.unionByName(placed.join(small(begins), alike).select("rest", copies.alias("copies")))
+    return taken.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select(*unpacked(keep))

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from ..operators.campaigns import component_labels
 from ..session import cut
-from .common import WordHasher, block_pairs, bloom, by_key, classes, forest, in_bloom, mix, runs_of, small_batches, text_slices
+from .common import WordHasher, block_pairs, bloom, by_key, classes, forest, in_bloom, mix, packed, runs_of, small_batches, text_slices, unpacked
 
 BANDS, ROWS = 30, 5
 
@@ -117,14 +117,16 @@ def surviving(sig: np.ndarray, a: np.ndarray, b: np.ndarray, least: np.ndarray,
 
 
 def join(docs: DataFrame, id_column: str = "doc_id", text: str = "text", threshold: float = 0.8, k: int = 5,
-         tolerance: float = 1e-6, part: int = 256) -> DataFrame:
+         tolerance: float = 1e-6, part: int = 256, named: bool = False) -> DataFrame:
     """(id, n_links, component_id) of every document with an id.
 
     n_links counts the other documents with a similarity of at least `threshold`; component_id is
-    the smallest id reachable by links, the document's own included.
+    the smallest id reachable by links, the document's own included. With `named`, the columns
+    `text_hash` and `set_hash` (the text's, and its set of shingles' or the text's if it has none) come along.
     """
     small_batches(docs.sparkSession)
     base = docs.select(F.col(id_column).cast("bigint").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body")).filter("id is not null")
+    body_hash = F.xxhash64("body").alias("text_hash")
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
@@ -145,11 +147,11 @@ def join(docs: DataFrame, id_column: str = "doc_id", text: str = "text", thresho
                         value = mix(value * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, r])
                     bands[some] = value.view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(n.astype(np.int64)),
+                    [rows.column(0), rows.column(2), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(n.astype(np.int64)),
                      pa.FixedSizeListArray.from_arrays(pa.array(bands.reshape(-1)), BANDS).cast(pa.list_(pa.int64()))],
-                    names=["id", "one", "two", "n", "bands"])
+                    names=["id", "text_hash", "one", "two", "n", "bands"])
 
-    sketches = cut(base.mapInArrow(sketch, "id bigint, one bigint, two bigint, n bigint, bands array<bigint>"))
+    sketches = cut(base.select("*", body_hash).mapInArrow(sketch, "id bigint, text_hash bigint, one bigint, two bigint, n bigint, bands array<bigint>"))
     worded = sketches.filter("n > 0")
     # written down: read three times, and joins to it can then be split where one set has very many copies
     reps = cut(worded.groupBy("one", "two").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("bands").alias("bands")))
@@ -219,8 +221,9 @@ def join(docs: DataFrame, id_column: str = "doc_id", text: str = "text", thresho
     links = by_key(dealt, ["hood", "p", "q"], compare, "rep bigint, n bigint, root bigint")
     members = sketches.join(reps.drop("bands"), ["one", "two"], "left").select(
         "id", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("id")).alias("rep"),
-        F.when(F.col("n") > 0, F.col("copies")).otherwise(1).alias("copies"))
-    return classes(members, links, "id").withColumnRenamed("id", id_column)
+        F.when(F.col("n") > 0, F.col("copies")).otherwise(1).alias("copies"),
+        *[F.col("text_hash"), F.when(F.col("n") > 0, F.col("one")).otherwise(F.col("text_hash")).alias("set_hash")] * named)
+    return classes(members, links, "id", ["text_hash", "set_hash"] * named).withColumnRenamed("id", id_column)
 
 
 def scattered(ident):
@@ -236,7 +239,16 @@ def scattered(ident):
 
 
 def deduplicate(docs: DataFrame, id_column: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """`docs` with one document of each group of near copies, the one with the smallest id; rows of an id and text once."""
-    kept = join(docs, id_column, text, **options).filter(F.col("component_id") == F.col(id_column)).select(id_column).distinct()
-    named = docs.filter(F.col(id_column).isNotNull())
-    return named.join(kept, id_column, "left_semi").dropDuplicates([id_column]).unionByName(docs.filter(F.col(id_column).isNull()))
+    """`docs` with one document of each group of near copies, the one with the smallest id.
+
+    Rows of one id are told apart by their texts: each of them stays unless a document with a smaller id is
+    connected with it. Rows of one id whose texts have the same shingles stay once, the one with the
+    smallest hash, whatever the order of rows. Rows without id stay.
+    """
+    found = join(docs, id_column, text, named=True, **options).filter(F.col("component_id") == F.col(id_column))
+    kept = found.groupBy(id_column, "set_hash").agg(F.min("text_hash").alias("text_hash")).select(F.col(id_column).alias("_id"), F.col("text_hash").alias("_hash"))
+    keep = docs.columns
+    hashed = F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    rows = docs.filter(F.col(id_column).isNotNull()).select(packed(keep), F.col(id_column).cast("bigint").alias("_id"), hashed.alias("_hash"))
+    once = rows.join(kept, ["_id", "_hash"], "left_semi").groupBy("_id", "_hash").agg(F.min_by("rest", F.xxhash64("rest")).alias("rest"))
+    return once.select(*unpacked(keep)).unionByName(docs.filter(F.col(id_column).isNull()))
