@@ -92,9 +92,9 @@ def test_specialists_one_event_each(spark):
     assert found["BruteForce"].confidence == 0.0 and not found["BruteForce"].validated
     assert found["DDoS"].decision == "Block" and abs(found["DDoS"].confidence - 0.9) < 1e-9
     best = df.select(specialists.fuse_consensus(specialists.results()).alias("f")).first().f
-    assert best.attack_class == "DDoS" and best.details.startswith("Consensus Fusion: [PortScan:0.60] [WebExploit:0.75]")
+    assert best.attack_class == "DDoS" and best.details.startswith("agreed findings: [PortScan:0.60] [WebExploit:0.75]")
     first = df.select(specialists.fuse_priority(specialists.results()).alias("f")).first().f
-    assert first.attack_class == "ZeroDay" and first.details.startswith("Priority Trigger (ZeroDay)")
+    assert first.attack_class == "ZeroDay" and first.details.startswith("critical finding ZeroDay: ")
 
 
 def test_custom_specialist(spark):

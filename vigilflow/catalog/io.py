@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions import scores
+from ..functions import hashes, scores
 from ..operators import memory as mem
 from ..session import shared_folder
 from ..sources import exports, flow_csv, ingest, packets
@@ -78,7 +78,7 @@ def flow_csv_scan(spark, sf):
 
 def flow_to_event(spark, sf):
     path = _write_csv(spark, sf)
-    ev = flow_csv.to_events(flow_csv.with_label(flow_csv.read_flow_csv(spark, f"{path}/flows")))
+    ev = flow_csv.to_events(flow_csv.with_label(flow_csv.read_flow_csv(spark, f"{path}/flows", FLOW_HEADER)))
     return ev.select("source", "destination", "port_src", "port_dst", "protocol", "bytes_in", "packets_total", "bytes_fwd",
                      "syn_count", "label", *[r6(c).alias(c) for c in ("rate_hz", "entropy", "packet_size_mean", "iat_std", "duration")])
 
@@ -274,6 +274,22 @@ def packet_decode(spark, sf):
         "event_id", "source", "destination", "protocol", "port_src", "port_dst", "flags", "size")
 
 
+def csv_events(spark, sf):
+    """Numbered events of flow files: every line has its own number, flags and replayed time."""
+    path = _write_csv(spark, sf)
+    ev = flow_csv.to_events(flow_csv.with_label(flow_csv.read_flow_csv(spark, f"{path}/flows", number=True)), NOW, 1000, "files")
+    return ev.groupBy("source", "flags", "tenant").agg(
+        F.count(F.lit(1)).alias("events"), F.countDistinct("event_id").alias("ids"),
+        F.count_if(F.col("ts_us") == NOW + F.col("event_id") * 1000).alias("timed"), F.sum("bytes_out").alias("bytes_out"))
+
+
+def hash_family(spark, sf):
+    """Checksums of every source name."""
+    names = t.flows(spark, sf).select("source").distinct()
+    return names.select("source", hashes.fnv1a(F.col("source")).alias("fnv1a"), hashes.crc32(F.col("source")).alias("crc32"),
+                        F.sha2("source", 256).alias("sha256"), F.md5("source").alias("md5"))
+
+
 def payload_entropy(spark, sf):
     return t.table(spark, sf, "documents").select("doc_id", r6(packets.payload_entropy(F.col("text"))).alias("entropy"))
 
@@ -286,6 +302,7 @@ QUERIES = {
     "heartbeat_upsert": heartbeat_upsert, "alert_json_sink": alert_json_sink, "log_export_csv": log_export_csv,
     "rules_export": rules_export, "rules_import": rules_import, "telemetry_export": telemetry_export,
     "memory_snapshot": memory_snapshot, "packet_decode": packet_decode, "payload_entropy": payload_entropy,
+    "csv_events": csv_events, "hash_family": hash_family,
 }
 
 _F, _A = f"with {t.FLOWS_SQL} ", f"with {t.ALERTS_SQL} "
@@ -322,6 +339,8 @@ ORACLE = {
     "rules_import": f"with {t.RULES_SQL} select (select max(sid) from rules) + row_number() over (order by id) as sid, concat('copy of ', name) as name, category from rules",
     "telemetry_export": f"{_A} select tenant, count(*) as events_total, count(*) filter (where decision = 'Alert') as alerts_total, count(*) filter (where decision = 'Block') as blocks_total, round(avg(score * 100), 6) as latency_us_mean, round(max(score * 100), 6) as latency_us_peak, round(avg(score * 5), 6) as drift_mean, round(max(score * 5), 6) as drift_peak, count(*) filter (where event_id % 50 = 0) as faults_total from alerts group by tenant",
     "memory_snapshot": f"with {MEM_SQL} select scope, scope_key, record_id, cast(len(v) as integer) as width, round(list_sum([v[i] * i for i in range(1, len(v) + 1)]), 6) as weighed, round(score, 6) as score from memory",
+    "csv_events": f"{_F} select source, (case when k % 12 > 0 then 2 else 0 end) + (case when k % 20 > 0 then 1 else 0 end) + (case when k % 5 > 0 then 16 else 0 end) as flags, 'files' as tenant, count(*) as events, count(*) as ids, count(*) as timed, cast(0 as bigint) as bytes_out from flows where k not in (42, 43) group by all",
+    "hash_family": f"{_F}, names as (select distinct source, list_transform(string_split(source, ''), lambda c: ascii(c)) as b from flows) select source, printf('%x', cast(list_reduce(list_concat([14695981039346656037::hugeint], list_transform(b, lambda c: c::hugeint)), lambda h, c: (xor(h, c) * 1099511628211) % 18446744073709551616) as ubigint)) as fnv1a, printf('%x', xor(list_reduce(list_concat([4294967295::bigint], list_transform(b, lambda c: c::bigint)), lambda h, c: list_reduce(list_concat([xor(h, c)], range(8)), lambda x, i: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)), 4294967295)) as crc32, sha256(source) as sha256, md5(source) as md5 from names",
     "packet_decode": f"{_F} select event_id, case when k % 5 = 0 then concat('2001:db8::', printf('%x', cast(split_part(source, '.', 1) as bigint) * 256 + cast(split_part(source, '.', 2) as bigint)), ':', printf('%x', cast(split_part(source, '.', 3) as bigint) * 256 + cast(split_part(source, '.', 4) as bigint))) else source end as source, case when k % 5 = 0 then concat('2001:db8::', printf('%x', cast(split_part(destination, '.', 1) as bigint) * 256 + cast(split_part(destination, '.', 2) as bigint)), ':', printf('%x', cast(split_part(destination, '.', 3) as bigint) * 256 + cast(split_part(destination, '.', 4) as bigint))) else destination end as destination, cast(protocol as integer) as protocol, cast(case when k = 8 or protocol = 1 then 0 else port_src end as integer) as port_src, cast(case when k = 8 or protocol = 1 then 0 else port_dst end as integer) as port_dst, cast(case when protocol = 6 and k <> 8 then flags else 0 end as integer) as flags, cast(case when k = 8 then 36 else 14 + case when k % 5 = 0 then 40 else 20 end + case protocol when 6 then 20 else 8 end + k % 7 end as bigint) as size from flows where k <> 7",
     "payload_entropy": "with h as (select doc_id, hex(encode(text)) as h from documents), b as (select doc_id, unnest(regexp_extract_all(h, '..')) as b from h) select doc_id, round(entropy(b) / 8, 6) as entropy from b group by doc_id",
 }

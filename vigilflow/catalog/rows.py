@@ -326,7 +326,7 @@ summary as (
   from found where validated and decision <> 'Ignore' group by event_id),
 consensus as (
   select f.event_id, coalesce(b.b.c, '') as attack_class, coalesce(b.b.f, 0) as confidence,
-    coalesce(b.b.d, 'Ignore') as decision, concat('Consensus Fusion: ', coalesce(s.s, '')) as details
+    coalesce(b.b.d, 'Ignore') as decision, concat('agreed findings: ', coalesce(s.s, '')) as details
   from flows f left join best b using (event_id) left join summary s using (event_id)),
 trigger as (
   select event_id, arg_min(struct_pack(c := attack_class, f := confidence, d := decision, t := details), pos) as g
@@ -486,7 +486,7 @@ ORACLE = {
     "memory_gate": f"{_S} select event_id, source, round(score, 6) as score from signals where score >= 0.5 or len(rules) > 0 or {DECIDE.format('score')} in ('Block', 'Escalate')",
     "scope_keys": f"with {KEYS_SQL} select event_id, ip, host, user_key, session_key, process_key from keyed",
     "memory_fanout": f"with {KEYS_SQL} select event_id, 'ip' as scope, ip as scope_key from keyed union all select event_id, 'user', user_key from keyed where user_key <> '' union all select event_id, 'host', host from keyed where score >= 0.5 union all select event_id, 'global', '' from keyed where score >= 0.85 union all select event_id, 'session', session_key from keyed where session_key <> '' union all select event_id, 'process', process_key from keyed where process_key <> ''",
-    "explain_alert": f"{_REASONED} select event_id, concat('[IDS] decision=', upper(decision), ' class=', attack_class, ' conf=', printf('%.6f', confidence), ' local=', printf('%.6f', score), ' trend=', printf('%.6f', trend), ' hist=', printf('%.6f', history), ' drift=', printf('%.6f', drift), case when len(rules) > 0 then concat(' rules=', array_to_string(rules, ','), ',') else '' end, case when false_positive then ' [FP-suppressed]' else '' end) as explanation from judged",
+    "explain_alert": f"{_REASONED} select event_id, concat(decision, ' at confidence ', printf('%.6f', confidence), '; classified ', attack_class, '; local ', printf('%.6f', score), ', segment trend ', printf('%.6f', trend), ', past anomalies ', printf('%.6f', history), ', drift ', printf('%.6f', drift), case when len(rules) > 0 then concat('; met rules ', array_to_string(rules, ', ')) else '' end, case when false_positive then '; suppressed as a likely false positive' else '' end) as explanation from judged",
     "learning_mode": f"{_A} select event_id, case when decision in ('Block', 'Escalate') then 'Alert' else decision end as decision from alerts",
     "default_fill": f"with {t.LOGS_SQL} select event_id, type, coalesce(severity, 'info') as severity, coalesce(message, '') as message from logs",
     "last_seen_human": f"{_F} select event_id, case when m < 1 then 'just now' when m < 60 then concat(m, ' minutes ago') else concat(m // 60, 'h ', m % 60, 'm ago') end as ago from (select event_id, cast(floor((1706659200000000 - ts_us) / 1000000.0::double / 600 / 60) as bigint) as m from flows)",
@@ -495,7 +495,7 @@ ORACLE = {
     **{f"spec_{n}": f"with {t.FLOWS_SQL} select * exclude (pos) from ({_spec_select(n)})" for n in SPEC_SQL},
     "fuse_consensus": f"with {FOUND_SQL} select event_id, attack_class, confidence, decision, details from consensus",
     "fuse_registered": f"with {FOUND_SQL}, sure as (select event_id, attack_class from found where validated and confidence > 0.7 union all select event_id, 'BulkTransfer' from flows where bytes_out > 20000) select f.event_id, cast(count(attack_class) as integer) as n, coalesce(string_agg(attack_class, '+' order by attack_class), '') as classes from flows f left join sure s using (event_id) group by f.event_id",
-    "fuse_priority": f"with {FOUND_SQL} select c.event_id, coalesce(t.g.c, attack_class) as attack_class, coalesce(t.g.f, confidence) as confidence, coalesce(t.g.d, decision) as decision, case when t.g is not null then concat('Priority Trigger (', t.g.c, '): ', t.g.t) else details end as details from consensus c left join trigger t using (event_id)",
+    "fuse_priority": f"with {FOUND_SQL} select c.event_id, coalesce(t.g.c, attack_class) as attack_class, coalesce(t.g.f, confidence) as confidence, coalesce(t.g.d, decision) as decision, case when t.g is not null then concat('critical finding ', t.g.c, ': ', t.g.t) else details end as details from consensus c left join trigger t using (event_id)",
     "specialist_boost": f"with {FOUND_SQL}, {t.SIGNALS_SQL.split('from b), ', 1)[1]}, {REASON_SQL}, judged as (select event_id, confidence, case when confidence < 0.2 then 'Ignore' else {DECIDE.format('confidence')} end as decision, {CLASS_SQL.format('confidence')} as attack_class from reasoned), raised as (select j.*, b.b.c as spec, coalesce(confidence > 0 and b.b.f > 0.3, false) as hit, least(1, confidence + coalesce(b.b.f, 0) * 0.5) as conf2 from judged j left join best b using (event_id)) select event_id, case when hit then spec else attack_class end as attack_class, round(case when hit then conf2 else confidence end, 6) as confidence, case when hit then {DECIDE.format('conf2')} else decision end as decision from raised",
     "scalar_math": f"{_F} select event_id, round(least(10, greatest(0, x)), 6) as clamped, round(bytes_in / (65535 + 1e-9), 6) as normalized, round(case when x > 20 then x else ln(1 + exp(x)) end, 6) as softplus, round(exp(-rate_hz / 600), 6) as decay from (select *, entropy * 30 - 5 as x from flows)",
     "scalar_text": "select doc_id, upper(trim(source)) as upper_source, replace(text, '\"', '\"\"') as quoted, text ilike '%the%' as has_the, sha256(text) as sha from documents",

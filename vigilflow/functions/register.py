@@ -24,6 +24,7 @@ FUNCTIONS = {
     "protocol_name": (
         "number INT", "STRING",
         "CASE number WHEN 6 THEN 'TCP' WHEN 17 THEN 'UDP' WHEN 1 THEN 'ICMP' WHEN 58 THEN 'ICMPv6' ELSE CAST(number AS STRING) END"),
+    "crc32_hex": ("data STRING", "STRING", "lower(hex(crc32(CAST(data AS BINARY))))"),
     "clamp": ("x DOUBLE, low DOUBLE, high DOUBLE", "DOUBLE", "greatest(low, least(high, x))"),
     "min_max": ("x DOUBLE, low DOUBLE, high DOUBLE", "DOUBLE", "(x - low) / (high - low + 1e-9D)"),
     "softplus": ("x DOUBLE", "DOUBLE", "CASE WHEN x > 20 THEN x ELSE log1p(exp(x)) END"),

@@ -24,7 +24,7 @@ EVENT_TYPE_DISPLAY = {
 PROTOCOL_NAMES = {6: "TCP", 17: "UDP", 1: "ICMP", 58: "ICMPv6"}
 
 # TCP flag bits.
-FLAG_FIN, FLAG_SYN, FLAG_RST = 0x01, 0x02, 0x04
+FLAG_FIN, FLAG_SYN, FLAG_RST, FLAG_ACK = 0x01, 0x02, 0x04, 0x10
 
 EMBEDDING_DIM = 64
 SSM_DIM = 32

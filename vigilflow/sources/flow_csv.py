@@ -2,6 +2,10 @@
 
 Files are read as lines, so a quote only toggles quoting and is dropped, which Spark's CSV reader
 cannot be told. Each file's columns are found by its own header; files may differ.
+
+Lines have no ids of their own. `numbered` counts the lines of each split of a file once and gives every line its place
+among all files by name, which `to_events` makes the event id and the order in time, so events of files can go
+through `detect`. Reruns give the same numbers, however the files are split.
 """
 
 from __future__ import annotations
@@ -11,7 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scores
 from ..operators.salted import checked
-from ..operators.sliced import newest_per_key
+from ..operators.sliced import newest_per_key, running_sums
+from ..params import FLAG_ACK, FLAG_FIN, FLAG_RST, FLAG_SYN
 from ..session import cut
 
 # Header names and the field each fills; the last column to match a field wins.
@@ -37,6 +42,7 @@ COUNTS = ("packets_total", "packets_fwd", "packets_bwd", "bytes_fwd", "bytes_bwd
           "syn_count", "fin_count", "ack_count", "rst_count", "fwd_init_win", "bwd_init_win")
 MEASURES = ("packet_size_mean", "packet_size_std", "packet_size_max", "packet_size_min",
             "iat_mean", "iat_std", "iat_max", "iat_min", "down_up_ratio", "duration")
+FLAG_COUNTS = {"syn_count": FLAG_SYN, "fin_count": FLAG_FIN, "rst_count": FLAG_RST, "ack_count": FLAG_ACK}
 MIN_COLUMNS = 5
 
 
@@ -58,10 +64,35 @@ def split_line(line: Column) -> Column:
 def _lines(spark: SparkSession, paths: str | list[str], stream: bool = False) -> DataFrame:
     reader = spark.readStream if stream else spark.read
     raw = reader.text(paths).select(
-        F.col("_metadata.file_path").alias("file"), (F.col("_metadata.file_block_start") == 0).alias("_head"), F.rtrim(F.col("value"), F.lit("\r\n")).alias("line"))
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.col("_metadata.file_block_length").alias("_length"),
+        F.rtrim(F.col("value"), F.lit("\r\n")).alias("line"))
     return raw.filter(F.col("line") != "")
 
 
+def line_index(lines: DataFrame) -> DataFrame:
+    """One row per split of a file: its first line, the place of that line in its task, and how many lines lie before the split.
+
+    One pass over the lines, combined within tasks; as small as the list of splits.
+    """
+    placed = lines.withColumn("_at", F.monotonically_increasing_id())
+    splits = placed.groupBy("file", "_block", "_length").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"), F.min_by("line", "_at").alias("_line"))
+    counted = running_sums(cut(splits), [], {"_through": F.col("_n")}, ("file", "_block"))
+    return cut(counted.withColumn("_before", F.col("_through") - F.col("_n")).drop("_through", "_n"))
+
+
+def numbered(lines: DataFrame, index: DataFrame) -> DataFrame:
+    """Add `line_no`, counted from 0 over all files in order of name and place; `lines` is the frame that was indexed.
+
+    Both passes must see the same splits; the job fails where the cluster cut the files anew in between.
+    """
+    places = checked(index.select("file", "_block", "_length", "_first", "_before"))
+    moved = F.raise_error(F.lit("the splits of the files changed between two passes; read them again")).cast("long")
+    at = F.col("_at") - F.col("_first") + F.col("_before")
+    return lines.withColumn("_at", F.monotonically_increasing_id()).join(places, ["file", "_block", "_length"], "left").withColumn(
+        "line_no", F.when(F.col("_first").isNull(), moved).otherwise(at)).drop("_at", "_first", "_before")
+
+
 def _positions(header: Column) -> list[Column]:
     """For each field the index of the last header column that fills it, or null."""
     names = F.transform(split_line(header), lambda n: F.regexp_replace(n, r"^ +|[ \r]+$", ""))
@@ -83,20 +114,31 @@ def parse_lines(lines: DataFrame, headers: DataFrame) -> DataFrame:
     body = lines.join(checked(known), "file").filter((F.col("format") != "Unknown") & (F.col("line") != F.col("header")))
     body = body.withColumn("_cols", split_line(F.col("line"))).filter(F.size("_cols") >= MIN_COLUMNS)
     return body.select(
-        "file", "format", *[F.get("_cols", F.col(f"_at.{f}")).alias(f) for f in FIELDS],
+        "file", "format", *_kept(lines), *[F.get("_cols", F.col(f"_at.{f}")).alias(f) for f in FIELDS],
         F.filter(F.array(*[F.when(F.col(f"_at.{f}").isNotNull(), F.lit(f)) for f in FIELDS]), lambda f: f.isNotNull()).alias("present"),
     )
 
 
+def _kept(lines: DataFrame) -> list[str]:
+    return ["line_no"] if "line_no" in lines.columns else []
+
+
 def headers_of(lines: DataFrame) -> DataFrame:
     """The first line of each file; a task reads the lines of a file's first block in order."""
-    numbered = lines.filter("_head").withColumn("_no", F.monotonically_increasing_id())
-    return numbered.groupBy("file").agg(F.min_by("line", "_no").alias("header"))
+    first = lines.filter(F.col("_block") == 0).withColumn("_no", F.monotonically_increasing_id())
+    return first.groupBy("file").agg(F.min_by("line", "_no").alias("header"))
 
 
-def read_flow_csv(spark: SparkSession, paths: str | list[str], header: str | None = None) -> DataFrame:
-    """Scan one or many files. With `header` given, all files share it and one pass is enough."""
+def read_flow_csv(spark: SparkSession, paths: str | list[str], header: str | None = None, number: bool = False) -> DataFrame:
+    """Scan one or many files. With `header` given, all files share it and one pass is enough; `number` adds `line_no`,
+    whose counting pass also finds the headers.
+    """
     lines = _lines(spark, paths)
+    if number:
+        index = line_index(lines)
+        lines = numbered(lines, index)
+        if header is None:
+            return parse_lines(lines, index.filter(F.col("_block") == 0).select("file", F.col("_line").alias("header")))
     if header is None:
         return parse_lines(lines, headers_of(lines))
     return _with_header(lines, header)
@@ -112,7 +154,7 @@ def _with_header(lines: DataFrame, header: str) -> DataFrame:
     body = lines.filter(F.col("line") != F.lit(header.rstrip("\r\n"))).withColumn("_cols", split_line(F.col("line")))
     text = lambda f: F.lit(None).cast("string") if at[f] is None else F.get("_cols", F.lit(at[f]))
     return body.filter(F.size("_cols") >= MIN_COLUMNS).select(
-        "file", F.lit(kind).alias("format"), *[text(f).alias(f) for f in FIELDS],
+        "file", F.lit(kind).alias("format"), *_kept(lines), *[text(f).alias(f) for f in FIELDS],
         F.array(*[F.lit(f) for f in FIELDS if at[f] is not None]).alias("present"))
 
 
@@ -144,8 +186,12 @@ def with_label(df: DataFrame) -> DataFrame:
     return df.withColumn("label", F.coalesce(text, F.lit("")))
 
 
-def to_events(df: DataFrame) -> DataFrame:
-    """Typed flow events. Numbers may carry trailing text; anything unreadable is the default."""
+def to_events(df: DataFrame, start_us: int = 0, step_us: int = 1, tenant: str = "default") -> DataFrame:
+    """Typed flow events. Numbers may carry trailing text; anything unreadable is the default.
+
+    Numbered lines also get what `detect` needs: `event_id` (the line's number), `ts_us` (files are replayed from
+    `start_us`, a line every `step_us`), `tenant`, `bytes_out` (files have none: 0) and `flags` (those counted at least once).
+    """
     num = lambda f, d=0.0: scores.numeric_prefix(F.coalesce(F.col(f), F.lit("")), d)
     has = lambda f: F.array_contains("present", f)
     whole = lambda f: num(f).try_cast("long")
@@ -160,8 +206,14 @@ def to_events(df: DataFrame) -> DataFrame:
     mean, std = num("packet_size_mean"), num("packet_size_std")
     entropy = F.when(mean > 0, scores.clamp(std / (mean + 1) * 0.5 + 0.3, 0.0, 1.0)).otherwise(0.3)
     keep = [c for c in ("file", "format", "label") if c in df.columns]
+    flags = F.lit(0)
+    for count, bit in FLAG_COUNTS.items():
+        flags = flags + F.when(F.coalesce(whole(count), F.lit(0)) > 0, bit).otherwise(0)
+    replayed = [
+        F.col("line_no").alias("event_id"), (F.lit(start_us) + F.col("line_no") * step_us).alias("ts_us"), F.lit(tenant).alias("tenant"),
+        F.lit(0).cast("long").alias("bytes_out"), flags.alias("flags")] if "line_no" in df.columns else []
     return df.select(
-        *keep, F.coalesce("src_ip", F.lit("unknown")).alias("source"), F.coalesce("dst_ip", F.lit("unknown")).alias("destination"),
+        *keep, *replayed, F.coalesce("src_ip", F.lit("unknown")).alias("source"), F.coalesce("dst_ip", F.lit("unknown")).alias("destination"),
         F.lit("net").alias("type"), port("src_port").alias("port_src"), port("dst_port").alias("port_dst"),
         F.when(proto.contains("TCP"), 6).when(proto.contains("UDP"), 17).otherwise(0).alias("protocol"),
         rate.alias("rate_hz"), F.coalesce(whole("packets_rate"), F.lit(0)).alias("bytes_in"), entropy.alias("entropy"),
