@@ -49,6 +49,17 @@ def shifts(values, last, step):
     return out
 
 
+def flow_cuts(ts, idle, active):
+    start = last = None
+    number, out = 0, []
+    for t in ts:
+        opens = last is None or t - last > idle or t - start > active
+        number, start = (number + 1, t) if opens else (number, start)
+        out.append((number, None if opens else (t - last) / US))
+        last = t
+    return out
+
+
 def times(seed, n):
     """Bursts, ties and pauses."""
     rng, t, out = random.Random(seed), 0, []
@@ -141,3 +152,14 @@ def test_rows_a_second():
         fast, slow = min(seconds(ours) for _ in range(3)), seconds(rule)
         print(f"{name}: {len(ts) / fast:,.0f} rows a second, row by row {len(ts) / slow:,.0f}")
         assert fast < slow
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_flows_are_cut_by_pauses_and_age(seed):
+    ts = times(seed, 900)
+    for idle, active in ((4, 30), (39, 100), (100, 12), (1, 1000)):
+        want = flow_cuts(ts.tolist(), idle * US, active * US)
+        for sizes in ((), (1, 1, 7, 200), (64, 63, 65, 128)):
+            got = by_batches(steps.FlowCutStep(idle, active), {"ts_us": ts}, sizes)
+            assert got["flow"].tolist() == [n for n, _ in want]
+            assert [None if np.isnan(g) else g for g in got["gap"]] == [g for _, g in want]

@@ -7,7 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import hashes, scores
+from ..operators import flows
 from ..operators import memory as mem
+from ..params import FlowParams
 from ..session import shared_folder
 from ..sources import exports, flow_csv, ingest, packets
 from ..sources import tables as t
@@ -250,26 +252,45 @@ def memory_snapshot(spark, sf):
 
 # ---- packets ---------------------------------------------------------------------------------
 
-def _frames(spark, sf):
-    """Ethernet frames made from flows: IPv4 and IPv6, TCP, UDP and ICMP, some cut short."""
+def _frames(fl, six, broken=True):
+    """Ethernet frames made from flows: IPv4 and IPv6 (where `six`), TCP, UDP and ICMP, some cut short."""
     hexn = lambda c, n: F.lpad(F.hex(c), n, "0")
     addr4 = lambda c: F.concat(*[hexn(F.split(c, r"\.")[i].cast("long"), 2) for i in range(4)])
     addr6 = lambda c: F.concat(F.lit("20010DB8" + "0" * 16), addr4(c))
     k, src, dst = F.col("k"), F.col("source"), F.col("destination")
+    window = hexn((k * 37) % 65536, 4)
     ports = F.concat(hexn(F.col("port_src"), 4), hexn(F.col("port_dst"), 4))
-    l4 = F.when(F.col("protocol") == 6, F.concat(ports, F.lit("0" * 16 + "50"), hexn(F.col("flags"), 2), F.lit("00" * 6))).when(
+    l4 = F.when(F.col("protocol") == 6, F.concat(ports, F.lit("0" * 16 + "50"), hexn(F.col("flags"), 2), window, F.lit("00" * 4))).when(
         F.col("protocol") == 17, F.concat(ports, F.lit("00080000"))).otherwise(F.lit("0800000000000000"))
     payload = F.repeat(hexn(k, 2), (k % 7).cast("int"))
     v4 = F.concat(F.lit("00" * 12 + "0800" + "4500" + "00" * 7), hexn(F.col("protocol"), 2), F.lit("0000"), addr4(src), addr4(dst), l4, payload)
     v6 = F.concat(F.lit("00" * 12 + "86DD" + "60" + "00" * 5), hexn(F.col("protocol"), 2), F.lit("40"), addr6(src), addr6(dst), l4, payload)
-    whole = F.unhex(F.when(k % 5 == 0, v6).otherwise(v4))
+    whole = F.unhex(F.when(six, v6).otherwise(v4))
     cut = F.when(k == 7, F.substr(whole, F.lit(1), F.lit(30))).when(k == 8, F.substr(whole, F.lit(1), F.lit(36))).otherwise(whole)
-    return t.flows(spark, sf).select("event_id", "ts_us", cut.alias("frame"))
+    return fl.select("event_id", "ts_us", (cut if broken else whole).alias("frame"))
+
+
+FLOW_CUTS = FlowParams(idle_s=3 * 86400, active_s=7 * 86400)
+
+
+def packet_flows(spark, sf):
+    """Captured frames of both directions to flows and the indicators that fire on them."""
+    k, back = F.col("k"), F.col("event_id") % 3 == 0
+    server, client = F.concat(F.lit("192.168.0."), (k % 2).cast("string")), F.col("source")
+    ends = {"source": F.when(back, server).otherwise(client), "destination": F.when(back, client).otherwise(server),
+            "port_src": F.when(back, 443).otherwise(40000), "port_dst": F.when(back, 40000).otherwise(443)}
+    path = fresh(spark, "frames")
+    _frames(t.flows(spark, sf).withColumns(ends), F.lit(False), False).write.parquet(path)
+    fl = flows.two_way_flows(packets.decode_packets(spark.read.parquet(path)), FLOW_CUTS)
+    exact = ("event_id", "source", "destination", "port_src", "port_dst", "protocol", "packets_total", "packets_fwd", "packets_bwd", "bytes_total",
+             "bytes_fwd", "bytes_bwd", "packet_size_max", "packet_size_min", "syn_count", "fin_count", "ack_count", "rst_count", "fwd_init_win", "bwd_init_win")
+    real = ("packet_size_mean", "packet_size_std", "iat_mean", "iat_std", "iat_max", "iat_min", "duration", "down_up_ratio")
+    return fl.select(*exact, *[F.round(c, 3).alias(c) for c in real], scores.indicator_boost().alias("boost"))
 
 
 def packet_decode(spark, sf):
     path = fresh(spark, "frames")
-    _frames(spark, sf).write.parquet(path)
+    _frames(t.flows(spark, sf), F.col("k") % 5 == 0).write.parquet(path)
     return packets.decode_packets(spark.read.parquet(path)).select(
         "event_id", "source", "destination", "protocol", "port_src", "port_dst", "flags", "size")
 
@@ -302,7 +323,7 @@ QUERIES = {
     "heartbeat_upsert": heartbeat_upsert, "alert_json_sink": alert_json_sink, "log_export_csv": log_export_csv,
     "rules_export": rules_export, "rules_import": rules_import, "telemetry_export": telemetry_export,
     "memory_snapshot": memory_snapshot, "packet_decode": packet_decode, "payload_entropy": payload_entropy,
-    "csv_events": csv_events, "hash_family": hash_family,
+    "csv_events": csv_events, "packet_flows": packet_flows, "hash_family": hash_family,
 }
 
 _F, _A = f"with {t.FLOWS_SQL} ", f"with {t.ALERTS_SQL} "
@@ -316,7 +337,33 @@ _DEC = """case when score < 0.2 then 'Ignore' when score < 0.4 then 'Log' when s
 _SEV = "case when score > 0.9 then 'critical' when score > 0.7 then 'high' when score > 0.5 then 'medium' else 'low' end"
 _ISO = "concat(strftime(make_timestamp((ts_us // 1000000) * 1000000), '%Y-%m-%dT%H:%M:%S'), 'Z')"
 _EXPL = "case when k % 2 = 0 then concat('event ', event_id) else '' end"
+_BY = "partition by client, server, protocol"
+_FLOW_SQL = f"""{_F}, pk as (
+  select event_id, ts_us, event_id % 3 = 0 as back, source as client, concat('192.168.0.', k % 2) as server, protocol,
+    case when protocol = 6 then flags else 0 end as flags, cast(case when protocol = 6 then k * 37 else 0 end as integer) as win,
+    34 + case when protocol = 6 then 20 else 8 end + k % 7 as size from flows),
+g as (select *, ts_us - lag(ts_us) over ({_BY} order by ts_us, event_id) as pause from pk),
+b as (select *, sum(case when pause > {FLOW_CUTS.idle_s * 1_000_000} then 1 else 0 end) over ({_BY} order by ts_us, event_id rows unbounded preceding) as run from g),
+s as (
+  select client, server, protocol, run, list_reduce(list_transform(list(ts_us order by ts_us), lambda t: [t]),
+    lambda a, t: case when t[1] - a[-1] > {FLOW_CUTS.active_s * 1_000_000} then list_concat(a, t) else a end) as starts from b group by all),
+m as (select b.*, len(list_filter(s.starts, lambda t: t <= b.ts_us)) as part from b join s using (client, server, protocol, run)),
+f as (
+  select *, (ts_us - lag(ts_us) over ({_BY}, run, part order by ts_us, event_id)) / 1000000.0::double as gap,
+    back = first_value(back) over ({_BY}, run, part order by ts_us, event_id) as fwd from m),
+flowed as (
+  select client, server, protocol, arg_min(back, (ts_us, event_id)) as turned, arg_min(event_id, (ts_us, event_id)) as event_id, count(*) as packets_total,
+    count(*) filter (where fwd) as packets_fwd, count(*) filter (where not fwd) as packets_bwd, cast(sum(size) as bigint) as bytes_total,
+    cast(coalesce(sum(size) filter (where fwd), 0) as bigint) as bytes_fwd, cast(coalesce(sum(size) filter (where not fwd), 0) as bigint) as bytes_bwd,
+    max(size) as packet_size_max, min(size) as packet_size_min, avg(size) as packet_size_mean, stddev_pop(size) as packet_size_std,
+    coalesce(avg(gap), 0) as iat_mean, coalesce(stddev_pop(gap), 0) as iat_std, coalesce(max(gap), 0) as iat_max, coalesce(min(gap), 0) as iat_min,
+    count(*) filter (where flags & 2 > 0) as syn_count, count(*) filter (where flags & 1 > 0) as fin_count, count(*) filter (where flags & 16 > 0) as ack_count,
+    count(*) filter (where flags & 4 > 0) as rst_count, coalesce(arg_min(win, (ts_us, event_id)) filter (where fwd), 0) as fwd_init_win,
+    coalesce(arg_min(win, (ts_us, event_id)) filter (where not fwd), 0) as bwd_init_win,
+    (max(ts_us) - min(ts_us)) / 1000000.0::double as duration from f group by client, server, protocol, run, part)
+"""
 from .memory import MEM_SQL  # noqa: E402
+from .rows import INDICATOR_SUM  # noqa: E402
 
 ORACLE = {
     "flow_csv_scan": f"{_F} select source as src_ip, destination as dst_ip, case when k % 13 = 0 then 'http' else cast(port_dst as varchar) end as dst_port, concat(packets_total, case when k % 11 = 0 then 'pkts' else '' end) as packets_total, {_LABEL} as label from flows where k not in (42, 43)",
@@ -340,6 +387,7 @@ ORACLE = {
     "telemetry_export": f"{_A} select tenant, count(*) as events_total, count(*) filter (where decision = 'Alert') as alerts_total, count(*) filter (where decision = 'Block') as blocks_total, round(avg(score * 100), 6) as latency_us_mean, round(max(score * 100), 6) as latency_us_peak, round(avg(score * 5), 6) as drift_mean, round(max(score * 5), 6) as drift_peak, count(*) filter (where event_id % 50 = 0) as faults_total from alerts group by tenant",
     "memory_snapshot": f"with {MEM_SQL} select scope, scope_key, record_id, cast(len(v) as integer) as width, round(list_sum([v[i] * i for i in range(1, len(v) + 1)]), 6) as weighed, round(score, 6) as score from memory",
     "csv_events": f"{_F} select source, (case when k % 12 > 0 then 2 else 0 end) + (case when k % 20 > 0 then 1 else 0 end) + (case when k % 5 > 0 then 16 else 0 end) as flags, 'files' as tenant, count(*) as events, count(*) as ids, count(*) as timed, cast(0 as bigint) as bytes_out from flows where k not in (42, 43) group by all",
+    "packet_flows": f"{_FLOW_SQL} select event_id, case when turned then server else client end as source, case when turned then client else server end as destination, cast(case when protocol = 1 then 0 when turned then 443 else 40000 end as integer) as port_src, cast(case when protocol = 1 then 0 when turned then 40000 else 443 end as integer) as port_dst, protocol, packets_total, packets_fwd, packets_bwd, bytes_total, bytes_fwd, bytes_bwd, packet_size_max, packet_size_min, syn_count, fin_count, ack_count, rst_count, fwd_init_win, bwd_init_win, " + ", ".join(f"round({c}, 3) as {c}" for c in ("packet_size_mean", "packet_size_std", "iat_mean", "iat_std", "iat_max", "iat_min", "duration")) + f", round(packets_bwd / packets_fwd::double, 3) as down_up_ratio, {INDICATOR_SUM} as boost from (select *, packets_bwd / packets_fwd::double as down_up_ratio from flowed)",
     "hash_family": f"{_F}, names as (select distinct source, list_transform(string_split(source, ''), lambda c: ascii(c)) as b from flows) select source, printf('%x', cast(list_reduce(list_concat([14695981039346656037::hugeint], list_transform(b, lambda c: c::hugeint)), lambda h, c: (xor(h, c) * 1099511628211) % 18446744073709551616) as ubigint)) as fnv1a, printf('%x', xor(list_reduce(list_concat([4294967295::bigint], list_transform(b, lambda c: c::bigint)), lambda h, c: list_reduce(list_concat([xor(h, c)], range(8)), lambda x, i: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)), 4294967295)) as crc32, sha256(source) as sha256, md5(source) as md5 from names",
     "packet_decode": f"{_F} select event_id, case when k % 5 = 0 then concat('2001:db8::', printf('%x', cast(split_part(source, '.', 1) as bigint) * 256 + cast(split_part(source, '.', 2) as bigint)), ':', printf('%x', cast(split_part(source, '.', 3) as bigint) * 256 + cast(split_part(source, '.', 4) as bigint))) else source end as source, case when k % 5 = 0 then concat('2001:db8::', printf('%x', cast(split_part(destination, '.', 1) as bigint) * 256 + cast(split_part(destination, '.', 2) as bigint)), ':', printf('%x', cast(split_part(destination, '.', 3) as bigint) * 256 + cast(split_part(destination, '.', 4) as bigint))) else destination end as destination, cast(protocol as integer) as protocol, cast(case when k = 8 or protocol = 1 then 0 else port_src end as integer) as port_src, cast(case when k = 8 or protocol = 1 then 0 else port_dst end as integer) as port_dst, cast(case when protocol = 6 and k <> 8 then flags else 0 end as integer) as flags, cast(case when k = 8 then 36 else 14 + case when k % 5 = 0 then 40 else 20 end + case protocol when 6 then 20 else 8 end + k % 7 end as bigint) as size from flows where k <> 7",
     "payload_entropy": "with h as (select doc_id, hex(encode(text)) as h from documents), b as (select doc_id, unnest(regexp_extract_all(h, '..')) as b from h) select doc_id, round(entropy(b) / 8, 6) as entropy from b group by doc_id",

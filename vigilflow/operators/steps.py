@@ -376,6 +376,41 @@ class CooldownStep:
         return {"_keep": kept}, int(ts[at[-1]]) if len(at) else state
 
 
+class FlowCutStep:
+    """Number a key's flows and give the seconds since the flow's packet before, null for its first.
+
+    A packet opens a flow after a pause of more than `idle_s` or more than `active_s` after the flow's first
+    packet. From every packet the next one to open a flow is the nearer of two searches; openers are a chain of these.
+    """
+
+    additive = {"flow": None}
+
+    def __init__(self, idle_s: float, active_s: float):
+        self.idle, self.active = int(idle_s * US), int(active_s * US)
+
+    def __call__(self, rows: dict, state):
+        ts = np.asarray(rows["ts_us"], dtype=np.int64)
+        s = state or {"flow": 0, "start": None, "last": None}
+        if not len(ts):
+            return {"flow": np.zeros(0, dtype=np.int64), "gap": np.zeros(0)}, s
+        n, last, start = len(ts), s["last"], s["start"]
+        pause = np.diff(ts, prepend=ts[0] if last is None else last)
+        idle = np.flatnonzero(pause > self.idle)
+        nearest = np.append(idle, n)
+
+        def opens_after(at, first):  # the next opener behind place `at` of a flow that began at `first`
+            return np.minimum(nearest[np.searchsorted(idle, at, side="right")], np.searchsorted(ts, first + self.active, side="right"))
+
+        begin = 0 if last is None else int(opens_after(-1, start))
+        opened = chain(opens_after(np.arange(n), ts), begin)
+        gap = pause / US
+        gap[opened] = np.nan
+        number = s["flow"] + np.cumsum(opened)
+        at = np.flatnonzero(opened)
+        end = {"flow": int(number[-1]), "start": int(ts[at[-1]]) if len(at) else start, "last": int(ts[-1])}
+        return {"flow": number, "gap": gap}, end
+
+
 class RateLimitStep:
     """Admit at most `n` rows of a key in any sliding window; refused rows do not count.
 

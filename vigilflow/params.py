@@ -30,6 +30,14 @@ EMBEDDING_DIM = 64
 SSM_DIM = 32
 
 
+@dataclass(frozen=True)
+class FlowParams:
+    """When packets of one conversation count as a new flow."""
+
+    idle_s: float = 120.0
+    active_s: float = 1800.0
+
+
 @dataclass(frozen=True)
 class Thresholds:
     """Upper ends of the decision bands; `escalate` is a lower end."""

@@ -36,10 +36,10 @@ def _shorten(groups: Column) -> Column:
 
 
 def decode_packets(df: DataFrame, frame: str = "frame") -> DataFrame:
-    """Add source, destination, protocol, ports, TCP flags, length and payload offset.
+    """Add source, destination, protocol, ports, TCP flags and window, length and payload offset.
 
-    Frames that are neither IPv4 nor IPv6, or too short for their headers, are left out. Ports
-    and flags are zero where the transport header is missing or cut off.
+    Frames that are neither IPv4 nor IPv6, or too short for their headers, are left out. Ports,
+    flags and window are zero where the transport header is missing or cut off.
     """
     f, size = F.col(frame), F.length(frame)
     head = (number(f, ETHERNET, 1) % 16) * 4
@@ -66,6 +66,7 @@ def decode_packets(df: DataFrame, frame: str = "frame") -> DataFrame:
         F.when(tcp | udp, at(0, 2)).otherwise(0).cast("int").alias("port_src"),
         F.when(tcp | udp, at(2, 2)).otherwise(0).cast("int").alias("port_dst"),
         F.when(tcp, at(13, 1)).otherwise(0).cast("int").alias("flags"),
+        F.when(tcp, at(14, 2)).otherwise(0).cast("int").alias("window"),
         size.cast("long").alias("size"),
         (F.col("_l4") + 8).alias("payload_at"),
     )
