@@ -7,12 +7,13 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import hashes, scores
-from ..operators import flows
+from ..operators import flows, sketches
 from ..operators import memory as mem
 from ..params import FlowParams
 from ..session import shared_folder
 from ..sources import exports, flow_csv, ingest, packets
 from ..sources import tables as t
+from ..streaming import telemetry as telemetry_stream
 
 NOW = 1_706_659_200_000_000
 
@@ -240,6 +241,46 @@ def telemetry_export(spark, sf):
     return out.withColumns({c: r6(c) for c in out.columns if c.endswith(("_mean", "_peak"))})
 
 
+def latency_sketch(spark, sf):
+    """Files arrive as a stream, each batch adds its sketch per minute and stage; read by day after a compaction halfway."""
+    path = fresh(spark, "latency")
+    ev = t.flows(spark, sf).select(F.col("type").alias("stage"), "ts_us", F.when(F.col("k") == 0, 0.0).otherwise(F.col("rate_hz")).alias("us"), "event_id")
+    ev.repartition(4, "event_id").write.parquet(f"{path}/in")
+    by = ["stage", "minute_us"]
+
+    def run(files):
+        arriving = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", files).parquet(f"{path}/in")
+        timed = arriving.withColumn("minute_us", F.col("ts_us") - F.pmod(F.col("ts_us"), F.lit(60_000_000)))
+        telemetry_stream.sketch_stream(timed, by, "us", f"{path}/sketch", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+
+    run(1)
+    telemetry_stream.compact(spark, f"{path}/sketch", by)
+    daily = telemetry_stream.read_sketch(spark, f"{path}/sketch", by).withColumn("day_us", F.col("minute_us") - F.pmod(F.col("minute_us"), F.lit(86_400_000_000)))
+    wanted = {"p50": 0.5, "p99": 0.99}
+    out = sketches.quantiles(sketches.merged(daily, ["stage", "day_us"]), ["stage", "day_us"], wanted)
+    return out.withColumns({c: r6(c) for c in ("mean", "peak", *wanted)})
+
+
+def drift_steps(spark, sf):
+    """The newest steps of every tenant's drift and history, exported as JSON and read back."""
+    path = fresh(spark, "series")
+    out = sketches.series(t.signals(spark, sf), "tenant", 6 * 3600.0, ["drift", "history"], 40)
+    out.write.json(path)
+    back = spark.read.schema(out.schema).json(path)
+    return back.withColumns({c: r6(c) for c in back.columns if c.startswith(("drift", "history"))})
+
+
+def fault_log(spark, sf):
+    """The newest faults of every kind, exported as JSON and read back."""
+    path = fresh(spark, "faults")
+    faults = t.flows(spark, sf).filter("k % 5 < 3").select(
+        F.expr("case k % 5 when 0 then 'storage' when 1 then 'parse' end").alias("kind"), "event_id", "ts_us", F.col("source").alias("key"),
+        F.concat(F.lit("line "), F.col("event_id").cast("string"), F.lit(' "'), F.col("type"), F.lit('"')).alias("detail"))
+    out = sketches.newest_by_kind(faults, 30)
+    out.write.json(path)
+    return spark.read.schema(out.schema).json(path)
+
+
 def memory_snapshot(spark, sf):
     from .memory import _memory
 
@@ -323,6 +364,7 @@ QUERIES = {
     "heartbeat_upsert": heartbeat_upsert, "alert_json_sink": alert_json_sink, "log_export_csv": log_export_csv,
     "rules_export": rules_export, "rules_import": rules_import, "telemetry_export": telemetry_export,
     "memory_snapshot": memory_snapshot, "packet_decode": packet_decode, "payload_entropy": payload_entropy,
+    "latency_sketch": latency_sketch, "drift_steps": drift_steps, "fault_log": fault_log,
     "csv_events": csv_events, "packet_flows": packet_flows, "hash_family": hash_family,
 }
 
@@ -388,6 +430,13 @@ ORACLE = {
     "memory_snapshot": f"with {MEM_SQL} select scope, scope_key, record_id, cast(len(v) as integer) as width, round(list_sum([v[i] * i for i in range(1, len(v) + 1)]), 6) as weighed, round(score, 6) as score from memory",
     "csv_events": f"{_F} select source, (case when k % 12 > 0 then 2 else 0 end) + (case when k % 20 > 0 then 1 else 0 end) + (case when k % 5 > 0 then 16 else 0 end) as flags, 'files' as tenant, count(*) as events, count(*) as ids, count(*) as timed, cast(0 as bigint) as bytes_out from flows where k not in (42, 43) group by all",
     "packet_flows": f"{_FLOW_SQL} select event_id, case when turned then server else client end as source, case when turned then client else server end as destination, cast(case when protocol = 1 then 0 when turned then 443 else 40000 end as integer) as port_src, cast(case when protocol = 1 then 0 when turned then 40000 else 443 end as integer) as port_dst, protocol, packets_total, packets_fwd, packets_bwd, bytes_total, bytes_fwd, bytes_bwd, packet_size_max, packet_size_min, syn_count, fin_count, ack_count, rst_count, fwd_init_win, bwd_init_win, " + ", ".join(f"round({c}, 3) as {c}" for c in ("packet_size_mean", "packet_size_std", "iat_mean", "iat_std", "iat_max", "iat_min", "duration")) + f", round(packets_bwd / packets_fwd::double, 3) as down_up_ratio, {INDICATOR_SUM} as boost from (select *, packets_bwd / packets_fwd::double as down_up_ratio from flowed)",
+    "latency_sketch": f"""{_F}, v as (select type as stage, ts_us - ts_us % 86400000000 as day_us, case when k = 0 then 0 else rate_hz end as us from flows),
+      b as (select *, case when us > 0 then ceil(ln(us) / ln(1.01::double / 0.99)) end as b from v),
+      h as (select stage, day_us, coalesce(b, -1e9) as b, count(*) as n, sum(us) as s, max(us) as m from b group by all),
+      c as (select *, sum(n) over (partition by stage, day_us order by b) as c, sum(n) over (partition by stage, day_us) as whole, case when b = -1e9 then 0 else 2 * pow(1.01::double / 0.99, b) / (1.01::double / 0.99 + 1) end as mid from h)
+      select stage, day_us, cast(sum(n) as bigint) as samples, round(sum(s) / sum(n), 6) as mean, round(max(m), 6) as peak, round(least(max(m), min(mid) filter (where c >= ceil(whole * 0.5::double))), 6) as p50, round(least(max(m), min(mid) filter (where c >= ceil(whole * 0.99::double))), 6) as p99 from c group by stage, day_us""",
+    "drift_steps": f"with {t.SIGNALS_SQL}, s as (select tenant, ts_us - ts_us % 21600000000 as step_us, count(*) as samples, " + ", ".join(f"round(arg_max({c}, (ts_us, event_id)), 6) as {c}_last, round(avg({c}), 6) as {c}_mean, round(max({c}), 6) as {c}_peak" for c in ("drift", "history")) + " from signals group by all) select * from s qualify row_number() over (partition by tenant order by step_us desc) <= 40",
+    "fault_log": f"{_F}, f as (select case k % 5 when 0 then 'storage' when 1 then 'parse' end as kind, event_id, ts_us, source as key, concat('line ', event_id, ' \"', type, '\"') as detail from flows where k % 5 < 3) select *, count(*) over (partition by kind) as seen from f qualify row_number() over (partition by kind order by ts_us desc, event_id desc) <= 30",
     "hash_family": f"{_F}, names as (select distinct source, list_transform(string_split(source, ''), lambda c: ascii(c)) as b from flows) select source, printf('%x', cast(list_reduce(list_concat([14695981039346656037::hugeint], list_transform(b, lambda c: c::hugeint)), lambda h, c: (xor(h, c) * 1099511628211) % 18446744073709551616) as ubigint)) as fnv1a, printf('%x', xor(list_reduce(list_concat([4294967295::bigint], list_transform(b, lambda c: c::bigint)), lambda h, c: list_reduce(list_concat([xor(h, c)], range(8)), lambda x, i: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)), 4294967295)) as crc32, sha256(source) as sha256, md5(source) as md5 from names",
     "packet_decode": f"{_F} select event_id, case when k % 5 = 0 then concat('2001:db8::', printf('%x', cast(split_part(source, '.', 1) as bigint) * 256 + cast(split_part(source, '.', 2) as bigint)), ':', printf('%x', cast(split_part(source, '.', 3) as bigint) * 256 + cast(split_part(source, '.', 4) as bigint))) else source end as source, case when k % 5 = 0 then concat('2001:db8::', printf('%x', cast(split_part(destination, '.', 1) as bigint) * 256 + cast(split_part(destination, '.', 2) as bigint)), ':', printf('%x', cast(split_part(destination, '.', 3) as bigint) * 256 + cast(split_part(destination, '.', 4) as bigint))) else destination end as destination, cast(protocol as integer) as protocol, cast(case when k = 8 or protocol = 1 then 0 else port_src end as integer) as port_src, cast(case when k = 8 or protocol = 1 then 0 else port_dst end as integer) as port_dst, cast(case when protocol = 6 and k <> 8 then flags else 0 end as integer) as flags, cast(case when k = 8 then 36 else 14 + case when k % 5 = 0 then 40 else 20 end + case protocol when 6 then 20 else 8 end + k % 7 end as bigint) as size from flows where k <> 7",
     "payload_entropy": "with h as (select doc_id, hex(encode(text)) as h from documents), b as (select doc_id, unnest(regexp_extract_all(h, '..')) as b from h) select doc_id, round(entropy(b) / 8, 6) as entropy from b group by doc_id",
