@@ -1,19 +1,22 @@
 """Campaigns: alerts tied together by a shared class or source without a long pause.
 
 Alerts of one class form a class session until it pauses longer than the idle time, and likewise
-for each source. Every alert links its class session with its source session; a campaign is a
-connected component of these links. This is the order-free closure of "joins a campaign that
-shares its source or class".
+for each source. With `campaign_max_s` a session also ends at that age, as a class that never pauses would otherwise
+join all sources it meets into one campaign. Every alert links its class session with its source session; a
+campaign is a connected component of these links. This is the order-free closure of "joins a campaign that
+shares its source or class". `streaming/campaigns.py` grows campaigns batch by batch.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..params import CorrelationParams
 from ..session import cut
+from .folds import fold_by_key
 from .salted import salted_join
+from .steps import FlowCutStep
 from .windows import sessions
 
 
@@ -39,14 +42,23 @@ def component_labels(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def node_name(kind: str, key: str, number: str) -> Column:
+    return F.concat_ws("|", F.lit(kind), F.col(key), F.lpad(F.col(number).cast("string"), 12, "0"))
+
+
+def _sessions(al: DataFrame, key: str, p: CorrelationParams, slice_s: float, name: str) -> DataFrame:
+    if p.campaign_max_s is None:
+        return sessions(al, [key], p.campaign_idle_s, slice_s, name)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in al.schema.fields)
+    return fold_by_key(al, [key], FlowCutStep(p.campaign_idle_s, p.campaign_max_s), f"{schema}, flow bigint").withColumnRenamed("flow", name)
+
+
 def campaigns(
     al: DataFrame, slice_s: float, p: CorrelationParams = CorrelationParams()
 ) -> DataFrame:
     """Add `campaign_id` to alerts; null where no alert of the campaign is strong enough to open it."""
-    named = sessions(al, ["attack_class"], p.campaign_idle_s, slice_s, "_c")
-    named = sessions(named, ["source"], p.campaign_idle_s, slice_s, "_s")
-    node = lambda kind, key, no: F.concat_ws("|", F.lit(kind), F.col(key), F.lpad(F.col(no).cast("string"), 12, "0"))
-    linked = cut(named.withColumns({"_a": node("class", "attack_class", "_c"), "_b": node("source", "source", "_s")}))
+    named = _sessions(_sessions(al, "attack_class", p, slice_s, "_c"), "source", p, slice_s, "_s")
+    linked = cut(named.withColumns({"_a": node_name("class", "attack_class", "_c"), "_b": node_name("source", "source", "_s")}))
     labels = component_labels(linked.select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct())
     tagged = salted_join(linked, labels.select(F.col("node").alias("_a"), F.col("label").alias("campaign_id")), ["_a"], "event_id")
     strong = tagged.filter(F.col("score") >= p.campaign_min_score).select("campaign_id").distinct().withColumn("_open", F.lit(True))

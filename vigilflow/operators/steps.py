@@ -6,6 +6,7 @@ returns the columns it adds and the new state. States are plain numbers, lists a
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Sequence
 
@@ -377,7 +378,7 @@ class CooldownStep:
 
 
 class FlowCutStep:
-    """Number a key's flows and give the seconds since the flow's packet before, null for its first.
+    """Number a key's flows, with their start and the seconds since the flow's packet before, null for its first.
 
     A packet opens a flow after a pause of more than `idle_s` or more than `active_s` after the flow's first
     packet. From every packet the next one to open a flow is the nearer of two searches; openers are a chain of these.
@@ -385,14 +386,14 @@ class FlowCutStep:
 
     additive = {"flow": None}
 
-    def __init__(self, idle_s: float, active_s: float):
-        self.idle, self.active = int(idle_s * US), int(active_s * US)
+    def __init__(self, idle_s: float, active_s: float | None):
+        self.idle, self.active = int(idle_s * US), 2**61 if active_s is None else int(active_s * US)
 
     def __call__(self, rows: dict, state):
         ts = np.asarray(rows["ts_us"], dtype=np.int64)
         s = state or {"flow": 0, "start": None, "last": None}
         if not len(ts):
-            return {"flow": np.zeros(0, dtype=np.int64), "gap": np.zeros(0)}, s
+            return {"flow": np.zeros(0, dtype=np.int64), "gap": np.zeros(0), "opened_us": np.zeros(0, dtype=np.int64)}, s
         n, last, start = len(ts), s["last"], s["start"]
         pause = np.diff(ts, prepend=ts[0] if last is None else last)
         idle = np.flatnonzero(pause > self.idle)
@@ -405,10 +406,25 @@ class FlowCutStep:
         opened = chain(opens_after(np.arange(n), ts), begin)
         gap = pause / US
         gap[opened] = np.nan
-        number = s["flow"] + np.cumsum(opened)
-        at = np.flatnonzero(opened)
-        end = {"flow": int(number[-1]), "start": int(ts[at[-1]]) if len(at) else start, "last": int(ts[-1])}
-        return {"flow": number, "gap": gap}, end
+        count, at = np.cumsum(opened), np.flatnonzero(opened)
+        number = s["flow"] + count
+        starts = np.append(0 if start is None else start, ts[at])[count]
+        end = {"flow": int(number[-1]), "start": int(starts[-1]), "last": int(ts[-1])}
+        return {"flow": number, "gap": gap, "opened_us": starts}, end
+
+
+class Resumed:
+    """A step whose keys go on from a state kept elsewhere: as text in column `_seed` of a key's rows, null for a new key."""
+
+    def __init__(self, step):
+        self.step = step
+        self.additive = getattr(step, "additive", {})
+
+    def __call__(self, rows: dict, state):
+        seed = rows["_seed"][0]
+        if state is None and isinstance(seed, str):
+            state = json.loads(seed)
+        return self.step(rows, state)
 
 
 class RateLimitStep:

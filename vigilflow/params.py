@@ -181,6 +181,7 @@ class CorrelationParams:
     slow_weight: float = 0.15
     escalate_above: float = 0.4
     campaign_idle_s: float = 1800.0
+    campaign_max_s: float | None = None  # a session older than this ends, so that a class that never rests does not join everything
     campaign_min_score: float = 0.4
     keep_per_ip: int = 500
     keep_per_host: int = 1000
