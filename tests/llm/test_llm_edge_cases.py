@@ -283,3 +283,26 @@ def test_stages(spark, docs, wide, empty, stage):
     assert stage(spark, empty, "").count() == 0
     # a second run gives the same rows
     assert sorted(map(str, stage(spark, docs, "").select("doc_id").collect())) == sorted(map(str, stage(spark, docs, "").select("doc_id").collect()))
+
+
+def test_long_and_deep_pages_are_read_whole(monkeypatch):
+    """Labels do not depend on how many steps are multiplied at once; blocks below the deepest named element keep their text."""
+    from vigilflow.llm import pages
+
+    labeller = pages.Labeller(6, 1)
+    page = "<body>" + "".join(f"<p class=c{i % 7}>word{i % 11} text {i}</p>" for i in range(300)) + "</body>"
+    features = pages.Features()([pages.blocks_of(page), pages.blocks_of("<p>short</p>")])
+    both, alone = labeller.scores(*pages.padded(features))[0], labeller.scores(*pages.padded(features[:1]))[0]
+    monkeypatch.setattr(pages, "STRETCH", 7)
+    assert np.allclose(labeller.scores(*pages.padded(features))[0], both, atol=1e-5) and np.allclose(alone[0], both[0], atol=1e-5)
+    tapes = ([], [])
+    labeller.scores(*pages.padded(features[:1]), tapes)
+    assert [t[0] for t in tapes[0]] == list(range(300)) and [t[0] for t in tapes[1]] == list(range(299, -1, -1))
+    monkeypatch.undo()
+    many = pages.blocks_of("<p>x</p>" * 30_000)
+    chosen = labeller.main_blocks(pages.Features()([many]))
+    assert len(chosen[0]) == 30_000
+    deep = pages.blocks_of("".join(f"<div id=d{i}>t{i} " for i in range(600)) + "</div>" * 600 + "<p>after</p>")
+    assert [b.text for b in deep] == [*(f"t{i}" for i in range(600)), "after"]
+    assert len(deep[599].path) == pages.OPEN and deep[600].path == ("p",)
+    assert [len(b.path) for b in pages.blocks_of("<div>a<div>b<div>c", most_open=2)] == [1, 2, 2]

@@ -8,7 +8,12 @@ block is labelled main text or not with the whole page as context, and main bloc
 The labeller is trained on the driver on at most `layouts` made-up pages, which vary the names,
 nesting and order of menus, notices, adverts, forms, sidebars, comments and articles, and at most
 `samples` pages of the given table, chosen by a hash, whose own `article` element says which blocks
-are main text. The words of the made-up pages are taken from the sampled ones.
+are main text. The words of the made-up pages are taken from the sampled ones. Sampled pages of `most_chars` characters
+or `most_blocks` blocks and more teach nothing; every page is labelled whole.
+
+Features read the `NEAR` elements nearest to a block. Below `OPEN` open elements further ones have no part in a block's
+path, so such a block is judged by what stands above them; no text is lost. Labelling keeps the states of a
+page's blocks (192 bytes each, beside their features) and nothing of the steps between.
 
 Defined cases: a null page is empty; pages without main blocks give the empty text; unclosed and cut
 off markup is read as far as it goes; comments, scripts, styles, templates, text areas and frames
@@ -47,6 +52,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 ENDS_PARAGRAPH = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 PATH, WORDS, FIGURES = 128, 48, 8
 WIDTH = PATH + WORDS + FIGURES
+NEAR = 8  # elements above a block that its features read
+OPEN = 400  # elements kept open at once; deeper ones are counted, not named
+STRETCH = 4096  # steps of the network whose inputs are multiplied at once
 
 
 @dataclass(frozen=True)
@@ -54,6 +62,7 @@ class LabellerParams:
     layouts: int = 1000
     samples: int = 200
     most_blocks: int = 300  # of a page to learn from
+    most_chars: int = 200_000  # of a page to learn from; longer ones are left out of the sample, never of the result
     hidden: int = 24
     epochs: int = 12
     rate: float = 0.01
@@ -67,8 +76,8 @@ class Block:
     linked: int  # characters inside links
 
 
-def blocks_of(page: str | None) -> list[Block]:
-    """Leaf blocks in page order."""
+def blocks_of(page: str | None, most_open: int = OPEN) -> list[Block]:
+    """Leaf blocks in page order; a block below more than `most_open` elements keeps its text, its path ends at the last of them."""
     out: list[Block] = []
     stack: list[tuple[str, str]] = []
     deep: list[str] = []  # elements opened below the deepest one of the stack
@@ -127,7 +136,7 @@ def blocks_of(page: str | None) -> list[Block]:
                 del stack[at:]
         if name in VOID or m[4].rstrip().endswith("/"):
             continue
-        if len(stack) >= 400:
+        if len(stack) >= most_open:
             deep.append(name)
         else:
             names = " ".join(x[2] or x[3] or x[4] for x in NAMED.finditer(m[4]))
@@ -141,7 +150,7 @@ def path_vector(path: tuple[str, ...]) -> np.ndarray:
     """Elements, their class and id words and parent-child pairs, hashed; nearer elements weigh more."""
     out = np.zeros(PATH, dtype=np.float32)
     above = ""
-    for depth, element in enumerate(reversed(path[-8:])):
+    for depth, element in enumerate(reversed(path[-NEAR:])):
         parts = element.split()
         words = {parts[0], *(f".{w}" for p in parts[1:] for w in re.split(r"[^a-z]+", p) if w)}
         for w in [*words, f"{parts[0]}>{above}", *(f"@{depth}{w}" for w in words if depth < 2)]:
@@ -203,34 +212,38 @@ class Labeller:
         self.w["p"] = (rng.standard_normal((WIDTH, 1)) / np.sqrt(WIDTH)).astype(np.float32)
         self.w["c"] = np.zeros(1, dtype=np.float32)
 
-    def one_way(self, x: np.ndarray, mask: np.ndarray, d: str) -> tuple[np.ndarray, list]:
-        """States of every step (batch, steps, hidden); padded steps keep the state."""
+    def one_way(self, x: np.ndarray, mask: np.ndarray, d: str, tape: list | None = None) -> np.ndarray:
+        """States of every step (batch, steps, hidden); padded steps keep the state. What learning needs goes on `tape`."""
         n, steps, _ = x.shape
         h, c = np.zeros((n, self.h), np.float32), np.zeros((n, self.h), np.float32)
-        out, memory = np.zeros((n, steps, self.h), np.float32), []
-        drive = x @ self.w[f"x{d}"] + self.w[f"c{d}"]
-        for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-            z = drive[:, t] + h @ self.w[f"h{d}"]
-            gates = 1 / (1 + np.exp(-np.clip(z[:, : 3 * self.h], -30, 30)))
-            i, f, o = gates[:, : self.h], gates[:, self.h : 2 * self.h], gates[:, 2 * self.h :]
-            g = np.tanh(z[:, 3 * self.h :])
-            m = mask[:, t, None]
-            new_c = m * (f * c + i * g) + (1 - m) * c
-            tanh_c = np.tanh(new_c)
-            new_h = m * (o * tanh_c) + (1 - m) * h
-            memory.append((t, h, c, i, f, o, g, tanh_c, m))
-            h, c = new_h, new_c
-            out[:, t] = h
-        return out, memory
-
-    def scores(self, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, tuple]:
-        forward, fm = self.one_way(x, mask, "f")
-        backward, bm = self.one_way(x, mask, "b")
-        both = np.concatenate((forward, backward), axis=2)
-        return (both @ self.w["o"] + x @ self.w["p"])[:, :, 0] + self.w["c"], (both, fm, bm)
+        out = np.zeros((n, steps, self.h), np.float32)
+        begins = range(0, steps, STRETCH)
+        for begin in begins if d == "f" else reversed(begins):
+            drive = x[:, begin : begin + STRETCH] @ self.w[f"x{d}"] + self.w[f"c{d}"]
+            for at in range(drive.shape[1]) if d == "f" else range(drive.shape[1] - 1, -1, -1):
+                t = begin + at
+                z = drive[:, at] + h @ self.w[f"h{d}"]
+                gates = 1 / (1 + np.exp(-np.clip(z[:, : 3 * self.h], -30, 30)))
+                i, f, o = gates[:, : self.h], gates[:, self.h : 2 * self.h], gates[:, 2 * self.h :]
+                g = np.tanh(z[:, 3 * self.h :])
+                m = mask[:, t, None]
+                new_c = m * (f * c + i * g) + (1 - m) * c
+                tanh_c = np.tanh(new_c)
+                new_h = m * (o * tanh_c) + (1 - m) * h
+                if tape is not None:
+                    tape.append((t, h, c, i, f, o, g, tanh_c, m))
+                h, c = new_h, new_c
+                out[:, t] = h
+        return out
+
+    def scores(self, x: np.ndarray, mask: np.ndarray, tapes: tuple[list, list] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        forward, backward = tapes or (None, None)
+        both = np.concatenate((self.one_way(x, mask, "f", forward), self.one_way(x, mask, "b", backward)), axis=2)
+        return (both @ self.w["o"] + x @ self.w["p"])[:, :, 0] + self.w["c"], both
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-        z, (both, fm, bm) = self.scores(x, mask)
+        fm, bm = [], []
+        z, both = self.scores(x, mask, (fm, bm))
         dz = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * mask / mask.sum()).astype(np.float32)[:, :, None]
         grads = {"o": np.einsum("nth,nto->ho", both, dz), "p": np.einsum("nth,nto->ho", x, dz), "c": dz.sum(axis=(0, 1))}
         dboth = dz @ self.w["o"].T
@@ -289,6 +302,8 @@ class Labeller:
 
 
 def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    if len(pages) == 1:  # nothing to pad, and a very long page is not copied
+        return pages[0][None], np.ones((1, len(pages[0])), np.float32)
     steps = max(len(p) for p in pages)
     x, mask = np.zeros((len(pages), steps, WIDTH), np.float32), np.zeros((len(pages), steps), np.float32)
     for row, page in enumerate(pages):
@@ -385,7 +400,7 @@ def made_up(rng: np.random.Generator, words: list[str]) -> tuple[list[Block], li
 def train(pages: DataFrame, id_column: str = "page_id", html: str = "html", p: LabellerParams = LabellerParams()) -> Labeller:
     """Fit the labeller on made-up pages and a bounded sample of the table's pages that have an article element."""
     chosen = hash_sample(pages.select(F.col(id_column).alias("id"), F.col(html).cast("string").alias("html")), [F.col("id"), F.xxhash64("html")], p.samples)
-    marked = chosen.filter(F.contains(F.lower("html"), F.lit("<article")) & (F.length("html") < 200_000))
+    marked = chosen.filter(F.contains(F.lower("html"), F.lit("<article")) & (F.length("html") < p.most_chars))
     sample = [blocks_of(r.html) for r in marked.select("html").collect()]
     sample = [b for b in sample if 0 < len(b) <= p.most_blocks]
     away = ("nav", "aside", "footer", "form", "header")
