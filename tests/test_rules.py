@@ -1,5 +1,6 @@
 """Fixed values of the model on small inputs."""
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -150,6 +151,19 @@ def test_byte_entropy(spark):
     assert abs(head - 1 / 8) < 1e-12
 
 
+def test_entropies_of_runs_equal_those_of_each_payload():
+    rng = np.random.default_rng(2)
+    made = [rng.integers(0, rng.integers(1, 257), rng.choice([0, 1, 7, 300, 5000])).astype(np.uint8).tobytes() for _ in range(200)]
+
+    def alone(data):
+        p = np.unique(np.frombuffer(data, np.uint8), return_counts=True)[1] / max(1, len(data))
+        return float(-(p * np.log2(p)).sum() / 8)
+
+    for joined in (1, 600, 1 << 20):
+        assert np.allclose(packets.entropies(made, joined), [alone(d) for d in made], atol=1e-12)
+    assert packets.entropies([]).tolist() == []
+
+
 def test_sql_functions_equal_columns(spark, sf_dir):
     from vigilflow.functions.register import register_functions, register_views
 
