@@ -52,8 +52,8 @@ def _rule_hits(spark, sf):
 
 def rule_match(spark, sf):
     ev = t.flows(spark, sf).select("event_id", "source", "score")
-    return joins.match_rules(ev, t.rules(spark, sf)).select(
-        "event_id", F.size("rules").alias("n"), F.array_join("rules", ",").alias("rules"))
+    made = {"n": F.size, "rules": lambda names: F.array_join(names, ",")}
+    return joins.match_rules(ev, t.rules(spark, sf), made=made).select("event_id", "n", "rules")
 
 
 def rule_hits(spark, sf):
