@@ -46,8 +46,8 @@ def log_stats(spark, sf):
 
 def _rule_hits(spark, sf):
     rules = t.rules(spark, sf)
-    met = joins.met_rules(t.flows(spark, sf).select("event_id", "ts_us", "source", "score"), rules)
-    return d.rule_hits(joins.rule_matches(met), rules)
+    met = joins.met_rules(t.flows(spark, sf).select("event_id", "ts_us", "source", "score"), rules, marks=True)
+    return d.rule_hits(joins.rule_matches(met, rules), rules)
 
 
 def rule_match(spark, sf):

@@ -198,8 +198,9 @@ def latest_metric(metrics: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 
 
 def rule_hits(matches: DataFrame, rules: DataFrame) -> DataFrame:
-    """How often and when each rule last fired; rules that never did count zero."""
-    hits = matches.groupBy("rule_id").agg(F.count(F.lit(1)).alias("triggers"), F.max("ts_us").alias("last_hit_us"))
+    """How often and when each rule last fired; rules that never did count zero. `matches` are single hits, or counted as `hits`."""
+    counted = F.sum("hits") if "hits" in matches.columns else F.count(F.lit(1))
+    hits = matches.groupBy("rule_id").agg(counted.alias("triggers"), F.max("ts_us").alias("last_hit_us"))
     return rules.join(hits, rules["id"] == hits["rule_id"], "left").drop("rule_id").na.fill(0, ["triggers"])
 
 
