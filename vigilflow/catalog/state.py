@@ -9,6 +9,7 @@ from ..operators import scoring, windows
 from ..operators.folds import plan_keys
 from ..operators.steps import FEATURES
 from ..params import sparse_profile
+from ..session import cut
 from ..sources import tables as t
 
 P = sparse_profile()
@@ -166,14 +167,15 @@ def ssm_scan(spark, sf):
 def hierarchy_drift(spark, sf):
     """Events -> vectors -> recurrence -> segments -> four-level hierarchy per tenant."""
     base = t.flows(spark, sf)
-    by_source, by_tenant = plan_keys(base, ["source"]), plan_keys(base, ["tenant"])
+    by_source = plan_keys(base, ["source"])
     ev = _embedded(spark, sf, by_source, drop=("ts", "k", "device")).select(
         "event_id", "ts_us", "source", "tenant", "type", "score", "rate_hz", "embedding")
-    scanned = scoring.ssm_scan(ev, ["source"], "embedding", ["ts_us", "event_id"], plan=by_source)
+    scanned = scoring.ssm_scan(ev, ["source"], "embedding", ["ts_us", "event_id"], plan=by_source, follows=True)
     seg = scoring.segment_flush(
-        scanned.drop("embedding").withColumnRenamed("y", "state"), ["source"], P.flush, by_source)
-    seg = scoring.segment_summary(seg, ["source"], ["tenant", "state"])
-    return scoring.hierarchy_drift(seg, ["tenant"], P.routing, plan=by_tenant).select(
+        scanned.drop("embedding").withColumnRenamed("y", "state"), ["source"], P.flush, by_source, follows=True)
+    # read to be planned, settled and walked; there are far fewer segments than events
+    seg = cut(scoring.segment_summary(seg, ["source"], ["tenant", "state"]))
+    return scoring.hierarchy_drift(seg, ["tenant"], P.routing, plan=plan_keys(seg, ["tenant"])).select(
         "source", "segment_id", "tenant", "route", r6("drift").alias("drift"), r6("history").alias("history"))
 
 

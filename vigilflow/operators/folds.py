@@ -191,11 +191,20 @@ def fold_by_key(
     order: Sequence[str] = ORDER,
     max_rows: int = MAX_ROWS,
     plan: KeyPlan | None = None,
+    follows: bool = False,
 ) -> DataFrame:
-    """Run `step` over each key's rows in `order`; the output has `schema`."""
+    """Run `step` over each key's rows in `order`; the output has `schema`.
+
+    `follows`: `df` is the result of a fold over the same key, order and `plan`, with nothing but columns added, dropped
+    or renamed since. Its rows still lie together and in order, so without hot keys they are not shuffled again.
+    """
     key, order = list(key), list(order)
     names = [part.split()[0] for part in re.sub(r"<.*?>", "", schema).split(",")]
+    if follows and plan is None:
+        raise ValueError("a fold that follows another needs its plan")
     plan = plan or plan_keys(df, key, max_rows, ts=order[0])
+    if plan.later is None and follows:
+        return df.mapInPandas(_walk(step, key, names), schema)
     if plan.later is None:
         return _sorted(df, key, order).mapInPandas(_walk(step, key, names), schema)
 

@@ -169,10 +169,10 @@ def threshold_shifts(
 
 # ---- segments and hierarchy ------------------------------------------------------------------
 
-def segment_flush(ev: DataFrame, key: list[str], p: FlushParams = FlushParams(), plan: KeyPlan | None = None) -> DataFrame:
-    """Number each event's segment and mark the event that flushes it."""
+def segment_flush(ev: DataFrame, key: list[str], p: FlushParams = FlushParams(), plan: KeyPlan | None = None, follows: bool = False) -> DataFrame:
+    """Number each event's segment and mark the event that flushes it (`follows`: see `fold_by_key`)."""
     return fold_by_key(
-        ev, key, steps.SegmentStep(p), _schema(ev, "segment_id long, flushed boolean"), plan=plan
+        ev, key, steps.SegmentStep(p), _schema(ev, "segment_id long, flushed boolean"), plan=plan, follows=follows
     )
 
 
@@ -202,10 +202,10 @@ def segment_summary(segmented: DataFrame, key: list[str], carry: list[str] = ())
 
 def ssm_scan(
     df: DataFrame, key: list[str], vector: str, order: list[str], p: SsmParams = SsmParams(),
-    plan: KeyPlan | None = None,
+    plan: KeyPlan | None = None, follows: bool = False,
 ) -> DataFrame:
-    """Selective state-space recurrence over a key's vectors; output vector `y`."""
-    return fold_by_key(df, key, steps.SsmStep(vector, p), _schema(df, "y array<double>"), order=order, plan=plan)
+    """Selective state-space recurrence over a key's vectors; output vector `y` (`follows`: see `fold_by_key`)."""
+    return fold_by_key(df, key, steps.SsmStep(vector, p), _schema(df, "y array<double>"), order=order, plan=plan, follows=follows)
 
 
 def hierarchy_drift(
