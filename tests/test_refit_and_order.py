@@ -3,8 +3,11 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import TimerValues
+from pyspark.sql.types import StructType
 
 from vigilflow.operators import reconstruction, scoring, steps
 from vigilflow.operators.folds import fold_by_key
@@ -156,3 +159,46 @@ def test_rows_behind_the_watermark_are_counted(spark, tmp_path):
     dropped = sum(o["numRowsDroppedByWatermark"] for p in q.recentProgress for o in p["stateOperators"])
     late = got.agg(F.coalesce(F.sum("late_rows"), F.lit(0))).first()[0]
     assert got.count() + dropped + late == len(rows) and dropped + late > 0
+
+
+class _Store:
+    """State of one group as a processor sees it, with the calls made to it."""
+
+    def __init__(self):
+        self.blocks, self.due, self.states, self.timers, self.calls = [], None, {}, set(), 0
+
+    def __getattr__(self, name):
+        self.calls += 1
+        return {
+            "getListState": lambda *_: self, "getValueState": lambda *_: self, "getMapState": lambda *_: self,
+            "appendValue": self.blocks.append, "clear": lambda: None, "update": lambda v: setattr(self, "due", v),
+            "registerTimer": self.timers.add, "deleteTimer": self.timers.remove, "getValue": self.states.get, "updateValue": self.states.__setitem__,
+        }[name]
+
+
+def test_a_micro_batch_calls_the_state_per_group_and_key_not_per_row():
+    """5,000 rows of 50 sources in one group, out of order, one without a time."""
+    rng, store = np.random.default_rng(5), _Store()
+    schema = StructType.fromDDL("event_id bigint, ts_us bigint, source string")
+    n = 5000
+    rows = pd.DataFrame({"event_id": range(n), "ts_us": [float(i) * S for i in range(n)], "source": [f"s{i % 50}" for i in range(n)]})
+    rows.loc[7, "ts_us"] = None
+    shuffled = rows.iloc[rng.permutation(n)]
+    one = ordered._InOrder(steps.CooldownStep(0), schema, ["source"], ["event_id", "ts_us", "source"], ["ts_us", "event_id"])
+    one.handle, one.kept, one.timer, one.blocks = store, store, _Store(), _Store()
+    one.timer.get, one.blocks.get = lambda: one.timer.due, lambda: list(one.blocks.blocks)
+    one.blocks.clear = one.blocks.blocks.clear
+    got = []
+    for part, passed in ((shuffled[:2500], 3000), (shuffled[2500:], 10**6)):
+        assert not list(one.handleInputRows((1,), iter([part]), None))
+        assert len(store.timers) == 1
+        store.timers.clear()
+        got += list(one.handleExpiredTimer((1,), TimerValues(0, passed * 1000), None))
+    out = pd.concat(got)
+    seen, late = set(shuffled[:2500].event_id), int(out.late_rows.sum())
+    for source, mine in out.groupby("source"):
+        assert mine.ts_us.is_monotonic_increasing
+        newest = max((i for i in seen if f"s{i % 50}" == source and i < 3000), default=-1)
+        assert sorted(mine.event_id) == [i for i in range(n) if i != 7 and f"s{i % 50}" == source and (i in seen or i > newest)]
+    assert len(out) + late == n and late > 1
+    assert store.calls + one.timer.calls + one.blocks.calls < 2 * 2 * 50 + 40
