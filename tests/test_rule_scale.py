@@ -70,3 +70,21 @@ def test_stats_of_counted_hits(events, rules):
     all_rules = rules.collect()
     assert got.total == len(all_rules) and got.active == sum(r.enabled for r in all_rules)
     assert got.triggered_today == sum(r.id in today for r in all_rules if r.id is not None)
+
+
+def test_few_values_are_one_part_whatever_the_partitions(spark, events, rules, monkeypatch):
+    dealt = []
+    real = joins._dealt
+    monkeypatch.setattr(joins, "_dealt", lambda df, by: dealt.append(real(df, by).select("_part").distinct().count()) or real(df, by))
+    wanted = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "40"}
+    before = {name: spark.conf.get(name) for name in wanted}
+    try:
+        for name, value in wanted.items():
+            spark.conf.set(name, value)
+        joins.met_rules(events, rules, marks=True)
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert set(dealt) == {1}
+    monkeypatch.setattr(joins, "RULE_PART", 3)
+    assert joins._dealt(rules, F.col("name")).select("_part").distinct().count() > 3

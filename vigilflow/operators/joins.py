@@ -15,21 +15,19 @@ SALTS = 16
 SPREAD_BYTES = 32_000_000  # lists of rules above this travel by shuffle
 
 
-def _parts_in_order(df: DataFrame, order: list[str]) -> DataFrame:
-    """Number rows within (_range, _part), runs of at most `RULE_PART` rows in `order`."""
-    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
-    # ranges, numbered inside and cut by size, so that one range of very many is still bounded
-    ranged = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
-    return ranged.withColumn("_part", F.floor(place / RULE_PART))
+def _dealt(df: DataFrame, by: Column) -> DataFrame:
+    """Deal rows to as few `_part`s as hold about `RULE_PART` rows each, whatever the number of shuffle partitions."""
+    parts = max(1, -(-df.count() // RULE_PART))
+    return df.withColumn("_part", F.pmod(F.xxhash64(by), F.lit(parts)))
 
 
 def _ranked(df: DataFrame, column: str, rank: str, steps: DataFrame) -> DataFrame:
     """Add `rank`, how many of the distinct values `steps.step` are at most `column`; 0 for null.
 
-    The values travel as sorted arrays of at most `RULE_PART`, one broadcast row each, and are searched by halving.
+    The values travel as sorted arrays of about `RULE_PART`, one broadcast row each, and are searched by halving.
     """
-    parts = cut(_parts_in_order(steps, ["step"]).groupBy("_range", "_part").agg(F.sort_array(F.collect_list("step")).alias("_steps")).select(
-        "_steps", F.size("_steps").alias("_n"), F.monotonically_increasing_id().alias("_at")))
+    parts = cut(_dealt(steps, F.col("step")).groupBy("_part").agg(F.sort_array(F.collect_list("step")).alias("_steps")).select(
+        "_steps", F.size("_steps").alias("_n"), F.col("_part").alias("_at")))
     out = df.withColumn(rank, F.lit(0))
     for at, n in sorted((r["_at"], r["_n"]) for r in parts.select("_at", "_n").collect()):  # one for every RULE_PART values
         strides = F.array(*[F.lit(1 << i) for i in reversed(range(n.bit_length()))])
@@ -74,14 +72,15 @@ def _marked(ev: DataFrame, live: DataFrame, score: str) -> DataFrame:
 def _met(marks: DataFrame, live: DataFrame) -> DataFrame:
     """Per row of (_rank, _addr) `met`, the rules met as (id, kind, name) in order of id, kind 0 by score and 1 by address.
 
-    Rules travel as arrays of at most `RULE_PART`, one broadcast row each, and every row filters them in turn.
+    Rules travel as arrays of about `RULE_PART`, one broadcast row each, and every row filters them in turn.
     """
     rule = lambda kind, name, test: F.struct("id", F.lit(kind).alias("kind"), name.alias("name"), F.col(test).alias("test"))
     scored = F.when(F.col("r").isNotNull(), rule(0, F.col("name"), "r"))
     patterned = F.when(F.col("pattern") != "", rule(1, F.concat("name", F.lit(":ip")), "pattern"))
-    parts = cut(_parts_in_order(live, ["id", "name"]).groupBy("_range", "_part").agg(
+    # by place in the materialised table, so that equal rules are dealt out too
+    parts = cut(_dealt(live, F.monotonically_increasing_id()).groupBy("_part").agg(
         F.sort_array(F.collect_list(scored)).alias("_scored"), F.sort_array(F.collect_list(patterned)).alias("_patterned"),
-    ).select("_scored", "_patterned", F.monotonically_increasing_id().alias("_at")))
+    ).select("_scored", "_patterned", F.col("_part").alias("_at")))
     none = F.array().cast("array<struct<id: bigint, kind: int, name: string>>")
     slim = lambda c: F.transform(c, lambda r: F.struct(r["id"].alias("id"), r["kind"].alias("kind"), r["name"].alias("name")))
     out = marks.withColumn("met", none)
