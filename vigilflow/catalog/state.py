@@ -9,7 +9,6 @@ from ..operators import scoring, windows
 from ..operators.folds import plan_keys
 from ..operators.steps import FEATURES
 from ..params import sparse_profile
-from ..session import cut
 from ..sources import tables as t
 
 P = sparse_profile()
@@ -47,7 +46,7 @@ def _embedded(spark, sf, plan=None, drop=("ts", "k", "tenant", "device")):
     ev = t.flows(spark, sf).drop(*drop)
     plan = plan or plan_keys(ev, ["source"])
     shaped = windows.local_shape(ev, ["source"], SLICE)
-    return scoring.local_embedding(scoring.rolling_stats(shaped, ["source"], plan))
+    return scoring.local_embedding(scoring.rolling_stats(shaped, ["source"], plan, follows=plan.whole))
 
 
 #: Scales under which six digits show dimensions of very large or very small values well.
@@ -168,14 +167,16 @@ def hierarchy_drift(spark, sf):
     """Events -> vectors -> recurrence -> segments -> four-level hierarchy per tenant."""
     base = t.flows(spark, sf)
     by_source = plan_keys(base, ["source"])
-    ev = _embedded(spark, sf, by_source, drop=("ts", "k", "device")).select(
+    unused = ("ts", "k", "device", "iat_std", "ack_count", "fin_count", "bytes_fwd", "bytes_bwd")
+    ev = _embedded(spark, sf, by_source, drop=unused).select(
         "event_id", "ts_us", "source", "tenant", "type", "score", "rate_hz", "embedding")
     scanned = scoring.ssm_scan(ev, ["source"], "embedding", ["ts_us", "event_id"], plan=by_source, follows=True)
     seg = scoring.segment_flush(
         scanned.drop("embedding").withColumnRenamed("y", "state"), ["source"], P.flush, by_source, follows=True)
-    # read to be planned, settled and walked; there are far fewer segments than events
-    seg = cut(scoring.segment_summary(seg, ["source"], ["tenant", "state"]))
-    return scoring.hierarchy_drift(seg, ["tenant"], P.routing, plan=plan_keys(seg, ["tenant"])).select(
+    seg = scoring.segment_summary(seg, ["source"], ["tenant", "state"], plan=by_source, follows=True).select(
+        "source", "segment_id", "ts_us", "event_id", "trend", "last_score", "tenant", "state")
+    # planned on the events: there are no more segments, and those would have to be made twice or written down
+    return scoring.hierarchy_drift(seg, ["tenant"], P.routing, plan=plan_keys(base, ["tenant"])).select(
         "source", "segment_id", "tenant", "route", r6("drift").alias("drift"), r6("history").alias("history"))
 
 

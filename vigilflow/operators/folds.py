@@ -7,7 +7,8 @@ consecutive chunks that run in different tasks. Chunks of a hot key are first
 run side by side from an empty state; a chunk whose predecessor turns out to end in another
 state than it assumed is run again from the right one, until nothing changes. State that is
 forgotten quickly settles after a round or two, and the result always equals the sequential run:
-after round r the first r chunks are final. Running numbers never settle; a step names them in
+after round r the first r chunks are final. All rounds read the same rows, which are sorted and written down once;
+the few states, one per chunk, travel with the function and not with the rows. Running numbers never settle; a step names them in
 `additive` (name -> period after which the number means the same, or None if nothing depends on it),
 and chunks get them as sums of what the chunks before them have added.
 """
@@ -26,8 +27,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import cut
+from .packed import cut_packed
 from .salted import checked
-from .sliced import ORDER, slice_number
+from .sliced import HOT_ROWS, ORDER, slice_number
 
 # step(columns of rows in time order, state or None) -> (new columns, state); a new column named
 # `_keep` says which rows to keep
@@ -51,11 +53,11 @@ def _additive(step: Step) -> dict[str, int | None]:
     return getattr(step, "additive", {})
 
 
-def _start(step: Step, rows: Columns) -> object:
+def _start(step: Step, carry: str | None, base: Sequence[int] | None) -> object:
     """The state a chunk starts from: what it carries and the running numbers."""
-    state = load_state(rows["_carry"][0])
+    state = load_state(carry)
     if state is not None and _additive(step):
-        state = state | dict(zip(_additive(step), map(int, rows["_base"][0]), strict=True))
+        state = state | dict(zip(_additive(step), map(int, base), strict=True))
     return state
 
 
@@ -80,10 +82,16 @@ def _chunks(df: DataFrame, hot: DataFrame, key: list[str], max_rows: int, fine_s
 
 
 class KeyPlan(NamedTuple):
-    """Which rows of which keys belong to a later chunk; `later` is None when no key is hot."""
+    """Which rows of which keys belong to a later chunk; `later` is None when no key is hot. `largest` bounds the rows of a key."""
 
     later: DataFrame | None
     fine_s: float
+    largest: int | None = None
+
+    @property
+    def whole(self) -> bool:
+        """Whether every key stays in one piece here and in `sliced`, so that rows which a window has put in order lie for a fold."""
+        return self.later is None and self.largest is not None and self.largest <= HOT_ROWS
 
 
 def plan_keys(
@@ -94,11 +102,13 @@ def plan_keys(
     later step over the same key.
     """
     slim = df.select(*key, ts)
-    hot = slim.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_rows).select(*key)
-    if hot.isEmpty():
-        return KeyPlan(None, fine_s)
+    counts = slim.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    largest = counts.agg(F.max("_n")).first()[0] or 0
+    if largest <= max_rows:
+        return KeyPlan(None, fine_s, largest)
+    hot = counts.filter(F.col("_n") > max_rows).select(*key)
     later = cut(_chunks(slim, cut(hot), list(key), max_rows, fine_s, ts))
-    return KeyPlan(None if later.isEmpty() else later, fine_s)
+    return KeyPlan(None if later.isEmpty() else later, fine_s, largest)
 
 
 def _runs(batches: Iterator[pd.DataFrame], group: list[str]) -> Iterator[tuple[tuple, Columns]]:
@@ -134,8 +144,13 @@ def _column(parts: list) -> object:
     return [x for p in parts for x in p]
 
 
-def _walk(step: Step, group: list[str], names: list[str]):
+# per group: the state it starts from and its running numbers
+Starts = dict[tuple, tuple[str | None, Sequence[int] | None]]
+
+
+def _walk(step: Step, group: list[str], names: list[str], starts: Starts | None = None):
     """A mapInPandas function that runs `step` along sorted rows."""
+    starts = starts or {}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state, parts = None, None, {n: [] for n in names}
@@ -146,7 +161,7 @@ def _walk(step: Step, group: list[str], names: list[str]):
                 parts = {n: [] for n in names}
                 continue
             if key != current:
-                current, state = key, _start(step, rows) if "_carry" in rows else None
+                current, state = key, _start(step, *starts.get(key, (None, None)))
             added, state = step(rows, state)
             for n, v in pick(rows, added, names).items():
                 parts[n].append(v)
@@ -154,7 +169,7 @@ def _walk(step: Step, group: list[str], names: list[str]):
     return run
 
 
-def _last_states(step: Step, group: list[str]):
+def _last_states(step: Step, group: list[str], starts: Starts):
     """A mapInPandas function that reports the state each group starts from and ends in."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -165,8 +180,8 @@ def _last_states(step: Step, group: list[str]):
             if key != current:
                 if current is not None:
                     done.append(_report(step, current, carry, start, state))
-                carry = None if pd.isna(rows["_carry"][0]) else rows["_carry"][0]
-                current, start = key, _start(step, rows)
+                carry, base = starts.get(key, (None, None))
+                current, start = key, _start(step, carry, base)
                 state = start
             state = step(rows, state)[1]
         if current is not None:
@@ -213,29 +228,28 @@ def fold_by_key(
         .join(checked(plan.later), [*key, "_fine"], "left").drop("_fine")
         .withColumn("_chunk", F.coalesce("_chunk", F.lit(0).cast("long")))
     )
-    carries = _settle(rows, plan.later, key, order, step)
     group = [*key, "_chunk"]
-    joined = rows.join(checked(carries), group, "left")
-    return _sorted(joined, group, order).mapInPandas(_walk(step, group, names), schema)
+    laid = cut_packed(_sorted(rows, group, order))  # read by every round and by the last walk
+    return laid.mapInPandas(_walk(step, group, names, _settle(laid, plan.later, key, step)), schema)
 
 
 settle_rounds = 0  # how often the chunks of the last fold were run before they settled
 
 
-def _settle(rows: DataFrame, later: DataFrame, key: list[str], order: list[str], step: Step) -> DataFrame:
-    """The state each chunk of the hot keys starts from. Only small per-chunk rows are kept."""
+def _settle(laid: DataFrame, later: DataFrame, key: list[str], step: Step) -> Starts:
+    """The state each chunk of the hot keys starts from. Only small per-chunk rows are kept.
+
+    `laid` has the rows sorted within tasks; semi-joins against few chunks are broadcast and leave them so.
+    """
     global settle_rounds
-    hot = cut(rows.join(checked(cut(later.select(*key).distinct())), key, "left_semi"))
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    kinds = {f.name: f.dataType.simpleString() for f in laid.schema.fields}
     group = [*key, "_chunk"]
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in group] + ["_carry string", "_base array<bigint>", "_end string", "_adds array<bigint>"])
 
-    ends = _last_states(step, group)
-
-    def run(part: DataFrame) -> DataFrame:
-        return _sorted(part, group, order).mapInPandas(ends, schema)
+    def run(of: DataFrame, on: list[str], starts: Starts) -> DataFrame:
+        return laid.join(F.broadcast(of), on, "left_semi").mapInPandas(_last_states(step, group, starts), schema)
 
-    done = cut(run(hot.withColumn("_carry", F.lit(None).cast("string")).withColumn("_base", F.lit(None).cast("array<bigint>"))))
+    done = cut(run(cut(later.select(*key).distinct()), key, {}))
     by = Window.partitionBy(*key).orderBy("_chunk")
     before = by.rowsBetween(Window.unboundedPreceding, -1)
     periods = list(_additive(step).values())
@@ -251,7 +265,12 @@ def _settle(rows: DataFrame, later: DataFrame, key: list[str], order: list[str],
                 off = off | (F.pmod(mine, F.lit(period)) != F.pmod(F.get("_right_base", F.lit(i)), F.lit(period)))
         wrong = cut(compared.filter(off).select(*group, "_right", "_right_base"))
         if wrong.isEmpty():
-            return cut(compared.select(*group, "_carry", F.col("_right_base").alias("_base")))
-        again = run(hot.join(checked(wrong.withColumnsRenamed({"_right": "_carry", "_right_base": "_base"})), group))
+            return _starts(compared.select(*group, "_carry", "_right_base"))
+        again = run(wrong.select(*group), group, _starts(wrong))
         done = cut(done.join(wrong, group, "left_anti").unionByName(again))
         settle_rounds += 1
+
+
+def _starts(chunks: DataFrame) -> Starts:
+    """One entry per chunk of `max_rows` rows."""
+    return {tuple(r[:-2]): (r[-2], r[-1]) for r in chunks.collect()}

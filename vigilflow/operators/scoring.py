@@ -21,11 +21,11 @@ def _schema(df: DataFrame, extra: str) -> str:
     return f"{own}, {extra}"
 
 
-def rolling_stats(ev: DataFrame, key: list[str], plan: KeyPlan | None = None) -> DataFrame:
-    """Running mean and variance of the six features, before (`pm_`, `pv_`) and after each event."""
+def rolling_stats(ev: DataFrame, key: list[str], plan: KeyPlan | None = None, follows: bool = False) -> DataFrame:
+    """Running mean and variance of the six features, before (`pm_`, `pv_`) and after each event (`follows`: see `fold_by_key`)."""
     named = ev.withColumn("bytes", F.col("bytes_in") + F.col("bytes_out"))
     extra = ", ".join(f"{p}{f} double" for p in ("m_", "v_", "pm_", "pv_") for f in FEATURES)
-    return fold_by_key(named, key, steps.rolling_step, _schema(named, extra + ", seen int"), plan=plan)
+    return fold_by_key(named, key, steps.rolling_step, _schema(named, extra + ", seen int"), plan=plan, follows=follows)
 
 
 def zscore_anomaly(stats: DataFrame, entropy: Column, burst: Column, min_rows: int = 4) -> DataFrame:
@@ -176,12 +176,23 @@ def segment_flush(ev: DataFrame, key: list[str], p: FlushParams = FlushParams(),
     )
 
 
-def segment_summary(segmented: DataFrame, key: list[str], carry: list[str] = ()) -> DataFrame:
+def segment_summary(
+    segmented: DataFrame, key: list[str], carry: list[str] = (), plan: KeyPlan | None = None, follows: bool = False,
+) -> DataFrame:
     """One row per flushed segment; the commonest type wins, the lower ordinal on a tie.
 
-    `carry` columns are taken from the flushing event.
+    `carry` columns are taken from the flushing event. With `follows` (see `fold_by_key`) and no hot keys, segments are
+    summed up where their rows lie.
     """
     by = [*key, "segment_id"]
+    if follows and plan.later is None:
+        kinds = {f.name: f.dataType.simpleString() for f in segmented.schema.fields}
+        typed = segmented.select(*dict.fromkeys([*by, "ts_us", "event_id", "type", "score", "rate_hz", "flushed", *carry])).withColumn(
+            "_ord", scores.event_type_ordinal(F.col("type")))
+        own = lambda names: [f"{c} {kinds[c]}" for c in names]
+        schema = ", ".join([*own(by), "events long, trend double, rate_mean double, error_freq double, dominant_type string", *own(["ts_us", "event_id"]),
+                            f"last_score {kinds['score']}", *own(carry)])
+        return fold_by_key(typed, key, steps.SummaryStep(), schema, plan=plan, follows=True)
     per_type = segmented.withColumn("_ord", scores.event_type_ordinal(F.col("type"))).groupBy(*by, "_ord").agg(
         F.first("type").alias("type"), F.count(F.lit(1)).alias("_n"), F.sum("score").alias("_s"),
         F.sum("rate_hz").alias("_r"), F.count_if(F.col("score") > 0.5).alias("_e"),

@@ -210,6 +210,51 @@ class SegmentSummaryStep:
         return added, {"cut": cut, "scan": scan, "open": open_}
 
 
+class SummaryStep:
+    """One row for every flushed segment, at the row that flushes it, of rows that `SegmentStep` has marked; `_ord` is the type's ordinal."""
+
+    def __call__(self, rows: dict, state):
+        flushed = np.asarray(rows["flushed"], dtype=bool)
+        ends = np.flatnonzero(flushed)
+        open_ = state or {"n": 0, "score": [0.0, 0], "rate": [0.0, 0], "errors": 0, "types": []}
+        run = np.searchsorted(ends, np.arange(len(flushed)))  # the last run may go on in later rows
+        runs, score = len(ends) + 1, np.asarray(rows["score"], dtype=float)
+        counted = lambda mask: np.bincount(run[mask], minlength=runs)
+        n = np.bincount(run, minlength=runs)
+        n[0] += open_["n"]
+        errors = counted(score > 0.5)
+        errors[0] += open_["errors"]
+        sums = {}
+        for name, values in (("score", score), ("rate", np.asarray(rows["rate_hz"], dtype=float))):
+            known = ~np.isnan(values)  # a sum leaves nulls out and is null without any value
+            total, found = np.bincount(run[known], values[known], minlength=runs), counted(known)
+            total[0], found[0] = total[0] + open_[name][0], found[0] + open_[name][1]
+            sums[name] = total, found
+        before = {o: (kind, seen) for o, kind, seen in open_["types"]}
+        kinds, code = np.unique([*before, *np.asarray(rows["_ord"]).tolist()], return_inverse=True)
+        at = run * len(kinds) + code[len(before):]
+        types = np.bincount(at, minlength=runs * len(kinds)).reshape(runs, -1)
+        cells, first = np.unique(at, return_index=True)
+        named = dict(zip(cells.tolist(), (rows["type"][i] for i in first), strict=True))  # types of one ordinal go by their first
+        for j, (kind, seen) in zip(code.tolist(), before.values()):
+            types[0, j] += seen
+            named[j] = kind
+        top = np.argmax(types[:-1], axis=1)  # the first of equals has the lower ordinal
+        best = [named[i * len(kinds) + j] for i, j in enumerate(top.tolist())]
+        mean = lambda total, found: np.where(found > 0, total / np.maximum(n, 1), np.nan)[:-1]
+        added = {"_keep": flushed}
+        values = {"events": n[:-1], "trend": mean(*sums["score"]), "rate_mean": mean(*sums["rate"]), "error_freq": errors[:-1] / np.maximum(n[:-1], 1),
+                  "dominant_type": np.array(best, dtype=object), "last_score": score[ends]}
+        for name, made in values.items():
+            column = np.zeros(len(flushed), dtype=made.dtype) if made.dtype != object else np.full(len(flushed), None, dtype=object)
+            column[ends] = made
+            added[name] = column
+        return added, {
+            "n": int(n[-1]), "errors": int(errors[-1]), **{c: [float(v[-1]), int(k[-1])] for c, (v, k) in sums.items()},
+            "types": [[int(o), named[(runs - 1) * len(kinds) + j], int(types[-1, j])] for j, o in enumerate(kinds) if types[-1, j]],
+        }
+
+
 def _ordinal(kind: str) -> int:
     return EVENT_TYPES.index(kind) if kind in EVENT_TYPES else EVENT_TYPES.index("unk")
 
