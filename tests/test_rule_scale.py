@@ -88,3 +88,16 @@ def test_few_values_are_one_part_whatever_the_partitions(spark, events, rules, m
     assert set(dealt) == {1}
     monkeypatch.setattr(joins, "RULE_PART", 3)
     assert joins._dealt(rules, F.col("name")).select("_part").distinct().count() > 3
+
+
+def test_long_lists_are_made_in_tasks_of_their_own(events, rules, monkeypatch):
+    """A writer that has met many short rows looks at its memory too late for long ones."""
+    columns = {"n": F.size, "text": lambda names: F.array_join(names, ",")}
+    want = sorted((e.event_id, len(names), ",".join(names)) for e, names, _ in expected(events, rules))
+    monkeypatch.setattr(joins, "LONG_BYTES", 60)
+    for spread in (0, 200):
+        monkeypatch.setattr(joins, "SPREAD_BYTES", spread)
+        got = joins.match_rules(events, rules, made=columns).select("event_id", "n", "text", F.spark_partition_id().alias("task")).collect()
+        assert sorted((r.event_id, r.n, r.text) for r in got) == want
+        tasks = [{r.task for r in got if (len(f'{{"n":{r.n},"text":"{r.text}"}}') > 60) == long} for long in (True, False)]
+        assert all(tasks) and not tasks[0] & tasks[1]

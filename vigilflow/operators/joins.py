@@ -13,6 +13,7 @@ from .salted import checked, salted_join
 RULE_PART = 5_000
 SALTS = 16
 SPREAD_BYTES = 32_000_000  # lists of rules above this travel by shuffle
+LONG_BYTES = 8_192  # events with longer lists are dealt to tasks of their own
 
 
 def _dealt(df: DataFrame, by: Column) -> DataFrame:
@@ -101,10 +102,25 @@ def _with_lists(ev: DataFrame, rules: DataFrame, score: str, made: dict[str, Col
     kinds = cut(marked.select("_rank", "_addr").distinct()).repartition(parts, "_rank", "_addr")
     lists = cut(_met(kinds, live).select("_rank", "_addr", *[c.alias(n) for n, c in made.items()]))
     on = ["_rank", "_addr"]
-    size = lists.agg(F.sum(F.octet_length(F.to_json(F.struct(*made))))).first()[0] or 0
+    is_long = F.col("_bytes") > LONG_BYTES
+    sized = cut(lists.withColumn("_bytes", F.octet_length(F.to_json(F.struct(*made)))).select(*on, "_bytes"))
+    long, short, any_long = sized.agg(*[F.coalesce(F.sum(F.when(c, F.col("_bytes"))), F.lit(0)) for c in (is_long, ~is_long)], F.max(is_long)).first()
+    if not any_long or long + short <= SPREAD_BYTES:
+        return _looked_up(marked, lists, score, long + short)
+    # writers look at their memory after so many rows, as short as the rows before them: many short rows and then long ones fill it
+    flagged = marked.join(checked(sized.select(*on, is_long.alias("_long"))), on, "left")
+    kinds = lists.join(checked(sized), on)
+    few = _looked_up(flagged.filter(F.coalesce(~F.col("_long"), F.lit(True))).drop("_long"), kinds.filter(~is_long).drop("_bytes"), score, short)
+    return few.unionByName(_looked_up(flagged.filter("_long").drop("_long"), kinds.filter(is_long).drop("_bytes"), score, long))
+
+
+def _looked_up(marked: DataFrame, lists: DataFrame, score: str, size: int) -> DataFrame:
+    """Marked events with the columns of their list; lists above `SPREAD_BYTES` are shuffled."""
+    on = ["_rank", "_addr"]
     if size <= SPREAD_BYTES:
         return marked.join(checked(lists), on, "left").drop(*on)
-    spread = "event_id" if "event_id" in ev.columns else score
+    parts = int(marked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = "event_id" if "event_id" in marked.columns else score
     # the numbers of tasks are fixed: the result is much larger than what is shuffled
     salted = marked.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).repartition(parts, *on, "_salt")
     return salted.join(lists.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*on, "_salt"], "left").drop(*on, "_salt")
