@@ -100,3 +100,12 @@ def test_reconstruction_without_a_model_learns_from_calm_events(scored):
     out = plan.with_reconstruction(scored).select("event_id", "score").collect()
     before = {r.event_id: r.score for r in scored.collect()}
     assert all(0.85 * before[r.event_id] - 1e-9 <= r.score <= 0.85 * before[r.event_id] + 0.15 + 1e-9 for r in out)
+
+
+def test_numbering_moves_no_vectors(scored, monkeypatch):
+    """Vectors and states are written once by source; a tenant's flushes are counted on narrow rows."""
+    moved, real = [], plan.running_sums
+    monkeypatch.setattr(plan, "running_sums", lambda df, *a: moved.append(df.columns) or real(df, *a))
+    out = plan.with_hierarchy(scored, P)
+    assert moved and not {"embedding", "state"} & {c for names in moved for c in names}
+    assert {"embedding", "drift", "history", "trend"} <= set(out.columns)
